@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from tallywright.llm import toxicity
+from tallywright.llm import mixing, toxicity
 
 QUERIES = {
+    "op2_mix_sources": mixing.query,
     "op7_toxicity": toxicity.query,
 }
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op2_mix_sources": mixing.SQL,
+}
