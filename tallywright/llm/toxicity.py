@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import math
 import re
+from array import array
 from collections import Counter
 from dataclasses import dataclass, field
 
@@ -61,17 +62,16 @@ def train(texts: list[str], labels: list[int], epochs: int = 30, l1: float = 25.
     """Full-batch proximal Adam on the noisy-or likelihood; deterministic. l1 is in documents' worth of gradient."""
     if not texts:
         return Model()
-    bags = [[set(TOKEN.findall(s)) for s in SENTENCE.findall((t or "").lower())] for t in texts]
-    parts = {w: features(w) for w in {w for bag in bags for s in bag for w in s}}
-    seen = Counter()
-    for bag in bags:
-        seen.update({f for w in set().union(*bag) for f in parts[w]})
+    seen: Counter = Counter()
+    for t in texts:
+        seen.update({f for w in set(TOKEN.findall((t or "").lower())) for f in features(w)})
     vocabulary = {f: i for i, f in enumerate(sorted(f for f, n in seen.items() if n >= least))}
+    parts = {f.rstrip("*")[:SHORTEST] for f in vocabulary}
     y = np.array(labels, float)
-    owners, starts, columns = [], [], []
-    for d, bag in enumerate(bags):
-        for words in bag:
-            ids = {vocabulary[f] for w in words for f in parts[w] if f in vocabulary}
+    owners, starts, columns = array("i"), array("i"), array("i")
+    for d, t in enumerate(texts):
+        for m in SENTENCE.finditer((t or "").lower()):
+            ids = {vocabulary[f] for w in set(TOKEN.findall(m[0])) if w[:SHORTEST] in parts for f in features(w) if f in vocabulary}
             if ids:
                 owners.append(d)
                 starts.append(len(columns))
@@ -79,7 +79,7 @@ def train(texts: list[str], labels: list[int], epochs: int = 30, l1: float = 25.
     rate_of_label = float(np.clip(y.mean(), 1e-4, 1 - 1e-4))
     if not columns:
         return Model({}, rate_of_label)
-    owners, starts, columns = np.array(owners), np.array(starts), np.array(columns)
+    owners, starts, columns = (np.frombuffer(x, np.int32) for x in (owners, starts, columns))
     rows = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(columns))))
     w, m, v = (np.zeros(len(vocabulary)) for _ in range(3))
     leak, base = min(0.05, rate_of_label), 1 / (1 + np.exp(-BIAS))
@@ -104,17 +104,22 @@ def train(texts: list[str], labels: list[int], epochs: int = 30, l1: float = 25.
 
 
 def training_sample(docs: DataFrame, labels: DataFrame) -> list:
-    """A bounded sample of labelled rows in an order that depends on the text's hash alone."""
+    """A bounded sample of labelled rows in an order that depends on hashes alone.
+
+    The draw joins ids and hashes, never texts; the ids drawn (no more than the
+    two bounds) are then sent to the scan that fetches their texts.
+    """
     known = labels.select(F.col("doc_id").alias("label_id"), F.col("toxic").cast("int").alias("label")).where(F.col("label").isin(0, 1)).dropDuplicates(["label_id"])
-    rows = (
-        docs.where((crc_of_id() % 4 != 2) & (F.length("text") <= SAMPLE_CHARS))
-        .join(known, F.col("doc_id") == F.col("label_id"))
-        .select("label", "text", F.xxhash64("text", "doc_id").alias("turn"))
-    )
-    out = []
+    slim = docs.where((crc_of_id() % 4 != 2) & (F.length("text") <= SAMPLE_CHARS)).select("doc_id", F.xxhash64("text", "doc_id").alias("turn"))
+    drawn = slim.join(known, F.col("doc_id") == F.col("label_id")).select("label", "turn")
+    picks = []
     for label, most in ((1, SAMPLE_POSITIVE), (0, SAMPLE_NEGATIVE)):
-        out += rows.where(F.col("label") == label).orderBy("turn").limit(most).collect()
-    return out
+        picks += drawn.where(F.col("label") == label).orderBy("turn").limit(most).collect()
+    if not picks:
+        return []
+    chosen = docs.sparkSession.createDataFrame([(r["turn"], r["label"]) for r in picks], "pick long, label int").dropDuplicates(["pick"])
+    found = docs.withColumn("turn", F.xxhash64("text", "doc_id")).join(F.broadcast(chosen), F.col("turn") == F.col("pick"))
+    return sorted(found.select("label", "text", "turn").collect(), key=lambda r: (r["turn"], r["label"]))
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
