@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from tallywright.llm import mixing, toxicity
+from tallywright.llm import language, mixing, toxicity
 
 QUERIES = {
     "op2_mix_sources": mixing.query,
+    "op4_language": language.query,
     "op7_toxicity": toxicity.query,
 }
 ORACLE: dict[str, str] = {
