@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from tallywright.llm import language, mixing, toxicity
+from tallywright.llm import language, mixing, pii, toxicity
 
 QUERIES = {
     "op2_mix_sources": mixing.query,
     "op4_language": language.query,
+    "op6_pii": pii.query,
     "op7_toxicity": toxicity.query,
 }
 ORACLE: dict[str, str] = {
