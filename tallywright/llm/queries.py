@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from tallywright.llm import language, mixing, pii, toxicity
+from tallywright.llm import fingerprint, language, mixing, pii, toxicity
 
 QUERIES = {
+    "op1_fingerprint": fingerprint.query,
     "op2_mix_sources": mixing.query,
     "op4_language": language.query,
     "op6_pii": pii.query,
