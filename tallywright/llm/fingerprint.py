@@ -11,7 +11,9 @@ give; each filter of the shorter digest takes its best partner.
 
 Texts of fewer than 400 bytes have few such features; their 8-byte windows are
 chained on in filters of their own (the whole text where it is shorter still),
-and count for more by being fuller. Equal texts have equal digests; two empty ones have
+and count for more by being fuller. A text that only
+repeats a short passage has next to no improbable window: it is treated as a short
+one, and may show no likeness to itself with other text added. Equal texts have equal digests; two empty ones have
 likeness 1, an empty and another 0.
 
 Windows are measured over whole batches at once: how many equal bytes stand
