@@ -225,7 +225,7 @@ def with_successors(docs: DataFrame) -> tuple[DataFrame, int]:
     base = docs.select(F.col("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     facts = base.agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("text")).alias("b")).first()
     width = max(1, min(partitions(spark, facts["b"] or 0, 24 << 20), facts["n"]))
-    cuts = base.where(F.col("doc_id").isNotNull()).select("doc_id").stat.approxQuantile("doc_id", [i / width for i in range(1, width)], 0.2 / width) if facts["n"] else []
+    cuts = base.where(F.col("doc_id").isNotNull()).select("doc_id").stat.approxQuantile("doc_id", [i / width for i in range(1, width)], 0.2 / width) if width > 1 else []
     cuts = sorted({int(c) for c in cuts})
     place = F.lit(0)
     if cuts:

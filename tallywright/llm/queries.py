@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from tallywright.llm import fingerprint, language, mixing, pii, toxicity
+from tallywright.llm import fingerprint, language, mixing, pieces, pii, toxicity
 
 QUERIES = {
     "op1_fingerprint": fingerprint.query,
     "op2_mix_sources": mixing.query,
+    "op3_pieces": pieces.query,
     "op4_language": language.query,
     "op6_pii": pii.query,
     "op7_toxicity": toxicity.query,
