@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tallywright.llm import fingerprint, language, mixing, pieces, pii, toxicity
+from tallywright.llm import fingerprint, language, minhash, mixing, pieces, pii, toxicity
 
 QUERIES = {
     "op1_fingerprint": fingerprint.query,
@@ -11,7 +11,9 @@ QUERIES = {
     "op4_language": language.query,
     "op6_pii": pii.query,
     "op7_toxicity": toxicity.query,
+    "op9_minhash": minhash.query,
 }
 ORACLE: dict[str, str] = {
     "op2_mix_sources": mixing.SQL,
+    "op9_minhash": minhash.SQL,
 }
