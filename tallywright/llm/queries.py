@@ -2,18 +2,20 @@
 
 from __future__ import annotations
 
-from tallywright.llm import fingerprint, language, minhash, mixing, pieces, pii, toxicity
+from tallywright.llm import fingerprint, language, minhash, mixing, pieces, pii, quotes, toxicity
 
 QUERIES = {
     "op1_fingerprint": fingerprint.query,
     "op2_mix_sources": mixing.query,
     "op3_pieces": pieces.query,
     "op4_language": language.query,
+    "op5_quotes": quotes.query,
     "op6_pii": pii.query,
     "op7_toxicity": toxicity.query,
     "op9_minhash": minhash.query,
 }
 ORACLE: dict[str, str] = {
     "op2_mix_sources": mixing.SQL,
+    "op5_quotes": quotes.SQL,
     "op9_minhash": minhash.SQL,
 }
