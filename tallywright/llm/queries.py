@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tallywright.llm import fingerprint, language, minhash, mixing, pieces, pii, quotes, toxicity
+from tallywright.llm import fingerprint, language, minhash, mixing, neighbours, pieces, pii, quotes, toxicity
 
 QUERIES = {
     "op1_fingerprint": fingerprint.query,
@@ -12,10 +12,12 @@ QUERIES = {
     "op5_quotes": quotes.query,
     "op6_pii": pii.query,
     "op7_toxicity": toxicity.query,
+    "op8_neighbours": neighbours.query,
     "op9_minhash": minhash.query,
 }
 ORACLE: dict[str, str] = {
     "op2_mix_sources": mixing.SQL,
     "op5_quotes": quotes.SQL,
+    "op8_neighbours": neighbours.SQL,
     "op9_minhash": minhash.SQL,
 }
