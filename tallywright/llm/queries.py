@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tallywright.llm import fingerprint, language, minhash, mixing, neighbours, pieces, pii, quotes, toxicity
+from tallywright.llm import fingerprint, language, minhash, mixing, neighbours, pieces, pii, quotes, repeats, toxicity
 
 QUERIES = {
     "op1_fingerprint": fingerprint.query,
@@ -14,6 +14,7 @@ QUERIES = {
     "op7_toxicity": toxicity.query,
     "op8_neighbours": neighbours.query,
     "op9_minhash": minhash.query,
+    "op10_repeats": repeats.query,
 }
 ORACLE: dict[str, str] = {
     "op2_mix_sources": mixing.SQL,
