@@ -21,7 +21,7 @@ ORACLE: dict[str, str] = {}
 #: A taxonomy of what the documents do hold.
 TAXONOMY = {"insult": [r"idiot\w*", r"\bmoron\w*", r"worthless"], "licence": [r"licen[cs]ed?", r"copyright\s+\d+"], "contact": [r"\w+@\w+\.\w+", r"\+1 \(\d{3}\)"]}
 CUES, BREAKS = ["the", "and"], [r"[;.]"]
-FLAG, OUTCOME = r"\b(an|thea|ouen)\b", r"(idiot|moron|worthless|clown|trash)"
+FLAG, OUTCOME = r"(^|[ .,])(an|thea|ouen)([ .,]|$)", r"(idiot|moron|worthless|clown|trash)"
 
 
 def register(name: str, sql: str | None = None):
