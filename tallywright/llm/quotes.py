@@ -12,7 +12,7 @@ conversation reads in reply order, each message without its quotes.
 
 Defined cases: a null text has no lines and an empty message; a null conversation
 or turn links with nothing and is its own thread; rows that repeat a turn are kept
-and share its replies' target; a message never replies to itself or a later turn.
+and share its replies' target; parent_turn is -1 where a message answers none; it never replies to itself or a later turn.
 """
 
 from __future__ import annotations
@@ -80,7 +80,7 @@ def formatted(messages: DataFrame) -> DataFrame:
     found = threads(replies(rows)).select(F.col("conv_id").alias("c"), F.col("turn").alias("t"), "parent", "thread", "depth")
     out = rows.join(found, (F.col("conv_id") == F.col("c")) & (F.col("turn") == F.col("t")), "left")
     return out.select(
-        "conv_id", "turn", "role", F.col("max_level").cast("long").alias("quote_levels"), "n_quoted", F.col("parent").alias("parent_turn"),
+        "conv_id", "turn", "role", F.col("max_level").cast("long").alias("quote_levels"), "n_quoted", F.coalesce("parent", F.lit(-1)).cast("long").alias("parent_turn"),
         F.coalesce("thread", "turn").alias("thread_turn"), F.coalesce("depth", F.lit(0)).cast("long").alias("depth"),
         F.concat(F.lit("<|"), F.coalesce("role", F.lit("")), F.lit("|>\n"), F.col("own"), F.lit("\n")).alias("chat"),
     )
@@ -101,7 +101,7 @@ q AS (SELECT l.conv_id, l.turn, min({'level': l.level, 'late': -f.origin}) AS be
 p AS (SELECT conv_id, turn, -best.late AS parent FROM q),
 t(conv_id, turn, top, depth) AS (SELECT conv_id, turn, parent, 1 FROM p UNION ALL SELECT t.conv_id, t.turn, p.parent, t.depth + 1 FROM t JOIN p ON p.conv_id = t.conv_id AND p.turn = t.top),
 h AS (SELECT conv_id, turn, max_by(top, depth) AS thread, max(depth) AS depth FROM t GROUP BY conv_id, turn)
-SELECT m.conv_id, m.turn, m.role, o.quote_levels::BIGINT AS quote_levels, o.n_quoted::BIGINT AS n_quoted, p.parent AS parent_turn,
+SELECT m.conv_id, m.turn, m.role, o.quote_levels::BIGINT AS quote_levels, o.n_quoted::BIGINT AS n_quoted, coalesce(p.parent, -1)::BIGINT AS parent_turn,
        coalesce(h.thread, m.turn) AS thread_turn, coalesce(h.depth, 0)::BIGINT AS depth, '<|' || coalesce(m.role, '') || '|>' || chr(10) || o.own || chr(10) AS chat
 FROM m JOIN o USING (id) LEFT JOIN p ON p.conv_id = m.conv_id AND p.turn = m.turn LEFT JOIN h ON h.conv_id = m.conv_id AND h.turn = m.turn
 """

@@ -27,9 +27,9 @@ def chain():
 def test_chain(spark, corpus):
     path = corpus(conversations=chain())
     got = {(r["conv_id"], r["turn"]): r for r in quotes.query(spark, path).collect() if r["conv_id"] in (1, 2)}
-    assert [(got[1, t]["parent_turn"], got[1, t]["thread_turn"], got[1, t]["depth"]) for t in range(6)] == [(None, 0, 0), (0, 0, 1), (1, 0, 2), (None, 3, 0), (2, 0, 3), (0, 0, 1)]
+    assert [(got[1, t]["parent_turn"], got[1, t]["thread_turn"], got[1, t]["depth"]) for t in range(6)] == [(-1, 0, 0), (0, 0, 1), (1, 0, 2), (-1, 3, 0), (2, 0, 3), (0, 0, 1)]
     assert got[1, 2]["chat"] == "<|user|>\nFollow up.\n" and got[1, 2]["quote_levels"] == 2
-    assert got[2, 1]["parent_turn"] is None
+    assert got[2, 1]["parent_turn"] == -1
     assert quotes.query(spark, path).count() == len(chain())
 
 
