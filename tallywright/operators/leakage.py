@@ -42,7 +42,7 @@ def late_features(records: DataFrame, key: str, prediction: str, features: list[
 def label_correlation(records: DataFrame, features: list[str], label: str, threshold: float = 0.9) -> DataFrame:
     """Features whose correlation with the label is near one; columns without variance pass; below three rows nothing can be told."""
     n = F.count(F.lit(1))
-    flat = records.agg(n.alias("n"), *[F.when((F.stddev_pop(f) > 0) & (F.stddev_pop(label) > 0), F.abs(F.corr(F.col(f).cast("double"), F.col(label).cast("double")))).alias(f) for f in features])
+    flat = records.agg(n.alias("n"), *[F.abs(F.try_divide(F.covar_pop(F.col(f).cast("double"), F.col(label).cast("double")), F.stddev_pop(f) * F.stddev_pop(label))).alias(f) for f in features])
     high = F.filter(F.array(*[F.when(F.col(f) >= threshold, F.format_string("%s: |r|=%.3f with label", F.lit(f), F.col(f))) for f in features]), lambda x: x.isNotNull())
     few = F.col("n") < 3
     return flat.select(

@@ -27,12 +27,12 @@ def draw(frame: DataFrame, stratum: str, key: str, n: int, seed: int = 20260927)
     are cut off first, by counts, so that no stratum is sorted whole in one task.
     """
     sizes = frame.groupBy(stratum).agg(F.count(F.lit(1)).alias("n_rows"))
-    shares = allocate(sizes, stratum, "n_rows", n).withColumnRenamed("stratum", "s")
+    shares = allocate(sizes, stratum, "n_rows", n).select(F.col("stratum").alias("of_stratum"), "allotted")
     turn = F.xxhash64(F.lit(seed), F.col(key).cast("string"))
     rows = frame.withColumn("turn", turn).withColumn("bin", F.shiftright("turn", 52))
     bins = rows.groupBy(stratum, "bin").agg(F.count(F.lit(1)).alias("k"))
     upto = F.sum("k").over(Window.partitionBy(stratum).orderBy("bin")) - F.col("k")
-    last = bins.withColumn("before", upto).join(F.broadcast(shares), F.col(stratum) == F.col("s")).where(F.col("before") < F.col("allotted")).groupBy("s", "allotted").agg(F.max("bin").alias("last_bin"))
-    near = rows.join(F.broadcast(last), (F.col(stratum) == F.col("s")) & (F.col("bin") <= F.col("last_bin")))
+    last = bins.withColumn("before", upto).join(F.broadcast(shares), F.col(stratum) == F.col("of_stratum")).where(F.col("before") < F.col("allotted")).groupBy("of_stratum", "allotted").agg(F.max("bin").alias("last_bin"))
+    near = rows.join(F.broadcast(last), (F.col(stratum) == F.col("of_stratum")) & (F.col("bin") <= F.col("last_bin")))
     rank = F.row_number().over(Window.partitionBy(stratum).orderBy("turn", key))
     return near.withColumn("rank", rank).where(F.col("rank") <= F.col("allotted")).select(*frame.columns)
