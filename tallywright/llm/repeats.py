@@ -10,8 +10,10 @@ the anchor's stretch.
 2. Anchors that pass it are kept with the hash of their stretch. Of equal stretches
    all but the earliest are repeats throughout.
 3. Where one anchor has several stretches (an edit nearby, the end of a passage),
-   the strings of each earliest stretch are compared one by one by a 128-bit
-   digest, all but the earliest being repeats.
+   the bytes of each earliest stretch are fetched, again by way of a filter, and
+   their strings compared by a 128-bit digest: those of an anchor with at most GROUP
+   stretches where the stretches meet, those of one with more as rows of their own.
+   All but the earliest of equal strings are repeats.
 4. Spans meet their documents, and what they do not cover is kept.
 
 The suffix order of a difference cover is not built: see the README for what its
@@ -40,6 +42,8 @@ LENGTH, GRAM = 100, 24
 #: The filter: 2 ** CELL_BITS cells of 2 ** IN_CELL bits, 16 MB whatever the input; when it fills, it only lets more through.
 CELL_BITS, IN_CELL, PROBES = 12, 15, 3
 PLACE_BITS = 28
+#: Stretches of one anchor that are compared in one place.
+GROUP = 2048
 
 _rng = np.random.default_rng(20240301)
 VALUES = _rng.integers(0, 1 << 64, (2, 256), dtype=np.uint64)
@@ -105,16 +109,9 @@ def probes(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return cell, np.stack([((h >> np.uint64(IN_CELL * i)) & mask).astype(np.int64) for i in range(PROBES)])
 
 
-def repeated_filter(docs: DataFrame) -> np.ndarray:
-    """Bits of the anchors' hashes that occur twice or more."""
-
-    def run(batch):
-        data, ends, _ = buffer(batch.column(0).to_pylist())
-        h = anchors(data, ends)[4]
-        return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64))], ["h"])
-
-    counts = map_text(docs.select("text"), run, "h long", limit=4 << 20).groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    cells = counts.select("h", F.shiftrightunsigned("h", 64 - CELL_BITS).alias("cell")).repartition("cell")
+def filled(hashes: DataFrame) -> np.ndarray:
+    """The filter of the hashes in `h`: cells are filled where their hashes meet; the driver gets the 16 MB."""
+    cells = hashes.select("h", F.shiftrightunsigned("h", 64 - CELL_BITS).alias("cell")).repartition("cell")
 
     def fill(batches):
         found: dict[int, np.ndarray] = {}
@@ -124,9 +121,10 @@ def repeated_filter(docs: DataFrame) -> np.ndarray:
             cell, bits = cell[order], bits[:, order]
             cuts = np.flatnonzero(np.diff(cell, prepend=-1))
             for lo, hi in zip(cuts, np.append(cuts[1:], len(cell)), strict=True):
-                row = found.setdefault(int(cell[lo]), np.zeros(1 << IN_CELL, bool))
-                row[bits[:, lo:hi].ravel()] = True
-        yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int64()), pa.array([np.packbits(b).tobytes() for b in found.values()], pa.binary())], ["cell", "bits"])
+                row = found.setdefault(int(cell[lo]), np.zeros((1 << IN_CELL) // 8, np.uint8))
+                place = bits[:, lo:hi].ravel()
+                np.bitwise_or.at(row, place >> 3, (128 >> (place & 7)).astype(np.uint8))
+        yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int64()), pa.array([b.tobytes() for b in found.values()], pa.binary())], ["cell", "bits"])
 
     out = np.zeros((1 << CELL_BITS, (1 << IN_CELL) // 8), np.uint8)
     for r in cells.mapInArrow(fill, "cell long, bits binary").collect():  # at most 2 ** CELL_BITS rows
@@ -134,43 +132,78 @@ def repeated_filter(docs: DataFrame) -> np.ndarray:
     return out
 
 
-KEY = ("nul", "id", "tie")
-STRETCH = "nul boolean, id long, tie long, lo int, hi int, h long, s long, bytes binary"
+def passes(table_: np.ndarray, h: np.ndarray) -> np.ndarray:
+    cell, bits = probes(h)
+    keep = np.ones(len(h), bool)
+    for b in bits:
+        keep &= (table_[cell, b >> 3] >> (7 - (b & 7)).astype(np.uint8)) & 1 == 1
+    return keep
+
+
+def repeated_filter(docs: DataFrame) -> np.ndarray:
+    """Of the anchors' hashes that occur twice or more."""
+
+    def run(batch):
+        data, ends, _ = buffer(batch.column(0).to_pylist())
+        return pa.RecordBatch.from_arrays([pa.array(anchors(data, ends)[4].view(np.int64))], ["h"])
+
+    counts = map_text(docs.select("text"), run, "h long", limit=4 << 20).groupBy("h").agg(F.count(F.lit(1)).alias("n"))
+    return filled(counts.where("n > 1"))
+
+
+#: Documents in order: id (a null one last), then the text's hash.
+KEY = ("id", "tie")
+LAST_ID = (1 << 63) - 1
 
 
 def keyed(docs: DataFrame) -> DataFrame:
     text = F.coalesce("text", F.lit(""))
-    return docs.select(F.col("doc_id").isNull().alias("nul"), F.coalesce("doc_id", F.lit(0)).alias("id"), F.xxhash64(text).alias("tie"), text.alias("text"))
+    return docs.select(F.coalesce("doc_id", F.lit(LAST_ID)).alias("id"), F.xxhash64(text).alias("tie"), text.alias("text"))
+
+
+def named(tie: np.ndarray, lo: np.ndarray) -> np.ndarray:
+    """A hash of where a stretch is: its text and start."""
+    x = tie.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + lo.astype(np.uint64) * np.uint64(0xA0761D6478BD642F)
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    return x ^ (x >> np.uint64(31))
 
 
-def stretches(docs: DataFrame, passing) -> DataFrame:
-    """Stretches of the anchors that pass the filter: [lo, hi) in bytes, anchor hash h, stretch hash s, and the bytes."""
+def stretches(docs: DataFrame, passing, by_place: bool = False) -> DataFrame:
+    """Stretches [lo, hi) in bytes whose anchor's hash h passes the filter, with their own hash s.
+
+    With `by_place` the filter is of places, and the stretches' bytes come instead of s.
+    """
 
     def run(batch):
         names = batch.schema.names
         data, ends, begins = buffer(batch.column(names.index("text")).to_pylist())
         owner, place, first, last, h, rolling = anchors(data, ends)
-        keep = np.zeros(len(h), bool)
-        if len(h):
-            cell, bits = probes(h)
-            table_ = passing.value
-            keep = np.ones(len(h), bool)
-            for b in bits:
-                keep &= (table_[cell, b >> 3] >> (7 - (b & 7)).astype(np.uint8)) & 1 == 1
-        owner, place, first, last, h = (x[keep] for x in (owner, place, first, last, h))
+        tie = batch.column(names.index("tie")).to_numpy()[owner]
+        at = (first - begins[owner]) if len(owner) else owner
+        keep = passes(passing.value, named(tie, at) if by_place else h) if len(h) else np.zeros(0, bool)
+        owner, place, first, last, h, at = (x[keep] for x in (owner, place, first, last, h, at))
         stop = last + LENGTH
-        s = rolling.of(first, stop) + ((place - first) * 256 + (stop - first)).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) if len(h) else h
-        raw = data.tobytes()
-        pieces = pa.array([raw[a:b] for a, b in zip(first.tolist(), stop.tolist(), strict=True)], pa.binary())
-        at = pa.array(owner)
-        cols = [batch.column(names.index(k)).take(at) for k in KEY]
-        base = begins[owner] if len(owner) else owner
-        return pa.RecordBatch.from_arrays(
-            [*cols, pa.array((first - base).astype(np.int32)), pa.array((stop - base).astype(np.int32)), pa.array(h.view(np.int64)), pa.array(s.view(np.int64)), pieces],
-            [*KEY, "lo", "hi", "h", "s", "bytes"],
-        )
+        cols = [batch.column(names.index(k)).take(pa.array(owner)) for k in KEY] + [pa.array(at.astype(np.int32)), pa.array((at + stop - first).astype(np.int32)), pa.array(h.view(np.int64))]
+        if by_place:
+            raw = data.tobytes()
+            return pa.RecordBatch.from_arrays([*cols, pa.array([raw[a:b] for a, b in zip(first.tolist(), stop.tolist(), strict=True)], pa.binary())], [*KEY, "lo", "hi", "h", "bytes"])
+        shape = ((place - first) * 256 + (stop - first)).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        s = rolling.of(first, stop) + shape if len(h) else h
+        return pa.RecordBatch.from_arrays([*cols, pa.array(s.view(np.int64))], [*KEY, "lo", "hi", "h", "s"])
+
+    return map_text(keyed(docs), run, "id long, tie long, lo int, hi int, h long, " + ("bytes binary" if by_place else "s long"), limit=4 << 20)
 
-    return map_text(keyed(docs), run, STRETCH, limit=4 << 20)
+
+def digests_of(pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of every LENGTH-byte string of the pieces: its piece, its start there, and the two halves of its digest."""
+    data = np.frombuffer(b"".join(pieces), np.uint8)
+    sizes = np.array([len(p) for p in pieces])
+    counts = sizes - LENGTH + 1
+    owner = np.repeat(np.arange(len(pieces)), counts)
+    inner = np.arange(len(owner)) - np.repeat(np.cumsum(counts) - counts, counts)
+    at = (np.cumsum(sizes) - sizes)[owner] + inner
+    one, two = (Rolling(data, i).of(at, at + LENGTH) for i in (0, 1))
+    return owner, inner, one, two
 
 
 def strings(rows: DataFrame) -> DataFrame:
@@ -180,44 +213,100 @@ def strings(rows: DataFrame) -> DataFrame:
         for batch in batches:
             names = batch.schema.names
             pieces = batch.column(names.index("bytes")).to_pylist()
-            if not pieces:
+            if pieces:
+                owner, inner, one, two = digests_of(pieces)
+                lo = batch.column(names.index("lo")).to_numpy()
+                yield pa.RecordBatch.from_arrays([*(batch.column(names.index(k)).take(pa.array(owner)) for k in KEY), pa.array((lo[owner] + inner).astype(np.int32)), pa.array(one.view(np.int64)), pa.array(two.view(np.int64))], [*KEY, "at", "d1", "d2"])
+
+    return rows.select(*KEY, "lo", "bytes").mapInArrow(run, "id long, tie long, at int, d1 long, d2 long")
+
+
+def compared_in_place(rows: DataFrame) -> DataFrame:
+    """(key, lo, hi): ranges of the stretches whose strings an earlier one of the same anchor holds.
+
+    Rows come sorted by anchor, then place; whole anchors are taken together.
+    """
+    width = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = rows.select(*KEY, "lo", "h", "bytes").repartition(width, "h").sortWithinPartitions("h", *KEY, "lo")
+
+    def finish(table_):
+        pieces = table_.column("bytes").to_pylist()
+        owner, inner, one, two = digests_of(pieces)
+        both = np.empty(len(one), [("one", np.uint64), ("two", np.uint64)])
+        both["one"], both["two"] = one, two
+        order = np.lexsort((np.arange(len(one)), two, one))
+        again = np.zeros(len(one), bool)
+        again[order[1:]] = both[order[1:]] == both[order[:-1]]
+        at = np.flatnonzero(again)
+        if not len(at):
+            return None
+        start = np.flatnonzero((np.diff(at, prepend=-2) != 1) | (np.diff(owner[at], prepend=-1) != 0))
+        end = np.append(start[1:], len(at)) - 1
+        who = owner[at[start]]
+        lo = table_.column("lo").to_numpy()[who]
+        return pa.RecordBatch.from_arrays(
+            [*(table_.column(k).combine_chunks().take(pa.array(who)) for k in KEY), pa.array((lo + inner[at[start]]).astype(np.int32)), pa.array((lo + inner[at[end]] + LENGTH).astype(np.int32))],
+            [*KEY, "lo", "hi"],
+        )
+
+    def run(batches):
+        held: list = []
+        rows_held = 0
+        for batch in batches:
+            if not batch.num_rows:
                 continue
-            data = np.frombuffer(b"".join(pieces), np.uint8)
-            sizes = np.array([len(p) for p in pieces])
-            counts = sizes - LENGTH + 1
-            owner = np.repeat(np.arange(len(pieces)), counts)
-            inner = np.arange(len(owner)) - np.repeat(np.cumsum(counts) - counts, counts)
-            at = (np.cumsum(sizes) - sizes)[owner] + inner
-            d = [Rolling(data, i).of(at, at + LENGTH).view(np.int64) for i in (0, 1)]
-            take = pa.array(owner)
-            lo = batch.column(names.index("lo")).to_numpy()
-            yield pa.RecordBatch.from_arrays([*(batch.column(names.index(k)).take(take) for k in KEY), pa.array((lo[owner] + inner).astype(np.int32)), pa.array(d[0]), pa.array(d[1])], [*KEY, "at", "d1", "d2"])
+            h = batch.column(batch.schema.get_field_index("h")).to_numpy()
+            cuts = np.flatnonzero(np.diff(h))
+            if rows_held > 8192 and (held[-1].column(held[-1].schema.get_field_index("h"))[-1].as_py() != h[0] or len(cuts)):
+                head = 0 if held[-1].column(held[-1].schema.get_field_index("h"))[-1].as_py() != h[0] else int(cuts[0]) + 1
+                if head:
+                    held.append(batch.slice(0, head))
+                if (out := finish(pa.Table.from_batches(held))) is not None:
+                    yield out
+                held, rows_held, batch = [], 0, batch.slice(head)
+            if batch.num_rows:
+                held.append(batch)
+                rows_held += batch.num_rows
+        if held and (out := finish(pa.Table.from_batches(held))) is not None:
+            yield out
+
+    return dealt.mapInArrow(run, "id long, tie long, lo int, hi int")
+
 
-    return rows.select(*KEY, "lo", "bytes").mapInArrow(run, "nul boolean, id long, tie long, at int, d1 long, d2 long")
+def earliest(rows: DataFrame, by: list[str], place: str) -> DataFrame:
+    """Per group its earliest place and number of rows."""
+    return rows.groupBy(*by).agg(F.min(F.struct(*KEY, place)).alias("first"), F.count(F.lit(1)).alias("n"))
 
 
-def later(rows: DataFrame, by: list[str], place: str) -> tuple[DataFrame, DataFrame]:
-    """Rows that are not the earliest of their group, and the groups (with their earliest place)."""
-    here = F.struct(*KEY, place)
-    groups = rows.groupBy(*by).agg(F.min(here).alias("first"), F.max(here).alias("last"))
-    several = groups.where(F.col("first") != F.col("last")).select(*[F.col(b).alias(f"of_{b}") for b in by], "first")
-    return rows.join(several, [F.col(b) == F.col(f"of_{b}") for b in by]).where(here > F.col("first")), groups
+def later(rows: DataFrame, groups: DataFrame, by: list[str], place: str) -> DataFrame:
+    """Rows that are not the earliest of their group."""
+    several = groups.where("n > 1").select(*[F.col(b).alias(f"of_{b}") for b in by], "first")
+    return rows.join(several, [F.col(b) == F.col(f"of_{b}") for b in by]).where(F.struct(*KEY, place) > F.col("first"))
 
 
 def spans(docs: DataFrame) -> DataFrame:
     """(key, lo, hi): byte ranges that repeat an earlier string; they may overlap."""
     spark = docs.sparkSession
     passing = spark.sparkContext.broadcast(repeated_filter(docs))
-    rows = kept(stretches(docs, passing), "stretches")
-    slim = rows.drop("bytes")
-    whole, groups = later(slim, ["h", "s"], "lo")
-    groups = kept(groups.select("h", "s", "first"), "groups")
-    several = groups.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("h").alias("of"))
-    firsts = groups.join(several, F.col("h") == F.col("of"), "left_semi").select(F.col("h").alias("fh"), F.col("s").alias("fs"), "first")
-    edge = rows.join(firsts, (F.col("h") == F.col("fh")) & (F.col("s") == F.col("fs")) & (F.struct(*KEY, "lo") == F.col("first")))
-    parts = kept(strings(edge), "strings")
-    single, _ = later(parts, ["d1", "d2"], "at")
-    return whole.select(*KEY, "lo", "hi").unionByName(single.select(*KEY, F.col("at").alias("lo"), (F.col("at") + LENGTH).alias("hi")))
+    slim = kept(stretches(docs, passing), "stretches")
+    groups = kept(earliest(slim, ["h", "s"], "lo"), "groups")
+    whole = kept(later(slim, groups, ["h", "s"], "lo").select(*KEY, "lo", "hi"), "whole")
+
+    several = kept(groups.groupBy("h").agg(F.count(F.lit(1)).alias("shapes")).where("shapes > 1"), "several")
+    edges = groups.join(several.select(F.col("h").alias("of")), F.col("h") == F.col("of"), "left_semi").select("first.tie", "first.lo")
+
+    def places(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(named(batch.column(0).to_numpy(), batch.column(1).to_numpy()).view(np.int64))], ["h"])
+
+    at_edges = spark.sparkContext.broadcast(filled(edges.mapInArrow(places, "h long")))
+    # a place that passes by chance is a stretch like any other: comparing it changes nothing
+    edge = stretches(docs, at_edges, by_place=True).join(several.select(F.col("h").alias("of"), "shapes"), F.col("h") == F.col("of"), "left")
+    edge = kept(edge.select(*KEY, "lo", "h", "bytes", F.coalesce("shapes", F.lit(0)).alias("shapes")), "edges")
+    near = kept(compared_in_place(edge.where(F.col("shapes") <= GROUP)), "near")
+    parts = kept(strings(edge.where(F.col("shapes") > GROUP)), "strings")
+    single = later(parts, earliest(parts, ["d1", "d2"], "at"), ["d1", "d2"], "at")
+    return whole.unionByName(near).unionByName(single.select(*KEY, F.col("at").alias("lo"), (F.col("at") + LENGTH).alias("hi")))
 
 
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
@@ -237,8 +326,8 @@ def with_spans(docs: DataFrame, keep: list[str]) -> DataFrame:
     """`keep` columns and text of every row, with runs: its maximal removed byte ranges (lo, hi)."""
     found = spans(docs)
     each = found.groupBy(*KEY).agg(F.collect_set(F.struct("lo", "hi")).alias("runs")).select(*[F.col(k).alias(f"of_{k}") for k in KEY], "runs")
-    rows = docs.select(*keep, *([] if "text" in keep else ["text"])).withColumns({"k_id": F.coalesce("doc_id", F.lit(0)), "k_nul": F.col("doc_id").isNull(), "k_tie": F.xxhash64(F.coalesce("text", F.lit("")))})
-    return rows.join(each, (F.col("k_nul") == F.col("of_nul")) & (F.col("k_id") == F.col("of_id")) & (F.col("k_tie") == F.col("of_tie")), "left")
+    rows = docs.select(*keep, *([] if "text" in keep else ["text"])).withColumns({"k_id": F.coalesce("doc_id", F.lit(LAST_ID)), "k_tie": F.xxhash64(F.coalesce("text", F.lit("")))})
+    return rows.join(each, (F.col("k_id") == F.col("of_id")) & (F.col("k_tie") == F.col("of_tie")), "left")
 
 
 def removed(docs: DataFrame) -> DataFrame:

@@ -1,6 +1,8 @@
 import hashlib
 import random
 
+import numpy as np
+
 from tallywright.llm import repeats
 
 from .conftest import doc
@@ -46,6 +48,18 @@ def test_against_brute_force(spark, corpus):
     assert got == brute(data)
 
 
+def test_long_groups_as_rows(spark, corpus, monkeypatch):
+    monkeypatch.setattr(repeats, "GROUP", 3)
+    data = rows(6)
+    assert sorted(tuple(r) for r in repeats.query(spark, corpus(documents=data)).collect()) == brute(data)
+
+
+def test_full_filter_changes_nothing(spark, corpus, monkeypatch):
+    monkeypatch.setattr(repeats, "filled", lambda hashes: np.full((1 << repeats.CELL_BITS, (1 << repeats.IN_CELL) // 8), 255, np.uint8))
+    data = rows(7)
+    assert sorted(tuple(r) for r in repeats.query(spark, corpus(documents=data)).collect()) == brute(data)
+
+
 def test_matches_never_cross_documents(spark, corpus):
     whole = "".join(random.Random(2).choices("abcdefgh", k=150))
     out = {r["doc_id"]: r for r in repeats.query(spark, corpus(documents=[doc(1, whole[:75]), doc(2, whole[75:]), doc(3, whole), doc(4, whole[:99])])).collect()}
