@@ -147,7 +147,7 @@ def repeated_filter(docs: DataFrame) -> np.ndarray:
         data, ends, _ = buffer(batch.column(0).to_pylist())
         return pa.RecordBatch.from_arrays([pa.array(anchors(data, ends)[4].view(np.int64))], ["h"])
 
-    counts = map_text(docs.select("text"), run, "h long", limit=4 << 20).groupBy("h").agg(F.count(F.lit(1)).alias("n"))
+    counts = map_text(docs.select("text"), run, "h long", limit=2 << 20).groupBy("h").agg(F.count(F.lit(1)).alias("n"))
     return filled(counts.where("n > 1"))
 
 
@@ -191,7 +191,7 @@ def stretches(docs: DataFrame, passing, by_place: bool = False) -> DataFrame:
         s = rolling.of(first, stop) + shape if len(h) else h
         return pa.RecordBatch.from_arrays([*cols, pa.array(s.view(np.int64))], [*KEY, "lo", "hi", "h", "s"])
 
-    return map_text(keyed(docs), run, "id long, tie long, lo int, hi int, h long, " + ("bytes binary" if by_place else "s long"), limit=4 << 20)
+    return map_text(keyed(docs), run, "id long, tie long, lo int, hi int, h long, " + ("bytes binary" if by_place else "s long"), limit=2 << 20)
 
 
 def digests_of(pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
