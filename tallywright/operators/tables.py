@@ -143,7 +143,9 @@ def variance_inflation(rows: DataFrame, columns: list[str]) -> dict[str, float]:
 
     pairs = [(i, j) for i in range(len(columns)) for j in range(i + 1)]
     x = [F.col(c).cast("double") for c in columns]
-    got = rows.agg(*[F.corr(x[i], x[j]).alias(f"c{i}_{j}") for i, j in pairs]).first()
+    got = rows.agg(*[F.try_divide(F.covar_pop(x[i], x[j]), F.stddev_pop(x[i]) * F.stddev_pop(x[j])).alias(f"c{i}_{j}") for i, j in pairs]).first()
+    if any(v is None for v in got):  # a constant column has no correlation
+        return dict.fromkeys(columns, float("inf"))
     corr = np.eye(len(columns))
     for i, j in pairs:
         corr[i, j] = corr[j, i] = 1.0 if i == j else got[f"c{i}_{j}"]
@@ -179,13 +181,16 @@ def logit(rows: DataFrame, outcome: str, columns: list[str], factor: str | None
     s = model.summary
     names = ["intercept", *terms]
     beta = [model.intercept, *model.coefficients.toArray().tolist()]
-    se = s.coefficientStandardErrors
-    se = [se[-1], *se[:-1]]
+    try:
+        se = s.coefficientStandardErrors
+        se = [se[-1], *se[:-1]]
+    except Exception:  # a singular design has none
+        separated, se = separated or ["singular design"], [math.nan] * len(beta)
     out = {}
     for n, b, e in zip(names, beta, se, strict=True):
         z = b / e
         half = inference.Z95 * e
-        out[n] = {"coef": b, "se": e, "z": z, "p_value": math.erfc(abs(z) / math.sqrt(2)), "odds_ratio": math.exp(b), "ci_95": (b - half, b + half)}
+        out[n] = {"coef": b, "se": e, "z": z, "p_value": math.erfc(abs(z) / math.sqrt(2)), "odds_ratio": math.exp(min(b, 700.0)), "ci_95": (b - half, b + half)}
     ll, null = -s.deviance / 2, -s.nullDeviance / 2
     frame.unpersist()
     return {"terms": out, "n": s.numInstances, "log_likelihood": ll, "pseudo_r2": 1 - ll / null if null else math.nan, "llr_p_value": inference.chi2_tail_df(2 * (ll - null), len(terms)) if terms else 1.0, "converged": not separated, "separated_by": separated}
