@@ -44,7 +44,7 @@ def crc_of_id(name: str = "doc_id"):
     return F.crc32(F.coalesce(F.col(name).cast("string"), F.lit("")))
 
 
-def text_batches(batches: Iterator[pa.RecordBatch], text: str, limit: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+def text_batches(batches: Iterator[pa.RecordBatch], text: str, limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Cut Arrow batches so that each holds about `limit` bytes of `text` (one row at least)."""
     for batch in batches:
         if batch.num_rows == 0:
@@ -60,7 +60,7 @@ def text_batches(batches: Iterator[pa.RecordBatch], text: str, limit: int = 8 <<
         yield batch.slice(start)
 
 
-def map_text(df: DataFrame, fn: Callable, schema, text: str = "text", limit: int = 8 << 20) -> DataFrame:
+def map_text(df: DataFrame, fn: Callable, schema, text: str = "text", limit: int = 4 << 20) -> DataFrame:
     """mapInArrow over `df` in batches bounded by text bytes; `fn` takes and returns a RecordBatch."""
 
     def run(batches):

@@ -110,7 +110,7 @@ def sketches(docs: DataFrame) -> DataFrame:
         nodes = pa.array([named(s) if len(s) else None for s in sets], pa.binary())
         return pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index("doc_id")), pa.array([len(s) for s in sets], pa.int64()), nodes, lists], ["doc_id", "n", "node", "sketch"])
 
-    return map_text(docs.select("doc_id", "text"), run, "doc_id long, n long, node binary, sketch array<long>", limit=2 << 20)
+    return map_text(docs.select("doc_id", "text"), run, "doc_id long, n long, node binary, sketch array<long>", limit=1 << 20)
 
 
 def full_sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -125,7 +125,7 @@ def full_sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
         found = [(w, s) for w, s in zip(wanted, sets, strict=True) if len(s) and named(s) == w]  # an id may have several texts
         return pa.RecordBatch.from_arrays([pa.array([w for w, _ in found], pa.binary()), pa.array([s.view(np.int64) for _, s in found], pa.list_(pa.int64()))], ["node", "items"])
 
-    return map_text(rows, run, "node binary, items array<long>", limit=2 << 20).dropDuplicates(["node"])
+    return map_text(rows, run, "node binary, items array<long>", limit=1 << 20).dropDuplicates(["node"])
 
 
 def short_and_long(lists: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:

@@ -38,7 +38,7 @@ VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 #: Stands for a literal U+2581 while a text is marked: a lone surrogate, which no Spark string holds.
 LITERAL = "\ud800"
-ZIPF, BYTE_SCORE, REMEMBERED = 1000.0, -40.0, 600_000
+ZIPF, BYTE_SCORE, REMEMBERED = 1000.0, -40.0, 250_000
 CUT = re.compile(f"{SPACE}*[^{SPACE}\n]+|{SPACE}+|\n+")
 
 
@@ -147,6 +147,17 @@ def decode(vocabulary: Vocabulary, ids) -> str | None:
     return text[1:] if text.startswith(" ") else text
 
 
+def listed(ids: list) -> pa.Array:
+    """Id arrays as one Arrow list column, without an object an id."""
+    import numpy as np
+
+    sizes = np.array([0 if x is None else len(x) for x in ids], np.int64)
+    values = np.concatenate([np.zeros(0, np.int32), *(np.asarray(x, np.int32) for x in ids if x is not None)])
+    ends = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+    gone = np.array([x is None for x in ids] + [False])
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32(), mask=gone), pa.array(values, pa.int32()))
+
+
 def encoded(docs: DataFrame, keep: list[str], path: str = VOCABULARY) -> DataFrame:
     """`keep` columns with ids (array<int>) of `text`. One scan, no shuffle."""
     schema = ", ".join([f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep] + ["ids array<int>"])
@@ -155,10 +166,10 @@ def encoded(docs: DataFrame, keep: list[str], path: str = VOCABULARY) -> DataFra
     def run(batch):
         encoder = state.get("encoder") or state.setdefault("encoder", Encoder(Vocabulary(path)))
         ids = encoder.encode(batch.column(batch.schema.get_field_index("text")).to_pylist())
-        flat = pa.array([None if x is None else list(x) for x in ids], pa.list_(pa.int32()))
+        flat = listed(ids)
         return pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index(c)) for c in keep] + [flat], [*keep, "ids"])
 
-    return map_text(docs.select(*keep, *([] if "text" in keep else ["text"])), run, schema)
+    return map_text(docs.select(*keep, *([] if "text" in keep else ["text"])), run, schema, limit=2 << 20)
 
 
 def decoded(rows: DataFrame, keep: list[str], path: str = VOCABULARY) -> DataFrame:
@@ -197,7 +208,7 @@ def digest(docs: DataFrame, path: str = VOCABULARY) -> DataFrame:
         columns = [batch.column(batch.schema.get_field_index("doc_id")), pa.array(n, pa.int64()), *(pa.array(x, pa.string()) for x in (by_ids, by_text, by_decoded))]
         return pa.RecordBatch.from_arrays(columns, ["doc_id", "n_pieces", "ids_sha256", "text_sha256", "decoded_sha256"])
 
-    return map_text(docs.select("doc_id", "text"), run, DIGEST)
+    return map_text(docs.select("doc_id", "text"), run, DIGEST, limit=2 << 20)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
