@@ -60,8 +60,15 @@ def text_batches(batches: Iterator[pa.RecordBatch], text: str, limit: int = 4 <<
         yield batch.slice(start)
 
 
+#: Rows in an Arrow batch of texts. The default of 10,000 is meant for narrow rows; a batch is held on both sides.
+ROWS_PER_BATCH = 2000
+
+
 def map_text(df: DataFrame, fn: Callable, schema, text: str = "text", limit: int = 4 << 20) -> DataFrame:
     """mapInArrow over `df` in batches bounded by text bytes; `fn` takes and returns a RecordBatch."""
+    rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(df.sparkSession.conf.get(rows)) <= ROWS_PER_BATCH:
+        df.sparkSession.conf.set(rows, str(ROWS_PER_BATCH))
 
     def run(batches):
         import pyarrow.compute  # noqa: F401  registers pa.compute on the worker

@@ -144,7 +144,7 @@ def score_text(model: Model, known: dict[str, float], text: str | None) -> tuple
     low = text.lower()
     if len(low) != len(text):  # a few letters grow when lowered; offsets stay those of the text
         low = "".join(c if len(c.lower()) != 1 else c.lower() for c in text)
-    if len(known) > 400_000:
+    if len(known) > 150_000:
         known.clear()
     total, raising = 0.0, []
     for w in set(low.split()):
