@@ -31,6 +31,7 @@ def kept(df: DataFrame, name: str = "stage") -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    spark.sparkContext._jvm.System.gc()  # shuffle files that nothing refers to go now, not when the driver's heap fills
     return spark.read.schema(df.schema).parquet(path)
 
 

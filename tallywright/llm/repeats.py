@@ -42,8 +42,8 @@ LENGTH, GRAM = 100, 24
 #: The filter: 2 ** CELL_BITS cells of 2 ** IN_CELL bits, 16 MB whatever the input; when it fills, it only lets more through.
 CELL_BITS, IN_CELL, PROBES = 12, 15, 3
 PLACE_BITS = 28
-#: Stretches of one anchor that are compared in one place.
-GROUP = 2048
+#: Stretches of one anchor that are compared in one place: about 2 MB of bytes and 50 MB of digests in a task.
+GROUP = 16_384
 
 _rng = np.random.default_rng(20240301)
 VALUES = _rng.integers(0, 1 << 64, (2, 256), dtype=np.uint64)
