@@ -8,9 +8,10 @@ value), and the pairs or stars of its parts that agree on the next retained valu
 too. So candidates grow in proportion to the documents, whatever a group's size.
 Estimates from the sketch of the union drop what is far below the threshold, and
 what is left is confirmed on full sets: first one edge a node, then those edges
-whose ends are not yet connected. Documents that share enough long lists with a
-large component but are still outside it are held against all its members, in
-blocks, since a star's centre may be too far from an outlier that others are near.
+whose ends are not yet connected. A star's centre may be near to few of its list,
+so members of a long list that are still in different components are then held
+against each other, in blocks: by sketches first, and on full sets where those
+let a pair through. Only lists that a pair at the threshold must share are met.
 
 Two documents at the threshold share no retained value with odds below 1e-18; an
 estimate errs as far as FLOOR with odds below 1e-8. Only connection counts for the
@@ -27,7 +28,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallywright.llm.common import kept, map_text
@@ -35,7 +36,7 @@ from tallywright.llm.components import components
 from tallywright.session import table
 
 SHINGLE, PERCENT, KEEP, SHORT_LIST, FLOOR = 5, 85, 24, 24, 0.4
-LEAST_SHARED, BLOCK = 10, 128
+BLOCK = 128
 #: Ids sent to every task to fetch texts; with more, the texts are joined by a shuffle.
 BROADCAST_IDS = 500_000
 
@@ -164,8 +165,8 @@ def candidates(classes: DataFrame) -> tuple[DataFrame, DataFrame]:
     at = F.posexplode("sketch").alias("i", "value")
     postings = classes.select("node", "n", "sketch", at).select("node", "n", "value", F.coalesce(F.try_element_at("sketch", F.col("i") + 2), F.lit(0)).alias("next"))
     short, long = short_and_long(postings, ["value"])
-    short, long = kept(short.drop("members"), "short"), kept(long.drop("members"), "long")
-    parts_short, parts_long = short_and_long(long, ["value", "next"])
+    short, long = kept(short.drop("members"), "short"), kept(long, "long")
+    parts_short, parts_long = short_and_long(long.drop("members"), ["value", "next"])
     found = pairs_of(short, ["value"]).unionByName(stars_of(long, ["value"])).unionByName(pairs_of(parts_short, ["value", "next"])).unionByName(stars_of(parts_long, ["value", "next"]))
     return found.groupBy("a", "b", "na", "nb").agg(F.count(F.lit(1)).alias("overlap")), long
 
@@ -190,54 +191,106 @@ def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.where(F.lit(100) * shared >= F.lit(PERCENT) * (F.size("items_a") + F.size("items_b") - shared)).select("a", "b")
 
 
-def outliers(long: DataFrame, found: DataFrame) -> DataFrame:
-    """(node, into): nodes that share LEAST_SHARED long lists or more with a large component they are not in.
+def prefixes(long: DataFrame, classes: DataFrame) -> DataFrame:
+    """Postings (value, node, members) of long lists that a pair which no short list holds must share one of.
 
-    A star can miss a node that only few members of a large group are near to; a
-    pair at the threshold that no short list holds shares that many long ones.
+    Two sketches of a pair that estimated() lets through share FLOOR of their values
+    or more. With every sketch in one order, rarest first, they then share one that in
+    neither is among the last FLOOR of its values less one, and short lists come first.
     """
-    sizes = found.groupBy("component").agg(F.count(F.lit(1)).alias("members")).where(F.col("members") > SHORT_LIST).select(F.col("component").alias("into"))
-    placed = long.select("value", "node").join(found.select(F.col("node").alias("f"), "component"), F.col("node") == F.col("f"), "left").select("value", "node", "component")
-    held = placed.select("value", "component").distinct().join(sizes, F.col("component") == F.col("into")).select(F.col("value").alias("v"), "into")
-    met = placed.join(held, F.col("value") == F.col("v")).where(~F.col("component").eqNullSafe(F.col("into")))
-    return met.groupBy("node", "into").agg(F.count(F.lit(1)).alias("shared")).where(F.col("shared") >= LEAST_SHARED).select("node", "into")
+    rank = F.row_number().over(Window.partitionBy("node").orderBy(F.desc("members"), F.desc("value")))
+    kept_of = classes.select(F.col("node").alias("of"), F.ceil(F.lit(FLOOR) * F.size("sketch")).alias("least"))
+    return long.select("value", "node", "members").withColumn("rank", rank).join(kept_of, F.col("node") == F.col("of")).where(F.col("rank") >= F.col("least")).select("value", "node", "members")
 
 
-def blocks(rows: DataFrame, key: str, name: str) -> DataFrame:
-    """Sets of each group in blocks of about BLOCK, dealt by hash."""
-    sizes = rows.groupBy(key).agg(F.ceil(F.count(F.lit(1)) / F.lit(BLOCK)).alias("parts")).withColumnRenamed(key, "of")
-    dealt = rows.join(sizes, F.col(key) == F.col("of")).withColumn("part", F.pmod(F.xxhash64("node", F.lit(name)), "parts"))
-    return dealt.groupBy(key, "part").agg(F.collect_list(F.struct("node", "items")).alias(name)).select(F.col(key).alias(f"{name}_of"), name)
+def apart_in_lists(prefix: DataFrame, found: DataFrame, one_list: bool) -> DataFrame:
+    """(value, node, component, outer) of long lists that hold several components.
 
-
-def confirmed_in_blocks(outside: DataFrame, inside: DataFrame) -> DataFrame:
-    """Links of (node, into, items) with members (node, into, items) of the component, by products of incidence blocks.
-
-    Every outsider meets every member; what is returned is one link a block at most.
+    Of two members in different components one at least is not in the list's largest:
+    those are outer. With `one_list` a node is outer in the longest of its lists alone.
     """
-    pairs = blocks(outside, "into", "outer").join(blocks(inside, "into", "inner"), F.col("outer_of") == F.col("inner_of")).select("outer", "inner")
-
-    def split(cell):
-        names, items = cell.values.field("node"), cell.values.field("items")
-        return names.to_pylist(), [x.values.to_numpy() for x in items]
+    placed = prefix.join(found.select(F.col("node").alias("f"), "component"), F.col("node") == F.col("f"), "left").select("value", "node", "members", F.coalesce("component", "node").alias("component"))
+    sizes = placed.groupBy("value", "component").agg(F.count(F.lit(1)).alias("size"))
+    main = sizes.groupBy(F.col("value").alias("v")).agg(F.max(F.struct("size", "component")).alias("main"), F.count(F.lit(1)).alias("kinds")).where("kinds > 1").select("v", F.col("main.component").alias("main"))
+    met = placed.join(main, F.col("value") == F.col("v"))
+    outer = F.col("component") != F.col("main")
+    if one_list:
+        outer &= F.row_number().over(Window.partitionBy("node").orderBy(F.desc("members"), "value")) == 1
+    return met.select("value", "node", "component", outer.alias("outer"))
+
+
+def blocks(rows: DataFrame, name: str) -> DataFrame:
+    """Rows (value, node, component, items) of each list in blocks of about BLOCK, dealt by hash."""
+    sizes = rows.groupBy("value").agg(F.ceil(F.count(F.lit(1)) / F.lit(BLOCK)).alias("parts")).withColumnRenamed("value", "of")
+    dealt = rows.join(sizes, F.col("value") == F.col("of")).withColumn("part", F.pmod(F.xxhash64("node", F.lit(name)), "parts"))
+    return dealt.groupBy("value", "part").agg(F.collect_list(F.struct("node", "component", "items")).alias(name)).select(F.col("value").alias(f"{name}_of"), name)
+
+
+def split(cell):
+    names, homes, items = (cell.values.field(x) for x in ("node", "component", "items"))
+    return names.to_pylist(), homes.to_pylist(), [x.values.to_numpy() for x in items]
+
+
+def overlaps(one: list[np.ndarray], two: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sizes of both sides' sets and of all intersections, by a product of incidence matrices over the values both sides have."""
+    sizes = np.array([len(x) for x in one]), np.array([len(x) for x in two])
+    values = np.intersect1d(np.concatenate(one), np.concatenate(two))
+    grids = []
+    for sets, n in zip((one, two), sizes, strict=True):
+        flat = np.concatenate(sets)
+        at = np.minimum(np.searchsorted(values, flat), max(len(values) - 1, 0))
+        here = values[at] == flat if len(values) else np.zeros(len(flat), bool)
+        grid = np.zeros((len(sets), len(values)), np.float32)
+        grid[np.repeat(np.arange(len(sets)), n)[here], at[here]] = 1
+        grids.append(grid)
+    return sizes[0][:, None], sizes[1][None, :], grids[0] @ grids[1].T
+
+
+def met_in_blocks(rows: DataFrame, confirm: bool) -> DataFrame:
+    """Every outer row of a list meets every row of it in another component, in blocks.
+
+    Rows: value, node, component, outer, items. With sketches as items, the postings
+    (value, node) of pairs the estimate lets through; with full sets and `confirm`,
+    links (a, b) at the threshold, of each block as many as connect its components.
+    """
+    columns = ["value", "node", "component", "items"]
+    pairs = blocks(rows.where("outer").select(*columns), "outers").join(blocks(rows.select(*columns), "inners"), F.col("outers_of") == F.col("inners_of"))
 
     def run(batches):
         for batch in batches:
             a, b = [], []
-            for outer, inner in zip(batch.column(0), batch.column(1), strict=True):
-                (on, oi), (names, ii) = split(outer), split(inner)
-                sizes = np.array([len(x) for x in oi]), np.array([len(x) for x in ii])
-                _, at = np.unique(np.concatenate(oi + ii), return_inverse=True)
-                grid = np.zeros((len(oi) + len(ii), int(at.max()) + 1), np.float32)
-                grid[np.repeat(np.arange(len(grid)), np.concatenate(sizes)), at] = 1
-                both = grid[: len(oi)] @ grid[len(oi) :].T
-                good = 100 * both >= PERCENT * (sizes[0][:, None] + sizes[1][None, :] - both)
+            for value, outers, inners in zip(batch.column(0), batch.column(1), batch.column(2), strict=True):
+                (on, oc, oi), (names, ic, ii) = split(outers), split(inners)
+                homes = np.unique(np.array([int.from_bytes(x, "big") for x in oc + ic], object), return_inverse=True)[1]
+                oh, ih = homes[: len(on)], homes[len(on) :]
+                one, two, both = overlaps(oi, ii)
+                other = oh[:, None] != ih[None, :]
+                if not confirm:
+                    good = other & (both >= FLOOR * np.minimum(KEEP, one + two - both))
+                    found = {*(on[i] for i in np.flatnonzero(good.any(axis=1))), *(names[j] for j in np.flatnonzero(good.any(axis=0)))}
+                    a += [value.as_py()] * len(found)
+                    b += found
+                    continue
+                good = other & (100 * both >= PERCENT * (one + two - both))
+                at = list(range(int(homes.max()) + 1))
+
+                def root(x, at=at):
+                    while at[x] != x:
+                        at[x] = x = at[at[x]]
+                    return x
+
                 for i in np.flatnonzero(good.any(axis=1)):
-                    a.append(on[i])
-                    b.append(names[int(good[i].argmax())])
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["a", "b"])
+                    where = np.flatnonzero(good[i])
+                    kinds, first = np.unique(ih[where], return_index=True)
+                    for kind, j in zip(kinds.tolist(), where[first].tolist(), strict=True):
+                        x, y = root(int(oh[i])), root(kind)
+                        if x != y:
+                            at[x] = y
+                            a.append(on[i])
+                            b.append(names[j])
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary() if confirm else pa.int64()), pa.array(b, pa.binary())], ["a", "b"] if confirm else ["value", "node"])
 
-    return pairs.mapInArrow(run, "a binary, b binary")
+    return pairs.select("outers_of", "outers", "inners").mapInArrow(run, "a binary, b binary" if confirm else "value long, node binary")
 
 
 def linked(docs: DataFrame) -> DataFrame:
@@ -259,14 +312,20 @@ def linked(docs: DataFrame) -> DataFrame:
     known = kept(known.unionByName(confirmed(apart, sets)), "links")
     found = kept(components(known), "found")
 
-    apart = kept(outliers(long, found), "outliers")
-    if apart.count():
-        into = apart.select("into").distinct()
-        members = found.join(into, F.col("component") == F.col("into")).select("node", "into")
-        wanted = apart.select("node").unionByName(members.select("node")).distinct()
+    prefix = kept(prefixes(long, classes), "prefix")
+    for one_list in (True, False):  # most of a group connects in one list; the rest then has few outside
+        apart = kept(apart_in_lists(prefix, found, one_list), "apart")
+        if apart.where("outer").isEmpty():
+            continue
+        sketched = apart.join(classes.select(F.col("node").alias("of"), F.col("sketch").alias("items")), F.col("node") == F.col("of")).drop("of")
+        near = kept(met_in_blocks(sketched, False).distinct(), "near")
+        wanted = near.select("node").distinct()
+        if wanted.isEmpty():
+            continue
         sets = kept(full_sets(docs, classes.select("node", "doc_id").join(wanted, "node", "left_semi")), "sets")
-        more = confirmed_in_blocks(apart.join(sets, "node"), members.join(sets, "node"))
-        found = kept(components(known.unionByName(more)), "found")
+        rows_met = apart.join(near, ["value", "node"], "left_semi").join(sets, "node")
+        known = kept(known.unionByName(met_in_blocks(rows_met, True)), "links")
+        found = kept(components(known), "found")
 
     named_by = classes.select("node", "doc_id").join(found, "node", "left").select("node", F.coalesce("component", "node").alias("component"), "doc_id")
     least = named_by.groupBy("component").agg(F.min("doc_id").alias("component_id"))

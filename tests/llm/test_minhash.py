@@ -2,6 +2,7 @@ import random
 import re
 
 import numpy as np
+import pytest
 
 from tallywright.llm import minhash
 
@@ -86,3 +87,16 @@ def test_edges(spark, corpus):
     assert minhash.query(spark, corpus(documents=[])).count() == 0
     left = minhash.stage(spark, spark.read.parquet(corpus(documents=rows) + "/documents.parquet"), "")
     assert sorted(map(str, [r["doc_id"] for r in left.collect()])) == ["3", "9", "None", "None"]
+
+
+@pytest.mark.parametrize("spokes", [100, 1000])
+def test_hub_whose_spokes_are_not_alike(spark, corpus, spokes):
+    """Every copy adds a word of its own to a short original: near to it, too far from the other copies."""
+    hub = [f"w{i}" for i in range(13)]
+    texts = [" ".join(hub)] + [" ".join([*hub, f"own{k}"]) for k in range(spokes)]
+    rows = [doc(i, t) for i, t in enumerate(texts)]
+    sets = [brute_set(t) for t in texts]
+    near = [100 * len(sets[0] & s) >= 85 * len(sets[0] | s) for s in sets]
+    assert all(near) and sum(100 * len(a & b) >= 85 * len(a | b) for a, b in zip(sets[1:], sets[2:])) == 0
+    got = {tuple(r) for r in minhash.query(spark, corpus(documents=rows)).collect()}
+    assert got == {(i, len(s), 0, i == 0) for i, s in enumerate(sets)}
