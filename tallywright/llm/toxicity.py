@@ -127,17 +127,18 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     return train([r["text"] or "" for r in sample], [r["label"] for r in sample])
 
 
-def word_weight(model: Model, known: dict[str, float], word: str) -> float:
-    z = known.get(word)
-    if z is None:
-        z = known[word] = sum(model.weights.get(f, 0.0) for t in set(TOKEN.findall(word)) for f in features(t))
-    return z
+def word_features(model: Model, known: dict[str, tuple], word: str) -> tuple[str, ...]:
+    """The weighted features of a token."""
+    found = known.get(word)
+    if found is None:
+        found = known[word] = tuple(f for f in features(word) if f in model.weights)
+    return found
 
 
-def score_text(model: Model, known: dict[str, float], text: str | None) -> tuple[float, float, int, int]:
+def score_text(model: Model, known: dict[str, tuple], text: str | None) -> tuple[float, float, int, int]:
     """P, then the worst sentence: its score, start and end in code points (-1 where there is none).
 
-    `known` keeps the weight of words met before; it is emptied when it grows large.
+    `known` keeps the features of words met before; it is emptied when it grows large.
     """
     if not text or not model.weights:
         return model.leak, 0.0, -1, -1
@@ -146,22 +147,21 @@ def score_text(model: Model, known: dict[str, float], text: str | None) -> tuple
         low = "".join(c if len(c.lower()) != 1 else c.lower() for c in text)
     if len(known) > 150_000:
         known.clear()
-    total, raising = 0.0, []
-    for w in set(low.split()):
-        start = w[:SHORTEST]
-        if start in model.starts or not start.isalnum():
-            z = word_weight(model, known, w)
-            if z > 0:
-                total += z
+    raises, raising = set(), []
+    for w in set(TOKEN.findall(low)):
+        if w[:SHORTEST] in model.starts:
+            up = [f for f in word_features(model, known, w) if model.weights[f] > 0]
+            if up:
+                raises.update(up)
                 raising.append(w)
-    if total < MATTERS:  # no sentence can reach it
+    if sum(model.weights[f] for f in sorted(raises)) < MATTERS:  # no sentence can reach it
         return model.leak, 0.0, -1, -1
     clean, worst, base = 1.0 - model.leak, (0.0, -1, -1), 1 / (1 + math.exp(-BIAS))
     for m in SENTENCE.finditer(low):
         part = m[0]
-        if not any(w.rstrip(".!?") in part for w in raising):
+        if not any(w in part for w in raising):
             continue
-        z = sum(word_weight(model, known, w) for w in set(part.split()))
+        z = sum(model.weights[f] for f in sorted({f for w in set(TOKEN.findall(part)) if w[:SHORTEST] in model.starts for f in word_features(model, known, w)}))
         if z >= MATTERS:
             p = (1 / (1 + math.exp(-min(30.0, BIAS + z))) - base) / (1 - base)
             clean *= 1 - p
@@ -178,7 +178,7 @@ def score(docs: DataFrame, model: Model, keep: list[str], text: str = "text") ->
     slim = docs.select(*keep, *([text] if text not in keep else []))
     schema = ", ".join([f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep] + [SCORE_SCHEMA])
 
-    known: dict[str, float] = {}
+    known: dict[str, tuple] = {}
 
     def run(batch):
         found = [score_text(model, known, t) for t in batch.column(text).to_pylist()]

@@ -1,3 +1,5 @@
+import math
+import re
 import zlib
 
 from tallywright.llm import toxicity
@@ -42,3 +44,16 @@ def test_stage_drops_only_rejected(spark, corpus):
     left = toxicity.stage(spark, docs, path)
     assert left.columns == ["doc_id", "text", "lang", "source", "n_chars"]
     assert {r["doc_id"] for r in left.collect()} == {i for i in range(400) if i % 3}
+
+
+def test_scores_are_the_noisy_or_over_all_sentences():
+    model = toxicity.Model({"idiot": 5.0, "plain": -0.4, "idio*": 0.3}, 0.02)
+    base = 1 / (1 + math.exp(-toxicity.BIAS))
+    texts = ['he said "you idiot!" and left', "(idiot!)", "well ...idiot", "an idiot.Next came", "plain-idiot", "it ended.idiot", "idiotic idiotism", "a calm day. Plain.", "IDIOT! idiot? no"]
+    for text in texts:
+        clean = 1 - model.leak
+        for part in re.split(r"[.!?\n]+", text.lower()):
+            z = sum(model.weights.get(f, 0.0) for f in {f for w in re.findall(r"\w+", part) for f in toxicity.features(w)})
+            if z >= toxicity.MATTERS:
+                clean *= 1 - (1 / (1 + math.exp(-toxicity.BIAS - z)) - base) / (1 - base)
+        assert abs(toxicity.score_text(model, {}, text)[0] - (1 - clean)) < 1e-12, text
