@@ -6,8 +6,10 @@ projection, and each meets the few before it. NN-descent then refines the graph:
 around every node its neighbours and those it is a neighbour of are compared with
 each other, and each keeps the best. After every round an audit compares a drawn
 set of classes with all of their label by brute force, in blocks; until it finds
-RECALL of their links, rounds go on with longer lists. The links the audit itself
-finds are kept.
+RECALL of their links, rounds go on with longer lists; after ROUNDS without that,
+all classes are compared with their label in blocks. Where the audit passes, classes
+whose lists are full of links are. More classes are drawn until the audit has
+LEAST_LINKS links; those it finds are kept.
 
 Edges at the threshold, checked in double precision, give components. Lists of
 nodes in a component may be saturated, their true neighbours more than a list
@@ -33,7 +35,7 @@ from tallywright.session import table
 
 THRESHOLD, RECALL = 0.98, 0.99
 ORDERS, NEAR, LIST, ROUNDS = 10, 4, 10, 4
-AUDIT, BLOCK = 400, 512
+AUDIT, LEAST_LINKS, BLOCK = 400, 100, 512
 EDGE = "u long, v long, sim float"
 
 
@@ -150,8 +152,26 @@ def refined(graph: DataFrame, units: DataFrame, length: int) -> DataFrame:
     return best(graph.unionByName(new), length)
 
 
+def forest(good: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and columns of links that connect whatever `good` connects; fewer than it has rows and columns."""
+    row, col = good.any(axis=1), good.any(axis=0)
+    out: list[tuple[int, int]] = []
+    for start in range(len(good)):
+        if not row[start]:
+            continue
+        row[start], todo = False, [(start, True)]
+        while todo:
+            at, is_row = todo.pop()
+            new = np.flatnonzero(good[at] & col if is_row else good[:, at] & row).tolist()
+            (col if is_row else row)[new] = False
+            out += [(at, x) if is_row else (x, at) for x in new]
+            todo += [(x, not is_row) for x in new]
+    pairs = np.array(out, np.int64).reshape(-1, 2)
+    return pairs[:, 0], pairs[:, 1]
+
+
 def in_blocks(left: DataFrame, right: DataFrame, keys: list[str], what: str) -> DataFrame:
-    """Rows of `left` against all of `right` with equal keys, in blocks; `what` picks links or counts.
+    """Rows of `left` against all of `right` with equal keys, in blocks; `what` picks links, a forest of them a block, or counts.
 
     Both sides: keys, node, vec, members.
     """
@@ -179,7 +199,7 @@ def in_blocks(left: DataFrame, right: DataFrame, keys: list[str], what: str) ->
                     first.append(a)
                     second.append(good @ mb)
                 else:
-                    i, j = np.nonzero(good)
+                    i, j = np.nonzero(good) if what == "links" else forest(good)
                     first.append(a[i])
                     second.append(b[j])
                 third.append(np.ones(len(first[-1]), np.float32))
@@ -203,17 +223,21 @@ def links(classes: DataFrame) -> tuple[DataFrame, float]:
     """Edges (u, v) at the threshold and the audited recall of the graph they come from."""
     n = classes.count()
     units = kept(unit_rows(classes), "units")
-    asked = classes.orderBy(F.xxhash64("least")).limit(AUDIT)
-    true = kept(in_blocks(asked.select("label", "width", "node", "vec", "members"), classes.select("label", "width", "node", "vec", "members"), ["label", "width"], "links"), "audit")
-    wanted = true.count()
+    columns, keys, drawn = ["label", "width", "node", "vec", "members"], ["label", "width"], AUDIT
+    while True:  # until the drawn classes hold links enough to measure by, or all are drawn
+        asked = classes.orderBy(F.xxhash64("least"), "node").limit(drawn)
+        true = kept(in_blocks(asked.select(*columns), classes.select(*columns), keys, "links"), "audit")
+        wanted = true.count()
+        if wanted >= LEAST_LINKS or drawn >= n:
+            break
+        drawn *= 4
     length = LIST
     graph = kept(best(first_graph(classes, n), length), "graph")
     recall = 0.0
     for _ in range(ROUNDS):
         graph = kept(refined(graph, units, length), "graph")
-        if not wanted:
-            recall = 1.0
-            break
+        if not wanted:  # every class was drawn: there is no link
+            return exact(true, classes), 1.0
         near = graph.where(F.col("sim") >= THRESHOLD - 1e-4).select(F.col("u").alias("a"), F.col("v").alias("b"))
         placed = kept(components(near), "placed")  # a link inside one component is found: its blocks hold it
         ends = [placed.select(F.col("node").alias(f"n{i}"), F.col("component").alias(f"c{i}")) for i in (1, 2)]
@@ -221,7 +245,12 @@ def links(classes: DataFrame) -> tuple[DataFrame, float]:
         if recall >= RECALL:
             break
         length *= 2
-    return exact(graph.unionByName(true), classes), recall
+    rest = classes
+    if recall >= RECALL:  # a list that ends above the threshold may have lost links: such classes meet all of their label
+        full = graph.where(F.col("sim") >= THRESHOLD - 1e-4).groupBy("u").agg(F.count(F.lit(1)).alias("held")).where(F.col("held") >= length)
+        rest = classes.join(full.select(F.col("u").alias("node")), "node", "left_semi")
+    more = kept(in_blocks(rest.select(*columns), classes.select(*columns), keys, "forest"), "more")
+    return exact(graph.unionByName(true).unionByName(more), classes), recall if recall >= RECALL else 1.0
 
 
 def unit_rows(rows: DataFrame) -> DataFrame:

@@ -61,3 +61,11 @@ def test_empty_and_null_ids(spark, corpus):
     assert neighbours.query(spark, corpus(embeddings=[])).count() == 0
     out = neighbours.query(spark, corpus(embeddings=[(None, [1.0, 0.0], 1), (4, [1.0, 0.0], 1), (4, [1.0, 0.0], 1)])).collect()
     assert sorted(map(str, map(tuple, out))) == sorted(map(str, [(None, 0, None, True), (4, 1, 4, True), (4, 1, 4, True)]))
+
+
+def test_whole_when_the_audit_never_passes(spark, corpus, monkeypatch):
+    monkeypatch.setattr(neighbours, "refined", lambda graph, units, length: graph.limit(0))
+    monkeypatch.setattr(neighbours, "AUDIT", 5)
+    data = rows()
+    got = {tuple(r) for r in neighbours.query(spark, corpus(embeddings=data)).collect()}
+    assert got == brute(data)
