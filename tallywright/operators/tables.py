@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallywright.functions import inference
 
+#: Possible first cells of a table that one row of the exact test lists at once.
+SUPPORT_RUN = 4096
+
 
 def cells(flag: Column, outcome: Column) -> dict[str, Column]:
     """The four counts of a 2x2 table."""
@@ -51,27 +56,26 @@ def collected(tables: DataFrame, *strata: str) -> dict:
 def fisher(tables: DataFrame, *strata: str) -> DataFrame:
     """strata, odds_ratio, p_value: the exact test without leaving Spark.
 
-    Every table's possible first cells are rows; log-probabilities come from a
-    table of log-factorials as long as the largest total.
+    Every table's possible first cells are summed in runs of SUPPORT_RUN, each a row;
+    log-factorials are Stirling's series above a few fixed values.
     """
-    spark = tables.sparkSession
     t = tables.withColumn("n", F.col("a") + F.col("b") + F.col("c") + F.col("d"))
-    most = t.agg(F.max("n")).first()[0] or 0
-    import math
+    small = F.array(*[F.lit(math.lgamma(k + 1)) for k in range(16)])
+
+    def at(k: Column) -> Column:
+        x = k.cast("double")
+        series = (x + 0.5) * F.log(x) - x + 0.5 * math.log(2 * math.pi) + 1 / (12 * x) - 1 / (360 * x * x * x) + 1 / (1260 * x * x * x * x * x)
+        return F.when(k < 16, F.get(small, k.cast("int"))).otherwise(series)
 
-    steps = spark.createDataFrame([(k, math.lgamma(k + 1)) for k in range(most + 1)], "k long, lf double") if most <= 200_000 else None
-    if steps is None:
-        raise ValueError("a table this large is for the chi-square statistic")
-    log_f = F.broadcast(steps.agg(F.sort_array(F.collect_list(F.struct("k", "lf"))).alias("all")).select(F.transform("all", lambda x: x["lf"]).alias("lf")))
-    at = lambda k: F.get(F.col("lf"), k.cast("int"))
     r1, c1, n = F.col("a") + F.col("b"), F.col("a") + F.col("c"), F.col("n")
     choose = lambda m, k: at(m) - at(k) - at(m - k)
     log_p = lambda x: choose(r1, x) + choose(n - r1, c1 - x) - choose(n, c1)
-    support = F.sequence(F.greatest(F.lit(0), c1 - (n - r1)), F.least(r1, c1))
-    own = log_p(F.col("a"))
-    p = F.aggregate(F.transform(support, lambda x: F.when(log_p(x) <= own + 1e-7, F.exp(log_p(x))).otherwise(0.0)), F.lit(0.0), lambda s, x: s + x)
+    low, high = F.greatest(F.lit(0), c1 - (n - r1)), F.least(r1, c1)
     ratio = F.try_divide((F.col("a") * F.col("d")).cast("double"), (F.col("b") * F.col("c")).cast("double"))
-    return t.crossJoin(log_f).select(*strata, ratio.alias("odds_ratio"), F.least(F.lit(1.0), p).alias("p_value"))
+    runs = t.withColumns({"odds_ratio": ratio, "own": log_p(F.col("a")), "high": high}).withColumn("start", F.explode(F.sequence(low, high, F.lit(SUPPORT_RUN).cast("long"))))
+    each = runs.withColumn("x", F.explode(F.sequence("start", F.least(F.col("start") + SUPPORT_RUN - 1, "high")))).withColumn("log_p", log_p(F.col("x")))
+    p = F.sum(F.when(F.col("log_p") <= F.col("own") + 1e-7, F.exp("log_p")).otherwise(0.0))
+    return each.groupBy(*strata, *"abcd", "odds_ratio").agg(p.alias("p")).select(*strata, "odds_ratio", F.least(F.lit(1.0), F.col("p")).alias("p_value"))
 
 
 def wilson(k: Column, n: Column, z: float = inference.Z95) -> tuple[Column, Column]:

@@ -132,3 +132,13 @@ def test_leakage(spark):
     with pytest.raises(RuntimeError, match="duplicate"):
         leakage.assert_none_severe(both)
     leakage.assert_none_severe(leakage.shared_ids(ids("a"), ids("b"), "k"))
+
+
+def test_fisher_of_large_tables(spark):
+    found = [("x", 1, 2, 150_000, 150_001), ("y", 75_000, 75_300, 75_200, 75_000), ("z", 3, 1, 1, 3)]
+    got = {r["s"]: r["p_value"] for r in tables.fisher(spark.createDataFrame(found, "s string, a long, b long, c long, d long"), "s").collect()}
+    f = lambda k: math.lgamma(k + 1)
+    for s, a, b, c, d in found:
+        log_p = lambda x: f(a + b) - f(x) - f(a + b - x) + f(c + d) - f(a + c - x) - f(c + d - a - c + x) - f(a + b + c + d) + f(a + c) + f(b + d)  # noqa: B023, E731
+        each = [log_p(x) for x in range(max(0, a - d), min(a + b, a + c) + 1)]
+        assert got[s] == pytest.approx(min(1.0, sum(math.exp(p) for p in each if p <= log_p(a) + 1e-7)), rel=1e-6)
