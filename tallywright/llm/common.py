@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -15,24 +16,36 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor can reach; a temporary one only where the session names none."""
+    """The folder every executor can reach; a temporary one only where the session names none and runs in one process."""
     place = spark.conf.get("spark.checkpoint.dir", None)
     if not place:
         known = spark.sparkContext._jsc.sc().getCheckpointDir()
         if known.isDefined():
             return known.get()
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         place = "file://" + tempfile.mkdtemp(prefix="tally-shared-")
         spark.sparkContext.setCheckpointDir(place)
     return place
 
 
 def kept(df: DataFrame, name: str = "stage") -> DataFrame:
-    """Write `df` to the shared folder and read it back: cuts lineage, survives lost executors."""
+    """Write `df` to the shared folder and read it back: cuts lineage, survives lost executors. `dropped` takes it away again."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     spark.sparkContext._jvm.System.gc()  # shuffle files that nothing refers to go now, not when the driver's heap fills
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.kept_at = path
+    return out
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Delete tables of `kept` that no later plan reads."""
+    for df in tables:
+        spark = df.sparkSession
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(df.kept_at)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def partitions(spark: SparkSession, total_bytes: int = 0, target: int = 48 << 20) -> int:

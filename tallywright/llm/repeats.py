@@ -2,28 +2,35 @@
 
 A string of LENGTH bytes contains LENGTH - GRAM + 1 GRAM-byte windows; the one of
 least hash (the leftmost, if equal) is its anchor. Equal strings have equal
-anchors at equal places, so it is enough to compare anchors, about one in forty
-positions. The strings that share an anchor are consecutive, and their union is
-the anchor's stretch.
+anchors at equal places, about one in thirty-four positions is an anchor, and the
+strings that share one are consecutive: their union is the anchor's stretch. So
+only stretches whose anchor occurs again have suffixes worth sorting.
 
-1. Anchors' hashes are counted; those met twice set bits of a filter of fixed size.
-2. Anchors that pass it are kept with the hash of their stretch. Of equal stretches
-   all but the earliest are repeats throughout.
+1. Anchors' hashes are counted; those met twice set bits of a filter.
+2. Anchors that pass it are written with the hash of their stretch. Of equal
+   stretches all but the earliest are repeats throughout.
 3. Where one anchor has several stretches (an edit nearby, the end of a passage),
-   the bytes of each earliest stretch are fetched, again by way of a filter, and
-   their strings compared by a 128-bit digest: those of an anchor with at most GROUP
-   stretches where the stretches meet, those of one with more as rows of their own.
-   All but the earliest of equal strings are repeats.
+   the bytes of each earliest stretch are dealt by anchor, and every task sorts the
+   suffixes it holds by a difference cover modulo 3: triples of the sampled suffixes
+   are sorted and named, the string of names is sorted the same way, and the
+   suffixes left over are merged in. Suffixes that start with the same string have
+   one anchor, so they meet in one task and stand next to each other there: equal
+   prefixes of neighbours are repeats of the earliest. An anchor with more than
+   GROUP stretches is not held in one task; its strings are rows of their own,
+   named by two independent 64-bit hashes and reduced before they are shuffled.
 4. Spans meet their documents, and what they do not cover is kept.
 
-The suffix order of a difference cover is not built: see the README for what its
-triples would take. Groups of equal anchors, stretches and strings are reduced to
-their earliest member before they are joined, so a passage in a third of all
-documents is a skewed join, which Spark splits, and never a group in one task.
+Texts travel only where a document has something to cut or compare, which a filter
+of document keys tells; filters grow with what they hold up to 64 MB, and where
+they fill they let more through, which costs a shuffle and changes no result.
+Groups of equal anchors, stretches and strings are reduced to their earliest
+member in each batch and task before they are shuffled, so a passage in a third of
+all documents is a skewed join, which Spark splits, and never a group in one task.
 
 Defined cases: a null text counts as empty; null ids come last; of documents with
 one id the order is that of the text's hash; rows alike in both are one document
-and get the same spans; texts shorter than LENGTH lose nothing.
+and get the same spans; texts shorter than LENGTH lose nothing; a very long text is
+read in overlapping pieces of PIECE bytes, whose stretches count as others do.
 """
 
 from __future__ import annotations
@@ -35,15 +42,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallywright.llm.common import kept, map_text
+from tallywright.llm.common import dropped, kept, map_text
 from tallywright.session import table
 
 LENGTH, GRAM = 100, 24
-#: The filter: 2 ** CELL_BITS cells of 2 ** IN_CELL bits, 16 MB whatever the input; when it fills, it only lets more through.
-CELL_BITS, IN_CELL, PROBES = 12, 15, 3
-PLACE_BITS = 28
-#: Stretches of one anchor that are compared in one place: about 2 MB of bytes and 50 MB of digests in a task.
-GROUP = 16_384
+#: The filter: 2 ** CELL_BITS cells, each of 16 bits a hash it holds within these bounds (4 kB to 16 kB; 16 MB to 64 MB in all).
+CELL_BITS, IN_CELL, MOST_IN_CELL, PROBES = 12, 15, 17, 3
+#: Starts of strings in one piece of a text, and bytes that are hashed at once.
+PIECE, TOGETHER = 1 << 22, 1 << 22
+PLACE_BITS = 24
+#: Stretches of one anchor that are compared in one task, about 1 MB of bytes; and rows taken together there.
+GROUP, ROWS = 8192, 4096
 
 _rng = np.random.default_rng(20240301)
 VALUES = _rng.integers(0, 1 << 64, (2, 256), dtype=np.uint64)
@@ -71,12 +80,12 @@ class Rolling:
         return x ^ (x >> np.uint64(29))
 
 
-def anchors(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Of a buffer of texts with the given ends: each anchor's text, place, and the first and last start of its strings; its hash."""
+def anchors(data: np.ndarray, ends: np.ndarray) -> tuple:
+    """Of a buffer of pieces with the given ends: each anchor's piece, place, and the first and last start of its strings; its hash."""
     n = len(data) - LENGTH + 1
     none = np.zeros(0, np.int64)
     if n <= 0:
-        return none, none, none, none, none.astype(np.uint64), None
+        return none, none, none, none, none.astype(np.uint64)
     rolling = Rolling(data)
     m = len(data) - GRAM + 1
     gram = rolling.of(slice(0, m), slice(GRAM, GRAM + m))
@@ -87,68 +96,85 @@ def anchors(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, ...]:
         step = min(width, span - width)
         least = np.minimum(least[: len(least) - step], least[step:])
         width += step
-    owner = np.searchsorted(ends, np.arange(n), side="right")
-    valid = np.arange(n) + LENGTH <= ends[np.minimum(owner, len(ends) - 1)]
-    starts = np.flatnonzero(valid)
+    owner = np.repeat(np.arange(len(ends)), np.diff(ends, prepend=0))[:n]
+    starts = np.flatnonzero(np.arange(n) + LENGTH <= ends[owner])
     place = (least[starts] & low).astype(np.int64)
     new = np.flatnonzero(np.diff(place, prepend=-1) | (np.diff(starts, prepend=-2) != 1) | np.diff(owner[starts], prepend=-1))
     last = np.append(new[1:], len(starts)) - 1 if len(new) else new
-    return owner[starts[new]], place[new], starts[new], starts[last], gram[place[new]], rolling
+    return owner[starts[new]], place[new], starts[new], starts[last], gram[place[new]]
 
 
-def buffer(texts: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    raw = [(t or "").encode() for t in texts]
-    ends = np.cumsum([len(r) for r in raw])
-    return np.frombuffer(b"".join(raw), np.uint8), ends, ends - [len(r) for r in raw]
+def buffers(texts: list):
+    """(bytes, ends of pieces, their texts, their starts in these): pieces of the texts, about TOGETHER bytes at a time.
 
-
-def probes(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    Pieces overlap by LENGTH - 1 bytes, so every string of a text is in one of them; texts with no string have none.
+    """
+    parts: list[bytes] = []
+    owners: list[int] = []
+    offsets: list[int] = []
+    size = 0
+    for i, t in enumerate(texts):
+        raw = (t or "").encode()
+        for at in range(0, len(raw) - LENGTH + 1, PIECE):
+            parts.append(raw[at : at + PIECE + LENGTH - 1])
+            owners.append(i)
+            offsets.append(at)
+            size += len(parts[-1])
+            if size >= TOGETHER:
+                yield np.frombuffer(b"".join(parts), np.uint8), np.cumsum([len(p) for p in parts]), np.array(owners), np.array(offsets)
+                parts, owners, offsets, size = [], [], [], 0
+    if parts:
+        yield np.frombuffer(b"".join(parts), np.uint8), np.cumsum([len(p) for p in parts]), np.array(owners), np.array(offsets)
+
+
+def probes(h: np.ndarray, in_cell: int) -> tuple[np.ndarray, np.ndarray]:
     """Cell of each hash and its bits there (PROBES rows)."""
     cell = (h >> np.uint64(64 - CELL_BITS)).astype(np.int64)
-    mask = np.uint64((1 << IN_CELL) - 1)
-    return cell, np.stack([((h >> np.uint64(IN_CELL * i)) & mask).astype(np.int64) for i in range(PROBES)])
+    mask = np.uint64((1 << in_cell) - 1)
+    return cell, np.stack([((h >> np.uint64(in_cell * i)) & mask).astype(np.int64) for i in range(PROBES)])
 
 
 def filled(hashes: DataFrame) -> np.ndarray:
-    """The filter of the hashes in `h`: cells are filled where their hashes meet; the driver gets the 16 MB."""
+    """The filter of the written hashes `h`: cells are filled where their hashes meet; the driver gets the cells."""
+    in_cell = int(np.clip(np.ceil(np.log2(max(1, hashes.count()) * 16)) - CELL_BITS, IN_CELL, MOST_IN_CELL))
     cells = hashes.select("h", F.shiftrightunsigned("h", 64 - CELL_BITS).alias("cell")).repartition("cell")
 
     def fill(batches):
         found: dict[int, np.ndarray] = {}
         for batch in batches:
-            cell, bits = probes(batch.column(0).to_numpy().view(np.uint64))
+            cell, bits = probes(batch.column(0).to_numpy().view(np.uint64), in_cell)
             order = np.argsort(cell, kind="stable")
             cell, bits = cell[order], bits[:, order]
             cuts = np.flatnonzero(np.diff(cell, prepend=-1))
             for lo, hi in zip(cuts, np.append(cuts[1:], len(cell)), strict=True):
-                row = found.setdefault(int(cell[lo]), np.zeros((1 << IN_CELL) // 8, np.uint8))
+                row = found.setdefault(int(cell[lo]), np.zeros((1 << in_cell) // 8, np.uint8))
                 place = bits[:, lo:hi].ravel()
                 np.bitwise_or.at(row, place >> 3, (128 >> (place & 7)).astype(np.uint8))
         yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int64()), pa.array([b.tobytes() for b in found.values()], pa.binary())], ["cell", "bits"])
 
-    out = np.zeros((1 << CELL_BITS, (1 << IN_CELL) // 8), np.uint8)
-    for r in cells.mapInArrow(fill, "cell long, bits binary").collect():  # at most 2 ** CELL_BITS rows
+    out = np.zeros((1 << CELL_BITS, (1 << in_cell) // 8), np.uint8)
+    for r in cells.mapInArrow(fill, "cell long, bits binary").toLocalIterator():  # at most 2 ** CELL_BITS rows
         out[r["cell"]] = np.frombuffer(r["bits"], np.uint8)
     return out
 
 
 def passes(table_: np.ndarray, h: np.ndarray) -> np.ndarray:
-    cell, bits = probes(h)
+    cell, bits = probes(h, (table_.shape[1] * 8).bit_length() - 1)
     keep = np.ones(len(h), bool)
     for b in bits:
         keep &= (table_[cell, b >> 3] >> (7 - (b & 7)).astype(np.uint8)) & 1 == 1
     return keep
 
 
-def repeated_filter(docs: DataFrame) -> np.ndarray:
-    """Of the anchors' hashes that occur twice or more."""
+def repeated_anchors(docs: DataFrame) -> DataFrame:
+    """h: the anchors' hashes that occur twice or more."""
 
     def run(batch):
-        data, ends, _ = buffer(batch.column(0).to_pylist())
-        return pa.RecordBatch.from_arrays([pa.array(anchors(data, ends)[4].view(np.int64))], ["h"])
+        found = [anchors(data, ends)[4] for data, ends, _, _ in buffers(batch.column(0).to_pylist())]
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.uint64), *found]).view(np.int64))], ["h"])
 
     counts = map_text(docs.select("text"), run, "h long", limit=2 << 20).groupBy("h").agg(F.count(F.lit(1)).alias("n"))
-    return filled(counts.where("n > 1"))
+    return counts.where("n > 1").select("h")
 
 
 #: Documents in order: id (a null one last), then the text's hash.
@@ -161,37 +187,157 @@ def keyed(docs: DataFrame) -> DataFrame:
     return docs.select(F.coalesce("doc_id", F.lit(LAST_ID)).alias("id"), F.xxhash64(text).alias("tie"), text.alias("text"))
 
 
-def named(tie: np.ndarray, lo: np.ndarray) -> np.ndarray:
-    """A hash of where a stretch is: its text and start."""
-    x = tie.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + lo.astype(np.uint64) * np.uint64(0xA0761D6478BD642F)
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    return x ^ (x >> np.uint64(31))
+STRETCH = "id long, tie long, lo int, hi int, h long, s long, again boolean"
 
 
-def stretches(docs: DataFrame, passing, by_place: bool = False) -> DataFrame:
+def stretches(docs: DataFrame, passing) -> DataFrame:
     """Stretches [lo, hi) in bytes whose anchor's hash h passes the filter, with their own hash s.
 
-    With `by_place` the filter is of places, and the stretches' bytes come instead of s.
+    `again`: an equal stretch stands earlier in the same batch, so this one repeats.
     """
 
     def run(batch):
         names = batch.schema.names
-        data, ends, begins = buffer(batch.column(names.index("text")).to_pylist())
-        owner, place, first, last, h, rolling = anchors(data, ends)
-        tie = batch.column(names.index("tie")).to_numpy()[owner]
-        at = (first - begins[owner]) if len(owner) else owner
-        keep = passes(passing.value, named(tie, at) if by_place else h) if len(h) else np.zeros(0, bool)
-        owner, place, first, last, h, at = (x[keep] for x in (owner, place, first, last, h, at))
-        stop = last + LENGTH
-        cols = [batch.column(names.index(k)).take(pa.array(owner)) for k in KEY] + [pa.array(at.astype(np.int32)), pa.array((at + stop - first).astype(np.int32)), pa.array(h.view(np.int64))]
-        if by_place:
-            raw = data.tobytes()
-            return pa.RecordBatch.from_arrays([*cols, pa.array([raw[a:b] for a, b in zip(first.tolist(), stop.tolist(), strict=True)], pa.binary())], [*KEY, "lo", "hi", "h", "bytes"])
-        shape = ((place - first) * 256 + (stop - first)).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-        s = rolling.of(first, stop) + shape if len(h) else h
-        return pa.RecordBatch.from_arrays([*cols, pa.array(s.view(np.int64))], [*KEY, "lo", "hi", "h", "s"])
-
-    return map_text(keyed(docs), run, "id long, tie long, lo int, hi int, h long, " + ("bytes binary" if by_place else "s long"), limit=2 << 20)
+        ids, ties = (batch.column(names.index(k)).to_numpy() for k in KEY)
+        columns: list[list[np.ndarray]] = []
+        for data, ends, owners, offsets in buffers(batch.column(names.index("text")).to_pylist()):
+            owner, place, first, last, h = anchors(data, ends)
+            keep = passes(passing.value, h)
+            owner, place, first, last, h = (x[keep] for x in (owner, place, first, last, h))
+            stop = last + LENGTH
+            shape = ((place - first) * 256 + (stop - first)).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+            s = Rolling(data, 1).of(first, stop) + shape
+            lo = first - (ends - np.diff(ends, prepend=0))[owner] + offsets[owner]
+            columns.append([ids[owners[owner]], ties[owners[owner]], lo, lo + stop - first, h.view(np.int64), s.view(np.int64)])
+        id_, tie, lo, hi, h, s = (np.concatenate(c) for c in zip(*columns, strict=True)) if columns else [np.zeros(0, np.int64)] * 6
+        order = np.lexsort((lo, tie, id_, s, h))
+        id_, tie, lo, hi, h, s = (x[order] for x in (id_, tie, lo, hi, h, s))
+        new = np.ones(len(h), bool)
+        new[1:] = (h[1:] != h[:-1]) | (s[1:] != s[:-1])
+        at = np.flatnonzero(new)[np.cumsum(new) - 1]
+        again = (id_ != id_[at]) | (tie != tie[at]) | (lo != lo[at])
+        keep = new | again  # rows alike are one document
+        kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.bool_())
+        return pa.RecordBatch.from_arrays([pa.array(x[keep], k) for x, k in zip((id_, tie, lo, hi, h, s, again), kinds, strict=True)], [*KEY, "lo", "hi", "h", "s", "again"])
+
+    return map_text(keyed(docs), run, STRETCH, limit=2 << 20)
+
+
+MARK = "mark"
+
+
+def listed(rows: DataFrame, *columns: str) -> DataFrame:
+    """A row a document: its key, a hash of that, and the list of its `columns`, which no more than its own places fill."""
+    each = rows.groupBy(*KEY).agg(F.collect_set(F.struct(*columns)).alias("listed"))
+    return each.withColumn(MARK, F.xxhash64(*KEY))
+
+
+def with_lists(rows: DataFrame, lists: DataFrame, others: bool) -> DataFrame:
+    """`rows` (key, text and more) with their list; only documents that may have one are shuffled. With `others` the rest follow, with a null list."""
+    passing = rows.sparkSession.sparkContext.broadcast(filled(lists.select(F.col(MARK).alias("h"))))
+    marked = rows.withColumn(MARK, F.xxhash64(*KEY))
+
+    def chosen(wanted):
+        def run(batch):
+            hit = passes(passing.value, batch.column(batch.schema.get_field_index(MARK)).to_numpy().view(np.uint64))
+            return batch.filter(pa.array(hit == wanted))
+
+        return map_text(marked, run, marked.schema)
+
+    right = lists.select(*[F.col(k).alias(f"of_{k}") for k in KEY], "listed")
+    met = chosen(True).join(right, [F.col(k) == F.col(f"of_{k}") for k in KEY], "left" if others else "inner").drop(MARK, *[f"of_{k}" for k in KEY])
+    if not others:
+        return met
+    return met.unionByName(chosen(False).drop(MARK).withColumn("listed", F.lit(None).cast(lists.schema["listed"].dataType)))
+
+
+def edge_bytes(docs: DataFrame, edges: DataFrame) -> DataFrame:
+    """The bytes of the stretches `edges` (key, lo, hi, h, shapes)."""
+    rows = with_lists(keyed(docs), kept(listed(edges, "lo", "hi", "h", "shapes"), "wanted"), others=False)
+
+    def run(batch):
+        names = batch.schema.names
+        lists = batch.column(names.index("listed"))
+        owner = np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))
+        raw = [t.encode() for t in batch.column(names.index("text")).to_pylist()]
+        lo, hi, h, shapes = (pa.compute.struct_field(lists.flatten(), i) for i in range(4))
+        cut = [raw[o][a:b] for o, a, b in zip(owner.tolist(), lo.to_pylist(), hi.to_pylist(), strict=True)]
+        keys = [batch.column(names.index(k)).take(pa.array(owner)) for k in KEY]
+        return pa.RecordBatch.from_arrays([*keys, lo, h, pa.array(cut, pa.binary()), shapes], [*KEY, "lo", "h", "bytes", "shapes"])
+
+    return map_text(rows, run, "id long, tie long, lo int, h long, bytes binary, shapes long", limit=2 << 20)
+
+
+# ---- suffixes of stretches, by a difference cover modulo 3 ------------------------------------------
+
+
+def in_order(*columns: np.ndarray) -> np.ndarray:
+    """One integer a row that orders rows as their columns (not negative) do."""
+    out = columns[0]
+    for c in columns[1:]:
+        if (int(out.max(initial=0)) + 1) * (int(c.max(initial=0)) + 1) >= 1 << 62:
+            out = np.unique(out, return_inverse=True)[1]
+        out = out * (int(c.max(initial=0)) + 1) + c
+    return out
+
+
+def suffix_order(symbols: np.ndarray) -> np.ndarray:
+    """Starts of the suffixes of `symbols` (integers, not negative) in lexicographic order."""
+    n = len(symbols)
+    if n < 4:
+        return np.array(sorted(range(n), key=lambda i: symbols[i:].tolist()), np.int64)
+    s = np.concatenate([symbols.astype(np.int64) + 1, np.zeros(3, np.int64)])
+    # places 1 and 2 modulo 3; the first kind ends in a triple that reaches beyond the end, so no name runs from one kind into the other
+    sample = np.concatenate([np.arange(1, n + (n % 3 == 1), 3), np.arange(2, n, 3)])
+    distinct, names = np.unique(in_order(s[sample], s[sample + 1], s[sample + 2]), return_inverse=True)
+    order = np.argsort(names) if len(distinct) == len(sample) else suffix_order(names)
+    rank = np.zeros(n + 3, np.int64)
+    rank[sample[order]] = np.arange(1, len(sample) + 1)
+    ranked = sample[order]
+    ranked = ranked[ranked < n]
+
+    rest = np.arange(0, n, 3)
+    by_next = in_order(s[:n], rank[1 : n + 1])
+    rest = rest[np.argsort(by_next[rest])]
+    one, two = ranked[ranked % 3 == 1], ranked[ranked % 3 == 2]
+    both = np.concatenate([two, rest])
+    by_second = in_order(s[both], s[both + 1], rank[both + 2])
+    place = np.arange(len(rest)) + np.searchsorted(by_next[one], by_next[rest]) + np.searchsorted(by_second[: len(two)], by_second[len(two) :])
+    out = np.empty(n, np.int64)
+    free = np.ones(n, bool)
+    free[place] = False
+    out[place], out[free] = rest, ranked
+    return out
+
+
+def again_in(pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The pieces and starts of the strings that an earlier place of the pieces holds too."""
+    sizes = np.array([len(p) for p in pieces])
+    data = np.frombuffer(b"".join(pieces) + bytes(8), np.uint8)
+    begins = np.cumsum(sizes) - sizes
+    owner = np.repeat(np.arange(len(pieces)), sizes)
+    # every piece ends in a symbol of its own, so that no prefix runs on into the next
+    symbols = np.full(len(owner) + len(pieces), 0, np.int64)
+    at = np.arange(len(owner)) + owner
+    symbols[at] = data[: len(owner)].astype(np.int64) + len(pieces)
+    symbols[begins + sizes + np.arange(len(pieces))] = np.arange(len(pieces))
+    where = np.full(len(symbols), -1)
+    inner = np.arange(len(owner)) - begins[owner]
+    where[at] = np.where(inner + LENGTH <= sizes[owner], np.arange(len(owner)), -1)
+    starts = where[suffix_order(symbols)]
+    starts = starts[starts >= 0]
+
+    words = np.zeros(len(owner), np.uint64)
+    for k in range(8):
+        words |= data[k : k + len(owner)].astype(np.uint64) << np.uint64(8 * k)
+    same = np.arange(1, len(starts))
+    for step in [*range(0, LENGTH - 8, 8), LENGTH - 8]:
+        same = same[words[starts[same] + step] == words[starts[same - 1] + step]]
+    new = np.ones(len(starts), bool)
+    new[same] = False
+    first = np.minimum.reduceat(starts, np.flatnonzero(new)) if len(starts) else starts
+    late = np.sort(starts[starts != first[np.cumsum(new) - 1]])
+    return owner[late], inner[late]
 
 
 def digests_of(pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -221,54 +367,43 @@ def strings(rows: DataFrame) -> DataFrame:
     return rows.select(*KEY, "lo", "bytes").mapInArrow(run, "id long, tie long, at int, d1 long, d2 long")
 
 
-def compared_in_place(rows: DataFrame) -> DataFrame:
-    """(key, lo, hi): ranges of the stretches whose strings an earlier one of the same anchor holds.
+def whole_groups(batches, column: str):
+    """Tables of ROWS rows or more that hold every row of a value of the sorted `column` (the last may be smaller)."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        held.append(batch)
+        if sum(b.num_rows for b in held) >= ROWS:
+            rows = pa.Table.from_batches(held)
+            values = rows.column(column).to_numpy()
+            cut = int(np.flatnonzero(np.append(True, values[1:] != values[:-1]))[-1])
+            if cut:
+                yield rows.slice(0, cut)
+                held = rows.slice(cut).to_batches()
+    if sum(b.num_rows for b in held):
+        yield pa.Table.from_batches(held)
 
-    Rows come sorted by anchor, then place; whole anchors are taken together.
-    """
+
+def compared_in_place(rows: DataFrame) -> DataFrame:
+    """(key, lo, hi): ranges of the stretches whose strings an earlier one of the same anchor holds."""
     width = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = rows.select(*KEY, "lo", "h", "bytes").repartition(width, "h").sortWithinPartitions("h", *KEY, "lo")
 
-    def finish(table_):
-        pieces = table_.column("bytes").to_pylist()
-        owner, inner, one, two = digests_of(pieces)
-        both = np.empty(len(one), [("one", np.uint64), ("two", np.uint64)])
-        both["one"], both["two"] = one, two
-        order = np.lexsort((np.arange(len(one)), two, one))
-        again = np.zeros(len(one), bool)
-        again[order[1:]] = both[order[1:]] == both[order[:-1]]
-        at = np.flatnonzero(again)
-        if not len(at):
-            return None
-        start = np.flatnonzero((np.diff(at, prepend=-2) != 1) | (np.diff(owner[at], prepend=-1) != 0))
-        end = np.append(start[1:], len(at)) - 1
-        who = owner[at[start]]
-        lo = table_.column("lo").to_numpy()[who]
-        return pa.RecordBatch.from_arrays(
-            [*(table_.column(k).combine_chunks().take(pa.array(who)) for k in KEY), pa.array((lo + inner[at[start]]).astype(np.int32)), pa.array((lo + inner[at[end]] + LENGTH).astype(np.int32))],
-            [*KEY, "lo", "hi"],
-        )
-
     def run(batches):
-        held: list = []
-        rows_held = 0
-        for batch in batches:
-            if not batch.num_rows:
+        for group in whole_groups(batches, "h"):
+            keys = [group.column(k).to_numpy() for k in (*KEY, "lo", "h")]
+            new = np.append(True, np.any([k[1:] != k[:-1] for k in keys], axis=0))  # rows alike are one document
+            group = group.filter(pa.array(new))
+            owner, inner = again_in(group.column("bytes").to_pylist())
+            if not len(owner):
                 continue
-            h = batch.column(batch.schema.get_field_index("h")).to_numpy()
-            cuts = np.flatnonzero(np.diff(h))
-            if rows_held > 8192 and (held[-1].column(held[-1].schema.get_field_index("h"))[-1].as_py() != h[0] or len(cuts)):
-                head = 0 if held[-1].column(held[-1].schema.get_field_index("h"))[-1].as_py() != h[0] else int(cuts[0]) + 1
-                if head:
-                    held.append(batch.slice(0, head))
-                if (out := finish(pa.Table.from_batches(held))) is not None:
-                    yield out
-                held, rows_held, batch = [], 0, batch.slice(head)
-            if batch.num_rows:
-                held.append(batch)
-                rows_held += batch.num_rows
-        if held and (out := finish(pa.Table.from_batches(held))) is not None:
-            yield out
+            start = np.flatnonzero((np.diff(inner, prepend=-2) != 1) | (np.diff(owner, prepend=-1) != 0))
+            end = np.append(start[1:], len(owner)) - 1
+            who = owner[start]
+            lo = group.column("lo").to_numpy()[who]
+            yield pa.RecordBatch.from_arrays(
+                [*(group.column(k).combine_chunks().take(pa.array(who)) for k in KEY), pa.array((lo + inner[start]).astype(np.int32)), pa.array((lo + inner[end] + LENGTH).astype(np.int32))],
+                [*KEY, "lo", "hi"],
+            )
 
     return dealt.mapInArrow(run, "id long, tie long, lo int, hi int")
 
@@ -287,26 +422,26 @@ def later(rows: DataFrame, groups: DataFrame, by: list[str], place: str) -> Data
 def spans(docs: DataFrame) -> DataFrame:
     """(key, lo, hi): byte ranges that repeat an earlier string; they may overlap."""
     spark = docs.sparkSession
-    passing = spark.sparkContext.broadcast(repeated_filter(docs))
+    common = kept(repeated_anchors(docs), "common")
+    passing = spark.sparkContext.broadcast(filled(common))
     slim = kept(stretches(docs, passing), "stretches")
-    groups = kept(earliest(slim, ["h", "s"], "lo"), "groups")
-    whole = kept(later(slim, groups, ["h", "s"], "lo").select(*KEY, "lo", "hi"), "whole")
-
-    several = kept(groups.groupBy("h").agg(F.count(F.lit(1)).alias("shapes")).where("shapes > 1"), "several")
-    edges = groups.join(several.select(F.col("h").alias("of")), F.col("h") == F.col("of"), "left_semi").select("first.tie", "first.lo")
-
-    def places(batches):
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array(named(batch.column(0).to_numpy(), batch.column(1).to_numpy()).view(np.int64))], ["h"])
-
-    at_edges = spark.sparkContext.broadcast(filled(edges.mapInArrow(places, "h long")))
-    # a place that passes by chance is a stretch like any other: comparing it changes nothing
-    edge = stretches(docs, at_edges, by_place=True).join(several.select(F.col("h").alias("of"), "shapes"), F.col("h") == F.col("of"), "left")
-    edge = kept(edge.select(*KEY, "lo", "h", "bytes", F.coalesce("shapes", F.lit(0)).alias("shapes")), "edges")
+    first = slim.where(~F.col("again"))
+    groups = kept(first.groupBy("h", "s").agg(F.min(F.struct(*KEY, "lo", "hi")).alias("first"), F.count(F.lit(1)).alias("n")), "groups")
+    whole = later(first, groups.withColumn("first", F.struct(*[F.col(f"first.{k}") for k in (*KEY, "lo")])), ["h", "s"], "lo")
+    whole = kept(whole.select(*KEY, "lo", "hi").unionByName(slim.where("again").select(*KEY, "lo", "hi")), "whole")
+    dropped(common, slim)
+
+    several = groups.groupBy(F.col("h").alias("of")).agg(F.count(F.lit(1)).alias("shapes")).where("shapes > 1")
+    edges = groups.join(several, F.col("h") == F.col("of")).select("first.*", "h", "shapes")
+    edge = kept(edge_bytes(docs, edges), "edges")
+    dropped(groups)
     near = kept(compared_in_place(edge.where(F.col("shapes") <= GROUP)), "near")
     parts = kept(strings(edge.where(F.col("shapes") > GROUP)), "strings")
+    dropped(edge)
     single = later(parts, earliest(parts, ["d1", "d2"], "at"), ["d1", "d2"], "at")
-    return whole.unionByName(near).unionByName(single.select(*KEY, F.col("at").alias("lo"), (F.col("at") + LENGTH).alias("hi")))
+    single = kept(single.select(*KEY, F.col("at").alias("lo"), (F.col("at") + LENGTH).alias("hi")), "single")
+    dropped(parts)
+    return whole.unionByName(near).unionByName(single)
 
 
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
@@ -323,11 +458,12 @@ def joined_runs(found) -> list[tuple[int, int]]:
 
 
 def with_spans(docs: DataFrame, keep: list[str]) -> DataFrame:
-    """`keep` columns and text of every row, with runs: its maximal removed byte ranges (lo, hi)."""
-    found = spans(docs)
-    each = found.groupBy(*KEY).agg(F.collect_set(F.struct("lo", "hi")).alias("runs")).select(*[F.col(k).alias(f"of_{k}") for k in KEY], "runs")
-    rows = docs.select(*keep, *([] if "text" in keep else ["text"])).withColumns({"k_id": F.coalesce("doc_id", F.lit(LAST_ID)), "k_tie": F.xxhash64(F.coalesce("text", F.lit("")))})
-    return rows.join(each, (F.col("k_id") == F.col("of_id")) & (F.col("k_tie") == F.col("of_tie")), "left")
+    """`keep` columns and text of every row, with runs: byte ranges (lo, hi) whose union is what repeats; null where nothing does."""
+    lists = kept(listed(spans(docs.select("doc_id", "text")), "lo", "hi"), "runs")
+    rows = docs.select(*[F.col(c).alias(f"own_{c}") for c in keep], "doc_id", "text")
+    rows = rows.select(*[f"own_{c}" for c in keep], F.coalesce("doc_id", F.lit(LAST_ID)).alias("id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("tie"), "text")
+    out = with_lists(rows, lists, others=True)
+    return out.select(*[F.col(f"own_{c}").alias(c) for c in keep if c != "text"], "text", F.col("listed").alias("runs"))
 
 
 def removed(docs: DataFrame) -> DataFrame:

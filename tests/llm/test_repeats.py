@@ -71,3 +71,36 @@ def test_ties_and_empty(spark, corpus):
     out = sorted(((r["doc_id"] is None, r["doc_id"], r["n_removed"]) for r in repeats.query(spark, corpus(documents=[doc(None, text), doc(5, text), doc(5, text), doc(9, text)])).collect()), key=str)
     assert out == sorted([(True, None, 200), (False, 5, 0), (False, 5, 0), (False, 9, 200)], key=str)
     assert repeats.query(spark, corpus(documents=[])).count() == 0
+
+
+def test_very_long_texts_in_pieces(spark, corpus, monkeypatch):
+    monkeypatch.setattr(repeats, "PIECE", 150)
+    monkeypatch.setattr(repeats, "TOGETHER", 1000)
+    data = rows(8)
+    assert sorted(tuple(r) for r in repeats.query(spark, corpus(documents=data)).collect()) == brute(data)
+
+
+def test_rows_alike_beside_edited_ones(spark, corpus):
+    """Rows alike are one document, also where an anchor has several stretches."""
+    base = "".join(random.Random(4).choices("abcdefgh", k=600))
+    texts = [base, base[:150] + "Z" + base[151:], base[:420] + "Q" + base[421:]]
+    data = [doc(i, t) for i, t in enumerate(texts)]
+    got = sorted(tuple(r) for r in repeats.query(spark, corpus(documents=data + data)).collect())
+    assert got == sorted(brute(data) * 2)
+
+
+def test_suffix_order_by_a_difference_cover():
+    rng = np.random.default_rng(9)
+    for _ in range(400):
+        symbols = rng.integers(0, rng.integers(1, 5), rng.integers(0, 80))
+        assert repeats.suffix_order(symbols).tolist() == sorted(range(len(symbols)), key=lambda i: symbols[i:].tolist())
+    big = rng.integers(0, 1 << 40, 200)
+    assert repeats.suffix_order(big).tolist() == sorted(range(200), key=lambda i: big[i:].tolist())
+
+
+def test_extra_columns_with_clashing_names(spark, corpus):
+    text = "".join(random.Random(5).choices("abcdefgh", k=300))
+    docs = spark.createDataFrame([(1, text, 7, "x"), (2, text, 8, "y")], "doc_id long, text string, id long, runs string")
+    out = {r["doc_id"]: r for r in repeats.with_spans(docs, ["doc_id", "id"]).collect()}
+    assert out[1]["runs"] is None and out[1]["id"] == 7
+    assert repeats.joined_runs((r["lo"], r["hi"]) for r in out[2]["runs"]) == [(0, 300)] and out[2]["id"] == 8
