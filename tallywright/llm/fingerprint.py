@@ -21,11 +21,12 @@ within 63 places before and after each byte comes from 63 shifted comparisons,
 and a window's sum of squared counts is a running sum of their differences.
 
 For the query, each document needs its successor by id. Documents are dealt by
-ranges of the id, and each range also gets the first document of the next range;
-there are as many such rows as ranges, and no window spans all rows.
+ranges of the id, and each range also gets the rows that begin the next range;
+the driver holds the bounds alone, and no window spans all rows.
 
 Defined cases: a null text counts as empty; null ids come last; repeated ids are
-ordered by text; a single document is its own successor.
+ordered by a hash of the text; a single document is its own successor; a very long
+text is measured STEP windows at a time.
 """
 
 from __future__ import annotations
@@ -76,25 +77,30 @@ LEVEL_OF = np.clip(((12 - np.log2(np.arange(1, WINDOW * WINDOW + 2) * 1.0)) / 6
 LEVEL_OF = np.concatenate([[LEVELS - 1], LEVEL_OF[:-1]])
 
 
+#: Windows measured at once, whatever a text's length.
+STEP = 1 << 20
+
+
 def features(data: np.ndarray, starts: np.ndarray, ranks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Starts of selected windows in a buffer of texts, and which text each is in. `starts` has the end as its last."""
     n = len(data) - WINDOW + 1
     runs = n - WINDOW + 1
     if runs <= 0:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    rank = ranks[levels(data)].astype(np.int64)
-    key = (rank << 40) | np.arange(n)
-    least = key
-    width = 1
-    while width < WINDOW:  # the least of 64 by doubling
-        least = np.minimum(least[: len(least) - width], least[width:])
-        width *= 2
-    lengths = np.diff(starts)
-    whole = np.repeat(np.arange(len(lengths)), lengths)
-    inside = whole[:runs] == whole[2 * WINDOW - 2 : 2 * WINDOW - 2 + runs]
-    points = np.bincount(least[inside] & ((1 << 40) - 1), minlength=n)
+    points = np.zeros(n, np.uint8)
+    for lo in range(0, runs, STEP):
+        hi = min(runs, lo + STEP)
+        rank = ranks[levels(data[lo : hi + 2 * (WINDOW - 1)])].astype(np.int64)
+        least = (rank << 40) | np.arange(len(rank))
+        width = 1
+        while width < WINDOW:  # the least of 64 by doubling
+            least = np.minimum(least[: len(least) - width], least[width:])
+            width *= 2
+        first = np.searchsorted(starts, np.arange(lo, hi), "right")
+        inside = np.arange(lo, hi) + 2 * (WINDOW - 1) < starts[first]
+        points[lo : lo + len(rank)] += np.bincount(least[inside] & ((1 << 40) - 1), minlength=len(rank)).astype(np.uint8)
     at = np.flatnonzero(points >= POINTS)
-    return at, whole[at]
+    return at, np.searchsorted(starts, at, "right") - 1
 
 
 def hashed(data: np.ndarray, at: np.ndarray, width: int) -> np.ndarray:
@@ -176,18 +182,34 @@ def written(digest: np.ndarray) -> str:
     return base64.b64encode(digest.tobytes()).decode()
 
 
+def level_counts(texts: list[bytes]) -> np.ndarray:
+    """How many windows of each level the texts hold; no window runs from one text into the next."""
+    total = np.zeros(LEVELS, np.int64)
+    block: list[bytes] = []
+    size = 0
+
+    def add():
+        data = np.frombuffer(b"".join(block), np.uint8)
+        inside = np.ones(len(data) - WINDOW + 1, bool)
+        for end in np.cumsum([len(t) for t in block])[:-1].tolist():
+            inside[end - WINDOW + 1 : end] = False
+        return np.bincount(levels(data)[inside], minlength=LEVELS)
+
+    for t in texts:
+        for lo in range(0, len(t) - WINDOW + 1, STEP):
+            block.append(t[lo : lo + STEP + WINDOW - 1])
+            size += len(block[-1])
+            if size >= STEP:
+                total += add()
+                block, size = [], 0
+    return total + add() if block else total
+
+
 def rank_table(docs: DataFrame) -> np.ndarray:
     """How common each entropy level is over all documents' windows, as a rank: the rarest level is 0."""
 
     def run(batch):
-        texts = [t.encode() for t in batch.column(0).to_pylist() if t and len(t) >= WINDOW]
-        total = np.zeros(LEVELS, np.int64)
-        for lo in range(0, len(texts), 200):
-            part = texts[lo : lo + 200]
-            data = np.frombuffer(b"".join(part), np.uint8)
-            lv = levels(data)
-            if len(lv):
-                total += np.bincount(lv, minlength=LEVELS)
+        total = level_counts([t.encode() for t in batch.column(0).to_pylist() if t])
         return pa.RecordBatch.from_arrays([pa.array(np.arange(LEVELS)), pa.array(total)], ["level", "n"])
 
     counted = map_text(docs.select("text"), run, "level long, n long").groupBy("level").agg(F.sum("n").alias("n")).where("n > 0").collect()
@@ -215,36 +237,47 @@ def fingerprint(docs: DataFrame, ranks: np.ndarray, keep: list[str]) -> DataFram
 QUERY_SCHEMA = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 
 
+#: Bytes of text in a part, and parts at most: beyond, parts grow and a task streams a larger one.
+PART_BYTES, MOST_PARTS = 24 << 20, 100_000
+
+
 def with_successors(docs: DataFrame) -> tuple[DataFrame, int]:
-    """Rows (part, doc_id, text, guest) in which each part also holds, as a guest, the row that follows its last.
+    """Rows (part, doc_id, text, tie, guest) in which each part also holds, as guests, what can follow its last row.
 
-    Parts are ranges of the id. The driver sees only their bounds and first rows,
-    as many as there are parts.
+    Parts are ranges of the id that begin with an id of the table, so the rows that
+    follow a part are those whose id begins the next. The driver sees the bounds alone.
     """
     spark = docs.sparkSession
-    base = docs.select(F.col("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    facts = base.agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("text")).alias("b")).first()
-    width = max(1, min(partitions(spark, facts["b"] or 0, 24 << 20), facts["n"]))
+    base = docs.select(F.col("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("tie", F.xxhash64("text"))
+    order = F.struct(F.col("doc_id").isNull().alias("last"), F.coalesce("doc_id", F.lit(0)).alias("id"), "tie")
+    facts = base.agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("text")).alias("b"), F.min(order).alias("first")).first()
+    width = max(1, min(partitions(spark, facts["b"] or 0, PART_BYTES), facts["n"], MOST_PARTS))
     cuts = base.where(F.col("doc_id").isNotNull()).select("doc_id").stat.approxQuantile("doc_id", [i / width for i in range(1, width)], 0.2 / width) if width > 1 else []
-    cuts = sorted({int(c) for c in cuts})
-    place = F.lit(0)
-    if cuts:
-        array = F.array(*[F.lit(c) for c in cuts])
-        place = F.when(F.col("doc_id").isNull(), F.lit(len(cuts))).otherwise(F.size(F.filter(array, lambda c: c <= F.col("doc_id"))))
-    base = base.withColumn("part", place.cast("int"))
-    order = F.struct(F.col("doc_id").isNull().alias("last"), F.coalesce("doc_id", F.lit(0)).alias("id"), F.xxhash64("text").alias("tie"))
-    firsts = base.groupBy("part").agg(F.min(order).alias("first")).orderBy("part").collect()
-    guests = [(firsts[i]["part"], firsts[i]["first"]["last"], firsts[i]["first"]["id"], firsts[i]["first"]["tie"], firsts[i - 1]["part"]) for i in range(len(firsts))]
-    small = spark.createDataFrame(guests, "g_part int, g_last boolean, g_id long, g_tie long, host int")
-    near = (F.col("part") == F.col("g_part")) & (F.col("doc_id").isNull() == F.col("g_last")) & (F.coalesce("doc_id", F.lit(0)) == F.col("g_id")) & (F.xxhash64("text") == F.col("g_tie"))
-    guest_rows = base.join(F.broadcast(small), near).select("doc_id", "text", F.col("host").alias("part"), F.lit(True).alias("guest"))
-    return base.select("doc_id", "text", "part", F.lit(False).alias("guest")).unionByName(guest_rows), width
+    bounds = spark.sparkContext.broadcast((np.array(sorted({int(c) for c in cuts}), np.int64), facts["first"]))
+
+    def run(batches):
+        begins, first = bounds.value
+        for batch in batches:
+            names = batch.schema.names
+            column = batch.column(names.index("doc_id"))
+            empty = column.is_null().to_numpy(zero_copy_only=False)
+            ids, ties = column.fill_null(0).to_numpy(), batch.column(names.index("tie")).to_numpy()
+            part = np.where(empty, len(begins), np.searchsorted(begins, ids, "right"))
+            opens = np.flatnonzero(~empty & (part > 0) & (begins[np.maximum(part, 1) - 1] == ids)) if len(begins) else np.zeros(0, np.int64)
+            top = np.flatnonzero((empty == first["last"]) & (ids == first["id"]) & (ties == first["tie"]))
+            rows = np.concatenate([np.arange(len(ids)), opens, top])
+            host = np.concatenate([part, part[opens] - 1, np.full(len(top), len(begins))])
+            guest = np.arange(len(rows)) >= len(ids)
+            out = batch.take(pa.array(rows))
+            yield pa.RecordBatch.from_arrays([*out.columns, pa.array(host.astype(np.int32)), pa.array(guest)], [*names, "part", "guest"])
+
+    return base.mapInArrow(run, "doc_id long, text string, tie long, part int, guest boolean"), width
 
 
 def compare(docs: DataFrame, ranks: np.ndarray) -> DataFrame:
     """Each document's digest against its edited text's and its successor's."""
     rows, width = with_successors(docs)
-    dealt = rows.repartition(width, "part").sortWithinPartitions("part", "guest", F.col("doc_id").asc_nulls_last(), F.xxhash64("text"))
+    dealt = rows.repartition(width, "part").sortWithinPartitions("part", "guest", F.col("doc_id").asc_nulls_last(), "tie")
 
     def finish(own: list[tuple], following: list[tuple]):
         """own: (id, text); following: the (id, text) after each."""

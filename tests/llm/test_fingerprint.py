@@ -72,3 +72,44 @@ def test_operator_keeps_columns(spark, corpus):
     docs = spark.read.parquet(f"{path}/documents.parquet")
     out = fingerprint.fingerprint(docs, fingerprint.rank_table(docs), ["doc_id", "lang"])
     assert out.columns == ["doc_id", "lang", "fingerprint"] and out.first()["fingerprint"]
+
+
+def test_fingerprints_do_not_depend_on_the_layout(spark, corpus, monkeypatch):
+    rng = random.Random(12)
+    rows = [doc(i, prose(rng, rng.choice([3, 12, 90, 400])) + rng.choice(["", "é" * 40, "=" * 90])) for i in range(200)]
+    docs = spark.read.parquet(corpus(documents=rows) + "/documents.parquet")
+    found = []
+    for parts in (1, 7):
+        dealt = docs.repartition(parts)
+        ranks = fingerprint.rank_table(dealt)
+        found.append((ranks.tolist(), sorted(map(tuple, fingerprint.fingerprint(dealt, ranks, ["doc_id"]).collect()))))
+    assert found[0] == found[1]
+    count = np.zeros(fingerprint.LEVELS, int)
+    for r in rows:
+        raw = r[1].encode()
+        for i in range(len(raw) - 63):
+            count[fingerprint.LEVEL_OF[sum(n * n for n in Counter(raw[i : i + 64]).values())]] += 1
+    assert fingerprint.level_counts([r[1].encode() for r in rows]).tolist() == count.tolist()
+    monkeypatch.setattr(fingerprint, "STEP", 100)
+    assert fingerprint.level_counts([r[1].encode() for r in rows]).tolist() == count.tolist()
+
+
+def test_long_texts_step_by_step(monkeypatch):
+    rng = random.Random(3)
+    texts = [prose(rng, 200).encode() for _ in range(3)]
+    data, starts = np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)])
+    ranks = np.array([rng.randrange(1000) for _ in range(fingerprint.LEVELS)])
+    want = [x.tolist() for x in fingerprint.features(data, starts, ranks)]
+    monkeypatch.setattr(fingerprint, "STEP", 97)
+    assert [x.tolist() for x in fingerprint.features(data, starts, ranks)] == want
+
+
+def test_successors_over_many_parts(spark, corpus, monkeypatch):
+    monkeypatch.setattr(fingerprint, "PART_BYTES", 300)
+    rng = random.Random(13)
+    rows = [doc(rng.randrange(10**6), f"text number {i} " + prose(rng, 8)) for i in range(150)] + [doc(None, "no id")]
+    out = {r["doc_id"]: r for r in fingerprint.query(spark, corpus(documents=rows)).collect()}
+    order = sorted(rows, key=lambda r: (r[0] is None, r[0] or 0))
+    for (i, text, *_), after in zip(order, order[1:] + order[:1], strict=True):
+        k = len(text) // 4
+        assert out[i]["edited_sha256"] == hashlib.sha256((text[: len(text) - k] + after[1][:k]).encode()).hexdigest()
