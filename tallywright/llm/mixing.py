@@ -35,6 +35,8 @@ from tallywright.session import table
 WEIGHTS, CAP = (5, 2, 1), 3
 #: A source of n rows is cut into about n to this power ranges, so that ranges and rows in a range grow alike.
 RANGE_POWER = 0.5
+#: Parts of an octave that weights are told apart by.
+OCTAVE = 4
 
 
 def words(text: Column) -> Column:
@@ -53,41 +55,54 @@ def uniform(doc_id: Column, seed: str) -> Column:
 
 
 def drawn(docs: DataFrame, weight: Column | None = None, seed: str = "mix:") -> DataFrame:
-    """Slim rows of `docs`: mix_source, mix_size, mix_key, mix_tie and the id. No text travels further."""
+    """Slim rows of `docs`: mix_source, mix_size, mix_key, mix_octave (the part of an octave of the weight), mix_tie and the id. No text travels further."""
     size = words(F.col("text"))
     base = docs.select(F.col("doc_id"), F.col("source").alias("mix_source"), F.col("text"), size.alias("mix_size"))
     w = quality(F.col("text"), F.col("mix_size")) if weight is None else weight
     key = F.when(F.col("mix_size") > 0, -F.ln(uniform(F.col("doc_id"), seed)) / w)
-    return base.select("doc_id", "mix_source", "mix_size", key.alias("mix_key"), F.xxhash64("text").alias("mix_tie"), F.monotonically_increasing_id().alias("mix_row"))
+    octave = F.when(F.col("mix_size") > 0, F.floor(F.log2(w) * OCTAVE)).cast("int")
+    return base.select("doc_id", "mix_source", "mix_size", key.alias("mix_key"), octave.alias("mix_octave"), F.xxhash64("text").alias("mix_tie"), F.monotonically_increasing_id().alias("mix_row"))
 
 
-def targets(rows: DataFrame, weights=WEIGHTS, cap: int = CAP) -> DataFrame:
-    """One row a source: its size, rows and target. The windows run over sources, not documents."""
+#: Sources whose plan is sent to every task and ranked in one; with more, the plan is joined by a shuffle and ranked by ranges.
+BROADCAST_SOURCES = 20_000
+
+
+def before(rows: DataFrame, order: list[Column], sums: dict[str, Column], few: bool) -> DataFrame:
+    """`rows` with the sums over all rows before each in `order`; many rows are dealt by ranges, whose totals are summed first."""
+    def upto(window):
+        return [F.coalesce(F.sum(c).over(window), F.lit(0)).alias(n) for n, c in sums.items()]
+
+    if few:
+        return rows.select("*", *upto(Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)))
+    ranged = kept(rows.repartitionByRange(*order).withColumn("run", F.spark_partition_id()), "mix-ranked")
+    heads = ranged.groupBy(F.col("run").alias("of_run")).agg(*[F.sum(c).alias(f"in_{n}") for n, c in sums.items()])
+    earlier = Window.orderBy("of_run").rowsBetween(Window.unboundedPreceding, -1)  # a row a range
+    heads = heads.select("of_run", *[F.coalesce(F.sum(f"in_{n}").over(earlier), F.lit(0)).alias(f"head_{n}") for n in sums])
+    inner = ranged.select("*", *upto(Window.partitionBy("run").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)))
+    met = inner.join(F.broadcast(heads), F.col("run") == F.col("of_run"))
+    return met.select(*rows.columns, *[(F.col(n) + F.col(f"head_{n}")).alias(n) for n in sums])
+
+
+def targets(rows: DataFrame, weights=WEIGHTS, cap: int = CAP) -> tuple[DataFrame, bool]:
+    """One row a source: its size, rows and target; and whether sources are few."""
     each = rows.groupBy("mix_source").agg(F.sum("mix_size").alias("source_size"), F.count(F.lit(1)).alias("source_rows"))
-    rank = F.row_number().over(Window.orderBy(F.col("mix_source").asc_nulls_last())) - 1
-    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (rank % len(weights) + 1).cast("int"))
+    each = kept(each, "mix-sources")
+    few = each.count() <= BROADCAST_SOURCES
+    each = before(each, [F.col("mix_source").asc_nulls_last()], {"rank": F.lit(1)}, few)
+    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.col("rank") % len(weights) + 1).cast("int"))
     each = each.select("*", weight.alias("weight"), (F.lit(float(cap)) * F.col("source_size")).alias("limit"))
     ratio = F.col("limit") / F.col("weight")
-    before = Window.orderBy(ratio, F.col("mix_source").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)
-    everything = Window.partitionBy(F.lit(1))
-    each = each.select(
-        "*",
-        F.sum("source_size").over(everything).cast("double").alias("budget"),
-        F.coalesce(F.sum("limit").over(before), F.lit(0.0)).alias("limits_before"),
-        (F.sum("weight").over(everything) - F.coalesce(F.sum("weight").over(before), F.lit(0.0))).alias("weight_left"),
-    )
-    level = (F.col("budget") - F.col("limits_before")) / F.col("weight_left")
+    each = before(each.withColumn("ratio", ratio), [F.col("ratio"), F.col("mix_source").asc_nulls_first()], {"limits_before": F.col("limit"), "weight_before": F.col("weight")}, few)
+    whole = each.agg(F.sum("source_size").alias("size"), F.sum("weight").alias("weight")).first()
+    level = (F.lit(float(whole["size"] or 0)) - F.col("limits_before")) / (F.lit(float(whole["weight"] or 1)) - F.col("weight_before"))
     # the level rises while sources are capped; the first source whose own cap lies above it fixes it
-    fixed = F.min(F.when(level * F.col("weight") <= F.col("limit"), F.struct(ratio.alias("r"), level.alias("level")))).over(everything)
-    each = each.select("*", fixed["level"].alias("level"))
+    fixed = each.where(level * F.col("weight") <= F.col("limit")).agg(F.min_by(level, "ratio").alias("level")).first()["level"]
+    open_target = F.col("limit") if fixed is None else F.lit(fixed) * F.col("weight")
     return each.select(
         "mix_source", "source_size", "source_rows",
-        F.when(F.col("source_size") == 0, 0.0).otherwise(F.least(F.col("limit"), F.coalesce(F.col("level") * F.col("weight"), F.col("limit")))).alias("target"),
-    )
-
-
-#: Sources whose plan is sent to every task; with more, the plan is joined by a shuffle.
-BROADCAST_SOURCES = 20_000
+        F.when(F.col("source_size") == 0, 0.0).otherwise(F.least(F.col("limit"), open_target)).alias("target"),
+    ), few
 
 
 def with_plan(rows: DataFrame, plan: DataFrame, few: bool, how: str = "inner") -> DataFrame:
@@ -100,10 +115,24 @@ def with_plan(rows: DataFrame, plan: DataFrame, few: bool, how: str = "inner") -
 ORDER = ("mix_key", "doc_id", "mix_tie", "mix_row")
 
 
+def shapes(rows: DataFrame) -> DataFrame:
+    """Of each source with words: which share of its documents has a weight in which part of an octave."""
+    octaves = rows.where("mix_size > 0").groupBy(F.col("mix_source").alias("shape_source"), "mix_octave").agg(F.count(F.lit(1)).alias("n"))
+    of = octaves.groupBy("shape_source").agg(F.sum("n").alias("all"), F.sort_array(F.collect_list(F.struct("mix_octave", "n"))).alias("list"))
+    share = lambda x: F.struct(F.pow(F.lit(2.0), (x["mix_octave"] + 0.5) / OCTAVE).alias("rate"), (x["n"] / F.col("all")).alias("share"))
+    return of.select(F.col("shape_source").alias("mix_source"), F.transform("list", share).alias("shape"))
+
+
 def placed_in(rows: DataFrame, plan: DataFrame, few: bool) -> DataFrame:
-    """Rows with their source's plan and mix_range: a monotone map of the key to a range of the source."""
-    place = F.floor((F.lit(1.0) - F.exp(-F.col("mix_key") / F.lit(3.0))) * F.col("ranges"))
-    return with_plan(rows, plan, few).withColumn("mix_range", F.when(F.col("mix_size") > 0, F.least(place, F.col("ranges") - 1)))
+    """Rows with their source's plan and mix_range: a monotone map of the key to a range of the source.
+
+    A key is exponential at the rate of its document's weight, so the distribution of a source's
+    keys follows from its weights' octaves, and ranges of equal probability hold about equally many.
+    """
+    key = F.col("mix_key")
+    below = F.aggregate("shape", F.lit(0.0), lambda s, x: s + x["share"] * (F.lit(1.0) - F.exp(-key * x["rate"])))
+    place = F.least(F.floor(below * F.col("ranges")), F.col("ranges") - 1)
+    return with_plan(rows, plan, few).withColumn("mix_range", F.when(F.col("mix_size") > 0, place))
 
 
 def first_part(order) -> Column:
@@ -123,15 +152,15 @@ def words_taken(order=ORDER) -> Column:
 
 def plan_of(rows: DataFrame, weights=WEIGHTS, cap: int = CAP) -> tuple[DataFrame, bool]:
     """One row a source: target, epochs, and where its budget runs out; whether they are few enough to broadcast."""
-    plan = kept(targets(rows, weights, cap), "mix-targets")
-    few = plan.count() <= BROADCAST_SOURCES
+    plan, few = targets(rows, weights, cap)
     size, rest, cut = F.col("mix_size"), F.col("rest"), F.col("cut_range")
     plan = plan.withColumn("epochs", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0))
     plan = plan.withColumn("rest", F.col("target") - F.col("epochs") * F.col("source_size"))
     plan = plan.withColumn("ranges", F.ceil(F.pow(F.col("source_rows").cast("double"), F.lit(RANGE_POWER))))
+    plan = kept(with_plan(plan, shapes(rows), few, "left"), "mix-shapes")
 
     # where each source's budget runs out: range totals first
-    ranged = placed_in(rows, plan.select("mix_source", "ranges"), few).select("mix_source", "mix_range", "mix_size")
+    ranged = placed_in(rows, plan.select("mix_source", "ranges", "shape"), few).select("mix_source", "mix_range", "mix_size")
     totals = ranged.where(size > 0).groupBy("mix_source", "mix_range").agg(F.sum(size).alias("range_size"))
     totals = with_plan(totals, plan.select("mix_source", "rest"), few)
     upto = Window.partitionBy("mix_source").orderBy("mix_range")

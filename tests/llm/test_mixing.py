@@ -77,3 +77,26 @@ def test_stage_repeats_documents(spark, corpus):
     for r in left.collect():
         copies[r["doc_id"]] += 1
     assert copies == {r["doc_id"]: r["taken"] // r["size"] for r in mixing.query(spark, path).collect() if r["taken"]}
+
+
+def test_ranges_of_a_source_without_spaces(spark, corpus):
+    """Keys of such a source are some five hundred times as large as those of prose."""
+    from pyspark.sql import functions as F
+
+    dense = spark.range(20_000).selectExpr("id as doc_id", "concat('x', repeat('abcdefgh', 60), id) as text", "'en' as lang", "'dense' as source", "500L as n_chars")
+    both = spark.range(20_000, 40_000).selectExpr("id as doc_id", "if(id % 2 = 0, concat('x', repeat('abcdefgh', 60), id), 'some plain words here') as text", "'en' as lang", "'both' as source", "500L as n_chars")
+    drawn = mixing.drawn(dense.unionByName(both)).cache()
+    plan, few = mixing.targets(drawn)
+    plan = mixing.with_plan(plan.withColumn("ranges", F.ceil(F.sqrt("source_rows"))), mixing.shapes(drawn), few)
+    sizes = mixing.placed_in(drawn, plan, few).groupBy("mix_source", "mix_range").count().collect()
+    for source in ("dense", "both"):
+        n = [r["count"] for r in sizes if r["mix_source"] == source]
+        assert sum(n) == 20_000 and len(n) > 100 and max(n) < 2 * 20_000 / len(n)
+
+
+def test_many_sources_are_ranked_by_ranges(spark, corpus, monkeypatch):
+    data = [doc(i, " ".join(["w"] * (i % 7 + 1)), source=f"s{i * 37 % 211:03d}") for i in range(1500)] + [doc(9000, "a b", source=None)]
+    path = corpus(documents=data)
+    few = sorted(map(str, mixing.query(spark, path).collect()))
+    monkeypatch.setattr(mixing, "BROADCAST_SOURCES", 5)
+    assert sorted(map(str, mixing.query(spark, path).collect())) == few
