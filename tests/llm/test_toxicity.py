@@ -57,3 +57,27 @@ def test_scores_are_the_noisy_or_over_all_sentences():
             if z >= toxicity.MATTERS:
                 clean *= 1 - (1 / (1 + math.exp(-toxicity.BIAS - z)) - base) / (1 - base)
         assert abs(toxicity.score_text(model, {}, text)[0] - (1 - clean)) < 1e-12, text
+
+
+def test_query_is_the_trained_model_row_by_row(spark, corpus):
+    """The query's scores against the model fitted on the same rows, sentence by sentence with features() as training takes them."""
+    rows, labels = make()
+    rows += [doc(8000 + i, t) for i, t in enumerate(["you total-grumbler today", "grumbler, grumbler", "(Grumbler!) total", "fine day, today", "TOTAL. grumbler? here", "éé total grumblers", "", None])]
+    labels += [(0, 1, 0), (1, 1, 0), (1, 1, 1)]  # an id with both labels is toxic
+    path = corpus(documents=rows, labels=labels)
+    truth = {i: max(t for k, _, t in labels if k == i) for i in range(400)}
+    docs, known = (spark.read.parquet(f"{path}/{t}.parquet") for t in ("documents", "labels"))
+    sample = toxicity.training_sample(docs.select("doc_id", "text"), known)
+    texts = {r[1]: truth[r[0]] for r in rows if r[0] < 400}
+    assert {r["text"]: r["label"] for r in sample} == {t: y for t, y in texts.items() if t in {r["text"] for r in sample}}
+    assert len(sample) == sum(zlib.crc32(str(r[0]).encode()) % 4 != 2 for r in rows if r[0] < 400)
+    model = toxicity.fit(docs, known)
+    base = 1 / (1 + math.exp(-toxicity.BIAS))
+    by_id = {r[0]: r[1] for r in rows}
+    for r in toxicity.query(spark, path).collect():
+        clean = 1 - model.leak
+        for part in re.split(r"[.!?\n]+", (by_id[r["doc_id"]] or "").lower()):
+            z = sum(model.weights.get(f, 0.0) for f in {f for w in re.findall(r"\w+", part) for f in toxicity.features(w)})
+            if z >= toxicity.MATTERS:
+                clean *= 1 - (1 / (1 + math.exp(-toxicity.BIAS - z)) - base) / (1 - base)
+        assert abs(r["score"] - (1 - clean)) < 1e-9 and r["predicted"] == int(r["score"] >= 0.3)
