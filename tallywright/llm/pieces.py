@@ -16,7 +16,7 @@ which is not always the one greedy merging reaches. Characters outside the
 vocabulary, line feeds and a literal mark are spelt in byte pieces, so decoding
 gives back every text exactly.
 
-Defined cases: a null text has null ids and decodes to null; an empty text has no
+Defined cases: a text without spaces is one word, however long, and is not remembered; a null text has null ids and decodes to null; an empty text has no
 ids; lone surrogates cannot occur in Spark strings; unknown ids raise.
 """
 
@@ -25,8 +25,8 @@ from __future__ import annotations
 import hashlib
 import math
 import re
-from array import array
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -38,17 +38,17 @@ VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 #: Stands for a literal U+2581 while a text is marked: a lone surrogate, which no Spark string holds.
 LITERAL = "\ud800"
-ZIPF, BYTE_SCORE, REMEMBERED = 1000.0, -40.0, 250_000
+ZIPF, BYTE_SCORE, REMEMBERED, LONG = 1000.0, -40.0, 250_000, 64
 CUT = re.compile(f"{SPACE}*[^{SPACE}\n]+|{SPACE}+|\n+")
 
 
 class Vocabulary:
-    """Pieces, their Viterbi scores, and byte pieces, read from a model file with the installed library."""
+    """Pieces, their Viterbi scores, and byte pieces, read from a model file (or its bytes) with the installed library."""
 
-    def __init__(self, path: str = VOCABULARY):
+    def __init__(self, model: str | bytes = VOCABULARY):
         import sentencepiece
 
-        model = sentencepiece.SentencePieceProcessor(model_file=path)
+        model = sentencepiece.SentencePieceProcessor(**({"model_proto": model} if isinstance(model, bytes) else {"model_file": model}))
         self.piece = [model.id_to_piece(i) for i in range(model.get_piece_size())]
         self.bytes = {int(p[3:5], 16): i for i, p in enumerate(self.piece) if model.is_byte(i)}
         self.is_byte = {i: b for b, i in self.bytes.items()}
@@ -64,20 +64,30 @@ class Vocabulary:
         self.longest = max(map(len, self.scores))
         starts = {p[-k:] for p in self.scores for k in range(1, len(p) + 1)}
         self.tails = starts  # every ending of a piece: a suffix outside cannot grow into one
+        spelt = [bytes([self.is_byte[i]]) if i in self.is_byte else p.replace(SPACE, " ").encode() for i, p in enumerate(self.piece)]
+        self.flat, self.sizes = np.frombuffer(b"".join(spelt), np.uint8), np.array([len(x) for x in spelt])
+        self.begins = np.cumsum(self.sizes) - self.sizes
 
     def spell(self, char: str) -> list[int]:
         return [self.bytes[b] for b in (SPACE if char == LITERAL else char).encode()]
 
 
 class Encoder:
-    """Encodes texts batch by batch; keeps the ids of words it has met."""
+    """Encodes texts batch by batch; keeps the ids of words it has met, as bytes, and forgets them when they are many.
+
+    Words of more than LONG characters are kept for their batch alone.
+    """
 
     def __init__(self, vocabulary: Vocabulary):
         self.v, self.known = vocabulary, {}
+        self.kind = np.dtype("<u2" if len(vocabulary.piece) <= 65536 else "<u4")
 
     def marked_words(self, text: str) -> list[str]:
         return CUT.findall(SPACE + text.replace(SPACE, LITERAL).replace(" ", SPACE))
 
+    def ids_of(self, word: str) -> np.ndarray:
+        return np.frombuffer(self.known[word], self.kind)
+
     def learn(self, words: set[str]) -> None:
         """Walk the sorted words depth-first; scores[k] is the best of the first k characters."""
         if len(self.known) + len(words) > REMEMBERED:
@@ -112,23 +122,18 @@ class Encoder:
                 else:
                     ids.extend(reversed(self.v.spell(word[start])))
                 at = start
-            known[word] = array("H" if len(self.v.piece) <= 65536 else "I", reversed(ids))
+            known[word] = np.array(ids[::-1], self.kind).tobytes()
             before = word
 
     def encode(self, texts: list) -> list:
         """Ids of each text, None for None."""
         cut = [self.marked_words(t) if t else [] for t in texts]
-        words = set().union(*map(set, cut)) if cut else set()
+        words = set().union(*cut) if cut else set()
         self.learn(words)
-        out = []
-        for t, ws in zip(texts, cut, strict=True):
-            if t is None:
-                out.append(None)
-                continue
-            ids = array("H" if len(self.v.piece) <= 65536 else "I")
-            for w in ws:
-                ids.extend(self.known[w])
-            out.append(ids)
+        out = [None if t is None else np.frombuffer(b"".join(map(self.known.__getitem__, ws)), self.kind) for t, ws in zip(texts, cut, strict=True)]
+        for w in words:
+            if len(w) > LONG:
+                del self.known[w]
         return out
 
 
@@ -136,21 +141,16 @@ def decode(vocabulary: Vocabulary, ids) -> str | None:
     """The text the ids came from."""
     if ids is None:
         return None
-    out = bytearray()
-    for i in ids:
-        b = vocabulary.is_byte.get(i)
-        if b is None:
-            out += vocabulary.piece[i].replace(SPACE, " ").encode()
-        else:
-            out.append(b)
-    text = out.decode()
+    ids = np.asarray(ids, np.int64)
+    sizes = vocabulary.sizes[ids]
+    ends = np.cumsum(sizes)
+    at = np.arange(ends[-1] if len(ends) else 0) + np.repeat(vocabulary.begins[ids] - ends + sizes, sizes)
+    text = vocabulary.flat[at].tobytes().decode()
     return text[1:] if text.startswith(" ") else text
 
 
 def listed(ids: list) -> pa.Array:
     """Id arrays as one Arrow list column, without an object an id."""
-    import numpy as np
-
     sizes = np.array([0 if x is None else len(x) for x in ids], np.int64)
     values = np.concatenate([np.zeros(0, np.int32), *(np.asarray(x, np.int32) for x in ids if x is not None)])
     ends = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
@@ -158,13 +158,20 @@ def listed(ids: list) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends, pa.int32(), mask=gone), pa.array(values, pa.int32()))
 
 
+def shipped(rows: DataFrame, path: str):
+    """The vocabulary file of the driver, for every executor; such files have a few MB at most."""
+    with open(path, "rb") as file:
+        return rows.sparkSession.sparkContext.broadcast(file.read())
+
+
 def encoded(docs: DataFrame, keep: list[str], path: str = VOCABULARY) -> DataFrame:
     """`keep` columns with ids (array<int>) of `text`. One scan, no shuffle."""
     schema = ", ".join([f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep] + ["ids array<int>"])
     state: dict = {}
+    model = shipped(docs, path)
 
     def run(batch):
-        encoder = state.get("encoder") or state.setdefault("encoder", Encoder(Vocabulary(path)))
+        encoder = state.get("encoder") or state.setdefault("encoder", Encoder(Vocabulary(model.value)))
         ids = encoder.encode(batch.column(batch.schema.get_field_index("text")).to_pylist())
         flat = listed(ids)
         return pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index(c)) for c in keep] + [flat], [*keep, "ids"])
@@ -176,8 +183,10 @@ def decoded(rows: DataFrame, keep: list[str], path: str = VOCABULARY) -> DataFra
     """`keep` columns with the text of `ids`."""
     schema = ", ".join([f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in keep] + ["text string"])
 
+    model = shipped(rows, path)
+
     def run(batches):
-        vocabulary = Vocabulary(path)
+        vocabulary = Vocabulary(model.value)
         for batch in batches:
             texts = [decode(vocabulary, x) for x in batch.column(batch.schema.get_field_index("ids")).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index(c)) for c in keep] + [pa.array(texts, pa.string())], [*keep, "text"])
@@ -191,18 +200,17 @@ DIGEST = "doc_id long, n_pieces long, ids_sha256 string, text_sha256 string, dec
 def digest(docs: DataFrame, path: str = VOCABULARY) -> DataFrame:
     """Number of pieces, digests of the ids (little-endian 32-bit), of the text and of what the ids decode to."""
     state: dict = {}
+    model = shipped(docs, path)
 
     def run(batch):
-        import numpy as np
-
-        encoder = state.get("encoder") or state.setdefault("encoder", Encoder(Vocabulary(path)))
+        encoder = state.get("encoder") or state.setdefault("encoder", Encoder(Vocabulary(model.value)))
         texts = batch.column(batch.schema.get_field_index("text")).to_pylist()
         sha = lambda b: None if b is None else hashlib.sha256(b).hexdigest()
         n, by_ids, by_text, by_decoded = [], [], [], []
         for t, ids in zip(texts, encoder.encode(texts), strict=True):
             back = decode(encoder.v, ids)
             n.append(None if ids is None else len(ids))
-            by_ids.append(None if ids is None else sha(np.array(ids, "<u4").tobytes()))
+            by_ids.append(None if ids is None else sha(ids.astype("<u4").tobytes()))
             by_text.append(None if t is None else sha(t.encode()))
             by_decoded.append(None if back is None else sha(back.encode()))
         columns = [batch.column(batch.schema.get_field_index("doc_id")), pa.array(n, pa.int64()), *(pa.array(x, pa.string()) for x in (by_ids, by_text, by_decoded))]
