@@ -128,16 +128,16 @@ def buffers(texts: list):
 
 
 def probes(h: np.ndarray, in_cell: int) -> tuple[np.ndarray, np.ndarray]:
-    """Cell of each hash and its bits there (PROBES rows)."""
-    cell = (h >> np.uint64(64 - CELL_BITS)).astype(np.int64)
+    """Cell of each hash and its bits there (PROBES rows). Anchors are least hashes, so their leading bits are no guide."""
+    cell = (h & np.uint64((1 << CELL_BITS) - 1)).astype(np.int64)
     mask = np.uint64((1 << in_cell) - 1)
-    return cell, np.stack([((h >> np.uint64(in_cell * i)) & mask).astype(np.int64) for i in range(PROBES)])
+    return cell, np.stack([((h >> np.uint64(CELL_BITS + in_cell * i)) & mask).astype(np.int64) for i in range(PROBES)])
 
 
 def filled(hashes: DataFrame) -> np.ndarray:
     """The filter of the written hashes `h`: cells are filled where their hashes meet; the driver gets the cells."""
     in_cell = int(np.clip(np.ceil(np.log2(max(1, hashes.count()) * 16)) - CELL_BITS, IN_CELL, MOST_IN_CELL))
-    cells = hashes.select("h", F.shiftrightunsigned("h", 64 - CELL_BITS).alias("cell")).repartition("cell")
+    cells = hashes.select("h", F.col("h").bitwiseAND(F.lit((1 << CELL_BITS) - 1)).alias("cell")).repartition("cell")
 
     def fill(batches):
         found: dict[int, np.ndarray] = {}
