@@ -3,12 +3,17 @@
 Base spans are fixed rules (email, ip, card, phone), leftmost and non-overlapping
 a kind, a failing match dropped without a retry. High-recall generators propose
 further, overlapping candidates; each becomes a handful of yes/no features of its
-format and context. How often each feature pattern occurs, and how often with a
-base span, is counted over all documents; boosted depth-two trees are fitted to
-those counts (a few thousand at most), and a threshold per kind is calibrated for
-precision on the other half of them. The patterns that pass are applied to every
-candidate by the same expression. No text is shuffled: counting and selecting are
-two scans.
+format and context. The trees learn which candidates lie in base spans with what
+the rules test (an at sign, a leading plus, a checksum, the range of an octet)
+masked, so they must tell by what stands around it: a card with a mistyped digit or
+a phone number without its plus is then taken like those it looks and stands like,
+and a number among order numbers is not. A candidate that meets its rule, but
+lies in no base span (in a longer run of digits, say), is seen unmasked. How often
+each feature pattern occurs, and how often in a base span, is counted over all
+documents; boosted depth-two trees are fitted to those counts (a few thousand at
+most), and a threshold per kind is calibrated for precision on the other half of
+them. The patterns that pass are applied to every candidate by the same expression.
+No text is shuffled: counting and selecting are two scans.
 
 Patterns are written so that Java's matcher neither recurses with the length of a
 run nor rescans it: separators inside digit runs and label dots are first turned
@@ -106,8 +111,17 @@ def passes(kind: str):
     return lambda span: valid(kind, span["hit"])
 
 
-def coded(text: Column, kind: str):
-    return lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"), feature_code(text, s, kind).alias("code"))
+def coded(text: Column, kind: str, masked: bool):
+    return lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"), feature_code(text, s, kind, masked).alias("code"))
+
+
+def meets_rule(kind: str, wanted: bool):
+    """Whether a candidate's format alone does (or does not) pass what its base rule tests."""
+    test = {
+        "email": lambda s: s["hit"].rlike(rf"^[{LOCAL}]+@[{LABEL}]+[.{DOT}]"),
+        "phone": lambda s: s["hit"].startswith("+") & valid("phone", s["hit"]),
+    }.get(kind, lambda s: valid(kind, s["hit"]))
+    return lambda s: F.coalesce(test(s), F.lit(False)) == F.lit(wanted)
 
 
 def of_kind(i: int):
@@ -138,25 +152,24 @@ def base_spans(text: Column) -> Column:
     return F.concat(*lists)
 
 
-def feature_code(text: Column, span: Column, kind: str) -> Column:
-    """The candidate's yes/no features as one small integer."""
+def feature_code(text: Column, span: Column, kind: str, masked: bool) -> Column:
+    """The candidate's yes/no features as one small integer; masked, those that its base rule tests are hidden."""
     hit = span["hit"]
     d = digits(hit)
     before, after = F.substring(text, span["start"], F.lit(1)), F.substring(text, span["end"] + 1, F.lit(1))
     ahead = F.substring(text, F.greatest(span["start"] - 19, F.lit(1)), F.least(span["start"], F.lit(20)))
     canonical = {
-        "email": hit.rlike(rf"^[{LOCAL}]+@[{LABEL}{DOT}.]+[.{DOT}][A-Za-z]{{2,6}}$"),
-        "ip": F.lit(True),
+        "email": hit.rlike(rf"^[{LOCAL}]+(?:@|\x20?[\[(]at[\])]\x20?)[{LABEL}{DOT}.]+[.{DOT}][A-Za-z]{{2,6}}$"),
+        "ip": ~hit.rlike(rf"(?:^|[.{DOT}])0[0-9]"),
         "card": F.length(d) == 16,
         "phone": F.length(d).between(10, 12),
     }[kind]
-    own = {"email": hit.rlike(rf"^[{LOCAL}]+@[{LABEL}]+[.{DOT}]"), "ip": valid("ip", hit), "card": valid("card", hit), "phone": valid("phone", hit)}[kind]
+    hidden = [F.lit(True), F.lit(False)] if masked else [F.lit(False), hit.startswith("+")]
     tests = [
-        own,
+        *hidden,
         (span["start"] == 0) | before.rlike(r"^[\s(\[<\"':=,;]$"),
         (after == "") | after.rlike(r"^[\s)\]>\"':,;.!?]$"),
         hit.rlike(rf"[\x20().{JOINT}{DOT}-]"),
-        hit.startswith("+"),
         d.rlike("^[3-6]"),
         canonical,
         ahead.rlike(CUES),
@@ -165,12 +178,17 @@ def feature_code(text: Column, span: Column, kind: str) -> Column:
     return sum((F.coalesce(t, F.lit(False)).cast("int") * (1 << i) for i, t in enumerate(tests)), F.lit(KINDS.index(kind) << FEATURES))
 
 
-def candidates(text: Column) -> Column:
-    """Structs (kind, start, end, code) of everything the generators propose."""
+def candidates(text: Column, training: bool = False) -> Column:
+    """Structs (kind, start, end, code) of everything the generators propose.
+
+    A candidate that meets its rule is seen as it is, others with what the rule tests masked.
+    For training every candidate is seen masked, and those that meet their rule a second time.
+    """
     lists = []
     for i, (kind, view) in enumerate(views(text).items()):
         nets = F.coalesce(found(view, LOOSE[kind], i), F.array().cast(NO_SPANS))
-        lists.append(F.transform(nets, coded(text, kind)))
+        lists.append(F.transform(F.filter(nets, meets_rule(kind, True)), coded(text, kind, False)))
+        lists.append(F.transform(nets if training else F.filter(nets, meets_rule(kind, False)), coded(text, kind, True)))
     return F.concat(*lists)
 
 
@@ -244,7 +262,7 @@ def fit(docs: DataFrame) -> list[int]:
     """Counts every candidate's pattern over all documents; the result has at most 2 * 4 * 2 ** FEATURES rows."""
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.select((crc_of_id() % 2).cast("int").alias("half"), text.alias("text")).where(F.col("text").rlike("[0-9]|@|[(\\[]at[)\\]]"))
-    rows = rows.select("half", base_spans(F.col("text")).alias("base"), candidates(F.col("text")).alias("nets"))
+    rows = rows.select("half", base_spans(F.col("text")).alias("base"), candidates(F.col("text"), training=True).alias("nets"))
     one = F.explode(F.transform("nets", lambda s: F.struct(s["code"].alias("code"), within(s, F.col("base")).cast("int").alias("hit"))))
     flat = rows.select("half", one.alias("one")).select("half", "one.code", "one.hit")
     return accepted_codes([tuple(r) for r in flat.groupBy("code", "half").agg(F.count(F.lit(1)), F.sum("hit")).collect()])

@@ -74,6 +74,38 @@ def test_trees_add_cards_inside_longer_runs(spark, corpus):
     assert all(s in brute(t) for i, t in enumerate(texts) if t.startswith("order") for s in filter(None, out[i]["spans"].split(",")))
 
 
+def test_trees_add_what_the_rules_miss(spark, corpus):
+    """A mistyped card, a phone without its plus and a spelt-out at sign, where such data stand; none of the numbers elsewhere."""
+    rng = random.Random(3)
+
+    def digits_(n):
+        return "".join(rng.choices("0123456789", k=n))
+
+    def card():
+        d = "4" + digits_(14)
+        return next(d + c for c in "0123456789" if luhn(d + c))
+
+    texts = [f"pay with card {card()} please" for _ in range(150)] + [f"call +1 ({rng.randrange(200, 999)}) 555-{digits_(4)} now" for _ in range(150)] + [f"mail ann{digits_(3)}@host{digits_(1)}.org today" for _ in range(150)]
+    texts += [f"order {digits_(16)} of item {digits_(7)}" for _ in range(150)] + [f"version {rng.randrange(9)}.{rng.randrange(9)} has {digits_(3)} {digits_(3)} {digits_(4)} lines" for _ in range(150)]
+    wrong = card()
+    wrong = wrong[:-1] + str((int(wrong[-1]) + 5) % 10)
+    extra = [f"pay with card {wrong} please", "call 1 (741) 555-3069 now", "mail ann123 [at] host1.org today", f"order {wrong} of item 1"]
+    out = {r["doc_id"]: r for r in pii.query(spark, corpus(documents=[doc(i, t) for i, t in enumerate(texts + extra)])).collect()}
+    n = len(texts)
+    assert out[n]["spans"] == "card:14:30" and out[n]["n_card"] == 0
+    assert "phone:" in out[n + 1]["spans"] and out[n + 1]["n_phone"] == 0
+    assert out[n + 2]["spans"] == "email:5:26" and out[n + 2]["n_email"] == 0
+    assert out[n + 3]["spans"] == ""
+    for i, t in enumerate(texts[450:], 450):
+        assert [x for x in filter(None, out[i]["spans"].split(","))] == brute(t), t
+
+
+def test_extra_columns_with_clashing_names(spark, corpus):
+    docs = spark.createDataFrame([(1, "mail a@b.com", "x", 3)], "doc_id long, text string, spans string, base int")
+    out = pii.detect(docs, [], ["doc_id"]).collect()
+    assert [len(r["spans"]) for r in out] == [1]
+
+
 def test_stage_redacts_and_keeps_every_document(spark, corpus):
     path = corpus(documents=[doc(1, "mail a@b.com or 8.8.8.8!"), doc(2, None), doc(3, ""), doc(4, "é plain"), doc(None, "a@b.cd")])
     got = {r["doc_id"]: r for r in pii.stage(spark, spark.read.parquet(f"{path}/documents.parquet"), path).collect()}
