@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallywright.functions import fixed
@@ -153,5 +153,11 @@ def categories_named(categories: list[str], *texts: Column) -> Column:
     return F.filter(F.array(*[F.lit(c) for c in categories]), lambda c: F.contains(joined, c))
 
 
+def instant(rows: DataFrame, name: str) -> Column:
+    """A column as a timestamp: as it is where it has a type of time, else parsed; null where it is neither."""
+    kind = rows.schema[name].dataType.typeName()
+    return F.col(name).cast("timestamp") if kind in ("timestamp", "timestamp_ntz", "date") else F.try_to_timestamp(F.col(name).cast("string"))
+
+
 def month(timestamp: Column) -> Column:
     return F.date_format(F.try_to_timestamp(timestamp), "yyyy-MM")

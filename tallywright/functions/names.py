@@ -44,6 +44,11 @@ def family(name: Column, affixes=fixed.FAMILY_AFFIXES, least: int = 4) -> Column
     return F.when(F.length(stem) < least, low).otherwise(stem)
 
 
+def edit_distance(a: Column, b: Column) -> Column:
+    """Levenshtein distance; case counts."""
+    return F.levenshtein(a, b)
+
+
 def near_misses(names: DataFrame, name: str, real: DataFrame, real_name: str) -> DataFrame:
     """(name, candidate) of every single edit or swap of a name that is not itself real, 2 to 60 characters long."""
     at = F.explode(F.sequence(F.lit(0), F.length("name"))).alias("i")

@@ -7,36 +7,37 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallywright.functions import advisories as A
 from tallywright.functions import names
 
 MOST_DETAILS = 20
 SEVERITIES = ("none", "warning", "severe")
 
 
-def _report(found: DataFrame, detail: Column, name: str, severity: str) -> DataFrame:
-    """Counts every violation; keeps the first twenty details in order."""
+def _report(found: DataFrame, detail: Column, name: str, severity: str, details: bool) -> DataFrame:
+    """Counts every violation; with `details`, which reads the input again, keeps the first twenty in order."""
     rows = found.select(detail.alias("detail"))
-    counted = rows.agg(F.count(F.lit(1)).alias("n"))
-    some = rows.orderBy("detail").limit(MOST_DETAILS).agg(F.sort_array(F.collect_list("detail")).alias("details"))
-    return counted.crossJoin(some).select(F.lit(name).alias("check_name"), F.when(F.col("n") > 0, severity).otherwise("none").alias("severity"), F.col("n").alias("n_violations"), "details")
+    counted = rows.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("check_name"), F.when(F.col("n") > 0, severity).otherwise("none").alias("severity"), F.col("n").alias("n_violations"))
+    if not details:
+        return counted
+    return counted.crossJoin(rows.orderBy("detail").limit(MOST_DETAILS).agg(F.sort_array(F.collect_list("detail")).alias("details")))
 
 
-def shared_ids(train: DataFrame, test: DataFrame, key: str) -> DataFrame:
+def shared_ids(train: DataFrame, test: DataFrame, key: str, details: bool = True) -> DataFrame:
     both = train.select(key).distinct().join(test.select(F.col(key).alias("of")).distinct(), F.col(key) == F.col("of"), "left_semi")
-    return _report(both, F.col(key).cast("string"), "duplicate_leakage", "severe")
+    return _report(both, F.col(key).cast("string"), "duplicate_leakage", "severe", details)
 
 
-def shared_families(train: DataFrame, test: DataFrame, name: str, **rule) -> DataFrame:
+def shared_families(train: DataFrame, test: DataFrame, name: str, details: bool = True, **rule) -> DataFrame:
     key = lambda df: df.select(names.family(F.col(name), **rule).alias("family")).distinct()
-    return _report(key(train).intersect(key(test)), F.col("family"), "name_family_leakage", "warning")
+    return _report(key(train).intersect(key(test)), F.col("family"), "name_family_leakage", "warning", details)
 
 
-def late_features(records: DataFrame, key: str, prediction: str, features: list[str]) -> DataFrame:
+def late_features(records: DataFrame, key: str, prediction: str, features: list[str], details: bool = True) -> DataFrame:
     """Features observed after the prediction; a missing prediction time is a violation, a missing feature time is none."""
-    at = lambda c: F.try_to_timestamp(F.col(c).cast("string"))
-    each = F.array(F.when(F.col(prediction).isNull(), F.lit(f"missing {prediction}")), *[F.when(at(f) > at(prediction), F.lit(f"{f} is after {prediction}")) for f in features])
+    each = F.array(F.when(F.col(prediction).isNull(), F.lit(f"missing {prediction}")), *[F.when(A.instant(records, f) > A.instant(records, prediction), F.lit(f"{f} is after {prediction}")) for f in features])
     found = records.select(F.col(key).cast("string").alias("key"), F.explode(F.filter(each, lambda x: x.isNotNull())).alias("what"))
-    return _report(found, F.concat_ws(": ", "key", "what"), "temporal_leakage", "severe")
+    return _report(found, F.concat_ws(": ", "key", "what"), "temporal_leakage", "severe", details)
 
 
 def label_correlation(records: DataFrame, features: list[str], label: str, threshold: float = 0.9) -> DataFrame:
@@ -53,9 +54,9 @@ def label_correlation(records: DataFrame, features: list[str], label: str, thres
     )
 
 
-def late_documents(records: DataFrame, key: str, seen: str, reported: str) -> DataFrame:
-    found = records.where(F.try_to_timestamp(F.col(seen).cast("string")) > F.try_to_timestamp(F.col(reported).cast("string")))
-    return _report(found, F.col(key).cast("string"), "documentation_version_leakage", "severe")
+def late_documents(records: DataFrame, key: str, seen: str, reported: str, details: bool = True) -> DataFrame:
+    found = records.where(A.instant(records, seen) > A.instant(records, reported))
+    return _report(found, F.col(key).cast("string"), "documentation_version_leakage", "severe", details)
 
 
 def all_checks(*reports: DataFrame) -> DataFrame:

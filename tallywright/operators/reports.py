@@ -142,10 +142,15 @@ def packages_per_reporter_set(records: DataFrame) -> DataFrame:
 
 def per_day(records: DataFrame, at: str, start: str) -> DataFrame:
     """day (from `start`; -1 stands for all before), n."""
-    day = F.datediff(F.try_to_timestamp(F.col(at).cast("string")), F.lit(start).cast("date"))
+    day = F.datediff(A.instant(records, at), F.lit(start).cast("date"))
     return records.select(F.when(day.isNotNull(), F.greatest(day, F.lit(-1))).alias("day")).where("day is not null").groupBy("day").agg(F.count(F.lit(1)).alias("n"))
 
 
+def per_month(records: DataFrame, at: str, *by: str) -> DataFrame:
+    """month (yyyy-MM; null where there is no time), n, by further columns."""
+    return records.groupBy(F.date_format(A.instant(records, at), "yyyy-MM").alias("month"), *by).agg(F.count(F.lit(1)).alias("n"))
+
+
 def source_agreement(records: DataFrame) -> DataFrame:
     """ghsa, osv, n: packages with records of both, by whether any of each is positive."""
     one = records.groupBy("ecosystem", "package_name").agg(F.bool_or(F.when(F.col("source") == "ghsa", F.col("outcome"))).alias("ghsa"), F.bool_or(F.when(F.col("source") == "osv", F.col("outcome"))).alias("osv"))

@@ -28,8 +28,8 @@ def draw(frame: DataFrame, stratum: str, key: str, n: int, seed: int = 20260927)
     """
     sizes = frame.groupBy(stratum).agg(F.count(F.lit(1)).alias("n_rows"))
     shares = allocate(sizes, stratum, "n_rows", n).select(F.col("stratum").alias("of_stratum"), "allotted")
-    turn = F.xxhash64(F.lit(seed), F.col(key).cast("string"))
-    rows = frame.withColumn("turn", turn).withColumn("bin", F.shiftright("turn", 52))
+    turn = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string"))), 1, 15), 16, 10).cast("long")
+    rows = frame.withColumn("turn", turn).withColumn("bin", F.shiftright("turn", 48))
     bins = rows.groupBy(stratum, "bin").agg(F.count(F.lit(1)).alias("k"))
     upto = F.sum("k").over(Window.partitionBy(stratum).orderBy("bin")) - F.col("k")
     last = bins.withColumn("before", upto).join(F.broadcast(shares), F.col(stratum) == F.col("of_stratum")).where(F.col("before") < F.col("allotted")).groupBy("of_stratum", "allotted").agg(F.max("bin").alias("last_bin"))

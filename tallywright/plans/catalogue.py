@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tallywright.functions import advisories as A
 from tallywright.functions import inference, names
-from tallywright.operators import collapse, labelling, leakage, sampling, tables
+from tallywright.operators import collapse, labelling, leakage, reports, sampling, tables
 from tallywright.session import table
 
 QUERIES: dict = {}
@@ -140,7 +140,10 @@ def label_summary(spark, sf_dir):
     return labelling.summary(d).withColumn("rate", F.round("rate", 9))
 
 
-@register("negation_drops_by_cue")
+@register("negation_drops_by_cue", f"""WITH h AS ({_HITS}), s AS (SELECT p.s::INTEGER AS s, text FROM h), d AS (SELECT s, text FROM s WHERE CASE
+  WHEN s > 40 THEN regexp_matches(substr(text, s - 40, 41), '(?is)\\A.(?:[^;.]*[;.])*[^;.]*?\\b(?:the|and)\\b[^;.]*\\z')
+  ELSE regexp_matches(substr(text, 1, s), '(?is)\\A(?:[^;.]*[;.])*[^;.]*?\\b(?:the|and)\\b[^;.]*\\z') END)
+SELECT regexp_extract_all(lower(substr(text, greatest(s - 39, 1), least(s, 40))), '\\b(?:the|and)\\b')[-1] AS cue, count(*) AS n FROM d GROUP BY cue""")
 def negation_drops_by_cue(spark, sf_dir):
     return labelling.negation_drops(table(spark, sf_dir, "documents"), "text", TAXONOMY, labelling.ASCII, cues=CUES, breaks=BREAKS)
 
@@ -173,7 +176,7 @@ def name_families(spark, sf_dir):
 
 @register("edit_distances", "SELECT p_partkey, levenshtein(lower(p_name), lower(p_type))::INTEGER AS distance FROM part")
 def edit_distances(spark, sf_dir):
-    return table(spark, sf_dir, "part").select("p_partkey", F.levenshtein(F.lower("p_name"), F.lower("p_type")).alias("distance"))
+    return table(spark, sf_dir, "part").select("p_partkey", names.edit_distance(F.lower("p_name"), F.lower("p_type")).alias("distance"))
 
 
 @register("near_miss_names", f"""WITH b AS (SELECT DISTINCT n_name AS name, unnest(range(0, length(n_name) + 1)) AS i FROM nation), l AS (SELECT b.*, c FROM b, unnest(string_split('{names.ALPHABET}', '')) u(c)),
@@ -187,19 +190,19 @@ def near_miss_names(spark, sf_dir):
 
 
 def advisories(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents dressed as advisory records; `_seq` is the id."""
+    """Documents dressed as advisory records; `_seq` is the id. A package has up to three records, a few have one in fifty."""
     d = table(spark, sf_dir, "documents")
     k = F.col("doc_id")
-    text = F.concat(F.lit("## Source: "), "source", F.lit(" ("), F.md5(k.cast("string")), F.lit(")\n"), F.when(k % 11 == 0, F.concat(F.lit("Campaign: C"), (k % 5).cast("string"), F.lit("\n"))).otherwise(""), F.substring("text", 1, 300))
+    text = F.concat(F.lit("## Source: "), "source", F.lit(" ("), F.md5(k.cast("string")), F.lit(")\n"), F.when(k % 11 == 0, F.concat(F.lit("Campaign: C"), (k % 5).cast("string"), F.lit("\n"))).otherwise(""), F.col("text"))
     return d.select(
-        k.alias("_seq"), F.concat(F.lit("A"), k.cast("string")).alias("advisory_id"), F.when(k % 3 == 0, "osv").otherwise("ghsa").alias("source"), F.concat(F.lit("p"), (k % 400).cast("string")).alias("package_name"), F.col("lang").alias("ecosystem"),
-        F.substring("text", 1, 40).alias("summary"), text.alias("description"), F.when(k % 7 != 0, F.format_string("2026-%02d-%02d", (k % 12 + 1), (k % 28 + 1))).alias("published_at"),
+        k.alias("_seq"), F.concat(F.lit("A"), k.cast("string")).alias("advisory_id"), F.when(k % 3 == 0, "osv").otherwise("ghsa").alias("source"), F.concat(F.lit("p"), F.when(k % 50 == 0, k % 3).otherwise(F.floor(k / 3)).cast("string")).alias("package_name"), F.col("lang").alias("ecosystem"),
+        F.concat_ws(" ", "lang", "source").alias("summary"), text.alias("description"), F.when(k % 7 != 0, F.format_string("2026-%02d-%02d", (k % 12 + 1), (k % 28 + 1))).alias("published_at"),
         F.col("text").rlike(FLAG).alias("grammar_flag"), F.col("text").rlike(OUTCOME).alias("outcome"), A.reporters(text).alias("reporters"),
     )
 
 
-RECORDS = f"""r AS (SELECT doc_id AS seq, 'A' || doc_id AS advisory_id, CASE WHEN doc_id % 3 = 0 THEN 'osv' ELSE 'ghsa' END AS source, 'p' || (doc_id % 400) AS package_name, lang AS ecosystem,
-  '## Source: ' || source || ' (' || md5(doc_id::VARCHAR) || ')' || chr(10) || CASE WHEN doc_id % 11 = 0 THEN 'Campaign: C' || (doc_id % 5) || chr(10) ELSE '' END || substr(text, 1, 300) AS description, source AS reporter, substr(text, 1, 300) AS body,
+RECORDS = f"""r AS (SELECT doc_id AS seq, 'A' || doc_id AS advisory_id, CASE WHEN doc_id % 3 = 0 THEN 'osv' ELSE 'ghsa' END AS source, 'p' || CASE WHEN doc_id % 50 = 0 THEN doc_id % 3 ELSE doc_id // 3 END AS package_name, lang AS ecosystem,
+  '## Source: ' || source || ' (' || md5(doc_id::VARCHAR) || ')' || chr(10) || CASE WHEN doc_id % 11 = 0 THEN 'Campaign: C' || (doc_id % 5) || chr(10) ELSE '' END || text AS description, source AS reporter,
   CASE WHEN doc_id % 7 <> 0 THEN printf('2026-%02d-%02d', doc_id % 12 + 1, doc_id % 28 + 1) END AS published_at, regexp_matches(text, '{FLAG}') AS grammar_flag, regexp_matches(text, '{OUTCOME}') AS outcome FROM documents)"""
 
 
@@ -216,7 +219,8 @@ def dedup_exact(spark, sf_dir):
 
 @register("canonical_records", f"WITH {RECORDS}, k AS (SELECT *, row_number() OVER (PARTITION BY ecosystem, package_name ORDER BY source <> 'osv', published_at IS NULL, coalesce(published_at, ''), seq) AS k FROM r) SELECT ecosystem, package_name, advisory_id, source, outcome FROM k WHERE k = 1")
 def canonical_records(spark, sf_dir):
-    return collapse.canonical(advisories(spark, sf_dir), ["ecosystem", "package_name"], "osv").select("ecosystem", "package_name", "advisory_id", "source", "outcome")
+    slim = advisories(spark, sf_dir).select("ecosystem", "package_name", "advisory_id", "source", "outcome", "published_at", "_seq")
+    return collapse.canonical(slim, ["ecosystem", "package_name"], "osv").drop("published_at", "_seq")
 
 
 @register("source_disagreement", f"""WITH {RECORDS}, g AS (SELECT ecosystem, package_name, outcome, row_number() OVER (PARTITION BY ecosystem, package_name ORDER BY published_at IS NULL, coalesce(published_at, ''), seq) AS k FROM r WHERE source = 'ghsa'),
@@ -240,7 +244,17 @@ def campaigns(spark, sf_dir):
 MERGES = [{"id": "one", "ecosystem": "en", "packages": ["p1", "p2", "p5"], "reason": "same names"}, {"id": "two", "ecosystem": "en", "packages": ["p5", "p6"], "reason": "chained"}]
 
 
-@register("merged_campaigns")
+def _merged_sql() -> str:
+    """Each merge as one more step over the campaigns before it."""
+    steps, last = ["c0 AS (SELECT ecosystem, signature, first_seq, member_count, string_split(members, ';') AS members, outcome FROM c)"], "c0"
+    for i, m in enumerate(MERGES, 1):
+        group = f"CASE WHEN ecosystem = '{m['ecosystem']}' AND list_has_any(members, {m['packages']!r}) THEN '__merge__:{m['id']}' ELSE signature END"
+        steps.append(f"c{i} AS (SELECT ecosystem, arg_min(signature, first_seq) AS signature, min(first_seq) AS first_seq, sum(member_count)::BIGINT AS member_count, flatten(list(members ORDER BY first_seq)) AS members, bool_or(outcome) AS outcome FROM {last} GROUP BY ecosystem, {group})")
+        last = f"c{i}"
+    return f"WITH {RECORDS}, {_PACKAGES}, {', '.join(steps)} SELECT ecosystem, first_seq, member_count, array_to_string(members, ';') AS members, outcome FROM {last}"
+
+
+@register("merged_campaigns", _merged_sql())
 def merged_campaigns(spark, sf_dir):
     return collapse.apply_merges(collapse.collapse(advisories(spark, sf_dir)), MERGES).select("ecosystem", F.col("_seq").alias("first_seq"), "member_count", F.array_join("members", ";").alias("members"), "outcome")
 
@@ -250,7 +264,11 @@ def campaign_sizes(spark, sf_dir):
     return tables.size_distribution(collapse.collapse(advisories(spark, sf_dir)), "member_count", "ecosystem")
 
 
-@register("campaign_table")
+@register("campaign_table", f"""WITH {RECORDS}, {_PACKAGES}, w AS (SELECT ecosystem, package_name, CASE WHEN tag <> '' THEN '__campaign__:' || tag ELSE substr(trim(bare, ' ' || chr(10) || chr(9)), 1, 200) END AS signature FROM k),
+n AS (SELECT w.ecosystem, w.signature, count(DISTINCT r.reporter)::INTEGER AS n_reporters FROM w JOIN r ON r.ecosystem = w.ecosystem AND r.package_name = w.package_name GROUP BY ALL)
+SELECT 'C' || CASE WHEN row_number() OVER (ORDER BY first_seq) < 1000 THEN printf('%03d', row_number() OVER (ORDER BY first_seq)) ELSE (row_number() OVER (ORDER BY first_seq))::VARCHAR END AS campaign_id, c.ecosystem,
+  CASE WHEN c.signature LIKE '\\_\\_campaign%' ESCAPE '\\' THEN 'campaign_tag' ELSE 'text_prefix' END AS signature_type, member_count AS n_members, members, grammar_flag::INTEGER AS grammar_flag, outcome::INTEGER AS dv, n_reporters, 0 AS has_kam193, 0 AS has_amazon_inspector, 0 AS has_boilerplate
+FROM c JOIN n ON n.ecosystem = c.ecosystem AND n.signature = c.signature""")
 def campaign_table(spark, sf_dir):
     return collapse.campaign_table(collapse.collapse(advisories(spark, sf_dir)))
 
@@ -289,7 +307,8 @@ def sample_allocation(spark, sf_dir):
     return sampling.allocate(table(spark, sf_dir, "documents").groupBy("lang").agg(F.count(F.lit(1)).alias("n")), "lang", "n", 60)
 
 
-@register("stratified_sample")
+@register("stratified_sample", f"""WITH {_SIZES}, n AS (SELECT stratum, whole + CASE WHEN row_number() OVER (ORDER BY rest DESC, stratum) <= 60 - sum(whole) OVER () THEN 1 ELSE 0 END AS allotted FROM w),
+t AS (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY ('0x' || substr(md5('20260927:' || doc_id), 1, 15))::BIGINT, doc_id) AS k FROM documents) SELECT doc_id, lang FROM t JOIN n ON n.stratum = t.lang WHERE k <= allotted""")
 def stratified_sample(spark, sf_dir):
     return sampling.draw(table(spark, sf_dir, "documents").select("doc_id", "lang"), "lang", "doc_id", 60)
 
@@ -297,20 +316,20 @@ def stratified_sample(spark, sf_dir):
 @register("leakage_shared_ids", "WITH s AS (SELECT md5(text) AS k, doc_id % 5 = 0 AS held FROM documents) SELECT 'duplicate_leakage' AS check_name, CASE WHEN count(*) > 0 THEN 'severe' ELSE 'none' END AS severity, count(*) AS n_violations FROM (SELECT k FROM s GROUP BY k HAVING bool_or(held) AND bool_or(NOT held))")
 def leakage_shared_ids(spark, sf_dir):
     d = table(spark, sf_dir, "documents").select(F.md5("text").alias("k"), (F.col("doc_id") % 5 == 0).alias("held"))
-    return leakage.shared_ids(d.where("not held"), d.where("held"), "k").drop("details")
+    return leakage.shared_ids(d.where("not held"), d.where("held"), "k", details=False)
 
 
 @register("leakage_families", f"WITH p AS (SELECT replace(lower(p_name), ' ', '-') AS low, p_partkey % 5 = 0 AS held FROM part), s AS (SELECT held, low, trim({_STEM}, '-_.') AS stem FROM p), f AS (SELECT held, CASE WHEN length(stem) < 4 THEN low ELSE stem END AS k FROM s) SELECT 'name_family_leakage' AS check_name, CASE WHEN count(*) > 0 THEN 'warning' ELSE 'none' END AS severity, count(*) AS n_violations FROM (SELECT k FROM f GROUP BY k HAVING bool_or(held) AND bool_or(NOT held))")
 def leakage_families(spark, sf_dir):
     p = table(spark, sf_dir, "part").select(F.replace(F.col("p_name"), F.lit(" "), F.lit("-")).alias("n"), (F.col("p_partkey") % 5 == 0).alias("held"))
-    return leakage.shared_families(p.where("not held"), p.where("held"), "n", affixes=_AFFIXES).drop("details")
+    return leakage.shared_families(p.where("not held"), p.where("held"), "n", details=False, affixes=_AFFIXES)
 
 
 @register("leakage_late_features", "SELECT 'temporal_leakage' AS check_name, CASE WHEN count(*) > 0 THEN 'severe' ELSE 'none' END AS severity, count(*) AS n_violations FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_shipdate > o_orderdate")
 def leakage_late_features(spark, sf_dir):
     li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_shipdate")
     o = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate")
-    return leakage.late_features(li.join(o, F.col("l_orderkey") == F.col("o_orderkey")), "l_orderkey", "o_orderdate", ["l_shipdate"]).drop("details")
+    return leakage.late_features(li.join(o, F.col("l_orderkey") == F.col("o_orderkey")), "l_orderkey", "o_orderdate", ["l_shipdate"], details=False)
 
 
 @register("leakage_label_correlation", f"WITH {MARKED}, c AS (SELECT abs(corr(toxic::DOUBLE, outcome::INT::DOUBLE)) AS r1, abs(corr(quality::DOUBLE, outcome::INT::DOUBLE)) AS r2, abs(corr((toxic * 2 + 1)::DOUBLE, toxic::DOUBLE)) AS r3 FROM m) SELECT 'label_leakage_correlation' AS check_name, CASE WHEN r3 >= 0.9 THEN 'warning' ELSE 'none' END AS severity, ((r3 >= 0.9)::INT + 0)::BIGINT AS n_violations FROM c")
@@ -322,31 +341,28 @@ def leakage_label_correlation(spark, sf_dir):
 @register("leakage_late_documents", "SELECT 'documentation_version_leakage' AS check_name, CASE WHEN count(*) > 0 THEN 'severe' ELSE 'none' END AS severity, count(*) AS n_violations FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE o_orderdate > l_shipdate")
 def leakage_late_documents(spark, sf_dir):
     li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_shipdate")
-    return leakage.late_documents(li.join(table(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey")), "l_orderkey", "o_orderdate", "l_shipdate").drop("details")
+    return leakage.late_documents(li.join(table(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey")), "l_orderkey", "o_orderdate", "l_shipdate", details=False)
 
 
 @register("records_by_month", f"WITH {RECORDS} SELECT substr(coalesce(published_at, ''), 1, 7) AS month, source, count(*) AS n FROM r GROUP BY ALL")
 def records_by_month(spark, sf_dir):
-    return advisories(spark, sf_dir).groupBy(F.substring(F.coalesce("published_at", F.lit("")), 1, 7).alias("month"), "source").agg(F.count(F.lit(1)).alias("n"))
+    return reports.per_month(advisories(spark, sf_dir), "published_at", "source").withColumn("month", F.coalesce("month", F.lit("")))
 
 
 @register("records_by_day", "SELECT CASE WHEN ts < TIMESTAMP '2024-01-01' THEN -1 ELSE date_diff('day', TIMESTAMP '2024-01-01', ts) END::INTEGER AS day, count(*) AS n FROM events GROUP BY day")
 def records_by_day(spark, sf_dir):
-    start = F.lit("2024-01-01").cast("date")
-    e = table(spark, sf_dir, "events").select(F.greatest(F.datediff("ts", start), F.lit(-1)).alias("day"))
-    return e.groupBy("day").agg(F.count(F.lit(1)).alias("n"))
+    return reports.per_day(table(spark, sf_dir, "events"), "ts", "2024-01-01")
 
 
 @register("top_tokens", f"WITH p AS (SELECT {_PARTS} AS parts FROM part), t AS (SELECT unnest(parts) AS token FROM p) SELECT token, count(*) AS n FROM t GROUP BY token ORDER BY n DESC, token LIMIT 15")
 def top_tokens(spark, sf_dir):
     p = table(spark, sf_dir, "part").select(F.explode(names.parts(F.replace(F.col("p_name"), F.lit(" "), F.lit("-")))).alias("token"))
-    return p.groupBy("token").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "token").limit(15)
+    return reports.top(p.groupBy("token").agg(F.count(F.lit(1)).alias("n")), F.desc("n"), 15, "token")
 
 
 @register("reporter_combinations", f"WITH {RECORDS}, s AS (SELECT ecosystem, package_name, string_agg(DISTINCT reporter, '+' ORDER BY reporter) AS reporters FROM r GROUP BY ALL) SELECT reporters, count(*) AS n FROM s GROUP BY reporters")
 def reporter_combinations(spark, sf_dir):
-    sets = advisories(spark, sf_dir).select("ecosystem", "package_name", F.explode("reporters").alias("r")).distinct().groupBy("ecosystem", "package_name").agg(F.array_join(F.sort_array(F.collect_list("r")), "+").alias("reporters"))
-    return sets.groupBy("reporters").agg(F.count(F.lit(1)).alias("n"))
+    return reports.packages_per_reporter_set(advisories(spark, sf_dir))
 
 
 @register("rank_sum", f"WITH {MARKED}, v AS (SELECT flag, toxic + quality AS x FROM m WHERE toxic IS NOT NULL), c AS (SELECT x, count(*) FILTER (WHERE flag) AS k1, count(*) AS k FROM v GROUP BY x), r AS (SELECT *, coalesce(sum(k) OVER (ORDER BY x ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + (k + 1) / 2 AS rank FROM c) SELECT sum(k1)::BIGINT AS n1, (sum(k) - sum(k1))::BIGINT AS n2, (sum(k1 * rank) - sum(k1) * (sum(k1) + 1) / 2)::DOUBLE AS u FROM r")
@@ -357,8 +373,9 @@ def rank_sum(spark, sf_dir):
 
 @register("corrected_rows", f"WITH {MARKED} SELECT flag, count(*) FILTER (WHERE outcome) AS positives, count(*) FILTER (WHERE NOT outcome) AS negatives, round(count(*) FILTER (WHERE outcome) * 0.9 + count(*) FILTER (WHERE NOT outcome) * 0.1, 9)::DOUBLE AS true_positives FROM m GROUP BY flag")
 def corrected_rows(spark, sf_dir):
-    t = marked_documents(spark, sf_dir).groupBy("flag").agg(F.count_if("outcome").alias("positives"), F.count_if(~F.col("outcome")).alias("negatives"))
-    return t.withColumn("true_positives", F.round(F.col("positives") * F.lit(0.9) + F.col("negatives") * F.lit(0.1), 9))
+    a, b, c, d = tables.collected(tables.contingency(marked_documents(spark, sf_dir), F.col("flag"), F.col("outcome")))[()]
+    (yes, _), (no, _) = inference.corrected_table([(a, b), (c, d)], 0.9, 0.1)
+    return spark.createDataFrame([(True, a, b, round(yes, 9)), (False, c, d, round(no, 9))], "flag boolean, positives long, negatives long, true_positives double").where("positives + negatives > 0")
 
 
 @register("unfinished_items", "SELECT o_orderkey FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R')")
@@ -371,10 +388,12 @@ def unfinished_items(spark, sf_dir):
 
 @register("categories_per_unit", "WITH f AS (SELECT lang, source, " + ", ".join(f"bool_or({v}) AS {c}" for c, v in _ANY.items()) + " FROM documents GROUP BY lang, source), u AS (" + " UNION ALL ".join(f"SELECT lang, '{c}' AS category FROM f WHERE {c}" for c in _ANY) + ") SELECT lang, category, count(*) AS n_units FROM u GROUP BY ALL")
 def categories_per_unit(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").select("lang", "source", *[v.alias(c) for c, v in labelling.flags(F.col("text"), TAXONOMY, labelling.ASCII).items()])
-    units = d.groupBy("lang", "source").agg(*[F.bool_or(c).alias(c) for c in TAXONOMY])
-    each = units.select("lang", F.explode(F.array(*[F.when(F.col(c), F.lit(c)) for c in TAXONOMY])).alias("category")).where("category is not null")
-    return each.groupBy("lang", "category").agg(F.count(F.lit(1)).alias("n_units"))
+    marks = labelling.flags(F.col("text"), TAXONOMY, labelling.ASCII)
+    found = F.array_compact(F.array(*[F.when(v, F.lit(c)) for c, v in marks.items()]))
+    d = table(spark, sf_dir, "documents").select(F.col("lang").alias("ecosystem"), F.col("source").alias("package_name"), found.alias("categories"), "doc_id")
+    units = d.groupBy("ecosystem", "package_name").agg(F.min("doc_id").alias("_seq"), F.bool_or(F.size("categories") > 0).alias("outcome"))
+    units = units.select("ecosystem", F.col("package_name").alias("signature"), "_seq", F.array("package_name").alias("members"), F.lit(False).alias("grammar_flag"), "outcome")
+    return reports.campaigns_per_category(units, d).select(F.col("ecosystem").alias("lang"), "category", F.col("n").alias("n_units"))
 
 
 @register("token_reporters", f"WITH {RECORDS}, p AS (SELECT ecosystem, package_name, count(DISTINCT reporter) AS k FROM r GROUP BY ALL) SELECT ecosystem, CASE WHEN k >= 2 THEN '2+' ELSE k::VARCHAR END AS stratum, count(*) AS n FROM p GROUP BY ALL")
@@ -408,7 +427,7 @@ def power_grid(spark, sf_dir):
 @register("uncertain_correction")
 def uncertain_correction(spark, sf_dir):
     a, b, c, d = tables.collected(tables.contingency(marked_documents(spark, sf_dir), F.col("flag"), F.col("outcome")))[()]
-    r = tables.uncertain_correction(spark, [(a, b), (c, d)], (55, 60), (17, 40), draws=4000)
+    r = tables.uncertain_correction(spark, [(a, b), (c, d)], (55, 60), (17, 40), draws=20_000)
     return _one_row(spark, {"median_or": r["median_or"], "lo": r["interval_95"][0], "hi": r["interval_95"][1]})
 
 
