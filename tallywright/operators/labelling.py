@@ -81,3 +81,11 @@ def negation_drops(records: DataFrame, text: str, taxonomy=fixed.MECHANISMS, mod
     before = F.substring("whole", F.greatest(F.col("m.start") - rule.get("window", fixed.NEGATION_WINDOW) + 1, F.lit(1)), F.least(F.col("m.start"), F.lit(rule.get("window", fixed.NEGATION_WINDOW))))
     last = F.element_at(F.regexp_extract_all(F.lower(before), F.lit(rf"{mode}\b(?:{'|'.join(cues)})\b"), F.lit(0)), -1)
     return dropped.select(last.alias("cue")).groupBy("cue").agg(F.count(F.lit(1)).alias("n"))
+
+
+def negation_drops_by_rule(records: DataFrame, text: str, taxonomy=fixed.MECHANISMS, mode: str = UNICODE, cues=fixed.NEGATION_CUES, before: dict | None = None) -> DataFrame:
+    """rule, cue, n: what the present rule drops and what one without breaks dropped, by the cue nearest to the match."""
+    earlier = {"breaks": [r"(?!)"], **(before or {})}
+    now = negation_drops(records, text, taxonomy, mode, cues).withColumn("rule", F.lit("now"))
+    then = negation_drops(records, text, taxonomy, mode, earlier.pop("cues", cues), **earlier).withColumn("rule", F.lit("before"))
+    return then.unionByName(now).select("rule", "cue", "n")

@@ -20,14 +20,25 @@ def allocate(sizes: DataFrame, stratum: str, size: str, n: int) -> DataFrame:
     return base.select("stratum", "size", (F.col("whole") + (rank <= left).cast("long")).alias("allotted"))
 
 
-def draw(frame: DataFrame, stratum: str, key: str, n: int, seed: int = 20260927) -> DataFrame:
+SEED = 20260927
+
+
+def draw(frame: DataFrame, stratum: str, key: str, n: int, seed: int = SEED) -> DataFrame:
     """About-proportional sample of `frame`, all of a stratum where its share is its size.
 
     A draw is the least hashes of a stratum. Hash ranges that cannot hold the draw
     are cut off first, by counts, so that no stratum is sorted whole in one task.
     """
     sizes = frame.groupBy(stratum).agg(F.count(F.lit(1)).alias("n_rows"))
-    shares = allocate(sizes, stratum, "n_rows", n).select(F.col("stratum").alias("of_stratum"), "allotted")
+    return _least(frame, stratum, key, allocate(sizes, stratum, "n_rows", n).select(F.col("stratum").alias("of_stratum"), "allotted"), seed)
+
+
+def draw_each(frame: DataFrame, stratum: str, key: str, counts: dict[str, int], seed: int = SEED) -> DataFrame:
+    """So many rows of each named stratum, all of one that has no more."""
+    return _least(frame, stratum, key, frame.sparkSession.createDataFrame(list(counts.items()), "of_stratum string, allotted long"), seed)
+
+
+def _least(frame: DataFrame, stratum: str, key: str, shares: DataFrame, seed: int) -> DataFrame:
     turn = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string"))), 1, 15), 16, 10).cast("long")
     rows = frame.withColumn("turn", turn).withColumn("bin", F.shiftright("turn", 48))
     bins = rows.groupBy(stratum, "bin").agg(F.count(F.lit(1)).alias("k"))

@@ -11,7 +11,7 @@ import json
 import time
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 GHSA = "array<struct<ghsa_id:string,summary:string,description:string,published_at:string,withdrawn_at:string,severity:string,references:string,vulnerabilities:array<struct<package:struct<name:string,ecosystem:string>>>>>"
@@ -122,8 +122,17 @@ def union_names(terms: dict[str, DataFrame], most: int) -> DataFrame:
 
 
 def jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """Records of JSON lines with a fixed schema; blank lines are skipped; `_seq` is the order in a single file's scan."""
-    return spark.read.schema(schema).json(path).withColumn("_seq", F.monotonically_increasing_id())
+    """Records of JSON lines with a fixed schema; blank lines are skipped; `_seq` follows file names and, in a file, its lines.
+
+    Spark reads a file in blocks that need not come in order; blocks are numbered by file
+    and start (a row a block), and rows counted within theirs.
+    """
+    rows = spark.read.schema(schema).json(path).select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_row"))
+    blocks = rows.groupBy("_file", "_block").agg(F.min("_row").alias("_first"))
+    number = F.row_number().over(Window.orderBy("_file", "_block")) - 1
+    blocks = blocks.select(F.col("_file").alias("_of_file"), F.col("_block").alias("_of_block"), (F.shiftleft(number.cast("long"), 33) - F.col("_first")).alias("_shift"))
+    met = rows.join(F.broadcast(blocks), (F.col("_file") == F.col("_of_file")) & (F.col("_block") == F.col("_of_block")))
+    return met.withColumn("_seq", F.col("_row") + F.col("_shift")).drop("_file", "_block", "_row", "_of_file", "_of_block", "_shift")
 
 
 def name_list(spark: SparkSession, path: str) -> DataFrame:

@@ -5,7 +5,11 @@ from __future__ import annotations
 import hashlib
 import json
 import os
+import platform
+import subprocess
 import tempfile
+from datetime import datetime, timezone
+from importlib import metadata
 from pathlib import Path
 
 from pyspark.sql import DataFrame
@@ -28,15 +32,26 @@ def not_done(items: DataFrame, ledger: DataFrame, key: str = "item_id") -> DataF
     return items.join(done, F.col(key) == F.col("done"), "left_anti")
 
 
+def _exists(spark, path: str) -> bool:
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop)
+
+
 def run_with_ledger(items: DataFrame, step, out: str, ledger: str, key: str = "item_id") -> None:
-    """Run `step` over what the ledger lacks, append its rows, then the ledger's."""
+    """Run `step` over what the ledger lacks, append its rows, then the ledger's.
+
+    A run that ended between the two appends has rows the ledger does not know: where
+    the rows carry `key`, those are taken as done and only their ledger lines follow.
+    """
     spark = items.sparkSession
-    schema = f"{key} {items.schema[key].dataType.simpleString()}, status string"
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(ledger)
-    there = hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop)
-    seen = spark.read.schema(schema).json(ledger) if there else spark.createDataFrame([], schema)
+    kind = items.schema[key].dataType.simpleString()
+    seen = spark.read.schema(f"{key} {kind}, status string").json(ledger) if _exists(spark, ledger) else spark.createDataFrame([], f"{key} {kind}, status string")
     todo = not_done(items, seen, key).persist()
-    step(todo).write.mode("append").json(out)
+    written = step(todo)
+    if key in written.columns and _exists(spark, out):
+        there = spark.read.schema(f"{key} {kind}").json(out).select(F.col(key).alias("there")).where("there is not null").distinct()
+        written = step(todo.join(there, F.col(key) == F.col("there"), "left_anti"))
+    written.write.mode("append").json(out)
     todo.select(key, F.lit("completed").alias("status")).write.mode("append").json(ledger)
     todo.unpersist()
 
@@ -67,3 +82,31 @@ def config_hash(config: dict) -> str:
 
 def manifest(name: str, source: str, version: str, data: bytes, records: int, licence: str, process: str, commit: str = "no-git-repo", **extra) -> dict:
     return {"dataset_name": name, "source": source, "source_version": version, "sha256": hashlib.sha256(data).hexdigest(), "record_count": records, "license": licence, "data_generating_process": process, "git_commit": commit, "extra": extra}
+
+
+def commit_of(folder: str | Path) -> str:
+    """The commit checked out in `folder`, or a word that says there is none."""
+    try:
+        found = subprocess.run(["git", "rev-parse", "HEAD"], cwd=folder, capture_output=True, text=True, timeout=10)
+    except (OSError, subprocess.SubprocessError):
+        return "no-git-repo"
+    return found.stdout.strip() if found.returncode == 0 else "no-git-repo"
+
+
+def versions(packages: tuple[str, ...] = ("pyspark", "numpy", "pandas", "pyarrow")) -> dict[str, str]:
+    out = {}
+    for name in packages:
+        try:
+            out[name] = metadata.version(name)
+        except metadata.PackageNotFoundError:
+            out[name] = "not installed"
+    return out
+
+
+def experiment(name: str, dataset: dict, config: dict, seed: int, model: str, model_version: str, device: str = "cpu", folder: str | Path = ".", **extra) -> dict:
+    """What is needed to run an experiment again; `dataset` is a `manifest`."""
+    return {
+        "experiment_id": name, "dataset_version": dataset["source_version"], "dataset_hash": dataset["sha256"], "config_hash": config_hash(config), "git_commit": commit_of(folder), "random_seed": seed,
+        "model_name": model, "model_version": model_version, "python_version": platform.python_version(), "package_versions": versions(), "device": device,
+        "timestamp": datetime.now(timezone.utc).isoformat(), **extra,
+    }
