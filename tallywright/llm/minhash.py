@@ -37,6 +37,8 @@ from tallywright.session import table
 
 SHINGLE, PERCENT, KEEP, SHORT_LIST, FLOOR = 5, 85, 24, 24, 0.4
 BLOCK = 128
+#: Columns of an incidence matrix at once; blocks of a list under one key of their join, and keys of one list at most.
+COLUMNS, BLOCKS_A_KEY, SALTS = 1 << 14, 4, 32
 #: Ids sent to every task to fetch texts; with more, the texts are joined by a shuffle.
 BROADCAST_IDS = 500_000
 
@@ -220,59 +222,124 @@ def apart_in_lists(prefix: DataFrame, found: DataFrame, one_list: bool) -> DataF
 
 
 def blocks(rows: DataFrame, name: str) -> DataFrame:
-    """Rows (value, node, component, items) of each list in blocks of about BLOCK, dealt by hash."""
-    sizes = rows.groupBy("value").agg(F.ceil(F.count(F.lit(1)) / F.lit(BLOCK)).alias("parts")).withColumnRenamed("value", "of")
+    """Rows (value, node, component, items, held) of each list in blocks of about BLOCK, dealt by hash: value, part, parts and the block."""
+    sizes = rows.groupBy("value").agg(F.ceil(F.count(F.lit(1)) / F.lit(BLOCK)).cast("int").alias("parts")).withColumnRenamed("value", "of")
     dealt = rows.join(sizes, F.col("value") == F.col("of")).withColumn("part", F.pmod(F.xxhash64("node", F.lit(name)), "parts"))
-    return dealt.groupBy("value", "part").agg(F.collect_list(F.struct("node", "component", "items")).alias(name)).select(F.col("value").alias(f"{name}_of"), name)
+    return dealt.groupBy("value", "part", "parts").agg(F.collect_list(F.struct("node", "component", "items", "held")).alias(name))
+
+
+def block_pairs(left: DataFrame, right: DataFrame) -> DataFrame:
+    """value, part, left, right: every block of `left` with every block of `right` in one list.
+
+    The left blocks of a long list are dealt to up to SALTS keys, and its right blocks go to each of them.
+    A merge join gives all pairs of a left block one after another.
+    """
+    salts = F.least(F.ceil(F.col("parts") / F.lit(BLOCKS_A_KEY)), F.lit(SALTS)).cast("int")
+    one = blocks(left, "left").withColumn("salt", (F.col("part") % salts).cast("int"))
+    wide = one.groupBy(F.col("value").alias("wide_of")).agg(F.max(salts).alias("salts"))
+    two = blocks(right, "right").select(F.col("value").alias("right_of"), "right").join(wide, F.col("right_of") == F.col("wide_of"))
+    two = two.select("right_of", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("right_salt"), "right")
+    return one.join(two.hint("merge"), (F.col("value") == F.col("right_of")) & (F.col("salt") == F.col("right_salt"))).select("value", "part", "left", "right")
 
 
 def split(cell):
-    names, homes, items = (cell.values.field(x) for x in ("node", "component", "items"))
-    return names.to_pylist(), homes.to_pylist(), [x.values.to_numpy() for x in items]
+    names, homes = (cell.values.field(x).to_pylist() for x in ("node", "component"))
+    return names, homes, *([x.values.to_numpy() for x in cell.values.field(c)] for c in ("items", "held"))
 
 
 def overlaps(one: list[np.ndarray], two: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Sizes of both sides' sets and of all intersections, by a product of incidence matrices over the values both sides have."""
+    """Sizes of both sides' sets and of all intersections: products of incidence matrices over the values both sides have, COLUMNS at a time."""
     sizes = np.array([len(x) for x in one]), np.array([len(x) for x in two])
     values = np.intersect1d(np.concatenate(one), np.concatenate(two))
-    grids = []
-    for sets, n in zip((one, two), sizes, strict=True):
-        flat = np.concatenate(sets)
-        at = np.minimum(np.searchsorted(values, flat), max(len(values) - 1, 0))
-        here = values[at] == flat if len(values) else np.zeros(len(flat), bool)
-        grid = np.zeros((len(sets), len(values)), np.float32)
-        grid[np.repeat(np.arange(len(sets)), n)[here], at[here]] = 1
-        grids.append(grid)
-    return sizes[0][:, None], sizes[1][None, :], grids[0] @ grids[1].T
-
-
-def met_in_blocks(rows: DataFrame, confirm: bool) -> DataFrame:
-    """Every outer row of a list meets every row of it in another component, in blocks.
-
-    Rows: value, node, component, outer, items. With sketches as items, the postings
-    (value, node) of pairs the estimate lets through; with full sets and `confirm`,
-    links (a, b) at the threshold, of each block as many as connect its components.
+    both = np.zeros((len(one), len(two)), np.float32)
+    if len(values):
+        flats = []
+        for sets, n in zip((one, two), sizes, strict=True):
+            flat = np.concatenate(sets)
+            at = np.minimum(np.searchsorted(values, flat), len(values) - 1)
+            here = values[at] == flat
+            at, rows = at[here], np.repeat(np.arange(len(sets)), n)[here]
+            order = np.argsort(at, kind="stable")
+            flats.append((at[order], rows[order], len(sets)))
+        for lo in range(0, len(values), COLUMNS):
+            width = min(COLUMNS, len(values) - lo)
+            grids = []
+            for at, rows, n in flats:
+                x, y = np.searchsorted(at, [lo, lo + width])
+                grid = np.zeros((n, width), np.float32)
+                grid[rows[x:y], at[x:y] - lo] = 1
+                grids.append(grid)
+            both += grids[0] @ grids[1].T
+    return sizes[0][:, None], sizes[1][None, :], both
+
+
+def compared(left, right, value: int | None = None):
+    """Names and component numbers of both blocks, which pairs are met here, and their sizes and overlaps.
+
+    Met are pairs in different components; given the list's `value`, those of them that hold no lesser value together.
+    """
+    (ln, lc, li, lh), (rn, rc, ri, rh) = split(left), split(right)
+    homes = np.unique(np.array([int.from_bytes(x, "big") for x in lc + rc], object), return_inverse=True)[1]
+    at_left, at_right = homes[: len(ln)], homes[len(ln) :]
+    met = at_left[:, None] != at_right[None, :]
+    if value is not None:
+        met &= overlaps([x[x < value] for x in lh], [x[x < value] for x in rh])[2] == 0
+    return ln, rn, at_left, at_right, met, *overlaps(li, ri)
+
+
+COLUMNS_MET = ["value", "node", "component", "items", "held"]
+
+
+def near_in_lists(rows: DataFrame, once: bool) -> DataFrame:
+    """Postings (value, node) with a partner of another component in their list that the estimate lets through.
+
+    Rows: value, node, component, outer, items (sketches), held (values of all the node's postings). With `once`
+    a pair is met in the list of the least value that both hold alone. A block meets all blocks of its list one
+    after another, and its near members are written once, after the last: as many rows as postings at most.
+    """
+    outers, others = rows.where("outer").select(*COLUMNS_MET), rows.where(~F.col("outer")).select(*COLUMNS_MET)
+
+    def run(batches):
+        key, names, near = None, [], np.zeros(0, bool)
+
+        def out():
+            found = [n for n, x in zip(names, near.tolist(), strict=True) if x]
+            return pa.RecordBatch.from_arrays([pa.array([key[0]] * len(found), pa.int64()), pa.array(found, pa.binary())], ["value", "node"])
+
+        for batch in batches:
+            for value, part, left, right in zip(*(batch.column(i) for i in range(4)), strict=True):
+                ln, _, _, _, other, one, two, both = compared(left, right, value.as_py() if once else None)
+                if (value.as_py(), part.as_py()) != key:
+                    if near.any():
+                        yield out()
+                    key, names, near = (value.as_py(), part.as_py()), ln, np.zeros(len(ln), bool)
+                if ln != names:  # the same block again, read in another order
+                    at = {n: i for i, n in enumerate(ln)}
+                    picked = [at[n] for n in names]
+                else:
+                    picked = slice(None)
+                near |= (other & (both >= FLOOR * np.minimum(KEEP, one + two - both))).any(axis=1)[picked]
+        if near.any():
+            yield out()
+
+    every = rows.select(*COLUMNS_MET)
+    found = [block_pairs(a, b).mapInArrow(run, "value long, node binary") for a, b in ((outers, every), (others, outers))]
+    return found[0].unionByName(found[1]).distinct()
+
+
+def links_in_lists(rows: DataFrame) -> DataFrame:
+    """Links (a, b) at the threshold between components, of each pair of blocks as many as connect its components.
+
+    Rows: value, node, component, outer, items (full sets), held (not read).
     """
-    columns = ["value", "node", "component", "items"]
-    pairs = blocks(rows.where("outer").select(*columns), "outers").join(blocks(rows.select(*columns), "inners"), F.col("outers_of") == F.col("inners_of"))
 
     def run(batches):
         for batch in batches:
             a, b = [], []
-            for value, outers, inners in zip(batch.column(0), batch.column(1), batch.column(2), strict=True):
-                (on, oc, oi), (names, ic, ii) = split(outers), split(inners)
-                homes = np.unique(np.array([int.from_bytes(x, "big") for x in oc + ic], object), return_inverse=True)[1]
-                oh, ih = homes[: len(on)], homes[len(on) :]
-                one, two, both = overlaps(oi, ii)
-                other = oh[:, None] != ih[None, :]
-                if not confirm:
-                    good = other & (both >= FLOOR * np.minimum(KEEP, one + two - both))
-                    found = {*(on[i] for i in np.flatnonzero(good.any(axis=1))), *(names[j] for j in np.flatnonzero(good.any(axis=0)))}
-                    a += [value.as_py()] * len(found)
-                    b += found
-                    continue
+            for left, right in zip(batch.column(2), batch.column(3), strict=True):
+                ln, rn, lh, rh, other, one, two, both = compared(left, right)
                 good = other & (100 * both >= PERCENT * (one + two - both))
-                at = list(range(int(homes.max()) + 1))
+                at = list(range(int(max(lh.max(), rh.max())) + 1))
 
                 def root(x, at=at):
                     while at[x] != x:
@@ -281,16 +348,17 @@ def met_in_blocks(rows: DataFrame, confirm: bool) -> DataFrame:
 
                 for i in np.flatnonzero(good.any(axis=1)):
                     where = np.flatnonzero(good[i])
-                    kinds, first = np.unique(ih[where], return_index=True)
+                    kinds, first = np.unique(rh[where], return_index=True)
                     for kind, j in zip(kinds.tolist(), where[first].tolist(), strict=True):
-                        x, y = root(int(oh[i])), root(kind)
+                        x, y = root(int(lh[i])), root(kind)
                         if x != y:
                             at[x] = y
-                            a.append(on[i])
-                            b.append(names[j])
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary() if confirm else pa.int64()), pa.array(b, pa.binary())], ["a", "b"] if confirm else ["value", "node"])
+                            a.append(ln[i])
+                            b.append(rn[j])
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["a", "b"])
 
-    return pairs.select("outers_of", "outers", "inners").mapInArrow(run, "a binary, b binary" if confirm else "value long, node binary")
+    pairs = block_pairs(rows.where("outer").select(*COLUMNS_MET), rows.select(*COLUMNS_MET))
+    return pairs.mapInArrow(run, "a binary, b binary")
 
 
 def linked(docs: DataFrame) -> DataFrame:
@@ -317,14 +385,15 @@ def linked(docs: DataFrame) -> DataFrame:
         apart = kept(apart_in_lists(prefix, found, one_list), "apart")
         if apart.where("outer").isEmpty():
             continue
-        sketched = apart.join(classes.select(F.col("node").alias("of"), F.col("sketch").alias("items")), F.col("node") == F.col("of")).drop("of")
-        near = kept(met_in_blocks(sketched, False).distinct(), "near")
+        held = prefix.groupBy(F.col("node").alias("holder")).agg(F.collect_list("value").alias("held"))
+        sketched = apart.join(classes.select(F.col("node").alias("of"), F.col("sketch").alias("items")), F.col("node") == F.col("of")).join(held, F.col("node") == F.col("holder")).drop("of", "holder")
+        near = kept(near_in_lists(sketched, once=not one_list), "near")
         wanted = near.select("node").distinct()
         if wanted.isEmpty():
             continue
         sets = kept(full_sets(docs, classes.select("node", "doc_id").join(wanted, "node", "left_semi")), "sets")
-        rows_met = apart.join(near, ["value", "node"], "left_semi").join(sets, "node")
-        known = kept(known.unionByName(met_in_blocks(rows_met, True)), "links")
+        rows_met = apart.join(near, ["value", "node"], "left_semi").join(sets, "node").withColumn("held", F.array().cast("array<long>"))
+        known = kept(known.unionByName(links_in_lists(rows_met)), "links")
         found = kept(components(known), "found")
 
     named_by = classes.select("node", "doc_id").join(found, "node", "left").select("node", F.coalesce("component", "node").alias("component"), "doc_id")

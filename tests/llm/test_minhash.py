@@ -100,3 +100,36 @@ def test_hub_whose_spokes_are_not_alike(spark, corpus, spokes):
     assert all(near) and sum(100 * len(a & b) >= 85 * len(a | b) for a, b in zip(sets[1:], sets[2:])) == 0
     got = {tuple(r) for r in minhash.query(spark, corpus(documents=rows)).collect()}
     assert got == {(i, len(s), 0, i == 0) for i, s in enumerate(sets)}
+
+
+def test_pairs_whose_every_shingle_is_common(spark, corpus):
+    """Texts of slots: every shingle stands in some thirty texts at least, and so in a long list."""
+    rng = random.Random(8)
+    slots = []
+    for s in range(12):
+        kinds = []
+        for v in range(5):
+            words = [f"s{s}v{v}w{k}" for k in range(20)]
+            kinds += [words, words[:12] + [f"s{s}v{v}x{k}" for k in range(8)]]
+        slots.append(kinds)
+    picks = [[rng.randrange(10) for _ in slots] for _ in range(3000)]
+    for k in range(100):
+        twin = list(picks[k])
+        twin[rng.randrange(12)] ^= 1  # the other ending
+        picks.append(twin)
+    rows = [doc(i, " ".join(w for s, v in enumerate(p) for w in slots[s][v])) for i, p in enumerate(picks)]
+    got = {r["doc_id"]: r["component_id"] for r in minhash.query(spark, corpus(documents=rows)).collect()}
+    assert all(got[3000 + k] == got[k] for k in range(100))
+    sets = [brute_set(r[1]) for r in rows]
+    for i, c in got.items():
+        if c != i and not (i >= 3000 and c == i - 3000):
+            assert any(100 * len(sets[i] & sets[j]) >= 85 * len(sets[i] | sets[j]) for j in range(len(rows)) if j != i)
+
+
+def test_intersections_column_by_column(monkeypatch):
+    monkeypatch.setattr(minhash, "COLUMNS", 7)
+    rng = np.random.default_rng(2)
+    one, two = ([np.unique(rng.integers(0, 60, rng.integers(1, 40))) for _ in range(n)] for n in (5, 9))
+    a, b, both = minhash.overlaps(one, two)
+    assert both.tolist() == [[len(np.intersect1d(x, y)) for y in two] for x in one]
+    assert a.ravel().tolist() == [len(x) for x in one] and b.ravel().tolist() == [len(x) for x in two]
