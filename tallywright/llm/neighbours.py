@@ -24,6 +24,8 @@ length never link; equal rows count as other vectors of each other.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -36,6 +38,8 @@ from tallywright.session import table
 THRESHOLD, RECALL = 0.98, 0.99
 ORDERS, NEAR, LIST, ROUNDS = 10, 4, 10, 4
 AUDIT, LEAST_LINKS, BLOCK = 400, 100, 512
+#: Blocks of a key in one task, and tasks of a key at most; cosines this near to the threshold are summed term by term.
+BLOCKS_A_KEY, SALTS, BAND = 4, 32, 1e-9
 EDGE = "u long, v long, sim float"
 
 
@@ -92,7 +96,8 @@ def first_graph(classes: DataFrame, rows: int) -> DataFrame:
         for batch in batches:
             col = {n: batch.column(i) for i, n in enumerate(batch.schema.names)}
             widths = col["width"].to_numpy()
-            keys = np.stack([col["label"].to_numpy().astype(np.int64), widths, col["turn"].to_numpy(), col["code"].to_numpy()], axis=1)
+            labels = col["label"].dictionary_encode().indices.to_numpy()  # of any type; only equality counts
+            keys = np.stack([labels.astype(np.int64), widths, col["turn"].to_numpy(), col["code"].to_numpy()], axis=1)
             nodes = col["node"].to_numpy()
             for w in np.unique(widths):
                 at = np.flatnonzero(widths == w)
@@ -170,30 +175,51 @@ def forest(good: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return pairs[:, 0], pairs[:, 1]
 
 
+def reaches(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Which pairs of rows of two matrices have a cosine of THRESHOLD or more.
+
+    Products of unit vectors decide all but a narrow band, whose pairs are summed
+    term by term, as `exact` and SQL do.
+    """
+    near = unit(left) @ unit(right).T
+    good = near >= THRESHOLD
+    for i, j in zip(*np.nonzero(np.abs(near - THRESHOLD) < BAND), strict=True):
+        x, y = left[i].tolist(), right[j].tolist()
+        norms = math.sqrt(sum(v * v for v in x)) * math.sqrt(sum(v * v for v in y))
+        good[i, j] = 0 < norms < math.inf and sum(v * w for v, w in zip(x, y, strict=True)) / norms >= THRESHOLD
+    return good
+
+
 def in_blocks(left: DataFrame, right: DataFrame, keys: list[str], what: str) -> DataFrame:
     """Rows of `left` against all of `right` with equal keys, in blocks; `what` picks links, a forest of them a block, or counts.
 
-    Both sides: keys, node, vec, members.
+    Both sides: keys, node, vec, members. The left blocks of a key are dealt to up to
+    SALTS tasks, and its right blocks go to each of them.
     """
 
     def blocked(rows, side):
-        sizes = rows.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / F.lit(BLOCK)).alias("parts")).select(*[F.col(k).alias(f"of_{k}") for k in keys], "parts")
-        dealt = rows.join(sizes, [F.col(k) == F.col(f"of_{k}") for k in keys]).withColumn("part", F.pmod(F.xxhash64("node"), "parts"))
-        packed = dealt.groupBy(*keys, "part").agg(F.collect_list(F.struct("node", "vec", "members")).alias(side))
-        return packed.select(*[F.col(k).alias(f"{side}_{k}") for k in keys], side)
-
-    pairs = blocked(left, "one").join(blocked(right, "two"), [F.col(f"one_{k}") == F.col(f"two_{k}") for k in keys]).select("one", "two")
+        sizes = rows.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / F.lit(BLOCK)).cast("int").alias("parts")).select(*[F.col(k).alias(f"of_{k}") for k in keys], "parts")
+        dealt = rows.join(sizes, [F.col(k) == F.col(f"of_{k}") for k in keys]).withColumn("part", F.pmod(F.xxhash64("node"), "parts").cast("int"))
+        packed = dealt.groupBy(*keys, "part", "parts").agg(F.collect_list(F.struct("node", "vec", "members")).alias(side))
+        return packed.select(*[F.col(k).alias(f"{side}_{k}") for k in keys], F.col("part").alias(f"{side}_part"), F.col("parts").alias(f"{side}_parts"), side)
+
+    salts = F.least(F.ceil(F.col("one_parts") / F.lit(BLOCKS_A_KEY)), F.lit(SALTS)).cast("int")
+    one = blocked(left, "one").withColumn("one_salt", F.col("one_part") % salts)
+    wide = one.groupBy(*[F.col(f"one_{k}").alias(f"wide_{k}") for k in keys]).agg(F.max(salts).alias("salts"))
+    two = blocked(right, "two").join(wide, [F.col(f"two_{k}") == F.col(f"wide_{k}") for k in keys])
+    two = two.select(*[f"two_{k}" for k in keys], F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("two_salt"), "two")
+    pairs = one.join(two, [*(F.col(f"one_{k}") == F.col(f"two_{k}") for k in keys), F.col("one_salt") == F.col("two_salt")]).select("one", "two")
 
     def split(cell):
         rows = cell.values
-        return rows.field("node").to_numpy(), unit(matrix(rows.field("vec"))), rows.field("members").to_numpy()
+        return rows.field("node").to_numpy(), matrix(rows.field("vec")), rows.field("members").to_numpy()
 
     def run(batches):
         for batch in batches:
             first, second, third = [], [], []
             for one, two in zip(batch.column(0), batch.column(1), strict=True):
                 (a, va, _), (b, vb, mb) = split(one), split(two)
-                good = va @ vb.T >= THRESHOLD
+                good = reaches(va, vb)
                 good &= a[:, None] != b[None, :]
                 if what == "count":
                     first.append(a)

@@ -69,3 +69,38 @@ def test_whole_when_the_audit_never_passes(spark, corpus, monkeypatch):
     data = rows()
     got = {tuple(r) for r in neighbours.query(spark, corpus(embeddings=data)).collect()}
     assert got == brute(data)
+
+
+def test_isolated_pairs_in_one_large_label(spark, corpus):
+    """Ten thousand vectors of one label; each link joins two that nothing else is near to."""
+    rng = np.random.default_rng(17)
+    v = rng.standard_normal((10_000, 64))
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    for k in range(150):
+        side = rng.standard_normal(64)
+        side -= (side @ v[k]) * v[k]
+        side /= np.linalg.norm(side)
+        v[5000 + k] = 0.981 * v[k] + np.sqrt(1 - 0.981**2) * side
+    data = spark.createDataFrame([(i, x.tolist(), "one") for i, x in enumerate(v)], "vec_id long, embedding array<float>, label string")
+    rows, recall = neighbours.linked(data)
+    found = {r["vec_id"]: r for r in rows.collect()}
+    assert recall >= 0.99 and len(found) == 10_000
+    assert sum(r["n_links"] for r in found.values()) == 300
+    assert all(found[5000 + k]["component_id"] == k for k in range(150))
+
+
+def test_the_band_is_summed_as_sql_sums():
+    rng = np.random.default_rng(5)
+    base = rng.standard_normal(8)
+    rows = np.stack([base] + [base + s * rng.standard_normal(8) for s in (0.0, 0.05, 0.1, 0.2, 0.3)])
+    got = neighbours.reaches(rows, rows)
+    for i, x in enumerate(rows.tolist()):
+        for j, y in enumerate(rows.tolist()):
+            norms = sum(a * a for a in x) ** 0.5 * sum(b * b for b in y) ** 0.5
+            assert got[i, j] == (sum(a * b for a, b in zip(x, y, strict=True)) / norms >= neighbours.THRESHOLD)
+
+
+def test_extra_columns_with_clashing_names(spark, corpus):
+    data = spark.createDataFrame([(1, [1.0, 0.0], 1, 5, 6.0), (2, [1.0, 0.001], 1, 7, 8.0)], "vec_id long, embedding array<float>, label int, node int, component double")
+    rows, _ = neighbours.linked(data)
+    assert sorted(map(tuple, rows.collect())) == [(1, 1, 1), (2, 1, 1)]
