@@ -8,10 +8,16 @@ value), and the pairs or stars of its parts that agree on the next retained valu
 too. So candidates grow in proportion to the documents, whatever a group's size.
 Estimates from the sketch of the union drop what is far below the threshold, and
 what is left is confirmed on full sets: first one edge a node, then those edges
-whose ends are not yet connected. A star's centre may be near to few of its list,
-so members of a long list that are still in different components are then held
-against each other, in blocks: by sketches first, and on full sets where those
-let a pair through. Only lists that a pair at the threshold must share are met.
+whose ends are not yet connected.
+
+A star's centre may be near to few of its list, so members of a long list that are
+still in different components are then held against each other in blocks, which
+gives pairs that only long lists hold: first each in its longest list, then, for
+what that leaves apart, every pair in the list of the least value both hold. Blocks
+compare sketches; those with a partner the estimate lets through are written once
+and compared on full sets, where a pair of blocks yields no more links than it has
+components. Only lists that a pair at the threshold must share are met. The work in
+a list of unlike members is quadratic in it; what is written is not.
 
 Two documents at the threshold share no retained value with odds below 1e-18; an
 estimate errs as far as FLOOR with odds below 1e-8. Only connection counts for the
@@ -19,7 +25,8 @@ result, so a pair inside a component needs no confirmation of its own.
 
 Defined cases: a null or wordless text has an empty set and links with nothing; a
 null id belongs to its class, but never names a component and leads to no link; a
-repeated id keeps one row each; ids, not rows, name components.
+repeated id keeps one row each; ids, not rows, name components. A very long text is
+hashed whole in a few arrays of eight bytes a byte, one batch of its own.
 """
 
 from __future__ import annotations

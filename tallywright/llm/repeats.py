@@ -49,7 +49,7 @@ LENGTH, GRAM = 100, 24
 #: The filter: 2 ** CELL_BITS cells, each of 16 bits a hash it holds within these bounds (4 kB to 16 kB; 16 MB to 64 MB in all).
 CELL_BITS, IN_CELL, MOST_IN_CELL, PROBES = 12, 15, 17, 3
 #: Starts of strings in one piece of a text, and bytes that are hashed at once.
-PIECE, TOGETHER = 1 << 22, 1 << 22
+PIECE, TOGETHER = 1 << 21, 1 << 21
 PLACE_BITS = 24
 #: Stretches of one anchor that are compared in one task, about 1 MB of bytes; and rows taken together there.
 GROUP, ROWS = 8192, 4096

@@ -3,6 +3,7 @@ import random
 from collections import Counter
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from tallywright.llm import fingerprint
 
@@ -113,3 +114,44 @@ def test_successors_over_many_parts(spark, corpus, monkeypatch):
     for (i, text, *_), after in zip(order, order[1:] + order[:1], strict=True):
         k = len(text) // 4
         assert out[i]["edited_sha256"] == hashlib.sha256((text[: len(text) - k] + after[1][:k]).encode()).hexdigest()
+
+
+def test_extra_columns_with_clashing_names(spark, corpus):
+    docs = spark.createDataFrame([(1, "some text " * 60, 3, "x"), (2, "other words " * 60, 4, "y")], "doc_id long, text string, part int, fingerprint_of string")
+    docs = docs.withColumnsRenamed({"fingerprint_of": "level"})
+    out = fingerprint.fingerprint(docs, fingerprint.rank_table(docs), ["doc_id", "part", "level"]).collect()
+    assert sorted((r["doc_id"], r["part"], r["level"]) for r in out) == [(1, 3, "x"), (2, 4, "y")]
+    assert fingerprint.compare(docs.withColumn("guest", F.lit(True)), fingerprint.rank_table(docs)).count() == 2
+
+
+def test_digest_and_likeness_against_a_plain_version():
+    """Chained filters of distinct features in order of appearance; overlap beyond chance of each filter's best partner."""
+    rng = random.Random(21)
+    for n in (1, 40, 160, 161, 500):
+        hashes = np.array([rng.getrandbits(64) for _ in range(n)] + [7, 7], np.uint64)
+        seen = list(dict.fromkeys(hashes.tolist()))
+        got = fingerprint.filters(hashes)
+        assert len(got) == -(-len(seen) // 160)
+        for k, row in enumerate(got):
+            want = {(h >> 11 * j) & 2047 for h in seen[160 * k : 160 * (k + 1)] for j in range(5)}
+            assert set(np.flatnonzero(np.unpackbits(row)).tolist()) == want
+
+    def plain(a, b):
+        if len(a) > len(b):
+            a, b = b, a
+        total = weight = 0.0
+        for x in a:
+            x = set(np.flatnonzero(np.unpackbits(x)).tolist())
+            best = 0.0
+            for y in b:
+                y = set(np.flatnonzero(np.unpackbits(y)).tolist())
+                chance, most = len(x) * len(y) / 2048, min(len(x), len(y))
+                cut = chance + 0.3 * (most - chance)
+                best = max(best, min(1.0, max(0.0, (len(x & y) - cut) / (most - cut))))
+            total, weight = total + best * len(x), weight + len(x)
+        return total / weight
+
+    base = [rng.getrandbits(64) for _ in range(200)]
+    for keep in (0, 50, 150, 199):
+        a, b = (fingerprint.filters(np.array(x, np.uint64)) for x in (base, base[:keep] + [rng.getrandbits(64) for _ in range(700)]))
+        assert abs(fingerprint.likeness(a, b) - plain(a, b)) < 1e-6 and fingerprint.likeness(a, b) == fingerprint.likeness(b, a)

@@ -133,3 +133,16 @@ def test_intersections_column_by_column(monkeypatch):
     a, b, both = minhash.overlaps(one, two)
     assert both.tolist() == [[len(np.intersect1d(x, y)) for y in two] for x in one]
     assert a.ravel().tolist() == [len(x) for x in one] and b.ravel().tolist() == [len(x) for x in two]
+
+
+def test_extra_columns_and_a_very_long_text(spark, corpus):
+    """Columns named as the operator's own do no harm, and a text of a million words keeps all its shingles."""
+    rng = random.Random(9)
+    long = " ".join(f"w{rng.randrange(10**6)}" for _ in range(1_000_000))
+    near = long + " and a little more"
+    rows = [(1, long, "en", "a", 1, b"n", 1, 2), (2, near, "en", "a", 1, b"n", 3, 4), (3, "short", "en", "a", 1, b"n", 5, 6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, node binary, n int, component_id int")
+    got = {r["doc_id"]: (r["n"], r["component_id"]) for r in minhash.linked(docs.select("doc_id", "text", "node", "component_id")).collect()}
+    assert got == {1: (len(brute_set(long)), 1), 2: (len(brute_set(near)), 1), 3: (1, 3)}
+    left = minhash.stage(spark, docs, "")
+    assert left.columns == ["doc_id", "text", "lang", "source", "n_chars"] and sorted(r["doc_id"] for r in left.collect()) == [1, 3]

@@ -115,3 +115,10 @@ def test_stage_redacts_and_keeps_every_document(spark, corpus):
 
 def test_empty_table(spark, corpus):
     assert pii.query(spark, corpus(documents=[])).count() == 0
+
+
+def test_stage_with_clashing_names_and_a_very_long_text(spark, corpus):
+    long = "word " * 400_000 + "a@b.com"
+    docs = spark.createDataFrame([(1, long, "en", "s", 5, "x", "y")], "doc_id long, text string, lang string, source string, n_chars long, base string, clean string")
+    (r,) = pii.stage(spark, docs, "").collect()
+    assert r["text"] == "word " * 400_000 + "[EMAIL]" and r["n_chars"] == len(r["text"])

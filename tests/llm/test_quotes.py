@@ -85,3 +85,10 @@ def test_against_sql(spark, corpus):
 
 def test_empty(spark, corpus):
     assert quotes.query(spark, corpus(conversations=[])).count() == 0
+
+
+def test_extra_columns_with_clashing_names(spark, corpus):
+    rows = [(1, 0, "a", "first", 9, "p"), (1, 1, "b", "> first\nsecond", 9, "q")]
+    m = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, parent int, chat string")
+    (r,) = quotes.conversations(quotes.formatted(m)).collect()
+    assert r["turns"] == "0,1" and "second" in r["chat"]
