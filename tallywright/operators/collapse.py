@@ -25,6 +25,7 @@ def dedup_exact(records: DataFrame, keys: list[str], source: str = "source", pre
 
 
 def candidate_set(records: DataFrame, *columns: str) -> DataFrame:
+    """Distinct rows in order, by ranges."""
     return records.select(*columns).distinct().orderBy(*columns)
 
 
@@ -53,6 +54,14 @@ def source_disagreement(records: DataFrame, keys: list[str], outcome: str, prefe
     return both.where((F.col("preferred") == F.lit(False)) & F.col("elsewhere")).select(*keys)
 
 
+def reporters_of(records: DataFrame) -> DataFrame:
+    """ecosystem, package_name, names: a package's distinct reporters in first-seen order; a list holds names, however many records there are."""
+    each = records.select("ecosystem", "package_name", "_seq", F.posexplode("reporters").alias("place", "reporter"))
+    first = each.groupBy("ecosystem", "package_name", "reporter").agg(F.min(F.struct("_seq", "place")).alias("at"))
+    lists = first.groupBy("ecosystem", "package_name").agg(F.sort_array(F.collect_list(F.struct("at", "reporter"))).alias("l"))
+    return lists.select("ecosystem", "package_name", F.transform("l", lambda x: x["reporter"]).alias("names"))
+
+
 def by_package(records: DataFrame, text_source: str = "any", group_on: str = "any") -> DataFrame:
     """Stage 1. One row a (ecosystem, package_name): whose text decides and whose text groups are set apart.
 
@@ -74,11 +83,11 @@ def by_package(records: DataFrame, text_source: str = "any", group_on: str = "an
         decides[0].alias("grammar_flag"),
         decides[1].alias("outcome"),
         groups.alias("g"),
-        F.sort_array(F.collect_list(F.struct("_seq", "reporters"))).alias("lists"),
         F.bool_and(A.is_no_text(F.col("description"))).alias("no_text"),
     )
-    union = F.array_distinct(F.flatten(F.transform("lists", lambda x: F.coalesce(x["reporters"], F.array().cast("array<string>")))))
-    return one.select("ecosystem", "package_name", "_seq", "n_records", "grammar_flag", "outcome", "no_text", union.alias("reporters"), F.col("g.text").alias("text"), F.col("g.advisory_id").alias("group_advisory_id"))
+    both = one.join(reporters_of(records), ["ecosystem", "package_name"], "left")
+    union = F.coalesce("names", F.array().cast("array<string>"))
+    return both.select("ecosystem", "package_name", "_seq", "n_records", "grammar_flag", "outcome", "no_text", union.alias("reporters"), F.col("g.text").alias("text"), F.col("g.advisory_id").alias("group_advisory_id"))
 
 
 def by_signature(packages: DataFrame, **signature) -> DataFrame:

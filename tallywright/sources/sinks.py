@@ -47,11 +47,11 @@ def run_with_ledger(items: DataFrame, step, out: str, ledger: str, key: str = "i
     kind = items.schema[key].dataType.simpleString()
     seen = spark.read.schema(f"{key} {kind}, status string").json(ledger) if _exists(spark, ledger) else spark.createDataFrame([], f"{key} {kind}, status string")
     todo = not_done(items, seen, key).persist()
-    written = step(todo)
-    if key in written.columns and _exists(spark, out):
+    missing = todo
+    if _exists(spark, out):
         there = spark.read.schema(f"{key} {kind}").json(out).select(F.col(key).alias("there")).where("there is not null").distinct()
-        written = step(todo.join(there, F.col(key) == F.col("there"), "left_anti"))
-    written.write.mode("append").json(out)
+        missing = todo.join(there, F.col(key) == F.col("there"), "left_anti")
+    step(missing).write.mode("append").json(out)
     todo.select(key, F.lit("completed").alias("status")).write.mode("append").json(ledger)
     todo.unpersist()
 
