@@ -3,7 +3,8 @@
 Each round is two grouped minima and two joins; edges shrink towards stars whose
 centre is the least node of the component, in a number of rounds that grows with
 the logarithm of the longest chain. Nothing is collected: a round is written to
-the shared folder, and only a count and a checksum reach the driver.
+the shared folder in place of the one before it, and only a count and a checksum
+reach the driver.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallywright.llm.common import kept
+from tallywright.llm.common import dropped, kept
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -40,7 +41,9 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         after = kept(_star(_star(now, True), False), "edges")
         new = after.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a", "b") % 1_000_003).alias("s")).first()
         if new == mark:
+            dropped(after)
             break
+        dropped(now)
         now, mark = after, new
     else:
         raise RuntimeError("components did not settle")

@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tallywright.llm.common import kept, map_text
+from tallywright.llm.common import dropped, kept, map_text
 from tallywright.llm.components import components
 from tallywright.session import table
 
@@ -169,15 +169,15 @@ def stars_of(long: DataFrame, keys: list[str]) -> DataFrame:
                        F.greatest("a", "node").alias("b"), F.when(F.col("a") < F.col("node"), F.col("n")).otherwise(F.col("na")).alias("nb"))
 
 
-def candidates(classes: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Pairs a < b of classes that inverted lists propose, each once with its overlap (lists it was met in); the long lists."""
+def candidates(classes: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Pairs a < b of classes that inverted lists propose, each once with its overlap (lists it was met in); the short and the long lists."""
     at = F.posexplode("sketch").alias("i", "value")
     postings = classes.select("node", "n", "sketch", at).select("node", "n", "value", F.coalesce(F.try_element_at("sketch", F.col("i") + 2), F.lit(0)).alias("next"))
     short, long = short_and_long(postings, ["value"])
     short, long = kept(short.drop("members"), "short"), kept(long, "long")
     parts_short, parts_long = short_and_long(long.drop("members"), ["value", "next"])
     found = pairs_of(short, ["value"]).unionByName(stars_of(long, ["value"])).unionByName(pairs_of(parts_short, ["value", "next"])).unionByName(stars_of(parts_long, ["value", "next"]))
-    return found.groupBy("a", "b", "na", "nb").agg(F.count(F.lit(1)).alias("overlap")), long
+    return found.groupBy("a", "b", "na", "nb").agg(F.count(F.lit(1)).alias("overlap")), short, long
 
 
 def estimated(pairs: DataFrame, classes: DataFrame) -> DataFrame:
@@ -373,39 +373,45 @@ def linked(docs: DataFrame) -> DataFrame:
     rows = kept(sketches(docs), "sketches")
     classes = rows.where("node is not null and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
     classes = kept(classes, "classes")
-    proposed, long = candidates(classes)
+    proposed, short, long = candidates(classes)
     pairs = kept(estimated(proposed, classes), "pairs")
+    prefix = kept(prefixes(long, classes), "prefix")
+    dropped(short, long)
     used = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
     used = kept(classes.select("node", "doc_id").join(used, "node", "left_semi"), "used")
     sets = kept(full_sets(docs, used), "sets")
 
+    def connected(links: DataFrame) -> tuple[DataFrame, DataFrame]:
+        known = kept(links, "links")
+        return known, kept(components(known), "found")
+
     first = pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
-    known = kept(confirmed(first, sets), "links")
-    found = kept(components(known), "found")
+    known, found = connected(confirmed(first, sets))
     left, right = found.select(F.col("node").alias("l"), F.col("component").alias("lc")), found.select(F.col("node").alias("r"), F.col("component").alias("rc"))
     apart = pairs.join(left, F.col("a") == F.col("l"), "left").join(right, F.col("b") == F.col("r"), "left").where(F.coalesce("lc", "a") != F.coalesce("rc", "b")).select("a", "b")
-    known = kept(known.unionByName(confirmed(apart, sets)), "links")
-    found = kept(components(known), "found")
+    old, (known, found) = (known, found), connected(known.unionByName(confirmed(apart, sets)))
+    dropped(*old, pairs, used, sets)
 
-    prefix = kept(prefixes(long, classes), "prefix")
     for one_list in (True, False):  # most of a group connects in one list; the rest then has few outside
         apart = kept(apart_in_lists(prefix, found, one_list), "apart")
         if apart.where("outer").isEmpty():
+            dropped(apart)
             continue
         held = prefix.groupBy(F.col("node").alias("holder")).agg(F.collect_list("value").alias("held"))
         sketched = apart.join(classes.select(F.col("node").alias("of"), F.col("sketch").alias("items")), F.col("node") == F.col("of")).join(held, F.col("node") == F.col("holder")).drop("of", "holder")
         near = kept(near_in_lists(sketched, once=not one_list), "near")
         wanted = near.select("node").distinct()
-        if wanted.isEmpty():
-            continue
-        sets = kept(full_sets(docs, classes.select("node", "doc_id").join(wanted, "node", "left_semi")), "sets")
-        rows_met = apart.join(near, ["value", "node"], "left_semi").join(sets, "node").withColumn("held", F.array().cast("array<long>"))
-        known = kept(known.unionByName(links_in_lists(rows_met)), "links")
-        found = kept(components(known), "found")
+        if not wanted.isEmpty():
+            sets = kept(full_sets(docs, classes.select("node", "doc_id").join(wanted, "node", "left_semi")), "sets")
+            rows_met = apart.join(near, ["value", "node"], "left_semi").join(sets, "node").withColumn("held", F.array().cast("array<long>"))
+            old, (known, found) = (known, found), connected(known.unionByName(links_in_lists(rows_met)))
+            dropped(*old, sets)
+        dropped(apart, near)
 
     named_by = classes.select("node", "doc_id").join(found, "node", "left").select("node", F.coalesce("component", "node").alias("component"), "doc_id")
     least = named_by.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     by_node = kept(named_by.join(least, "component").select(F.col("node").alias("of"), "component_id"), "named")
+    dropped(known, found, classes, prefix)
     out = rows.select("doc_id", "n", "node").join(by_node, F.col("node") == F.col("of"), "left")
     return out.select("doc_id", "n", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tallywright.llm.common import kept
+from tallywright.llm.common import dropped, kept
 from tallywright.llm.components import components
 from tallywright.session import table
 
@@ -256,18 +256,21 @@ def links(classes: DataFrame) -> tuple[DataFrame, float]:
         wanted = true.count()
         if wanted >= LEAST_LINKS or drawn >= n:
             break
+        dropped(true)
         drawn *= 4
     length = LIST
     graph = kept(best(first_graph(classes, n), length), "graph")
     recall = 0.0
     for _ in range(ROUNDS):
-        graph = kept(refined(graph, units, length), "graph")
+        before, graph = graph, kept(refined(graph, units, length), "graph")
+        dropped(before)
         if not wanted:  # every class was drawn: there is no link
             return exact(true, classes), 1.0
         near = graph.where(F.col("sim") >= THRESHOLD - 1e-4).select(F.col("u").alias("a"), F.col("v").alias("b"))
         placed = kept(components(near), "placed")  # a link inside one component is found: its blocks hold it
         ends = [placed.select(F.col("node").alias(f"n{i}"), F.col("component").alias(f"c{i}")) for i in (1, 2)]
         recall = true.join(ends[0], F.col("u") == F.col("n1")).join(ends[1], F.col("v") == F.col("n2")).where("c1 = c2").count() / wanted
+        dropped(placed)
         if recall >= RECALL:
             break
         length *= 2
@@ -276,6 +279,7 @@ def links(classes: DataFrame) -> tuple[DataFrame, float]:
         full = graph.where(F.col("sim") >= THRESHOLD - 1e-4).groupBy("u").agg(F.count(F.lit(1)).alias("held")).where(F.col("held") >= length)
         rest = classes.join(full.select(F.col("u").alias("node")), "node", "left_semi")
     more = kept(in_blocks(rest.select(*columns), classes.select(*columns), keys, "forest"), "more")
+    dropped(units)
     return exact(graph.unionByName(true).unionByName(more), classes), recall if recall >= RECALL else 1.0
 
 
@@ -296,6 +300,7 @@ def linked(vectors: DataFrame) -> tuple[DataFrame, float]:
     least = named.groupBy("component").agg(F.min("least").alias("component_id")).withColumnRenamed("component", "c")
     done = named.join(least, F.col("component") == F.col("c")).join(counts, F.col("node") == F.col("u"), "left")
     done = kept(done.select("label", "vec", "component_id", (F.coalesce("others", F.lit(0)) + F.col("members") - 1).alias("n_links")), "done")
+    dropped(classes, found)
     plain = F.transform("embedding", lambda x: F.when(x == 0, F.lit(0.0)).otherwise(x.cast("double")))
     rows = vectors.select("vec_id", F.col("label").alias("of_label"), plain.alias("of_vec"))
     out = rows.join(done, (F.col("of_label") == F.col("label")) & (F.col("of_vec") == F.col("vec")) & F.col("vec_id").isNotNull(), "left")

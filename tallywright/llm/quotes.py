@@ -26,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallywright.llm.common import kept
+from tallywright.llm.common import dropped, kept
 from tallywright.session import table
 
 PREFIX = r"^[ \t]*(?:>[ \t]*)+"
@@ -87,12 +87,14 @@ def replies(rows: DataFrame) -> DataFrame:
 def threads(links: DataFrame, rounds: int = 64) -> DataFrame:
     """conv_id, turn, parent, thread (the topmost original), depth and path (the turns from there down), by doubling."""
     now = kept(links.select("conv_id", "turn", "parent", F.col("parent").alias("thread"), F.array("turn").alias("below")), "threads")
+    before = now
     for _ in range(rounds):
         up = now.select(F.col("conv_id").alias("c"), F.col("turn").alias("t"), F.col("thread").alias("higher"), F.col("below").alias("above"))
         joined = now.join(up, (F.col("conv_id") == F.col("c")) & (F.col("thread") == F.col("t")), "left")
         below = F.when(F.col("above").isNull(), F.col("below")).otherwise(F.concat("above", "below"))
         after = kept(joined.select("conv_id", "turn", "parent", F.coalesce("higher", "thread").alias("thread"), below.alias("below"), F.col("higher").isNotNull().alias("moved")), "threads")
-        now = after.drop("moved")
+        dropped(before)
+        before, now = after, after.drop("moved")
         if not after.where("moved").limit(1).count():
             return now.select("conv_id", "turn", "parent", "thread", F.size("below").cast("long").alias("depth"), F.concat(F.array("thread"), "below").alias("path"))
     raise RuntimeError("threads did not settle")
