@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallywright.llm.common import crc_of_id, kept, map_text
+from tallywright.llm.common import crc_of_id, dropped, kept, map_text
 from tallywright.session import table
 
 ORDER, BITS, MARK = 4, 16, 0xFFFE
@@ -290,13 +290,14 @@ class Fitted:
         if counted is None:
             return
         ones, twos = F.count_if(F.col("n") == 1).alias("ones"), F.count_if(F.col("n") == 2).alias("twos")
-        level, facts, discounts = counted, None, {}
+        level, discounts, shorter = counted, {}, []
         for order in range(ORDER, 0, -1):
             if order < ORDER:
                 mask = F.lit((1 << (BITS * order)) - 1)
                 level = kept(level.groupBy("lang", F.col("gram").bitwiseAND(mask).alias("gram")).agg(F.count(F.lit(1)).alias("n")), f"grams-{order}")
+                shorter.append(level)
             facts = {r["lang"]: r for r in level.groupBy("lang").agg(ones, twos, F.count(F.lit(1)).alias("types")).collect()}
-            discounts[order] = [discount_of(facts[j]["ones"], facts[j]["twos"]) for j in range(len(names))]
+            discounts[order] = [discount_of(facts[j]["ones"], facts[j]["twos"]) if j in facts else discount_of(0, 0) for j in range(len(names))]
             if order == ORDER:
                 self.parts = max(1, -(-sum(r["types"] for r in facts.values()) * len(names) // PART))
         single = level.toArrow()  # the symbols of each language
@@ -306,6 +307,7 @@ class Fitted:
             order = np.flatnonzero(lang == j)[np.argsort(gram[lang == j])]
             singles.append((gram[order].astype(np.uint64), n[order].astype(float)))
         self.whole = discounts, singles, len(np.unique(gram))
+        dropped(*shorter)
 
     def models(self) -> Iterator[tuple[int, Model]]:
         """The parts, one at a time; the driver holds no more than one."""
