@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallywright.functions import fixed
@@ -69,3 +69,10 @@ def near_misses(names: DataFrame, name: str, real: DataFrame, real_name: str) ->
     found = found.distinct().where(F.levenshtein("name", "candidate").between(1, 2) & F.length("candidate").between(2, 60))
     known = real.select(F.col(real_name).alias("known")).distinct()
     return found.join(known, F.col("candidate") == F.col("known"), "left_anti")
+
+
+def drawn_near_misses(names: DataFrame, name: str, real: DataFrame, real_name: str, n: int, seed: int = 0) -> DataFrame:
+    """At most n near misses of each name, the least by a digest of seed, name and candidate, so that reruns agree."""
+    turn = F.md5(F.concat_ws(":", F.lit(str(seed)), "name", "candidate"))
+    order = F.row_number().over(Window.partitionBy("name").orderBy(turn, "candidate"))
+    return near_misses(names, name, real, real_name).withColumn("turn", order).where(F.col("turn") <= n).drop("turn")

@@ -148,6 +148,18 @@ def negation_drops_by_cue(spark, sf_dir):
     return labelling.negation_drops(table(spark, sf_dir, "documents"), "text", TAXONOMY, labelling.ASCII, cues=CUES, breaks=BREAKS)
 
 
+@register("negation_by_rule", f"""WITH h AS ({_HITS}), s AS (SELECT p.s::INTEGER AS s, text FROM h), d AS (SELECT 'now' AS rule, s, text FROM s WHERE CASE
+  WHEN s > 40 THEN regexp_matches(substr(text, s - 40, 41), '(?is)\\A.(?:[^;.]*[;.])*[^;.]*?\\b(?:the|and)\\b[^;.]*\\z')
+  ELSE regexp_matches(substr(text, 1, s), '(?is)\\A(?:[^;.]*[;.])*[^;.]*?\\b(?:the|and)\\b[^;.]*\\z') END
+  UNION ALL SELECT 'before', s, text FROM s WHERE CASE WHEN s > 40 THEN regexp_matches(substr(text, s - 40, 41), '(?is)\\A..*?\\b(?:the|and)\\b') ELSE regexp_matches(substr(text, 1, s), '(?is)\\A.*?\\b(?:the|and)\\b') END)
+SELECT rule, regexp_extract_all(lower(substr(text, greatest(s - 39, 1), least(s, 40))), '\\b(?:the|and)\\b')[-1] AS cue, count(*) AS n FROM d GROUP BY rule, cue""")
+def negation_by_rule(spark, sf_dir):
+    d = table(spark, sf_dir, "documents")
+    now = labelling.negation_drops(d, "text", TAXONOMY, labelling.ASCII, cues=CUES, breaks=BREAKS).withColumn("rule", F.lit("now"))
+    before = labelling.negation_drops_by_rule(d, "text", TAXONOMY, labelling.ASCII, CUES).where("rule = 'before'")
+    return before.unionByName(now.select("rule", "cue", "n"))
+
+
 LEXICON = {"suffixes": ["widget", "bolt", "pin"], "prefixes": ["small", "large"], "trends": ["hot", "rapid"]}
 _PARTS = "list_filter(string_split(replace(replace(replace(replace(lower(p_name), '@', ''), '/', '-'), ' ', '-'), '_', '-'), '-'), lambda x: x <> '')"
 _MET = lambda k: f"len(list_filter({LEXICON[k]!r}, lambda t: list_contains(parts, t)))"
@@ -179,16 +191,25 @@ def edit_distances(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", names.edit_distance(F.lower("p_name"), F.lower("p_type")).alias("distance"))
 
 
-@register("near_miss_names", f"""WITH b AS (SELECT DISTINCT n_name AS name, unnest(range(0, length(n_name) + 1)) AS i FROM nation), l AS (SELECT b.*, c FROM b, unnest(string_split('{names.ALPHABET}', '')) u(c)),
+_NEAR = f"""WITH b AS (SELECT DISTINCT n_name AS name, unnest(range(0, length(n_name) + 1)) AS i FROM nation), l AS (SELECT b.*, c FROM b, unnest(string_split('{names.ALPHABET}', '')) u(c)),
 e AS (SELECT name, substr(name, 1, i) || c || substr(name, i + 2) AS candidate FROM l WHERE i < length(name)
   UNION SELECT name, substr(name, 1, i) || c || substr(name, i + 1) FROM l UNION SELECT name, substr(name, 1, i) || substr(name, i + 2) FROM b WHERE i < length(name)
-  UNION SELECT name, substr(name, 1, i) || substr(name, i + 2, 1) || substr(name, i + 1, 1) || substr(name, i + 3) FROM b WHERE i < length(name) - 1)
-SELECT name, count(*) AS n_candidates FROM e WHERE levenshtein(name, candidate) BETWEEN 1 AND 2 AND length(candidate) BETWEEN 2 AND 60 AND candidate NOT IN (SELECT n_name FROM nation) GROUP BY name""")
+  UNION SELECT name, substr(name, 1, i) || substr(name, i + 2, 1) || substr(name, i + 1, 1) || substr(name, i + 3) FROM b WHERE i < length(name) - 1)"""
+_NEAR_WHERE = "FROM e WHERE levenshtein(name, candidate) BETWEEN 1 AND 2 AND length(candidate) BETWEEN 2 AND 60 AND candidate NOT IN (SELECT n_name FROM nation)"
+
+
+@register("near_miss_names", f"{_NEAR} SELECT name, count(*) AS n_candidates {_NEAR_WHERE} GROUP BY name")
 def near_miss_names(spark, sf_dir):
     n = table(spark, sf_dir, "nation")
     return names.near_misses(n, "n_name", n, "n_name").groupBy("name").agg(F.count(F.lit(1)).alias("n_candidates"))
 
 
+@register("near_miss_draws", f"{_NEAR}, t AS (SELECT name, candidate, row_number() OVER (PARTITION BY name ORDER BY md5('7:' || name || ':' || candidate), candidate) AS k {_NEAR_WHERE}) SELECT name, candidate FROM t WHERE k <= 3")
+def near_miss_draws(spark, sf_dir):
+    n = table(spark, sf_dir, "nation")
+    return names.drawn_near_misses(n, "n_name", n, "n_name", 3, seed=7)
+
+
 def advisories(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents dressed as advisory records; `_seq` is the id. A package has up to three records, a few have one in fifty."""
     d = table(spark, sf_dir, "documents")

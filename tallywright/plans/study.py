@@ -1,6 +1,6 @@
 """The whole study over a snapshot: label, collapse, tabulate, test, vary; one nested result and one table.
 
-    python -m tallywright.plans.study --records snap.jsonl --out results [--text-source osv] [--group-on any] [--merges m.json]
+    python -m tallywright.plans.study (--records snap.jsonl | --snapshot v2) --out results [--text-source osv] [--group-on any] [--merges m.json]
 """
 
 from __future__ import annotations
@@ -76,7 +76,10 @@ def main(argv: list[str] | None = None) -> None:
     from tallywright.session import local_session
 
     p = argparse.ArgumentParser()
-    p.add_argument("--records", required=True)
+    source = p.add_mutually_exclusive_group(required=True)
+    source.add_argument("--records", help="JSON lines")
+    source.add_argument("--snapshot", help="name of a frozen snapshot, kept in --frozen as incidents_snapshot[_NAME].jsonl; v1 has no suffix")
+    p.add_argument("--frozen", default="data/frozen")
     p.add_argument("--out", required=True)
     p.add_argument("--text-source", default="any", choices=("any", *collapse.SOURCES))
     p.add_argument("--group-on", default="any", choices=("any", *collapse.SOURCES))
@@ -84,8 +87,10 @@ def main(argv: list[str] | None = None) -> None:
     a = p.parse_args(argv)
     spark = local_session()
     merges = S.merge_list(Path(a.merges).read_text(encoding="utf-8")) if a.merges else []
-    result, table = run(S.jsonl(spark, a.records, SCHEMA), a.text_source, a.group_on, merges)
-    suffix = "" if (a.text_source, a.group_on) == ("any", "any") else f"__text-{a.text_source}__group-{a.group_on}"
+    name = "" if a.snapshot in (None, "v1") else a.snapshot
+    path = a.records or f"{a.frozen}/incidents_snapshot{'_' + name if name else ''}.jsonl"
+    result, table = run(S.jsonl(spark, path, SCHEMA), a.text_source, a.group_on, merges)
+    suffix = ("" if (a.text_source, a.group_on) == ("any", "any") else f"__text-{a.text_source}__group-{a.group_on}") + (f"__{name}" if name else "")
     sinks.atomic_write(Path(a.out) / f"study{suffix}.json", json.dumps(result, indent=2, default=str).encode())
     sinks.csv_table(table, f"{a.out}/campaigns{suffix}")
 
