@@ -78,8 +78,8 @@ def main(argv: list[str] | None = None) -> None:
     p = argparse.ArgumentParser()
     source = p.add_mutually_exclusive_group(required=True)
     source.add_argument("--records", help="JSON lines")
-    source.add_argument("--snapshot", help="name of a frozen snapshot, kept in --frozen as incidents_snapshot[_NAME].jsonl; v1 has no suffix")
-    p.add_argument("--frozen", default="data/frozen")
+    source.add_argument("--snapshot", help="name of a snapshot NAME.jsonl in --snapshots")
+    p.add_argument("--snapshots", default="snapshots")
     p.add_argument("--out", required=True)
     p.add_argument("--text-source", default="any", choices=("any", *collapse.SOURCES))
     p.add_argument("--group-on", default="any", choices=("any", *collapse.SOURCES))
@@ -87,10 +87,8 @@ def main(argv: list[str] | None = None) -> None:
     a = p.parse_args(argv)
     spark = local_session()
     merges = S.merge_list(Path(a.merges).read_text(encoding="utf-8")) if a.merges else []
-    name = "" if a.snapshot in (None, "v1") else a.snapshot
-    path = a.records or f"{a.frozen}/incidents_snapshot{'_' + name if name else ''}.jsonl"
-    result, table = run(S.jsonl(spark, path, SCHEMA), a.text_source, a.group_on, merges)
-    suffix = ("" if (a.text_source, a.group_on) == ("any", "any") else f"__text-{a.text_source}__group-{a.group_on}") + (f"__{name}" if name else "")
+    result, table = run(S.jsonl(spark, a.records or f"{a.snapshots}/{a.snapshot}.jsonl", SCHEMA), a.text_source, a.group_on, merges)
+    suffix = ("" if (a.text_source, a.group_on) == ("any", "any") else f"__text-{a.text_source}__group-{a.group_on}") + (f"__{a.snapshot}" if a.snapshot else "")
     sinks.atomic_write(Path(a.out) / f"study{suffix}.json", json.dumps(result, indent=2, default=str).encode())
     sinks.csv_table(table, f"{a.out}/campaigns{suffix}")
 
