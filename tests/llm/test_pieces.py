@@ -1,4 +1,6 @@
+import hashlib
 import random
+import re
 
 import pytest
 
@@ -63,3 +65,37 @@ def test_query_and_columns(spark, corpus):
     back = pieces.decoded(pieces.encoded(docs, ["doc_id"]), ["doc_id"])
     assert sorted(map(str, [r["text"] for r in back.collect()])) == sorted(map(str, [r[1] for r in rows]))
     assert pieces.query(spark, corpus(documents=[])).count() == 0
+
+
+def plain_ids(v, text):
+    """Every word on its own, every piece tried at every place; of equal scores the longer last piece."""
+    out = []
+    for word in re.findall(f"{pieces.SPACE}*[^{pieces.SPACE}\n]+|{pieces.SPACE}+|\n+", pieces.SPACE + text.replace(pieces.SPACE, pieces.LITERAL).replace(" ", pieces.SPACE)):
+        best = [(0.0, [])]
+        for end in range(1, len(word) + 1):
+            char = word[end - 1]
+            spelt = [v.bytes[b] for b in (pieces.SPACE if char == pieces.LITERAL else char).encode()]
+            options = [(best[end - 1][0] + pieces.BYTE_SCORE * len(char.encode("utf-8", "surrogatepass")), best[end - 1][1] + spelt)]
+            for start in range(end):
+                if word[start:end] in v.scores:
+                    score, i = v.scores[word[start:end]]
+                    options.append((best[start][0] + score, best[start][1] + [i]))
+            most = max(s for s, _ in options)
+            by_piece = [o for o in options[1:] if o[0] == most]
+            best.append(by_piece[0] if by_piece else options[0])
+        out += best[-1][1]
+    return out
+
+
+def test_digests_against_a_plain_version(spark, corpus):
+    v = pieces.Vocabulary()
+    rng = random.Random(4)
+    texts = [t for t in TEXTS if len(t) < 100] + [" ".join("".join(rng.choices("etaoin shrdlu.é東\n", k=rng.randint(1, 9))) for _ in range(12)) for _ in range(25)]
+    out = pieces.query(spark, corpus(documents=[doc(i, t) for i, t in enumerate(texts)])).collect()
+    assert len(out) == len(texts)
+    for r in out:
+        text = texts[r["doc_id"]]
+        ids = plain_ids(v, text) if text else []
+        packed = b"".join(i.to_bytes(4, "little") for i in ids)
+        assert (r["n_pieces"], r["ids_sha256"]) == (len(ids), hashlib.sha256(packed).hexdigest()), text
+        assert r["text_sha256"] == r["decoded_sha256"] == hashlib.sha256(text.encode()).hexdigest()
