@@ -89,16 +89,6 @@ def map_text(df: DataFrame, fn: Callable, schema, text: str = "text", limit: int
 
         for batch in text_batches(batches, text, limit):
             yield fn(batch)
+        pa.default_memory_pool().release_unused()  # the worker stays for other tasks
 
     return df.mapInArrow(run, schema)
-
-
-def hash_sample(rows: DataFrame, most: int) -> list:
-    """At most about `most` rows in the order of their hash; only hashes are sorted, then the rows fetched by them."""
-    turn = F.xxhash64(*rows.columns)
-    picks = [r[0] for r in rows.select(turn.alias("pick")).distinct().orderBy("pick").limit(most).collect()]
-    if not picks:
-        return []
-    chosen = rows.sparkSession.createDataFrame([(p,) for p in picks], "pick long")
-    found = rows.withColumn("turn", turn).join(F.broadcast(chosen), F.col("turn") == F.col("pick"))
-    return found.dropDuplicates(["turn"]).sort("turn").drop("turn", "pick").collect()
