@@ -1,6 +1,7 @@
-"""Command lines: snapshot, agreement, audit, grammar and tables.
+"""Command lines: snapshot, sheets, agreement, audit, grammar and tables.
 
     python -m tallywright.plans.commands snapshot --out snap --per-ecosystem 250
+    python -m tallywright.plans.commands sheets --records snap --shown-before shown.tsv --out sheets
     python -m tallywright.plans.commands agreement --precision a1.md a2.md --recall b1.md b2.md --sample sample.json --out agreement.json
     python -m tallywright.plans.commands audit --records snap --out audit.md
     python -m tallywright.plans.commands grammar --hallucinated names.tsv --benign npm=npm.txt pypi=pypi.txt --records snap --out grammar.json
@@ -55,6 +56,29 @@ def snapshot(spark: SparkSession, get, out: str, per_ecosystem: int = 250, max_p
     return about
 
 
+# ---- sheets -------------------------------------------------------------------------------------------
+
+
+def annotation(records: DataFrame, shown_before: DataFrame, out: str, n_positive: int = 60, n_negative: int = 40) -> dict:
+    """Both sheets for two annotators and the record of their samples, as files in `out`."""
+    campaigns = collapse.collapse(records)
+    positive, negative, meta = sheets.annotation_rows(campaigns, records, shown_before, n_positive, n_negative)
+    positive, negative = positive.persist(), negative.persist()
+    record = sheets.sample_record(meta, precision=positive, recall=negative)
+    about = {
+        "precision": ["Campaigns the labeller calls positive. A row is REAL if one of its matches describes what its category says, FALSE if none does or only a list of tags holds it, UNSURE otherwise."],
+        "recall": ["Campaigns the labeller calls negative. A row is PRESENT if its text describes one of the categories below, ABSENT if it describes none or only a list of tags names one, UNSURE otherwise.", "", *(f"- `{c}`" for c in study.fixed.MECHANISMS)],
+    }
+    for name, rows in (("precision", positive), ("recall", negative)):
+        drawn = ", ".join(f"{k} {n} of {meta[name]['stratum_sizes'][k]}" for k, n in meta[name]["allocation"].items())
+        for who in (1, 2):
+            text = documents.sheet(f"Labeller {name}, annotator {who}", [*about[name], "", f"Drawn by stratum: {drawn}."], rows)
+            _write(f"{out}/{name}_annotator{who}.md", text)
+    _write(f"{out}/sample.json", record)
+    positive.unpersist(), negative.unpersist()
+    return record
+
+
 # ---- agreement ----------------------------------------------------------------------------------------
 
 
@@ -228,6 +252,10 @@ def main(argv: list[str] | None = None) -> None:
     a.add_argument("--out", required=True)
     a.add_argument("--labeller-out")
     a.add_argument("--records")
+    h = sub.add_parser("sheets")
+    h.add_argument("--records", required=True)
+    h.add_argument("--shown-before", help="ecosystem, name and count of packages of earlier sheets, tab-separated")
+    h.add_argument("--out", required=True)
     for name in ("audit", "tables"):
         c = sub.add_parser(name)
         c.add_argument("--records", required=True)
@@ -246,6 +274,10 @@ def main(argv: list[str] | None = None) -> None:
         now = datetime.now(timezone.utc).isoformat()
         about = snapshot(spark, collect.http({"Authorization": f"Bearer {token}"}), o.out, o.per_ecosystem, o.max_pages, now)
         _write(f"{o.out.rstrip('/')}.manifest.json", about)
+    elif o.command == "sheets":
+        empty = spark.createDataFrame([], "ecosystem string, package_name string")
+        shown = S.name_list(spark, o.shown_before).select("ecosystem", F.col("name").alias("package_name")) if o.shown_before else empty
+        annotation(_records(spark, o.records), shown, o.out)
     elif o.command == "agreement":
         meta = json.loads(Path(o.sample).read_text(encoding="utf-8"))
         _write(o.out, agreement(spark, o.precision, o.recall, meta))

@@ -118,6 +118,14 @@ def test_sheets_are_read_back(spark, records, tmp_path):
     json.dumps([out, report, record], default=str)
 
 
+def test_sheets_on_disk(spark, records, tmp_path):
+    record = commands.annotation(records, spark.createDataFrame([], "ecosystem string, package_name string"), str(tmp_path / "out"), 6, 4)
+    assert sorted(p.name for p in (tmp_path / "out").iterdir()) == ["precision_annotator1.md", "precision_annotator2.md", "recall_annotator1.md", "recall_annotator2.md", "sample.json"]
+    got = commands._sheet(spark, str(tmp_path / "out" / "recall_annotator2.md"), commands.RECALL_LABELS).orderBy("row").collect()
+    assert [(r["row"], r["package"]) for r in got] == [(r["row"], r["package_name"]) for r in record["recall_rows"]] and len(got) == 4
+    assert json.loads((tmp_path / "out" / "sample.json").read_text())["precision"]["frame"] == 40
+
+
 def test_spot_check(spark, records):
     campaigns = collapse.collapse(records)
     listed = spark.createDataFrame([(0, "pypi", "p4"), (1, "npm", "p1-cli")], "position int, ecosystem string, package_name string")
