@@ -74,15 +74,22 @@ def text_batches(batches: Iterator[pa.RecordBatch], text: str, limit: int = 4 <<
         yield batch.slice(start)
 
 
-#: Rows in an Arrow batch of texts. The default of 10,000 is meant for narrow rows; a batch is held on both sides.
-ROWS_PER_BATCH = 2000
+#: Bytes in an Arrow batch, and rows in one of texts. Spark's defaults are meant for narrow rows; a batch is held on both sides.
+BATCH_BYTES, BATCH_TEXTS = 8 << 20, 1000
+
+
+def bounded_batches(spark: SparkSession, texts: bool = False) -> None:
+    """Let this session hand rows to Python in batches of a few MB; smaller settings stay."""
+    most = {"spark.sql.execution.arrow.maxBytesPerBatch": BATCH_BYTES} | ({"spark.sql.execution.arrow.maxRecordsPerBatch": BATCH_TEXTS} if texts else {})
+    for key, bound in most.items():
+        now = spark.conf.get(key)
+        if not (now.isdigit() and 0 < int(now) <= bound):
+            spark.conf.set(key, str(bound))
 
 
 def map_text(df: DataFrame, fn: Callable, schema, text: str = "text", limit: int = 4 << 20) -> DataFrame:
     """mapInArrow over `df` in batches bounded by text bytes; `fn` takes and returns a RecordBatch."""
-    rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(df.sparkSession.conf.get(rows)) <= ROWS_PER_BATCH:
-        df.sparkSession.conf.set(rows, str(ROWS_PER_BATCH))
+    bounded_batches(df.sparkSession, texts=True)
 
     def run(batches):
         import pyarrow.compute  # noqa: F401  registers pa.compute on the worker

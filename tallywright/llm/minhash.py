@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tallywright.llm.common import dropped, kept, map_text
+from tallywright.llm.common import bounded_batches, dropped, kept, map_text
 from tallywright.llm.components import components
 from tallywright.session import table
 
@@ -241,6 +241,7 @@ def block_pairs(left: DataFrame, right: DataFrame) -> DataFrame:
     The left blocks of a long list are dealt to up to SALTS keys, and its right blocks go to each of them.
     A merge join gives all pairs of a left block one after another.
     """
+    bounded_batches(left.sparkSession)
     salts = F.least(F.ceil(F.col("parts") / F.lit(BLOCKS_A_KEY)), F.lit(SALTS)).cast("int")
     one = blocks(left, "left").withColumn("salt", (F.col("part") % salts).cast("int"))
     wide = one.groupBy(F.col("value").alias("wide_of")).agg(F.max(salts).alias("salts"))

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tallywright.llm.common import dropped, kept
+from tallywright.llm.common import bounded_batches, dropped, kept
 from tallywright.llm.components import components
 from tallywright.session import table
 
@@ -197,6 +197,8 @@ def in_blocks(left: DataFrame, right: DataFrame, keys: list[str], what: str) ->
     SALTS tasks, and its right blocks go to each of them.
     """
 
+    bounded_batches(left.sparkSession)
+
     def blocked(rows, side):
         sizes = rows.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / F.lit(BLOCK)).cast("int").alias("parts")).select(*[F.col(k).alias(f"of_{k}") for k in keys], "parts")
         dealt = rows.join(sizes, [F.col(k) == F.col(f"of_{k}") for k in keys]).withColumn("part", F.pmod(F.xxhash64("node"), "parts").cast("int"))

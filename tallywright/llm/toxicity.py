@@ -44,6 +44,8 @@ MATTERS = 0.5
 
 
 SHORTEST = 4
+#: Words whose features a task keeps.
+REMEMBERED = 60_000
 
 
 def features(word: str) -> tuple[str, ...]:
@@ -157,7 +159,7 @@ def score_text(model: Model, known: dict[str, tuple], text: str | None) -> tuple
     low = text.lower()
     if len(low) != len(text):  # a few letters grow when lowered; offsets stay those of the text
         low = "".join(c if len(c.lower()) != 1 else c.lower() for c in text)
-    if len(known) > 150_000:
+    if len(known) > REMEMBERED:
         known.clear()
     raises, raising = set(), []
     for w in set(TOKEN.findall(low)):
