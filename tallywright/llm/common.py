@@ -99,3 +99,16 @@ def map_text(df: DataFrame, fn: Callable, schema, text: str = "text", limit: int
         pa.default_memory_pool().release_unused()  # the worker stays for other tasks
 
     return df.mapInArrow(run, schema)
+
+
+def map_text_stream(df: DataFrame, fn: Callable, schema, text: str = "text", limit: int = 4 << 20) -> DataFrame:
+    """As `map_text`, for an `fn` that takes a task's batches and yields what it likes."""
+    bounded_batches(df.sparkSession, texts=True)
+
+    def run(batches):
+        import pyarrow.compute  # noqa: F401
+
+        yield from fn(text_batches(batches, text, limit))
+        pa.default_memory_pool().release_unused()
+
+    return df.mapInArrow(run, schema)

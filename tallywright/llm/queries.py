@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tallywright.llm import fingerprint, language, minhash, mixing, neighbours, pieces, pii, quotes, repeats, toxicity
+from tallywright.llm import fingerprint, language, lengths, minhash, mixing, neighbours, phrases, pieces, pii, quotes, repeats, toxicity, variants
 
 QUERIES = {
     "op1_fingerprint": fingerprint.query,
@@ -15,10 +15,15 @@ QUERIES = {
     "op8_neighbours": neighbours.query,
     "op9_minhash": minhash.query,
     "op10_repeats": repeats.query,
+    "op11_variants": variants.query,
+    "op12_token_counts": lengths.query,
+    "op13_phrases": phrases.query,
 }
 ORACLE: dict[str, str] = {
     "op2_mix_sources": mixing.SQL,
     "op5_quotes": quotes.SQL,
     "op8_neighbours": neighbours.SQL,
     "op9_minhash": minhash.SQL,
+    "op11_variants": variants.SQL,
+    "op13_phrases": phrases.SQL,
 }
