@@ -55,8 +55,8 @@ class Pieces:
         n = self.library.get_piece_size()
         pieces = [self.library.id_to_piece(i) for i in range(n) if not (self.library.is_byte(i) or self.library.is_control(i) or self.library.is_unknown(i))]
         self.joined = {p[i : i + 2] for p in pieces for i in range(len(p) - 1)}
-        # a model that folds white space, or joins line feeds, may see a part otherwise than the whole
-        plain = self.sizes([" \n  a"])[0] == 1 + self.sizes(["\n  a"])[0] and not any("\n" in p for p in pieces)
+        # a model that folds white space, puts nothing in front or joins line feeds may see a part otherwise than the whole
+        plain = "".join(self.library.encode("a  b ", out_type=str)) == f"{SPACE}a{SPACE}{SPACE}b{SPACE}" and not any("\n" in p for p in pieces)
         self.front, self.extra = ("\n", self.sizes(["\n"])[0]) if plain else (None, 0)
 
     def sizes(self, texts: list[str]) -> list[int]:
