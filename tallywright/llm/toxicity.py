@@ -8,13 +8,18 @@ words in it, and the document is toxic if any sentence is:
 
 Only document labels train it. A sentence without evidence has p_s = 0, so a
 long clean document does not drift upward with its number of sentences. The
-weights are sparse (proximal L1), so scoring looks up the few weighted features
-and splits sentences only in texts that hold one. Features are words and their
-four- to six-character beginnings.
+weights are sparse (proximal L1), so scoring looks up the weighted features and
+splits sentences only in texts that hold one which raises; every weight that
+training leaves and every sentence counts, as in training. Features are words and
+their four- to six-character beginnings.
 
 Defined cases: a null or empty text scores the leak; a null label is no label; an
 id with both labels is toxic; documents that repeat an id each count as their own
-row; an empty training set gives leak 0.
+row; an empty training set gives leak 0. Where no feature has the rows it takes,
+the leak is the share of toxic rows among all labelled ones that are not held out,
+LEAST_KNOWN at most, so that nothing is rejected without evidence. A very long
+text is scored whole, a sentence at a time. A kept column that has the name of a
+result gives way to it.
 """
 
 from __future__ import annotations
@@ -39,10 +44,8 @@ TOKEN = re.compile(r"\w+")
 #: Bounds of the training sample, by label and in characters a document.
 SAMPLE_POSITIVE, SAMPLE_NEGATIVE, SAMPLE_CHARS = 2500, 4000, 12_000
 BIAS = -4.0
-#: A sentence whose evidence sums to less adds nothing.
-MATTERS = 0.5
-
-
+#: The leak that training starts from, and its most where no feature is learnt.
+LEAST_KNOWN = 0.05
 SHORTEST = 4
 #: Words whose features a task keeps.
 REMEMBERED = 60_000
@@ -65,8 +68,11 @@ class Model:
 SENTENCES = 1 << 14
 
 
-def train(texts: list[str], labels: list[int], epochs: int = 30, l1: float = 25.0, rate: float = 0.25, least: int = 10) -> Model:
-    """Full-batch proximal Adam on the noisy-or likelihood; deterministic. l1 is in documents' worth of gradient."""
+def train(texts: list[str], labels: list[int], epochs: int = 30, l1: float = 25.0, rate: float = 0.25, least: int = 10, share: float | None = None) -> Model:
+    """Full-batch proximal Adam on the noisy-or likelihood; deterministic. l1 is in documents' worth of gradient.
+
+    `share`: of toxic rows where `texts` are not drawn in proportion.
+    """
     if not texts:
         return Model()
     seen: Counter = Counter()
@@ -86,12 +92,12 @@ def train(texts: list[str], labels: list[int], epochs: int = 30, l1: float = 25.
                 columns.extend(sorted(ids))
     rate_of_label = float(np.clip(y.mean(), 1e-4, 1 - 1e-4))
     if not columns:
-        return Model({}, rate_of_label)
+        return Model({}, min(LEAST_KNOWN, rate_of_label if share is None else share))
     owners, starts, columns = (np.frombuffer(x, np.int32) for x in (owners, starts, columns))
     ends = np.append(starts[1:], len(columns))
     blocks = [slice(i, min(i + SENTENCES, len(starts))) for i in range(0, len(starts), SENTENCES)]
     w, m, v = (np.zeros(len(vocabulary)) for _ in range(3))
-    leak, base = min(0.05, rate_of_label), 1 / (1 + np.exp(-BIAS))
+    leak, base = min(LEAST_KNOWN, rate_of_label), 1 / (1 + np.exp(-BIAS))
     for step in range(1, epochs + 1):
         z = np.concatenate([np.add.reduceat(w[columns[starts[b][0] : ends[b][-1]]], starts[b] - starts[b][0]) for b in blocks])
         s = 1 / (1 + np.exp(-np.clip(BIAS + z, -30, 30)))
@@ -112,7 +118,7 @@ def train(texts: list[str], labels: list[int], epochs: int = 30, l1: float = 25.
         quiet = np.bincount(owners, p, minlength=len(y)) < 1e-3
         if quiet.any():
             leak = float(np.clip(y[quiet].mean(), 1e-4, 0.25))
-    return Model({f: float(w[i]) for f, i in vocabulary.items() if abs(w[i]) > 0.2}, leak)
+    return Model({f: float(w[i]) for f, i in vocabulary.items() if w[i]}, leak)
 
 
 def training_sample(docs: DataFrame, labels: DataFrame) -> list:
@@ -136,9 +142,15 @@ def training_sample(docs: DataFrame, labels: DataFrame) -> list:
     return sorted(found.select("label", "text", "turn").collect(), key=lambda r: (r["turn"], r["label"]))
 
 
+def toxic_share(labels: DataFrame) -> float:
+    """Of the labelled ids that are not held out."""
+    known = labels.where((crc_of_id() % 4 != 2) & F.col("toxic").isin(0, 1)).groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("label"))
+    return float(known.agg(F.avg("label").alias("share")).first()["share"] or 0.0)
+
+
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
     sample = training_sample(docs.select("doc_id", "text"), labels)
-    return train([r["text"] or "" for r in sample], [r["label"] for r in sample])
+    return train([r["text"] or "" for r in sample], [r["label"] for r in sample], share=toxic_share(labels))
 
 
 def word_features(model: Model, known: dict[str, tuple], word: str) -> tuple[str, ...]:
@@ -161,34 +173,30 @@ def score_text(model: Model, known: dict[str, tuple], text: str | None) -> tuple
         low = "".join(c if len(c.lower()) != 1 else c.lower() for c in text)
     if len(known) > REMEMBERED:
         known.clear()
-    raises, raising = set(), []
-    for w in set(TOKEN.findall(low)):
-        if w[:SHORTEST] in model.starts:
-            up = [f for f in word_features(model, known, w) if model.weights[f] > 0]
-            if up:
-                raises.update(up)
-                raising.append(w)
-    if sum(model.weights[f] for f in sorted(raises)) < MATTERS:  # no sentence can reach it
+    raising = [w for w in set(TOKEN.findall(low)) if w[:SHORTEST] in model.starts and any(model.weights[f] > 0 for f in word_features(model, known, w))]
+    if not raising:
         return model.leak, 0.0, -1, -1
     clean, worst, base = 1.0 - model.leak, (0.0, -1, -1), 1 / (1 + math.exp(-BIAS))
     for m in SENTENCE.finditer(low):
         part = m[0]
-        if not any(w in part for w in raising):
+        if not any(w in part for w in raising):  # its evidence cannot be above nothing
             continue
         z = sum(model.weights[f] for f in sorted({f for w in set(TOKEN.findall(part)) if w[:SHORTEST] in model.starts for f in word_features(model, known, w)}))
-        if z >= MATTERS:
+        if z > 0:
             p = (1 / (1 + math.exp(-min(30.0, BIAS + z))) - base) / (1 - base)
-            clean *= 1 - p
+            clean *= 1 - min(p, 1 - 1e-9)
             if p > worst[0]:
                 worst = (p, m.start(), m.end())
     return min(1.0, max(0.0, 1 - clean)), *worst
 
 
+RESULTS = ["score", "worst_score", "worst_start", "worst_end"]
 SCORE_SCHEMA = "score double, worst_score double, worst_start long, worst_end long"
 
 
 def score(docs: DataFrame, model: Model, keep: list[str], text: str = "text") -> DataFrame:
     """`keep` columns of every row with its score and worst sentence. One scan, no shuffle."""
+    keep = [c for c in keep if c not in RESULTS]
     slim = docs.select(*keep, *([text] if text not in keep else []))
     schema = ", ".join([f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep] + [SCORE_SCHEMA])
 
@@ -198,7 +206,7 @@ def score(docs: DataFrame, model: Model, keep: list[str], text: str = "text") ->
         found = [score_text(model, known, t) for t in batch.column(text).to_pylist()]
         kinds = (pa.float64(), pa.float64(), pa.int64(), pa.int64())
         extra = [pa.array([r[i] for r in found], kind) for i, kind in enumerate(kinds)]
-        return pa.RecordBatch.from_arrays([batch.column(c) for c in keep] + extra, keep + ["score", "worst_score", "worst_start", "worst_end"])
+        return pa.RecordBatch.from_arrays([batch.column(c) for c in keep] + extra, keep + RESULTS)
 
     return map_text(slim, run, schema, text)
 

@@ -54,7 +54,7 @@ def test_scores_are_the_noisy_or_over_all_sentences():
         clean = 1 - model.leak
         for part in re.split(r"[.!?\n]+", text.lower()):
             z = sum(model.weights.get(f, 0.0) for f in {f for w in re.findall(r"\w+", part) for f in toxicity.features(w)})
-            if z >= toxicity.MATTERS:
+            if z > 0:
                 clean *= 1 - (1 / (1 + math.exp(-toxicity.BIAS - z)) - base) / (1 - base)
         assert abs(toxicity.score_text(model, {}, text)[0] - (1 - clean)) < 1e-12, text
 
@@ -78,6 +78,30 @@ def test_query_is_the_trained_model_row_by_row(spark, corpus):
         clean = 1 - model.leak
         for part in re.split(r"[.!?\n]+", (by_id[r["doc_id"]] or "").lower()):
             z = sum(model.weights.get(f, 0.0) for f in {f for w in re.findall(r"\w+", part) for f in toxicity.features(w)})
-            if z >= toxicity.MATTERS:
+            if z > 0:
                 clean *= 1 - (1 / (1 + math.exp(-toxicity.BIAS - z)) - base) / (1 - base)
         assert abs(r["score"] - (1 - clean)) < 1e-9 and r["predicted"] == int(r["score"] >= 0.3)
+
+
+def test_weak_evidence_adds_up_as_in_training():
+    """A word of weight 0.45 in 100 sentences: the noisy-or of training, written out."""
+    model, base = toxicity.Model({"meh": 0.45}, 0.01), 1 / (1 + math.exp(4.0))
+    p = (1 / (1 + math.exp(4.0 - 0.45)) - base) / (1 - base)
+    want = 1 - 0.99 * (1 - p) ** 100
+    assert abs(want - 0.642) < 5e-4
+    assert abs(toxicity.score_text(model, {}, "so meh. " * 100)[0] - want) < 1e-9
+
+
+def test_few_labels_reject_nothing(spark, corpus):
+    rows = [doc(i, f"text number {i} of some words") for i in range(66)]
+    path = corpus(documents=rows, labels=[(0, 1, 1), (1, 1, 0)])
+    docs = spark.read.parquet(f"{path}/documents.parquet")
+    assert toxicity.stage(spark, docs, path).count() == 66
+    assert all(r["score"] <= 0.05 for r in toxicity.query(spark, path).collect())
+
+
+def test_clashing_columns_and_very_long_texts(spark):
+    model = toxicity.Model({"grumbler": 6.0}, 0.01)
+    docs = spark.createDataFrame([(1, "fine day. " * 300_000 + "you grumbler", 7.0, "x")], "doc_id long, text string, score double, worst_start string")
+    row = toxicity.score(docs, model, ["doc_id", "score", "worst_start"]).first()
+    assert row["score"] > 0.8 and row["worst_start"] == 10 * 300_000 - 1 and set(row.asDict()) == {"doc_id", *toxicity.RESULTS}
