@@ -37,8 +37,8 @@ def _write(path: str, value) -> None:
 
 def snapshot(spark: SparkSession, get, out: str, per_ecosystem: int = 250, max_pages: int = 100, fetched_at: str = "", **retry) -> dict:
     """Advisories of both services, deduplicated and written as JSON lines; the manifest of what was written."""
-    pages = list(collect.advisory_pages(get, max_pages=max_pages, most=per_ecosystem, **retry))
-    ghsa = S.ghsa_records(spark.createDataFrame([(p,) for p in pages], "value string"), fetched_at=fetched_at).persist()
+    pages = collect.advisory_pages(spark, get, max_pages=max_pages, most=per_ecosystem, **retry)
+    ghsa = S.ghsa_records(pages, fetched_at=fetched_at).persist()
     osv = collect.osv_answers(collapse.candidate_set(ghsa, "package_name", "ecosystem"), get, fetched_at, **retry)
     both = ghsa.withColumn("_first", F.lit(0)).unionByName(osv.withColumn("_first", F.lit(1)))
     whole = both.withColumn("_seq", F.struct("_first", "ecosystem", "package_name", "advisory_id"))

@@ -22,20 +22,35 @@ RECORD = ["advisory_id", "source", "package_name", "ecosystem", "summary", "desc
 README_CHARACTERS = 20_000
 
 
-def with_retry(get: Callable[[str], tuple[int, str | None, dict]], url: str, tries: int = 4, wait: float = 2.0, sleep=time.sleep):
-    """(body, headers) once the endpoint answers 200; backs off on 403 and 429; None for anything else."""
+#: Statuses after which a request is made again: a broken connection (0) and refusals for being too frequent.
+AGAIN = (0, 403, 429)
+
+
+def tried(get: Callable[[str], tuple[int, str | None, dict]], url: str, tries: int = 4, wait: float = 2.0, sleep=time.sleep) -> tuple[int, str | None, dict]:
+    """The first answer whose status is not in AGAIN, backing off between requests; none in `tries` raises."""
     for k in range(tries):
         status, body, headers = get(url)
-        if status == 200:
-            return body, headers
-        if status not in (403, 429):
-            return None
-        sleep(wait * 2**k)
-    return None
+        if status not in AGAIN:
+            return status, body, headers
+        if k + 1 < tries:
+            sleep(wait * 2**k)
+    raise ConnectionError(f"no answer in {tries} tries (last status {status}): {url}")
+
+
+def with_retry(get, url: str, tries: int = 4, wait: float = 2.0, sleep=time.sleep):
+    """(body, headers) of an answer with status 200, None for one with another; see `tried`."""
+    status, body, headers = tried(get, url, tries, wait, sleep)
+    return (body, headers) if status == 200 else None
 
 
-def fetch_pages(get, first: str, max_pages: int, most: int | None = None, key=lambda row: json.dumps(row, sort_keys=True), **retry):
-    """Pages of a cursor-linked endpoint, until one is empty, fails, has no successor, or `most` distinct keys are in."""
+def next_page(headers: dict) -> str | None:
+    """The address a Link header calls next."""
+    links = [p.split(";") for p in (headers.get("Link") or headers.get("link") or "").split(",") if 'rel="next"' in p]
+    return links[0][0].strip().strip("<>") if links else None
+
+
+def fetch_pages(get, first: str, max_pages: int, most: int | None = None, keys=lambda row: [json.dumps(row, sort_keys=True)], **retry):
+    """Pages of a cursor-linked endpoint, until one is empty or not there, has no successor, or `most` distinct keys are in; `keys` gives a row's."""
     url, seen = first, set()
     for _ in range(max_pages):
         got = with_retry(get, url, **retry)
@@ -45,13 +60,13 @@ def fetch_pages(get, first: str, max_pages: int, most: int | None = None, key=la
         if not rows:
             return
         yield got[0]
-        seen |= {key(r) for r in rows}
-        if most is not None and len(seen) >= most:
-            return
-        links = [p.split(";") for p in (got[1].get("Link") or "").split(",") if 'rel="next"' in p]
-        if not links:
+        if most is not None:
+            seen.update(k for r in rows for k in keys(r))
+            if len(seen) >= most:
+                return
+        url = next_page(got[1])
+        if url is None:
             return
-        url = links[0][0].strip().strip("<>")
 
 
 def _urls(references: Column) -> Column:

@@ -71,30 +71,35 @@ def test_a_crash_between_rows_and_ledger_repeats_nothing(spark, tmp_path):
     assert spark.read.json(ledger).count() == 3
 
 
-def test_cached_names_and_manifests(tmp_path):
+def test_name_lists_and_manifests(spark, tmp_path):
     calls = []
 
     def fetch():
         calls.append(1)
-        return ["one", "two"]
-
-    path = tmp_path / "lists" / "top.txt"
-    assert collect.cached_names(path, fetch, "s", "v", metadata=tmp_path / "meta") == ["one", "two"] == collect.cached_names(path, fetch, "s", "v")
-    assert len(calls) == 1 and collect.cached_names(path, fetch, "s", "v", refresh=True) == ["one", "two"] and len(calls) == 2
-    about = json.loads((tmp_path / "meta" / "top.json").read_text())
-    assert about["record_count"] == 2 and about["source"] == "s"
+        return ["two", "one"]
+
+    path = str(tmp_path / "lists")
+    assert collect.name_lists(spark, path).count() == 0
+    shown = lambda df: [(r["list"], r["name"], str(r["fetched_on"])) for r in df.orderBy("list", "rank").collect()]
+    first = [("top", "two", "2026-01-01"), ("top", "one", "2026-01-01")]
+    assert shown(collect.refreshed(spark, path, {"top": fetch}, on="2026-01-01", source="s")) == first
+    assert shown(collect.refreshed(spark, path, {"top": fetch, "more": lambda: ["x"]}, on="2026-02-01")) == [("more", "x", "2026-02-01"), *first] and len(calls) == 1
+    again = collect.refreshed(spark, path, {"top": fetch}, on="2026-03-01", since="2026-01-15")
+    assert shown(again) == [("more", "x", "2026-02-01"), ("top", "two", "2026-03-01"), ("top", "one", "2026-03-01")] and len(calls) == 2
     with pytest.raises(RuntimeError):
-        collect.cached_names(tmp_path / "none.txt", list, "s", "v")
-    assert sinks.commit_of(tmp_path) == "no-git-repo"
+        collect.refreshed(spark, path, {"more": list}, on="2026-04-01", since="2026-04-01")
+    assert collect.name_lists(spark, path).where("list = 'more'").count() == 1
+    about = sinks.manifest("top", "s", "v", b"two", 2, "not specified", "real_world_observed", sinks.commit_of(tmp_path))
+    assert about["record_count"] == 2 and sinks.commit_of(tmp_path) == "no-git-repo"
     e = sinks.experiment("x", about, {"a": 1}, 7, "m", "1", folder=tmp_path)
     assert e["dataset_hash"] == about["sha256"] and "pyspark" in e["package_versions"] and e["git_commit"] == "no-git-repo"
 
 
 def test_places(tmp_path):
-    p = collect.places(tmp_path, "local")
-    p.make()
-    assert p.raw.is_dir() and p.results == tmp_path / "results" and p.results.is_dir()
-    assert collect.places(kind="kaggle").read_only and str(collect.places(kind="colab").root) == "/content/project"
+    p = collect.here(tmp_path, {})
+    assert p["raw"] == tmp_path / "data" / "raw" and all(x.is_dir() for x in p.values()) and p["results"] == tmp_path / "results"
+    split = collect.places(tmp_path / "w", tmp_path / "in")
+    assert split["raw"] == split["external"] == tmp_path / "in" and split["interim"] == tmp_path / "w" / "data" / "interim"
 
 
 def test_sheets_are_read_back(spark, records, tmp_path):
