@@ -95,6 +95,7 @@ INSTRUCTIONS = {
     "benign_instruction_like": [],
 }
 NEGATION_CUES = ["does not", "do not", "did not", "doesn't", "no evidence of"]
+EARLIER_NEGATION_CUES = ["does not", "do not", "did not", "doesn't", "no evidence of", "without", "rather than"]
 NEGATION_BREAKS = [r"\bbut\b", r"[;.]"]
 NEGATION_WINDOW = 40
 

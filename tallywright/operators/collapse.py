@@ -163,17 +163,6 @@ def prefix_pairs(campaigns: DataFrame, text: str, equal: int = 120, length: int
     return near.select(F.col("a.ecosystem").alias("ecosystem"), F.col("a.seq").alias("first_seq"), F.col("b.seq").alias("second_seq"), (F.col("a.n") * F.col("b.n")).alias("n_pairs"), (A.diverge_at(F.col("a.head"), F.col("b.head"))).alias("diverge_at"))
 
 
-def least_alike(members: DataFrame, group: str, text: str, below: float = 0.5) -> DataFrame:
-    """Per group the least similar pair of distinct texts (token Jaccard, ties by position) and how many lie below."""
-    one = members.groupBy(group, text).agg(F.min("_seq").alias("seq")).withColumn("tokens", A.tokens(F.col(text)))
-    a, b = one.alias("a"), one.alias("b")
-    pairs = a.join(b, (F.col(f"a.{group}") == F.col(f"b.{group}")) & (F.col("a.seq") < F.col("b.seq")))
-    pairs = pairs.select(F.col(f"a.{group}").alias(group), F.col("a.seq").alias("first_seq"), F.col("b.seq").alias("second_seq"), A.jaccard(F.col("a.tokens"), F.col("b.tokens")).alias("similarity"))
-    best = F.min(F.struct("similarity", "first_seq", "second_seq"))
-    found = pairs.groupBy(group).agg(best.alias("least"), F.count_if(F.col("similarity") < below).alias("n_low"))
-    return found.where(F.col("least.similarity") < below).select(group, "least.*", "n_low")
-
-
 def merges_of(fine: DataFrame, coarse: DataFrame, member: str, group: str) -> DataFrame:
     """Coarse groups that join two or more fine ones."""
     both = coarse.select(member, F.col(group).alias("coarse_group")).join(fine.select(F.col(member).alias("m"), F.col(group).alias("fine_group")), F.col(member) == F.col("m"))

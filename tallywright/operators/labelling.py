@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallywright.functions import fixed
+from tallywright.operators import literals
 
 #: Case-blind with Unicode classes; a dot stops at line feeds alone.
 UNICODE, ASCII = "(?iuUd)", "(?i)"
@@ -54,7 +55,22 @@ def matches(text: Column, taxonomy: dict[str, list[str]], negation: bool = True,
 def labelled(records: DataFrame, text: str, taxonomy=fixed.MECHANISMS, context: int = 80, negation: bool = True, mode: str = UNICODE, **rule) -> DataFrame:
     """`records` with matches (context included), categories (sorted) and flag. No shuffle, no Python."""
     whole = F.coalesce(F.col(text), F.lit(""))
-    rows = records.withColumn("matches", matches(whole, taxonomy, negation, mode, **rule))
+    return _finished(records.withColumn("matches", matches(whole, taxonomy, negation, mode, **rule)), whole, context)
+
+
+def labelled_by_literals(records: DataFrame, text: str, taxonomy=fixed.MECHANISMS, context: int = 80, negation: bool = True, **rule) -> DataFrame:
+    """As `labelled`, with the matches of Python's `re` found by `literals`, and n_searched, the patterns a text was searched for.
+
+    For large taxonomies: `labelled` searches every text for every pattern. No shuffle.
+    """
+    whole = F.coalesce(F.col(text), F.lit(""))
+    rows = records.withColumn("_found", literals.found(whole, taxonomy))
+    every = F.col("_found.matches")
+    left = F.filter(every, lambda m: ~is_negated(whole, m["start"], **rule)) if negation else every
+    return _finished(rows.withColumn("matches", left).withColumn("n_searched", F.col("_found.n_searched")).drop("_found"), whole, context)
+
+
+def _finished(rows: DataFrame, whole: Column, context: int) -> DataFrame:
     lo = lambda m: F.greatest(m["start"] - context, F.lit(0))
     around = F.transform("matches", lambda m: m.withField("context", F.substring(whole, lo(m) + 1, m["end"] + context - lo(m))))
     rows = rows.withColumn("matches", around)
@@ -83,9 +99,17 @@ def negation_drops(records: DataFrame, text: str, taxonomy=fixed.MECHANISMS, mod
     return dropped.select(last.alias("cue")).groupBy("cue").agg(F.count(F.lit(1)).alias("n"))
 
 
-def negation_drops_by_rule(records: DataFrame, text: str, taxonomy=fixed.MECHANISMS, mode: str = UNICODE, cues=fixed.NEGATION_CUES, before: dict | None = None) -> DataFrame:
-    """rule, cue, n: what the present rule drops and what one without breaks dropped, by the cue nearest to the match."""
-    earlier = {"breaks": [r"(?!)"], **(before or {})}
-    now = negation_drops(records, text, taxonomy, mode, cues).withColumn("rule", F.lit("now"))
-    then = negation_drops(records, text, taxonomy, mode, earlier.pop("cues", cues), **earlier).withColumn("rule", F.lit("before"))
+def negation_drops_by_rule(records: DataFrame, text: str, taxonomy=fixed.MECHANISMS, mode: str = UNICODE, cues=fixed.NEGATION_CUES, earlier=fixed.EARLIER_NEGATION_CUES, **rule) -> DataFrame:
+    """rule, cue, n: what the present rule drops and what the earlier one dropped.
+
+    The earlier rule has cues of its own, knows no breaks, looks at the window alone
+    (its edge ends a word) and credits the first cue in it.
+    """
+    now = negation_drops(records, text, taxonomy, mode, cues, **rule).withColumn("rule", F.lit("now"))
+    window = rule.get("window", fixed.NEGATION_WINDOW)
+    whole = F.coalesce(F.col(text), F.lit(""))
+    every = records.select(whole.alias("whole"), F.explode(matches(whole, taxonomy, False, mode)["start"]).alias("start"))
+    before = F.substring("whole", F.greatest(F.col("start") - window, F.lit(0)) + 1, F.least(F.col("start"), F.lit(window)))
+    first = F.regexp_extract(F.lower(before), rf"{mode}\b(?:{'|'.join(earlier)})\b", 0)
+    then = every.select(first.alias("cue")).where("cue <> ''").groupBy("cue").agg(F.count(F.lit(1)).alias("n")).withColumn("rule", F.lit("before"))
     return then.unionByName(now).select("rule", "cue", "n")

@@ -71,8 +71,21 @@ def annotation_rows(campaigns: DataFrame, records: DataFrame, shown_before: Data
     return positive, drawn[1].join(texts, ["ecosystem", "display"], "left"), meta
 
 
-def spot_check_rows(campaigns: DataFrame, records: DataFrame, listed: DataFrame, per_ecosystem: dict[str, int], taxonomy: dict = fixed.MECHANISMS) -> DataFrame:
-    """Part a: the packages in `listed` (position, ecosystem, package_name). Part b: so many positive campaigns an ecosystem that hold none of them."""
+def agreed(listed: DataFrame, computed: DataFrame) -> DataFrame:
+    """`listed`, whose packages must be those of `computed` (ecosystem, package_name); one that only either has raises."""
+    there = computed.select(F.col("ecosystem").alias("_e"), F.col("package_name").alias("_p"), F.lit(True).alias("_there")).distinct()
+    both = listed.withColumn("_here", F.lit(True)).join(there, (F.col("ecosystem") == F.col("_e")) & (F.col("package_name") == F.col("_p")), "full")
+    wrong = F.raise_error(F.concat(F.lit("only listed or only computed: "), F.coalesce("package_name", "_p")))
+    whole = F.col("_here").isNotNull() & F.col("_there").isNotNull()
+    return both.withColumn("package_name", F.when(whole, F.col("package_name")).otherwise(wrong)).select(*listed.columns)
+
+
+def spot_check_rows(campaigns: DataFrame, records: DataFrame, listed: DataFrame, per_ecosystem: dict[str, int], taxonomy: dict = fixed.MECHANISMS, computed: DataFrame | None = None) -> DataFrame:
+    """Part a: the packages in `listed` (position, ecosystem, package_name). Part b: so many positive campaigns an ecosystem that hold none of them.
+
+    With `computed`, the list must be exactly its packages.
+    """
+    listed = listed if computed is None else agreed(listed, computed)
     frame = reports.without_members(campaigns, listed)
     named = frame.join(reports.displayed(frame, records), ["ecosystem", "signature"])
     part_b = sampling.draw_each(named, "ecosystem", "package_name", per_ecosystem).select(F.lit("b").alias("part"), F.lit(0).alias("position"), "ecosystem", "package_name", F.col("member_count").alias("campaign_size"))

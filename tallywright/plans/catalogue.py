@@ -11,8 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallywright.functions import advisories as A
-from tallywright.functions import inference, names
-from tallywright.operators import collapse, labelling, leakage, reports, sampling, tables
+from tallywright.functions import fixed, inference, names
+from tallywright.operators import alike, collapse, labelling, leakage, reports, sampling, tables
 from tallywright.session import table
 
 QUERIES: dict = {}
@@ -148,16 +148,36 @@ def negation_drops_by_cue(spark, sf_dir):
     return labelling.negation_drops(table(spark, sf_dir, "documents"), "text", TAXONOMY, labelling.ASCII, cues=CUES, breaks=BREAKS)
 
 
-@register("negation_by_rule", f"""WITH h AS ({_HITS}), s AS (SELECT p.s::INTEGER AS s, text FROM h), d AS (SELECT 'now' AS rule, s, text FROM s WHERE CASE
+EARLIER_CUES = [*CUES, "of", "that"]
+
+
+@register("negation_by_rule", f"""WITH h AS ({_HITS}), s AS (SELECT p.s::INTEGER AS s, text FROM h), d AS (SELECT s, text FROM s WHERE CASE
   WHEN s > 40 THEN regexp_matches(substr(text, s - 40, 41), '(?is)\\A.(?:[^;.]*[;.])*[^;.]*?\\b(?:the|and)\\b[^;.]*\\z')
-  ELSE regexp_matches(substr(text, 1, s), '(?is)\\A(?:[^;.]*[;.])*[^;.]*?\\b(?:the|and)\\b[^;.]*\\z') END
-  UNION ALL SELECT 'before', s, text FROM s WHERE CASE WHEN s > 40 THEN regexp_matches(substr(text, s - 40, 41), '(?is)\\A..*?\\b(?:the|and)\\b') ELSE regexp_matches(substr(text, 1, s), '(?is)\\A.*?\\b(?:the|and)\\b') END)
-SELECT rule, regexp_extract_all(lower(substr(text, greatest(s - 39, 1), least(s, 40))), '\\b(?:the|and)\\b')[-1] AS cue, count(*) AS n FROM d GROUP BY rule, cue""")
+  ELSE regexp_matches(substr(text, 1, s), '(?is)\\A(?:[^;.]*[;.])*[^;.]*?\\b(?:the|and)\\b[^;.]*\\z') END),
+w AS (SELECT regexp_extract_all(lower(substr(text, greatest(s - 39, 1), least(s, 40))), '\\b(?:the|and|of|that)\\b')[1] AS cue FROM s WHERE s > 0)
+SELECT 'now' AS rule, regexp_extract_all(lower(substr(text, greatest(s - 39, 1), least(s, 40))), '\\b(?:the|and)\\b')[-1] AS cue, count(*) AS n FROM d GROUP BY cue
+UNION ALL SELECT 'before', cue, count(*) FROM w WHERE cue IS NOT NULL GROUP BY cue""")
 def negation_by_rule(spark, sf_dir):
     d = table(spark, sf_dir, "documents")
-    now = labelling.negation_drops(d, "text", TAXONOMY, labelling.ASCII, cues=CUES, breaks=BREAKS).withColumn("rule", F.lit("now"))
-    before = labelling.negation_drops_by_rule(d, "text", TAXONOMY, labelling.ASCII, CUES).where("rule = 'before'")
-    return before.unionByName(now.select("rule", "cue", "n"))
+    return labelling.negation_drops_by_rule(d, "text", TAXONOMY, labelling.ASCII, CUES, EARLIER_CUES, breaks=BREAKS)
+
+
+#: The default taxonomies' patterns and those that the documents are known to hold, searched by their literals.
+EVERY = {**TAXONOMY, **fixed.MECHANISMS, **fixed.INSTRUCTIONS}
+
+
+def _spans_sql(taxonomy: dict[str, list[str]]) -> str:
+    """Places of all matches, by what stands between them."""
+    one = lambda c, p: f"""SELECT doc_id, '{c}' AS category, '{p.replace("'", "''")}' AS pattern, regexp_extract_all(text, '(?i)(?:{p.replace("'", "''")})') AS h, string_split_regex(text, '(?i)(?:{p.replace("'", "''")})') AS g FROM documents"""
+    return " UNION ALL ".join(one(c, p) for c, ps in taxonomy.items() for p in ps)
+
+
+@register("literal_spans", f"""WITH f AS ({_spans_sql(EVERY)}), h AS (SELECT doc_id, category, pattern, unnest(list_transform(range(1, len(h) + 1), lambda i:
+  {{'s': list_sum(list_transform(g[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(h[1:i - 1], lambda x: length(x))), 0), 'n': length(h[i])}})) AS p FROM f WHERE len(h) > 0)
+SELECT doc_id, category, pattern, p.s::INTEGER AS start_at, (p.s + p.n)::INTEGER AS end_at FROM h""")
+def literal_spans(spark, sf_dir):
+    d = labelling.labelled_by_literals(table(spark, sf_dir, "documents").select("doc_id", "text"), "text", EVERY, negation=False)
+    return d.select("doc_id", F.explode("matches").alias("m")).select("doc_id", "m.category", "m.pattern", F.col("m.start").alias("start_at"), F.col("m.end").alias("end_at"))
 
 
 LEXICON = {"suffixes": ["widget", "bolt", "pin"], "prefixes": ["small", "large"], "trends": ["hot", "rapid"]}
@@ -311,13 +331,24 @@ def prefix_pairs(spark, sf_dir):
     return collapse.prefix_pairs(d, "text", equal=60).drop("diverge_at")
 
 
+@register("prefix_heads", """WITH t AS (SELECT lang, substr(text, 1, 60) AS prefix, substr(text, 1, 200) AS head, min(doc_id) AS seq, count(*) AS n FROM documents WHERE length(text) >= 60 GROUP BY ALL),
+g AS (SELECT *, min(seq) OVER p AS group_seq, count(*) OVER p AS n_heads, sum(n) OVER p AS n_texts, lag(head) OVER o AS before, lead(head) OVER o AS after, lag(seq) OVER o AS before_seq
+  FROM t WINDOW p AS (PARTITION BY lang, prefix), o AS (PARTITION BY lang, prefix ORDER BY head)),
+d AS (SELECT *, len(list_filter(range(1, 201), lambda i: i <= length(before) AND substr(before, 1, i) = substr(head, 1, i))) AS b, len(list_filter(range(1, 201), lambda i: i <= length(after) AND i <= length(head) AND substr(after, 1, i) = substr(head, 1, i))) AS a FROM g WHERE n_heads > 1)
+SELECT lang, group_seq, seq, n, n_heads, (n * (n_texts - n))::BIGINT AS n_pairs, before_seq, CASE WHEN before_seq IS NOT NULL THEN least(b, length(head)) END::INT AS before_at,
+  greatest(CASE WHEN before IS NOT NULL THEN least(b, length(head)) END, CASE WHEN after IS NOT NULL THEN a END)::INT AS diverge_at FROM d""")
+def prefix_heads(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").select("lang", "text", F.col("doc_id").alias("_seq"))
+    return alike.prefix_heads(d, "text", "lang", equal=60)
+
+
 @register("least_alike_members", """WITH m AS (SELECT conv_id, text, min(turn) AS seq FROM conversations WHERE role = 'user' GROUP BY conv_id, text), t AS (SELECT conv_id, seq, list_distinct(regexp_extract_all(lower(text), '[a-z]+')) AS tokens FROM m),
 p AS (SELECT a.conv_id, a.seq AS first_seq, b.seq AS second_seq, CASE WHEN len(list_distinct(list_concat(a.tokens, b.tokens))) = 0 THEN 1.0 ELSE len(list_intersect(a.tokens, b.tokens)) / len(list_distinct(list_concat(a.tokens, b.tokens))) END AS similarity FROM t a JOIN t b ON a.conv_id = b.conv_id AND a.seq < b.seq)
 SELECT conv_id, round(min(similarity), 9) AS similarity, count(*) FILTER (WHERE similarity < 0.5) AS n_low FROM p GROUP BY conv_id HAVING min(similarity) < 0.5""")
 def least_alike_members(spark, sf_dir):
     m = table(spark, sf_dir, "conversations").where("role = 'user'").groupBy("conv_id", "text").agg(F.min("turn").alias("_seq"))
     plain = m.select("conv_id", "_seq", F.array_join(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0)), " ").alias("words"))
-    return collapse.least_alike(plain, "conv_id", "words").select("conv_id", F.round("similarity", 9).alias("similarity"), "n_low")
+    return alike.least_alike(plain, "conv_id", "words").select("conv_id", F.round("similarity", 9).alias("similarity"), "n_low")
 
 
 _SIZES = "s AS (SELECT lang AS stratum, count(*) AS size FROM documents GROUP BY lang), q AS (SELECT *, 60 * size / sum(size) OVER () AS quota FROM s), w AS (SELECT *, floor(quota) AS whole, quota - floor(quota) AS rest FROM q)"

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tallywright.functions import advisories as A
 from tallywright.functions import decisions, inference
-from tallywright.operators import collapse, reports, tables
+from tallywright.operators import alike, collapse, reports, tables
 
 ECOSYSTEM_NAMES = {"npm": "npm", "pypi": "PyPI"}
 
@@ -60,7 +60,7 @@ def audit_tables(records: DataFrame, largest: int = 25, equal: int = 120, length
 
     member = packages.select("ecosystem", "package_name", "_seq", "masked").join(reports.members(campaigns).select("ecosystem", "package_name", F.col("_seq").alias("campaign_seq")), ["ecosystem", "package_name"])
     several = member.join(campaigns.where("member_count > 1").select("ecosystem", F.col("_seq").alias("campaign_seq")), ["ecosystem", "campaign_seq"], "left_semi")
-    low = collapse.least_alike(several.withColumn("campaign_seq", F.col("campaign_seq")), "campaign_seq", "masked", below)
+    low = alike.least_alike(several.withColumn("campaign_seq", F.col("campaign_seq")), "campaign_seq", "masked", below)
     of = lambda k: several.select("campaign_seq", F.col("_seq").alias(f"{k}_seq"), F.col("package_name").alias(f"{k}_name"), F.col("masked").alias(f"{k}_text"))
     over = low.join(of("first"), ["campaign_seq", "first_seq"]).join(of("second"), ["campaign_seq", "second_seq"]).join(named.withColumnRenamed("_seq", "campaign_seq"), "campaign_seq")
     over = over.withColumn("diverge_at", A.diverge_at(F.col("first_text"), F.col("second_text")))

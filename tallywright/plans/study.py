@@ -20,7 +20,18 @@ from tallywright.sources import sinks
 
 SCHEMA = "advisory_id string, source string, package_name string, ecosystem string, summary string, description string, published_at string, withdrawn_at string, severity string, reference_urls array<string>, fetched_at string"
 COVARIATES = {"main": ["n_reporters", "has_amazon_inspector"], "a": ["n_reporters"], "b": ["has_amazon_inspector"], "c": ["n_reporters", "has_boilerplate", "has_kam193"]}
-GRID = [{}, {"one_liner_apart": False}, {"one_liner_apart": False, "urls": False}, {"use_tag": False}, {"mask": False}, {"use_tag": False, "mask": False, "generic_apart": False, "urls": False, "one_liner_apart": False}]
+#: Settings of the signature that are compared: none of the three switches, each alone, two without the tag, all; then two of the others off.
+OFF = {"use_tag": False, "mask": False, "generic_apart": False}
+GRID = [
+    OFF,
+    {k: v for k, v in OFF.items() if k != "generic_apart"},
+    {k: v for k, v in OFF.items() if k != "use_tag"},
+    {k: v for k, v in OFF.items() if k != "mask"},
+    {"use_tag": False},
+    {},
+    {"one_liner_apart": False},
+    {"one_liner_apart": False, "urls": False},
+]
 
 
 def prepared(records: DataFrame, taxonomy=fixed.MECHANISMS) -> DataFrame:

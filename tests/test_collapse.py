@@ -3,7 +3,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from tallywright.operators import collapse
+from tallywright.operators import alike, collapse
 from tallywright.sources import advisories as S
 from tallywright.sources import sinks
 from tallywright.streaming import ingest
@@ -66,7 +66,7 @@ def test_audits(spark):
     df = spark.createDataFrame([(0, "e", "a" * 120 + "x"), (1, "e", "a" * 120 + "y"), (2, "e", "a" * 120 + "y"), (3, "f", "a" * 120 + "z"), (4, "e", "short")], "_seq long, ecosystem string, text string")
     assert [tuple(r) for r in collapse.prefix_pairs(df, "text").collect()] == [("e", 0, 1, 2, 120)]
     m = spark.createDataFrame([(0, "g", "a b c"), (1, "g", "a b d"), (2, "g", "x y z"), (3, "h", "same"), (4, "h", "same")], "_seq long, g string, t string")
-    assert [tuple(r) for r in collapse.least_alike(m, "g", "t").collect()] == [("g", 0.0, 0, 2, 2)]
+    assert [tuple(r) for r in alike.least_alike(m, "g", "t").collect()] == [("g", 0.0, 0, 2, 2)]
 
 
 def rows_of(df):
