@@ -4,12 +4,17 @@ Rows of equal label and equal vector form a class. A first neighbour graph comes
 from orders of random projections: classes are sorted by label, sign code and
 projection, and each meets the few before it. NN-descent then refines the graph:
 around every node its neighbours and those it is a neighbour of are compared with
-each other, and each keeps the best. After every round an audit compares a drawn
-set of classes with all of their label by brute force, in blocks; until it finds
-RECALL of their links, rounds go on with longer lists; after ROUNDS without that,
-all classes are compared with their label in blocks. Where the audit passes, classes
-whose lists are full of links are. More classes are drawn until the audit has
-LEAST_LINKS links; those it finds are kept.
+each other, and each keeps the best.
+
+After every round the graph is audited twice. About AUDIT classes, drawn by hash,
+are compared with all of their label by brute force, in blocks; for each, the
+components that its links lead to count, not the links, so that links inside dense
+groups do not outweigh lone ones. And each drawn class has a planted partner, a
+vector in a random direction just above the threshold; those of classes without
+links show how many lone pairs the graph finds, whether or not the table has any.
+Until both recalls reach RECALL, rounds go on with more orders and longer lists;
+after ROUNDS without that, all classes are compared with their label in blocks.
+Where the audit passes, classes whose lists are full of links are.
 
 Edges at the threshold, checked in double precision, give components. Lists of
 nodes in a component may be saturated, their true neighbours more than a list
@@ -36,8 +41,11 @@ from tallywright.llm.components import components
 from tallywright.session import table
 
 THRESHOLD, RECALL = 0.98, 0.99
-ORDERS, NEAR, LIST, ROUNDS = 10, 4, 10, 4
-AUDIT, LEAST_LINKS, BLOCK = 400, 100, 512
+ORDERS, NEAR, LIST, ROUNDS = 16, 8, 10, 4
+#: Of the places in an order that are looked at, those from here on count only at a cosine of CLOSE; classes of one code.
+FAR, CLOSE, CELL = 4, 0.9, 32
+#: Classes drawn for the audit; planted pairs of classes without links that tell enough.
+AUDIT, LEAST_PLANTED, BLOCK = 400, 20, 512
 #: Blocks of a key in one task, and tasks of a key at most; cosines this near to the threshold are summed term by term.
 BLOCKS_A_KEY, SALTS, BAND = 4, 32, 1e-9
 EDGE = "u long, v long, sim float"
@@ -65,9 +73,9 @@ def unit(v: np.ndarray) -> np.ndarray:
     return v / np.linalg.norm(v, axis=1, keepdims=True)
 
 
-def first_graph(classes: DataFrame, rows: int) -> DataFrame:
-    """Edges between classes that stand close in one of ORDERS orders."""
-    bits = int(np.clip(np.ceil(np.log2(max(rows, 2) / 256)), 2, 20))
+def first_graph(classes: DataFrame, rows: int, turn: int = 0) -> DataFrame:
+    """Edges between classes that stand close in one of ORDERS orders; other orders each `turn`."""
+    bits = int(np.clip(np.ceil(np.log2(max(rows, 2) / CELL)), 2, 32))
 
     def coded(batches):
         for batch in batches:
@@ -76,7 +84,7 @@ def first_graph(classes: DataFrame, rows: int) -> DataFrame:
             for w in np.unique(widths):
                 part = batch.filter(pa.array(widths == w))
                 v = unit(matrix(part.column(names.index("vec"))))
-                for t in range(ORDERS):
+                for t in range(turn * ORDERS, (turn + 1) * ORDERS):
                     planes = np.random.default_rng([int(w), t]).standard_normal((int(w), bits + 1))
                     p = v @ planes
                     code = (p[:, :bits] > 0) @ (1 << np.arange(bits))
@@ -106,6 +114,8 @@ def first_graph(classes: DataFrame, rows: int) -> DataFrame:
                     same = np.flatnonzero((k[d:] == k[:-d]).all(axis=1))
                     if len(same):
                         sim = np.einsum("ij,ij->i", v[same + d], v[same])
+                        if d > FAR:
+                            same, sim = same[sim >= CLOSE], sim[sim >= CLOSE]
                         yield pa.RecordBatch.from_arrays([pa.array(n[same + d]), pa.array(n[same]), pa.array(sim.astype(np.float32))], ["u", "v", "sim"])
 
     return dealt.mapInArrow(close, EDGE)
@@ -247,41 +257,77 @@ def exact(edges: DataFrame, classes: DataFrame) -> DataFrame:
     return both.where(dot / (norm(F.col("v1")) * norm(F.col("v2"))) >= THRESHOLD).select("u", "v")
 
 
+def planted(asked: DataFrame) -> DataFrame:
+    """node (-1 - the class's), label, width, vec of a partner for each class, in a random direction and just above the threshold."""
+    label = asked.schema["label"].dataType.simpleString()
+
+    def run(batches):
+        for batch in batches:
+            names = batch.schema.names
+            nodes, widths = (batch.column(names.index(c)).to_numpy() for c in ("node", "width"))
+            for w in np.unique(widths[widths > 1]):
+                at = pa.array(widths == w)
+                part = batch.filter(at)
+                v = unit(matrix(part.column(names.index("vec"))))
+                own = nodes[widths == w]
+                side = np.stack([np.random.default_rng(int(n)).standard_normal(int(w)) for n in own])
+                side = unit(side - (side * v).sum(axis=1, keepdims=True) * v)
+                cos = THRESHOLD + 1e-4
+                partner = cos * v + math.sqrt(1 - cos * cos) * side
+                lists = pa.FixedSizeListArray.from_arrays(pa.array(partner.ravel()), int(w)).cast(pa.list_(pa.float64()))
+                yield pa.RecordBatch.from_arrays([pa.array(-1 - own), part.column(names.index("label")), part.column(names.index("width")), lists], ["node", "label", "width", "vec"])
+
+    return asked.select("node", "label", "width", "vec").mapInArrow(run, f"node long, label {label}, width int, vec array<double>")
+
+
+def audited(graph: DataFrame, true: DataFrame, plants: DataFrame) -> float:
+    """The lesser of two recalls: of the components that `true` links lead to, and of the planted partners of classes without links; 0 where there are too few of both."""
+    near = graph.where(F.col("sim") >= THRESHOLD - 1e-4).select(F.col("u").alias("a"), F.col("v").alias("b"))
+    placed = kept(components(near), "placed")  # a link inside one component is found: its blocks hold it
+
+    def place(rows, node, name):
+        ends = placed.select(F.col("node").alias(f"_{name}"), F.col("component").alias(name))
+        return rows.join(ends, F.col(node) == F.col(f"_{name}"), "left").withColumn(name, F.coalesce(name, node)).drop(f"_{name}")
+
+    led = place(place(true.select("u", "v"), "u", "mine"), "v", "theirs").select("u", "mine", "theirs").distinct()
+    seen = led.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("mine") == F.col("theirs")).alias("found")).first()
+    sizes = placed.where("node >= 0").groupBy(F.col("component").alias("_c")).agg(F.count(F.lit(1)).alias("members"))
+    pairs = place(place(plants.select(F.col("node").alias("partner"), (-1 - F.col("node")).alias("host")), "host", "mine"), "partner", "theirs")
+    lone = pairs.join(sizes, F.col("mine") == F.col("_c"), "left").where("coalesce(members, 1) <= 1")
+    set_ = lone.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("mine") == F.col("theirs")).alias("found")).first()
+    dropped(placed)
+    if max(seen["n"], set_["n"]) < LEAST_PLANTED:  # nothing to tell by, as in small tables
+        return 0.0
+    return min(seen["found"] / seen["n"] if seen["n"] else 1.0, set_["found"] / set_["n"] if set_["n"] >= LEAST_PLANTED else 1.0)
+
+
 def links(classes: DataFrame) -> tuple[DataFrame, float]:
-    """Edges (u, v) at the threshold and the audited recall of the graph they come from."""
+    """Edges (u, v) at the threshold and the audited recall of the graph they come from; 1 where blocks hold every pair."""
     n = classes.count()
-    units = kept(unit_rows(classes), "units")
-    columns, keys, drawn = ["label", "width", "node", "vec", "members"], ["label", "width"], AUDIT
-    while True:  # until the drawn classes hold links enough to measure by, or all are drawn
-        asked = classes.orderBy(F.xxhash64("least"), "node").limit(drawn)
-        true = kept(in_blocks(asked.select(*columns), classes.select(*columns), keys, "links"), "audit")
-        wanted = true.count()
-        if wanted >= LEAST_LINKS or drawn >= n:
-            break
-        dropped(true)
-        drawn *= 4
-    length = LIST
-    graph = kept(best(first_graph(classes, n), length), "graph")
-    recall = 0.0
-    for _ in range(ROUNDS):
+    columns, keys = ["label", "width", "node", "vec", "members"], ["label", "width"]
+    asked = kept(classes.where(F.pmod(F.xxhash64("least"), F.lit(max(n, 1))) < AUDIT), "asked")
+    plants = kept(planted(asked), "plants")
+    true = kept(in_blocks(asked.select(*columns), classes.select(*columns), keys, "links"), "audit")
+    everything = classes.select(*plants.columns).unionByName(plants)
+    units = kept(unit_rows(everything), "units")
+    length, recall = LIST, 0.0
+    graph = kept(best(first_graph(everything, n), length), "graph")
+    for turn in range(1, ROUNDS + 1):
         before, graph = graph, kept(refined(graph, units, length), "graph")
         dropped(before)
-        if not wanted:  # every class was drawn: there is no link
-            return exact(true, classes), 1.0
-        near = graph.where(F.col("sim") >= THRESHOLD - 1e-4).select(F.col("u").alias("a"), F.col("v").alias("b"))
-        placed = kept(components(near), "placed")  # a link inside one component is found: its blocks hold it
-        ends = [placed.select(F.col("node").alias(f"n{i}"), F.col("component").alias(f"c{i}")) for i in (1, 2)]
-        recall = true.join(ends[0], F.col("u") == F.col("n1")).join(ends[1], F.col("v") == F.col("n2")).where("c1 = c2").count() / wanted
-        dropped(placed)
-        if recall >= RECALL:
+        recall = audited(graph, true, plants)
+        if recall >= RECALL or turn == ROUNDS:
             break
         length *= 2
+        before, graph = graph, kept(best(graph.unionByName(first_graph(everything, n, turn)), length), "graph")
+        dropped(before)
+    graph = graph.where("u >= 0 and v >= 0")
     rest = classes
     if recall >= RECALL:  # a list that ends above the threshold may have lost links: such classes meet all of their label
-        full = graph.where(F.col("sim") >= THRESHOLD - 1e-4).groupBy("u").agg(F.count(F.lit(1)).alias("held")).where(F.col("held") >= length)
+        full = graph.where(F.col("sim") >= THRESHOLD - 1e-4).groupBy("u").agg(F.count(F.lit(1)).alias("held")).where(F.col("held") >= length - 1)
         rest = classes.join(full.select(F.col("u").alias("node")), "node", "left_semi")
     more = kept(in_blocks(rest.select(*columns), classes.select(*columns), keys, "forest"), "more")
-    dropped(units)
+    dropped(units, asked, plants)
     return exact(graph.unionByName(true).unionByName(more), classes), recall if recall >= RECALL else 1.0
 
 
@@ -310,8 +356,11 @@ def linked(vectors: DataFrame) -> tuple[DataFrame, float]:
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows, _ = linked(table(spark, sf_dir, "embeddings"))
-    return rows.withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
+    """The recall that the audit found is the result's attribute `audited_recall`."""
+    rows, recall = linked(table(spark, sf_dir, "embeddings"))
+    out = rows.withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
+    out.audited_recall = recall
+    return out
 
 
 SQL = """

@@ -104,3 +104,37 @@ def test_extra_columns_with_clashing_names(spark, corpus):
     data = spark.createDataFrame([(1, [1.0, 0.0], 1, 5, 6.0), (2, [1.0, 0.001], 1, 7, 8.0)], "vec_id long, embedding array<float>, label int, node int, component double")
     rows, _ = neighbours.linked(data)
     assert sorted(map(tuple, rows.collect())) == [(1, 1, 1), (2, 1, 1)]
+
+
+def test_lone_pairs_beside_dense_groups(spark):
+    """Ten tight groups and 300 lone pairs among 12,000 vectors of one label: every pair is linked, every count is exact."""
+    rng = np.random.default_rng(4)
+    unit = lambda x: x / np.linalg.norm(x, axis=-1, keepdims=True)
+    centres = unit(rng.standard_normal((10, 64)))
+    dense = unit(np.repeat(centres, 40, axis=0) + 0.002 * rng.standard_normal((400, 64)))
+    one = unit(rng.standard_normal((300, 64)))
+    side = unit((s := rng.standard_normal((300, 64))) - (s * one).sum(axis=1, keepdims=True) * one)
+    two = 0.9805 * one + np.sqrt(1 - 0.9805**2) * side
+    alone = unit(rng.standard_normal((12_000 - 1000, 64)))
+    v = np.concatenate([dense, one, two, alone])
+    order = rng.permutation(len(v))
+    rows = spark.createDataFrame([(i, v[k].tolist(), 1) for i, k in enumerate(order)], "vec_id long, embedding array<double>, label int")
+    out, recall = neighbours.linked(rows)
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in out.collect()}
+    kind = {i: k for i, k in enumerate(order)}
+    assert recall >= 0.99
+    assert sum(got[i][0] == 1 for i, k in kind.items() if 400 <= k < 1000) == 600
+    assert all(got[i][0] == 39 for i, k in kind.items() if k < 400) and all(got[i][0] == 0 for i, k in kind.items() if k >= 1000)
+    place = {k: i for i, k in kind.items()}
+    assert all(got[place[400 + k]][1] == got[place[700 + k]][1] for k in range(300))
+
+
+def test_an_audit_that_fails_ends_exactly(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "ORDERS", 1)
+    monkeypatch.setattr(neighbours, "NEAR", 1)
+    monkeypatch.setattr(neighbours, "ROUNDS", 1)
+    rng = np.random.default_rng(9)
+    v = rng.standard_normal((400, 24))
+    rows = spark.createDataFrame([(i, x.tolist(), 1) for i, x in enumerate(np.concatenate([v, v + 0.01 * rng.standard_normal((400, 24))]))], "vec_id long, embedding array<double>, label int")
+    out, recall = neighbours.linked(rows)
+    assert recall == 1.0 and all(r["n_links"] == 1 for r in out.collect())
