@@ -1,11 +1,15 @@
-"""Command lines: snapshot, sheets, agreement, audit, grammar and tables.
+"""Command lines: snapshot, sheets, agreement, audit, grammar, tables, figures, diagnostics and spot-check.
 
     python -m tallywright.plans.commands snapshot --out snap --per-ecosystem 250
     python -m tallywright.plans.commands sheets --records snap --shown-before shown.tsv --out sheets
     python -m tallywright.plans.commands agreement --precision a1.md a2.md --recall b1.md b2.md --sample sample.json --out agreement.json
     python -m tallywright.plans.commands audit --records snap --out audit.md
     python -m tallywright.plans.commands grammar --hallucinated names.tsv --benign npm=npm.txt pypi=pypi.txt --records snap --out grammar.json
+    python -m tallywright.plans.commands grammar --hallucinated names.tsv --lists lists --refresh --out grammar.json
     python -m tallywright.plans.commands tables --records snap --out tables.json
+    python -m tallywright.plans.commands figures --records snap --start 2026-01-01 --out figures.json
+    python -m tallywright.plans.commands diagnostics --records snap --without remote_backdoor_access --out review.json
+    python -m tallywright.plans.commands spot-check --records snap --listed report.md --out spot.json
 """
 
 from __future__ import annotations
@@ -13,10 +17,11 @@ from __future__ import annotations
 import argparse
 import json
 import os
+import re
 from datetime import datetime, timezone
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallywright.functions import inference, names
@@ -230,10 +235,36 @@ def published(spark: SparkSession, raw: DataFrame, precision=(55, 60), misses=No
     campaigns = collapse.collapse(study.prepared(raw)).persist()
     flagged = campaigns.agg(F.count_if("grammar_flag").alias("k"), F.count(F.lit(1)).alias("n")).first()
     sets = {name: (s["all"]["flag_count"], s["all"]["n"]) for name, s in (names_report or {"sets": {}})["sets"].items() if name != "campaigns"} | {"campaigns": (flagged["k"], flagged["n"])}
-    two = documents.table_two(main, single)
     corrected = documents.misclassification(campaigns, precision, misses or {"miss_17_40": (17, 40), "miss_14_40": (14, 40)})
     raw.unpersist(), campaigns.unpersist()
-    return {"table_i": documents.table_one(sets), "table_ii": two, "misclassification": corrected, "forest": documents.forest_rows(two, corrected), "reporter_terms": documents.reporter_terms(two)}
+    rows = documents.estimates({"all": main, "ghsa": single}, corrected)
+    return {"flag_rates": documents.table_one(sets), "estimates": rows, "misclassification": corrected, "forest": documents.forest(rows)}
+
+
+def fetched_lists(get, most: int = 5000) -> dict:
+    """What fetches each list of well-known names; `get` as in `collect`."""
+
+    def text(url: str) -> str:
+        return (S.with_retry(lambda u: get(u, None), url) or ("", {}))[0]
+
+    def searched():
+        terms = (json.loads(text(collect.NPM_SEARCH.format(term=t, size=250)) or "{}") for t in collect.NPM_TERMS)
+        return sorted({o["package"]["name"] for found in terms for o in found.get("objects", [])})[:most]
+
+    return {
+        "pypi": lambda: [r["project"] for r in json.loads(text(collect.TOP_PYPI) or "{}").get("rows", [])][:most],
+        "npm": lambda: re.findall(r"""['"]([^'"]+)['"]""", text(collect.TOP_NPM).partition("[")[2])[:most],
+        "npm_search": searched,
+    }
+
+
+def spot_check(records: DataFrame, report: DataFrame, per_ecosystem: dict[str, int]) -> DataFrame:
+    """Rows of a spot check whose first part is the report's list (ecosystem, package_name), which must be what the records give."""
+    rows = records.persist()
+    order = F.row_number().over(Window.orderBy(F.monotonically_increasing_id())) - 1  # a report's lines, which people read
+    listed = report.select(order.alias("position"), "ecosystem", "package_name")
+    computed = collapse.source_disagreement(rows, ["ecosystem", "package_name"], "outcome")
+    return sheets.spot_check_rows(collapse.collapse(rows), rows, listed, per_ecosystem, computed=computed)
 
 
 def main(argv: list[str] | None = None) -> None:
@@ -256,13 +287,22 @@ def main(argv: list[str] | None = None) -> None:
     h.add_argument("--records", required=True)
     h.add_argument("--shown-before", help="ecosystem, name and count of packages of earlier sheets, tab-separated")
     h.add_argument("--out", required=True)
-    for name in ("audit", "tables"):
+    for name in ("audit", "tables", "figures", "diagnostics", "spot-check"):
         c = sub.add_parser(name)
         c.add_argument("--records", required=True)
         c.add_argument("--out", required=True)
+        if name == "figures":
+            c.add_argument("--start", default="2026-01-01", help="first day of the daily counts")
+        if name == "diagnostics":
+            c.add_argument("--without", nargs="*", default=[], metavar="CATEGORY")
+        if name == "spot-check":
+            c.add_argument("--listed", required=True, help="Markdown report whose table lists the packages")
+            c.add_argument("--per-ecosystem", type=int, default=15)
     g = sub.add_parser("grammar")
     g.add_argument("--hallucinated", required=True)
     g.add_argument("--benign", nargs="*", default=[], metavar="ECOSYSTEM=FILE")
+    g.add_argument("--lists", help="table of name lists, used for what --benign does not name")
+    g.add_argument("--refresh", action="store_true", help="fetch the lists again")
     g.add_argument("--records")
     g.add_argument("--out", required=True)
     o = p.parse_args(argv)
@@ -286,8 +326,23 @@ def main(argv: list[str] | None = None) -> None:
     elif o.command == "audit":
         _write(o.out, documents.audit(documents.audit_tables(_records(spark, o.records)), o.records))
     elif o.command == "grammar":
-        lists = {e: [x for x in Path(f).read_text(encoding="utf-8").splitlines() if x.strip()] for e, f in (x.split("=", 1) for x in o.benign)}
-        _write(o.out, grammar(spark, S.name_list(spark, o.hallucinated), lists, _records(spark, o.records) if o.records else None))
+        have: dict = {}
+        if o.lists:
+            today = datetime.now(timezone.utc).date().isoformat()
+            wanted = fetched_lists(collect.http())
+            for r in collect.refreshed(spark, o.lists, wanted, today, "live", "9999-12-31" if o.refresh else None).orderBy("list", "rank").collect():
+                have.setdefault(r["list"], []).append(r["name"])
+        lists = {e: n for e, n in have.items() if e in ("pypi", "npm")} | {e: [x for x in Path(f).read_text(encoding="utf-8").splitlines() if x.strip()] for e, f in (x.split("=", 1) for x in o.benign)}
+        more = {"npm": have["npm_search"]} if "npm_search" in have else None
+        _write(o.out, grammar(spark, S.name_list(spark, o.hallucinated), lists, _records(spark, o.records) if o.records else None, more))
+    elif o.command == "figures":
+        _write(o.out, documents.figure_tables(_records(spark, o.records), o.start))
+    elif o.command == "diagnostics":
+        _write(o.out, diagnostics(_records(spark, o.records), o.without))
+    elif o.command == "spot-check":
+        report = S.report_rows(spark, o.listed).withColumnRenamed("name", "package_name")
+        rows = spot_check(_records(spark, o.records), report, {e: o.per_ecosystem for e in ("npm", "pypi")})
+        _write(o.out, [r.asDict(recursive=True) for r in rows.orderBy("row").collect()])
     else:
         _write(o.out, published(spark, S.jsonl(spark, o.records, study.SCHEMA)))
 

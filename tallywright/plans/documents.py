@@ -117,21 +117,46 @@ def table_one(sets: dict[str, tuple[int, int]]) -> list[dict]:
     return [{"set": name, "flagged": k, "n": n, "rate": k / n if n else None, "wilson95": inference.wilson(k, n)} for name, (k, n) in sets.items()]
 
 
-def table_two(main: dict, one_source: dict) -> dict:
-    """Every specification's odds ratio, from two results of `study.run`: all text, and one source's text alone."""
-    exact = lambda r: {"n": sum(r["table"]), "table": r["table"], "or": r["odds_ratio"], "ci": r["odds_ratio_ci_95"], "p": r["p_value"]}
-    common = lambda r: {"n": r.get("n_total"), "or": r["common_odds_ratio"], "ci": r.get("common_odds_ratio_ci_95"), "p": r["p_value"]}
-    out = {"pooled_fisher": exact(main["pooled"])}
-    out |= {f"{e}_fisher": exact(r) for e, r in main["by_ecosystem"]["strata"].items()}
-    out["cmh_ecosystem"] = common(main["by_ecosystem"]["cmh"])
-    out["cmh_ecosystem_x_n_reporters"] = common(main["by_reporters"]["ecosystem_x_n_reporters"]["cmh"])
-    out |= {"one_source_fisher": exact(one_source["pooled"]), "one_source_cmh": common(one_source["by_ecosystem"]["cmh"])}
-    for name, model in main["logit"].items():
-        of = {t: {"n": model["n"], "or": v["odds_ratio"], "ci": v["ci_95"], "p": v["p_value"], "converged": model["converged"]} for t, v in model["terms"].items()}
-        out[f"logit_{name}_grammar"] = of["x"]
-        out[f"logit_{name}_reporter_terms"] = {t: v for t, v in of.items() if t not in ("intercept", "x") and not t.startswith("ecosystem=")}
-        out[f"logit_{name}_llr_p"] = model["llr_p_value"]
-    return out
+#: Where a study's result holds an estimate: kind, and the path to it; a star stands for every key. Terms of models are told apart by name.
+ESTIMATES = [
+    ("exact", ("pooled",)),
+    ("exact", ("by_ecosystem", "strata", "*")),
+    ("common", ("by_ecosystem", "cmh")),
+    ("common", ("by_reporters", "*", "cmh")),
+    ("model", ("logit", "*", "terms", "*")),
+]
+#: What each kind calls its ratio and interval.
+RATIO = {"exact": ("odds_ratio", "odds_ratio_ci_95"), "common": ("common_odds_ratio", "common_odds_ratio_ci_95"), "model": ("odds_ratio", "ci_95")}
+
+
+def _at(result: dict, path: tuple[str, ...], before: tuple[str, ...] = ()):
+    """(keys, value) of every place that `path` names."""
+    if not path:
+        yield before, result
+        return
+    for key in result if path[0] == "*" else [path[0]] if path[0] in result else []:
+        yield from _at(result[key], path[1:], (*before, str(key)))
+
+
+def estimates(results: dict[str, dict], corrected: dict | None = None) -> list[dict]:
+    """One row an estimate: result, kind, name, term, n, ratio, lo, hi, p, converged.
+
+    `results` are those of `study.run` by what they were run on; `corrected` is a
+    `misclassification`, whose intervals are those of its draws.
+    """
+    rows = []
+    for of, result in results.items():
+        for kind, path in ESTIMATES:
+            for keys, found in _at(result, path):
+                model = result["logit"][keys[1]] if kind == "model" else {}
+                lo, hi = found.get(RATIO[kind][1]) or (None, None)
+                n = model.get("n", sum(found["table"]) if "table" in found else found.get("n_total"))
+                rows.append({"result": of, "kind": kind, "name": "/".join(keys[:2] if model else keys), "term": keys[-1] if model else "x", "n": n, "ratio": found[RATIO[kind][0]], "lo": lo, "hi": hi, "p": found["p_value"], "converged": model.get("converged", True)})
+    for name, found in (corrected or {}).items():
+        if isinstance(found, dict) and "probabilistic" in found:
+            lo, hi = found["probabilistic"]["interval_95"]
+            rows.append({"result": "corrected", "kind": "draws", "name": name, "term": "x", "n": None, "ratio": found["simple"]["odds_ratio"], "lo": lo, "hi": hi, "p": None, "converged": True})
+    return rows
 
 
 def misclassification(campaigns: DataFrame, precision: tuple[int, int], misses: dict[str, tuple[int, int]], audited: DataFrame | None = None, draws: int = 20_000) -> dict:
@@ -153,25 +178,48 @@ def misclassification(campaigns: DataFrame, precision: tuple[int, int], misses:
     return out
 
 
-def forest_rows(two: dict, corrected: dict | None = None, earlier: dict | None = None) -> list[dict]:
-    """label, or, lo, hi and kind (main, corrected, single, earlier) of every specification, in the order they are drawn."""
-    def row(label, x, kind):
-        lo, hi = x["ci"] or (None, None)
-        return {"label": label, "or": x["or"], "lo": lo, "hi": hi, "kind": kind}
-
-    out = [row("Pooled, Fisher", two["pooled_fisher"], "main")]
-    out += [row(f"{ECOSYSTEM_NAMES.get(k[:-7], k[:-7])}, Fisher (n = {v['n']})", v, "main") for k, v in two.items() if k.endswith("_fisher") and k not in ("pooled_fisher", "one_source_fisher")]
-    out += [row("CMH by ecosystem", two["cmh_ecosystem"], "main"), row("CMH by ecosystem and reporters", two["cmh_ecosystem_x_n_reporters"], "main")]
-    out += [row(f"Logit ({k[6:-8]})", v, "main") for k, v in two.items() if k.startswith("logit_") and k.endswith("_grammar")]
-    for name, r in (corrected or {}).items():
-        if isinstance(r, dict) and "probabilistic" in r:
-            out.append(row(f"Corrected, {name}", {"or": r["simple"]["odds_ratio"], "ci": r["probabilistic"]["interval_95"]}, "corrected"))
-    out += [row("One source, Fisher", two["one_source_fisher"], "single"), row("One source, CMH", two["one_source_cmh"], "single")]
-    if earlier:
-        out += [row(f"Earlier {earlier['pooled_fisher']['n']}: pooled, Fisher", earlier["pooled_fisher"], "earlier"), row(f"Earlier {earlier['one_source_fisher']['n']}: one source, Fisher", earlier["one_source_fisher"], "earlier")]
-    return out
+def forest(rows: list[dict]) -> dict[str, list[dict]]:
+    """The rows of `estimates` that a forest shows: those of the flag, and the models' reporter terms."""
+    drawn = [r for r in rows if r["lo"] is not None and r["converged"]]
+    return {"flag": [r for r in drawn if r["term"] == "x"], "reporters": [r for r in drawn if r["kind"] == "model" and r["term"] not in ("x", "intercept") and not r["term"].startswith("ecosystem=")]}
+
+
+# ---- tables behind figures ------------------------------------------------------------------------------
+
+
+def power_curve(power: dict, ratios=(1.5, 2.0, 3.0), sizes=range(25, 1001, 25)) -> list[dict]:
+    """ratio, n, power over a grid of sample sizes, at the rates of a `decisions.power_table`."""
+    return [{"ratio": r, "n": n, "power": inference.achieved_power(n, power["p_control"], power["prevalence"], r)} for r in ratios for n in sizes]
 
 
-def reporter_terms(two: dict) -> list[dict]:
-    """The models' reporter terms, as forest rows."""
-    return [{"label": f"Logit ({k[6:-15]}): {t}", "or": v["or"], "lo": v["ci"][0], "hi": v["ci"][1], "kind": "main"} for k, terms in two.items() if k.endswith("_reporter_terms") for t, v in terms.items()]
+def figure_tables(records: DataFrame, start: str, sets: dict[str, tuple[int, int]] | None = None, excluded: str | None = None) -> dict:
+    """Every table a figure is drawn from, as rows: small ones, one a group.
+
+    counts by ecosystem, ranked campaign sizes, outcome rates by grammar and reporter
+    splits, flag rates by set, power over n, records a day from `start`, campaigns by
+    mechanism, packages by reporter set.
+    """
+    packages = collapse.by_package(records).persist()
+    campaigns = collapse.reporter_covariates(collapse.by_signature(packages)).persist()
+    one, many = F.col("n_reporters") == 1, F.col("n_reporters") >= 2
+    splits = {
+        "flagged": F.col("grammar_flag"), "not flagged": ~F.col("grammar_flag"), "inspector": F.col("has_amazon_inspector"), "no inspector": ~F.col("has_amazon_inspector"),
+        "reporters 2+": many, "reporters 1": one, "boilerplate absent": ~F.col("has_boilerplate"), "boilerplate among": F.col("has_boilerplate"), "boilerplate alone": F.col("has_boilerplate") & one,
+    }
+    marks = F.array(*[F.when(c, F.lit(k)) for k, c in splits.items()])
+    rates = campaigns.select("outcome", F.explode(F.array_compact(marks)).alias("split")).groupBy("split").agg(F.count(F.lit(1)).alias("n"), F.count_if("outcome").alias("k"))
+    lo, hi = tables.wilson(F.col("k"), F.col("n"))
+    cells = tables.collected(tables.contingency(campaigns, F.col("grammar_flag"), F.col("outcome"))).get((), (0, 0, 0, 0))
+    rows = lambda df: [r.asDict(recursive=True) for r in df.collect()]
+    out = {
+        "by_ecosystem": rows(reports.units_per_stratum(records, campaigns).orderBy("ecosystem")),
+        "sizes": rows(tables.size_distribution(campaigns, "member_count", "ecosystem").orderBy("ecosystem", F.desc("member_count"))),
+        "outcome_rates": rows(rates.select("split", "n", "k", (F.col("k") / F.col("n")).alias("rate"), lo.alias("lo"), hi.alias("hi")).orderBy("split")),
+        "flag_rates": table_one({**(sets or {}), "campaigns": (cells[0] + cells[1], sum(cells))}),
+        "power": power_curve(decisions.power_table(cells)),
+        "days": rows(reports.per_day(records, "published_at", start).orderBy("day")),
+        "mechanisms": rows(reports.campaigns_per_category(campaigns, records, excluded).orderBy("ecosystem", F.desc("n"), "category")),
+        "reporter_sets": rows(reports.packages_per_reporter_set(records).orderBy(F.desc("n"), "reporters")),
+    }
+    packages.unpersist(), campaigns.unpersist()
+    return out

@@ -168,15 +168,51 @@ def test_grammar_of_lists(spark, records, tmp_path):
 def test_published_tables(spark, tmp_path):
     (tmp_path / "r.jsonl").write_text("\n".join(map(json.dumps, rows())))
     out = commands.published(spark, S.jsonl(spark, str(tmp_path / "r.jsonl"), study.SCHEMA), names_report={"sets": {"hallucinated": {"all": {"flag_count": 7, "n": 139}}}})
-    assert [(r["set"], r["flagged"], r["n"]) for r in out["table_i"]] == [("hallucinated", 7, 139), ("campaigns", 30, 60)]
-    assert out["table_ii"]["pooled_fisher"]["table"] == (20, 10, 20, 10) and {"npm_fisher", "pypi_fisher", "logit_main_grammar", "logit_c_reporter_terms"} <= set(out["table_ii"])
+    assert [(r["set"], r["flagged"], r["n"]) for r in out["flag_rates"]] == [("hallucinated", 7, 139), ("campaigns", 30, 60)]
+    by = {(r["result"], r["kind"], r["name"], r["term"]): r for r in out["estimates"]}
+    assert len(by) == len(out["estimates"]) and by["all", "exact", "pooled", "x"]["n"] == 60
+    a, b, c, d = 20, 10, 20, 10
+    assert by["all", "exact", "pooled", "x"]["ratio"] == pytest.approx(a * d / (b * c))
+    assert {("all", "exact", "by_ecosystem/strata/npm", "x"), ("ghsa", "common", "by_ecosystem/cmh", "x"), ("all", "model", "logit/main", "x"), ("all", "model", "logit/c", "has_kam193"), ("corrected", "draws", "miss_17_40", "x")} <= set(by)
     m = out["misclassification"]["miss_17_40"]
     assert m["simple"]["table"][0] == pytest.approx([20 * 55 / 60 + 10 * 17 / 40, 30 - 20 * 55 / 60 - 10 * 17 / 40])
-    kinds = [r["kind"] for r in out["forest"]]
-    assert kinds[0] == "main" and kinds.count("corrected") == 2 and kinds[-2:] == ["single", "single"]
+    assert sum(r["kind"] == "draws" for r in out["forest"]["flag"]) == 2 and all(r["term"] == "x" for r in out["forest"]["flag"])
+    assert {r["term"] for r in out["forest"]["reporters"]} >= {"has_amazon_inspector"} and all(r["lo"] is not None for rows_ in out["forest"].values() for r in rows_)
     json.dumps(out, default=str)
 
 
+def test_figure_tables(spark, records):
+    out = documents.figure_tables(records, "2026-01-01", {"other": (1, 4)})
+    assert sum(r["records"] for r in out["by_ecosystem"]) == 60 and sum(r["n_groups"] for r in out["sizes"]) == 60
+    rates = {r["split"]: (r["k"], r["n"]) for r in out["outcome_rates"]}
+    assert rates["flagged"] == (20, 30) and rates["inspector"][1] + rates["no inspector"][1] == 60 and rates["reporters 1"][1] == 60 and "reporters 2+" not in rates
+    assert [(r["set"], r["rate"]) for r in out["flag_rates"]] == [("other", 0.25), ("campaigns", 0.5)]
+    curve = [r["power"] for r in out["power"] if r["ratio"] == 2.0]
+    assert len(out["power"]) == 3 * 40 and curve == sorted(curve) and 0 < curve[0] < curve[-1] < 1
+    assert sum(r["n"] for r in out["days"]) == 60 and sum(r["n"] for r in out["reporter_sets"]) == 60 and {r["category"] for r in out["mechanisms"]} == {"remote_backdoor_access"}
+    json.dumps(out)
+
+
+def test_lists_and_spot_check_commands(spark, tmp_path):
+    def get(url, body):
+        if "top-pypi" in url:
+            return 200, json.dumps({"rows": [{"project": "a"}, {"project": "b"}]}), {}
+        if "high-impact" in url:
+            return 200, "export const top = ['x', \"y\"]", {}
+        return (200, json.dumps({"objects": [{"package": {"name": url.split("text=")[1].split("&")[0]}}]}), {}) if "react" in url or "cli" in url else (500, None, {})
+
+    lists = commands.fetched_lists(get)
+    assert (lists["pypi"](), lists["npm"](), lists["npm_search"]()) == (["a", "b"], ["x", "y"], ["cli", "client", "react"])
+    lines = [{"advisory_id": f"{s}{i}", "source": s, "package_name": f"p{i}", "ecosystem": "npm", "summary": "", "description": "has a backdoor" if s == "osv" or i % 2 else "calm", "published_at": "2026-01-01"} for i in range(6) for s in ("ghsa", "osv")]
+    (tmp_path / "r.jsonl").write_text("\n".join(map(json.dumps, lines)))
+    rows_ = study.prepared(S.jsonl(spark, str(tmp_path / "r.jsonl"), study.SCHEMA))
+    report = spark.createDataFrame([("npm", "p0"), ("npm", "p2"), ("npm", "p4")], "ecosystem string, package_name string")
+    got = commands.spot_check(rows_, report, {"npm": 0}).where("part = 'a'")
+    assert sorted(r["package_name"] for r in got.collect()) == ["p0", "p2", "p4"]
+    with pytest.raises(Exception, match="only listed or only computed"):
+        commands.spot_check(rows_, report.where("package_name <> 'p2'"), {"npm": 0}).collect()
+
+
 def test_diagnostics(spark, records):
     out = commands.diagnostics(records, ["remote_backdoor_access"])
     assert sum(r["n"] for r in out["months"]) == 60 and out["sizes"] == [{"member_count": 1, "n_groups": 60}]
