@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallywright.functions import advisories as A
+from tallywright.operators import order
 
 SOURCES = ("ghsa", "osv")
 
@@ -106,42 +107,69 @@ def collapse(records: DataFrame, text_source: str = "any", group_on: str = "any"
     return by_signature(by_package(records, text_source, group_on), **signature)
 
 
+def merge_places(found: list[tuple[str, str, str, int]], merges: list[dict]) -> list[tuple[str, str, int, int]]:
+    """(ecosystem, signature, group, position) of campaigns that entries merge, applied in turn.
+
+    `found` has (ecosystem, package, signature, _seq) of the listed packages. A group's
+    campaigns are kept in the order the entries leave them in: those that meet are
+    lined up by their first places, each with what it has gathered.
+    """
+    campaign = {(e, p): (e, s) for e, p, s, _ in found}
+    first = {(e, s): q for e, _, s, q in found}
+    line = {c: [c] for c in first}  # by the campaign a group began with
+    head = {c: c for c in first}
+
+    def top(c):
+        while head[c] != c:
+            head[c] = head[head[c]]
+            c = head[c]
+        return c
+
+    for entry in merges:
+        met = sorted({top(campaign[entry["ecosystem"], p]) for p in entry["packages"] if (entry["ecosystem"], p) in campaign}, key=lambda c: first[c])
+        for c in met[1:]:
+            head[c] = met[0]
+            line[met[0]] += line.pop(c)
+    return [(*c, g, k) for g, cs in enumerate(line.values()) if len(cs) > 1 for k, c in enumerate(cs)]
+
+
 def apply_merges(campaigns: DataFrame, merges: list[dict]) -> DataFrame:
     """Whole campaigns that share a listed name become one, where the first stood; entries apply in turn, so they chain.
 
-    The entries are a hand-made list; each is one pass over the campaigns' names.
+    The entries are a hand-made list. Only campaigns that hold a listed name reach the
+    driver, by their keys, no more than the list has names; the rows meet in one grouping,
+    and campaigns that nothing merges pass by it.
     """
-    out = campaigns
     for entry in merges:
         if not all(entry.get(k) for k in ("id", "ecosystem", "packages", "reason")):
             raise ValueError(f"a merge needs id, ecosystem, packages and reason: {entry}")
-        names = F.array(*[F.lit(p) for p in entry["packages"]])
-        hit = (F.col("ecosystem") == entry["ecosystem"]) & F.arrays_overlap("members", names)
-        group = F.when(hit, F.concat(F.lit("__merge__:"), F.lit(entry["id"]))).otherwise(F.col("signature"))
-        m = F.sort_array(F.collect_list(F.struct("_seq", "members", "reporters")))
-        first = lambda c: F.min_by(c, "_seq").alias(c)
-        merged = out.groupBy("ecosystem", group.alias("g")).agg(
-            first("signature"), first("signature_type"), F.min("_seq").alias("seq"), F.sum("member_count").alias("member_count"), m.alias("m"), F.bool_or("grammar_flag").alias("grammar_flag"), F.bool_or("outcome").alias("outcome"), F.bool_and("no_text").alias("no_text")
-        )
-        flat = lambda c: F.flatten(F.transform("m", lambda x: x[c]))
-        out = merged.select("ecosystem", "signature", "signature_type", F.col("seq").alias("_seq"), "member_count", flat("members").alias("members"), F.array_distinct(flat("reporters")).alias("reporters"), "grammar_flag", "outcome", "no_text")
-    return out
+    spark = campaigns.sparkSession
+    names = sorted({(e["ecosystem"], p) for e in merges for p in e["packages"]})
+    listed = spark.createDataFrame(names, "_e string, _p string")
+    held = campaigns.select("ecosystem", "signature", "_seq", F.explode("members").alias("package")).join(F.broadcast(listed), (F.col("ecosystem") == F.col("_e")) & (F.col("package") == F.col("_p")))
+    found = [(r["ecosystem"], r["package"], r["signature"], r["_seq"]) for r in held.select("ecosystem", "package", "signature", "_seq").collect()]
+    places = spark.createDataFrame(merge_places(found, merges), "_e string, _s string, g int, k int")
+    same = (F.col("ecosystem") == F.col("_e")) & (F.col("signature") == F.col("_s"))
+    apart = campaigns.join(F.broadcast(places), same, "left_anti")
+    m = F.sort_array(F.collect_list(F.struct("k", "members", "reporters")))
+    first = lambda c: F.min_by(c, "k").alias(c)
+    merged = campaigns.join(F.broadcast(places), same).groupBy("ecosystem", "g").agg(
+        first("signature"), first("signature_type"), F.min("_seq").alias("_seq"), F.sum("member_count").alias("member_count"), m.alias("m"), F.bool_or("grammar_flag").alias("grammar_flag"), F.bool_or("outcome").alias("outcome"), F.bool_and("no_text").alias("no_text")
+    )
+    flat = lambda c: F.flatten(F.transform("m", lambda x: x[c]))
+    merged = merged.withColumn("members", flat("members")).withColumn("reporters", F.array_distinct(flat("reporters")))
+    return apart.select(*campaigns.columns).unionByName(merged.select(*campaigns.columns))
 
 
 def campaign_table(campaigns: DataFrame) -> DataFrame:
-    """Rows as the table file has them: ids in first-seen order, flags as 0/1, members joined.
-
-    Ids count all campaigns in order, hence one sorted task over campaigns (not
-    records): the table is what a person reads.
-    """
-    from pyspark.sql import Window
-
-    ids = F.format_string("C%03d", F.row_number().over(Window.orderBy("_seq")))
+    """Rows as the table file has them: ids in first-seen order, flags as 0/1, members joined."""
     marks = {k: v.cast("int") for k, v in A.reporter_indicators(F.col("reporters")).items() if k != "has_other"}
-    return campaigns.select(
-        ids.alias("campaign_id"), "ecosystem", "signature_type", F.col("member_count").alias("n_members"), F.array_join("members", ";").alias("members"),
+    rows = campaigns.select(
+        "_seq", "ecosystem", "signature_type", F.col("member_count").alias("n_members"), F.array_join("members", ";").alias("members"),
         F.col("grammar_flag").cast("int").alias("grammar_flag"), F.col("outcome").cast("int").alias("dv"), A.n_reporters(F.col("reporters")).alias("n_reporters"), *[v.alias(k) for k, v in marks.items()],
     )
+    counted = order.numbered(rows, ["_seq"])
+    return counted.select(F.format_string("C%03d", F.col("number")).alias("campaign_id"), *[c for c in rows.columns if c != "_seq"])
 
 
 def reporter_covariates(campaigns: DataFrame) -> DataFrame:

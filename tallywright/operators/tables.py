@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallywright.functions import inference
+from tallywright.operators import order
 
-#: Possible first cells of a table that one row of the exact test lists at once.
-SUPPORT_RUN = 4096
+#: Share of all tables with the same margins that the exact test may leave out.
+LEFT_OUT = 1e-13
 
 
 def cells(flag: Column, outcome: Column) -> dict[str, Column]:
@@ -54,12 +55,54 @@ def collected(tables: DataFrame, *strata: str) -> dict:
 
 
 def fisher(tables: DataFrame, *strata: str) -> DataFrame:
-    """strata, odds_ratio, p_value: the exact test without leaving Spark.
+    """strata, odds_ratio, p_value: the exact test, a row a table.
 
-    Every table's possible first cells are summed in runs of SUPPORT_RUN, each a row;
-    log-factorials are Stirling's series above a few fixed values.
+    From the likeliest first cell outwards, each table's weight is its neighbour's times
+    a ratio of whole numbers, so nothing large cancels. Hoeffding's bound says how far
+    to go until less than LEFT_OUT of all tables is left: the number of terms grows
+    with the square root of the smallest margin. An observed table further out than
+    that has its own side's tail by a geometric bound.
     """
-    t = tables.withColumn("n", F.col("a") + F.col("b") + F.col("c") + F.col("d"))
+    r1, c1 = F.col("a") + F.col("b"), F.col("a") + F.col("c")
+    n = F.col("a") + F.col("b") + F.col("c") + F.col("d")
+    ratio = F.try_divide((F.col("a") * F.col("d")).cast("double"), (F.col("b") * F.col("c")).cast("double"))
+    t = tables.withColumns({"r1": r1, "c1": c1, "n": n, "odds_ratio": ratio})
+    t = t.withColumns({"low": F.greatest(F.lit(0), F.col("c1") - (F.col("n") - F.col("r1"))), "high": F.least("r1", "c1")})
+    mode = F.floor((F.col("r1").cast("double") + 1) * (F.col("c1") + 1) / (F.col("n") + 2)).cast("long")
+    t = t.withColumn("mode", F.greatest("low", F.least("high", mode)))
+    margin = F.least("r1", "c1", F.col("n") - F.col("r1"), F.col("n") - F.col("c1"))
+    t = t.withColumn("reach", F.ceil(F.sqrt(margin * math.log(2 / LEFT_OUT) / 2)).cast("long") + 2)
+    rest = F.col("n") - F.col("r1") - F.col("c1")  # d less a
+    real = lambda x: x.cast("double")
+    up = lambda x: real(F.col("r1") - x) * real(F.col("c1") - x) / (real(x + 1) * real(rest + x + 1))
+    down = lambda x: real(x) * real(rest + x) / (real(F.col("r1") - x + 1) * real(F.col("c1") - x + 1))
+
+    def weighed(steps: Column, step, own: Column | None) -> Column:
+        """Weights along `steps`, each by `step` from the one before: the last, all, and those no likelier than `own`."""
+        start = F.struct(F.lit(1.0).alias("w"), F.lit(0.0).alias("total"), F.lit(0.0).alias("tail"))
+
+        def add(s, x):
+            w = s["w"] * step(x)
+            tail = s["tail"] if own is None else s["tail"] + F.when(w <= own * (1 + 1e-7), w).otherwise(0.0)
+            return F.struct(w.alias("w"), (s["total"] + w).alias("total"), tail.alias("tail"))
+
+        return F.aggregate(steps, start, add)
+
+    none = F.array().cast("array<long>")
+    run = lambda a, b, by: F.when(a <= b if by > 0 else a >= b, F.sequence(a, b, F.lit(by).cast("long"))).otherwise(none)
+    near = F.abs(F.col("a") - F.col("mode")) <= F.col("reach")
+    own = F.when(F.col("a") >= F.col("mode"), weighed(run(F.col("mode"), F.col("a") - 1, 1), up, None)["w"]).otherwise(weighed(run(F.col("mode"), F.col("a") + 1, -1), down, None)["w"])
+    t = t.withColumn("near", near).withColumn("own", F.when(F.col("near"), own).otherwise(0.0))
+    t = t.withColumn("above", weighed(run(F.col("mode"), F.least("high", F.col("mode") + F.col("reach")) - 1, 1), up, F.col("own"))).withColumn("below", weighed(run(F.col("mode"), F.greatest("low", F.col("mode") - F.col("reach")) + 1, -1), down, F.col("own")))
+    at_mode = F.when(F.col("own") * (1 + 1e-7) >= 1, 1.0).otherwise(0.0)
+    p = (F.col("above.tail") + F.col("below.tail") + at_mode) / (F.col("above.total") + F.col("below.total") + 1)
+    falls = F.when(F.col("a") > F.col("mode"), F.when(F.col("a") < F.col("high"), up(F.col("a")))).when(F.col("a") > F.col("low"), down(F.col("a")))
+    far = F.exp(_log_probability()) / (1 - F.coalesce(falls, F.lit(0.0)))
+    return t.select(*strata, "odds_ratio", F.least(F.lit(1.0), F.when(F.col("near"), p).otherwise(far)).alias("p_value"))
+
+
+def _log_probability() -> Column:
+    """Of the table a, b, c, d with its margins, by Stirling's series above a few fixed values."""
     small = F.array(*[F.lit(math.lgamma(k + 1)) for k in range(16)])
 
     def at(k: Column) -> Column:
@@ -67,15 +110,8 @@ def fisher(tables: DataFrame, *strata: str) -> DataFrame:
         series = (x + 0.5) * F.log(x) - x + 0.5 * math.log(2 * math.pi) + 1 / (12 * x) - 1 / (360 * x * x * x) + 1 / (1260 * x * x * x * x * x)
         return F.when(k < 16, F.get(small, k.cast("int"))).otherwise(series)
 
-    r1, c1, n = F.col("a") + F.col("b"), F.col("a") + F.col("c"), F.col("n")
     choose = lambda m, k: at(m) - at(k) - at(m - k)
-    log_p = lambda x: choose(r1, x) + choose(n - r1, c1 - x) - choose(n, c1)
-    low, high = F.greatest(F.lit(0), c1 - (n - r1)), F.least(r1, c1)
-    ratio = F.try_divide((F.col("a") * F.col("d")).cast("double"), (F.col("b") * F.col("c")).cast("double"))
-    runs = t.withColumns({"odds_ratio": ratio, "own": log_p(F.col("a")), "high": high}).withColumn("start", F.explode(F.sequence(low, high, F.lit(SUPPORT_RUN).cast("long"))))
-    each = runs.withColumn("x", F.explode(F.sequence("start", F.least(F.col("start") + SUPPORT_RUN - 1, "high")))).withColumn("log_p", log_p(F.col("x")))
-    p = F.sum(F.when(F.col("log_p") <= F.col("own") + 1e-7, F.exp("log_p")).otherwise(0.0))
-    return each.groupBy(*strata, *"abcd", "odds_ratio").agg(p.alias("p")).select(*strata, "odds_ratio", F.least(F.lit(1.0), F.col("p")).alias("p_value"))
+    return choose(F.col("r1"), F.col("a")) + choose(F.col("n") - F.col("r1"), F.col("c")) - choose(F.col("n"), F.col("c1"))
 
 
 def wilson(k: Column, n: Column, z: float = inference.Z95) -> tuple[Column, Column]:
@@ -132,11 +168,10 @@ def size_distribution(groups: DataFrame, size: str, *strata: str) -> DataFrame:
 def rank_sum(rows: DataFrame, group: Column, value: str) -> DataFrame:
     """n1, n2, u and ties (sum of t^3 - t) of a Mann-Whitney test.
 
-    Values are counted first, so ranks come from running sums over distinct values.
+    Values are counted first, so ranks come from running sums over distinct values, by ranges.
     """
     counts = rows.groupBy(value).agg(F.count_if(group).alias("k1"), F.count_if(~group).alias("k2")).withColumn("k", F.col("k1") + F.col("k2"))
-    before = F.coalesce(F.sum("k").over(Window.orderBy(value).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ranked = counts.withColumn("rank", before + (F.col("k") + 1) / 2)
+    ranked = order.running(counts, [value], "k", "before").withColumn("rank", F.col("before") + (F.col("k") + 1) / 2)
     sums = ranked.agg(F.sum("k1").alias("n1"), F.sum("k2").alias("n2"), F.sum(F.col("k1") * F.col("rank")).alias("r1"), F.sum(F.pow("k", F.lit(3)) - F.col("k")).alias("ties"))
     return sums.select("n1", "n2", (F.col("r1") - F.col("n1") * (F.col("n1") + 1) / 2).alias("u"), "ties")
 

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallywright.functions import inference, names
-from tallywright.operators import collapse, reports, sheets, tables
+from tallywright.operators import collapse, order, reports, sheets, tables
 from tallywright.plans import documents, study
 from tallywright.sources import advisories as S
 from tallywright.sources import collect, sinks
@@ -216,7 +216,7 @@ def diagnostics(records: DataFrame, excluded: list[str]) -> dict:
     ranks = tables.rank_sum(sizes, F.col("grammar_flag"), "n").first()
     out = {
         "months": found(reports.per_month(rows, "published_at").orderBy("month")), "sizes": found(tables.size_distribution(campaigns, "member_count").orderBy("member_count")),
-        "source_agreement": found(reports.source_agreement(rows)), "median_length": {r["source"]: r["m"] for r in rows.groupBy("source").agg(F.median(F.length("description")).alias("m")).collect()},
+        "source_agreement": found(reports.source_agreement(rows)), "median_length": {r["source"]: r["median"] for r in order.medians(rows.select("source", F.length("description").alias("length")), "length", "source").collect()},
         "by_reporter": found(tables.contingency(campaigns, F.col("grammar_flag"), F.col("outcome"), "reporter") if "reporter" in campaigns.columns else tables.contingency(campaigns.withColumn("reporter", first), F.col("grammar_flag"), F.col("outcome"), "reporter")),
         "without": {c or "none": (t := cells(of, F.size(F.array_except("categories", F.array(F.lit(c or "")))) > 0), inference.fisher(*t)) for c in (None, *excluded)},
         "mean_categories": {str(r["grammar_flag"]): r["m"] for r in sizes.groupBy("grammar_flag").agg(F.avg("n").alias("m")).collect()},
