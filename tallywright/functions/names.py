@@ -49,6 +49,28 @@ def edit_distance(a: Column, b: Column) -> Column:
     return F.levenshtein(a, b)
 
 
+def squats(names: DataFrame, name: str, real: DataFrame, real_name: str) -> DataFrame:
+    """(name, near): names that are not real ones, with each real name one edit or swap of neighbours away.
+
+    Two such names have the name itself or one of its one-letter deletions in common,
+    so both sets are joined on those, some length + 1 keys a name; a key has no more names than the
+    letters there are times its length. What joins is checked.
+    """
+
+    def keyed(rows, column, out):
+        one = rows.select(F.col(column).alias(out)).where(F.col(column).isNotNull()).distinct()
+        cut = F.transform(F.sequence(F.lit(1), F.greatest(F.length(out), F.lit(1))), lambda i: F.concat(F.substring(F.col(out), F.lit(1), i - 1), F.substring(F.col(out), i + 1, F.length(out))))
+        return one.select(out, F.explode(F.array_distinct(F.concat(F.array(F.col(out)), cut))).alias(f"{out}_key"))
+
+    own, known = keyed(names, name, "name"), keyed(real, real_name, "near")
+    met = own.join(known, F.col("name_key") == F.col("near_key")).where("name <> near").select("name", "near").distinct()
+    at = F.array_position(F.transform(F.sequence(F.lit(1), F.length("name")), lambda i: F.substring(F.col("name"), i, F.lit(1)) != F.substring(F.col("near"), i, F.lit(1))), True).cast("int")
+    turned = F.concat(F.substring(F.col("name"), F.lit(1), at - 1), F.substring(F.col("name"), at + 1, F.lit(1)), F.substring(F.col("name"), at, F.lit(1)), F.substring(F.col("name"), at + 2, F.length("name")))
+    swapped = (F.length("name") == F.length("near")) & (turned == F.col("near"))
+    close = met.where((F.levenshtein("name", "near", 1) == 1) | swapped)
+    return close.join(known.select(F.col("near").alias("known")).distinct(), F.col("name") == F.col("known"), "left_anti")
+
+
 def near_misses(names: DataFrame, name: str, real: DataFrame, real_name: str) -> DataFrame:
     """(name, candidate) of every single edit or swap of a name that is not itself real, 2 to 60 characters long."""
     at = F.explode(F.sequence(F.lit(0), F.length("name"))).alias("i")

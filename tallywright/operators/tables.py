@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from tallywright.functions import inference
 from tallywright.operators import order
 
+#: A standard error of a log odds ratio, for a standard deviation of its column, that no table that tells anything has.
+UNKNOWN = 100.0
 #: Share of all tables with the same margins that the exact test may leave out.
 LEFT_OUT = 1e-13
 
@@ -198,7 +200,9 @@ def logit(rows: DataFrame, outcome: str, columns: list[str], factor: str | None
     """Unpenalised logistic regression: per term coefficient, error, z, p, odds ratio and Wald interval; fit figures.
 
     The first level of `factor` by name is the base. A two-valued column one of
-    whose cells with the outcome is empty separates the data: that is reported as not converged.
+    whose cells with the outcome is empty separates the data, and so does any column,
+    alone or with others, whose standard error passes UNKNOWN for a change of one
+    standard deviation: that is reported as not converged.
     """
     import math
 
@@ -215,6 +219,7 @@ def logit(rows: DataFrame, outcome: str, columns: list[str], factor: str | None
     frame = frame.select(y.alias("label"), *[F.col(f"`{t}`").cast("double").alias(f"x{i}") for i, t in enumerate(terms)]).persist()
     empty = frame.agg(*[e for i in range(len(terms)) for e in (F.collect_set(F.when(F.col(f"x{i}").isin(0.0, 1.0), F.struct(f"x{i}", "label"))).alias(f"s{i}"), F.bool_and(F.col(f"x{i}").isin(0.0, 1.0)).alias(f"b{i}"))]).first()
     separated = [t for i, t in enumerate(terms) if empty[f"b{i}"] and len(empty[f"s{i}"]) < 4]
+    spread = frame.agg(*[F.stddev_pop(f"x{i}").alias(f"d{i}") for i in range(len(terms))]).first()
     ready = VectorAssembler(inputCols=[f"x{i}" for i in range(len(terms))], outputCol="features").transform(frame)
     model = GeneralizedLinearRegression(family="binomial", link="logit", regParam=0.0, maxIter=100, tol=1e-12).fit(ready)
     s = model.summary
@@ -223,6 +228,8 @@ def logit(rows: DataFrame, outcome: str, columns: list[str], factor: str | None
     try:
         se = s.coefficientStandardErrors
         se = [se[-1], *se[:-1]]
+        # where a combination of columns separates, nothing is known of its slope: its error grows beyond any scale
+        separated += [t for i, t in enumerate(terms) if t not in separated and not se[i + 1] * (spread[f"d{i}"] or 0.0) < UNKNOWN]
     except Exception:  # a singular design has none
         separated, se = separated or ["singular design"], [math.nan] * len(beta)
     out = {}
@@ -235,26 +242,123 @@ def logit(rows: DataFrame, outcome: str, columns: list[str], factor: str | None
     return {"terms": out, "n": s.numInstances, "log_likelihood": ll, "pseudo_r2": 1 - ll / null if null else math.nan, "llr_p_value": inference.chi2_tail_df(2 * (ll - null), len(terms)) if terms else 1.0, "converged": not separated, "separated_by": separated}
 
 
+def with_woolf(tables: DataFrame, z: float = inference.Z95) -> DataFrame:
+    """`tables` with odds_ratio and its interval lo, hi; null where a cell is empty."""
+    a, b, c, d = (F.col(x).cast("double") for x in "abcd")
+    ratio, se = a * d / (b * c), F.sqrt(1 / a + 1 / b + 1 / c + 1 / d)
+    whole = F.least(*(F.col(x) for x in "abcd")) > 0
+    bound = lambda sign: F.when(whole, F.exp(F.log(ratio) + sign * z * se))
+    return tables.withColumns({"odds_ratio": F.when(whole, ratio), "lo": bound(-1), "hi": bound(1)})
+
+
+def mantel_haenszel(tables: DataFrame, z: float = inference.Z95) -> DataFrame:
+    """One row: n_total, common_odds_ratio, its Robins-Breslow-Greenland interval lo, hi, and chi2_statistic, over tables with two rows or more; null if degenerate."""
+    a, b, c, d = (F.col(x).cast("double") for x in "abcd")
+    n = a + b + c + d
+    p, q, r, s = (a + d) / n, (b + c) / n, a * d / n, b * c / n
+    parts = {"R": r, "S": s, "PR": p * r, "PSQR": p * s + q * r, "QS": q * s, "E": a - (a + b) * (a + c) / n, "V": (a + b) * (c + d) * (a + c) * (b + d) / (n * n * (n - 1))}
+    sums = tables.where(n >= 2).agg(F.coalesce(F.sum(n), F.lit(0)).cast("long").alias("n_total"), *[F.sum(v).alias(k) for k, v in parts.items()])
+    R, S, V = F.col("R"), F.col("S"), F.col("V")
+    whole = (R > 0) & (S > 0) & (V > 0)
+    se = F.sqrt(F.col("PR") / (2 * R * R) + F.col("PSQR") / (2 * R * S) + F.col("QS") / (2 * S * S))
+    bound = lambda sign: F.when(whole, F.exp(F.log(R / S) + sign * z * se))
+    return sums.select("n_total", F.when(whole, R / S).alias("common_odds_ratio"), bound(-1).alias("lo"), bound(1).alias("hi"), F.when(whole, F.col("E") * F.col("E") / V).alias("chi2_statistic"))
+
+
+def recall_estimates(counts: DataFrame) -> DataFrame:
+    """`counts` (n_pos, n_neg, and audited: p_hits of p_rows, m_hits of m_rows) with recall and the interval that crossed Wilson bounds give."""
+    share_ = lambda p, m: F.try_divide(F.col("n_pos") * p, F.col("n_pos") * p + F.col("n_neg") * m)
+    (p_lo, p_hi), (m_lo, m_hi) = wilson(F.col("p_hits"), F.col("p_rows")), wilson(F.col("m_hits"), F.col("m_rows"))
+    return counts.withColumns({"recall": share_(F.try_divide("p_hits", "p_rows"), F.try_divide("m_hits", "m_rows")), "lo": share_(p_lo, m_hi), "hi": share_(p_hi, m_lo)})
+
+
+def needed(tables: DataFrame, alpha: float = 0.05, power: float = 0.8) -> DataFrame:
+    """`tables` with p_control, prevalence, ratio, and n_required, events and survival_events to detect that ratio; null where nothing could."""
+    a, b, c, d = (F.col(x) for x in "abcd")
+    z = (inference.NORMAL.inv_cdf(1 - alpha / 2) + inference.NORMAL.inv_cdf(power)) ** 2
+    rows = tables.withColumns({"p_control": share(c, c + d), "prevalence": share(a + b, a + b + c + d), "ratio": F.try_divide((a * d).cast("double"), (b * c).cast("double"))})
+    e, p = F.col("prevalence"), F.col("p_control")
+    hazard = e * (1 - e) * F.pow(F.log("ratio"), F.lit(2.0))
+    n = F.ceil(F.when(hazard * p * (1 - p) > 0, z / (hazard * p * (1 - p))))
+    return rows.withColumns({"n_required": n, "events": F.when(n.isNotNull(), F.greatest(F.lit(10), F.ceil(n * p))), "survival_events": F.ceil(F.when(hazard > 0, z / hazard))})
+
+
+def normal_cdf(x: Column) -> Column:
+    """P(Z <= x) by its series, to 1e-12; further out than 8 it is 0 or 1."""
+    near = F.greatest(F.lit(-8.0), F.least(F.lit(8.0), x))
+
+    def add(s, k):
+        term = s["term"] * near * near / (2 * k + 1)
+        return F.struct(term.alias("term"), (s["total"] + term).alias("total"))
+
+    series = F.aggregate(F.sequence(F.lit(1), F.lit(200)), F.struct(near.alias("term"), near.alias("total")), add, lambda s: s["total"])
+    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), 0.5 + series * F.exp(-near * near / 2) / math.sqrt(2 * math.pi)))
+
+
+def power_grid(tables: DataFrame, ratios=(0.5, 0.67, 1.5, 2.0, 3.0), alpha: float = 0.05) -> DataFrame:
+    """`tables`' columns with n, p_control, prevalence, ratio and power: what each table would have told of each odds ratio; null where its rates are 0 or 1."""
+    a, b, c, d = (F.col(x) for x in "abcd")
+    rows = tables.withColumns({"n": a + b + c + d, "p_control": share(c, c + d), "prevalence": share(a + b, a + b + c + d), "ratio": F.explode(F.array(*[F.lit(float(r)) for r in ratios]))})
+    p, e = F.col("p_control"), F.col("prevalence")
+    spread = p * (1 - p) * e * (1 - e) * F.pow(F.log("ratio"), F.lit(2.0))
+    power = normal_cdf(F.sqrt(F.col("n") * spread) - inference.NORMAL.inv_cdf(1 - alpha / 2))
+    return rows.withColumn("power", F.when(spread > 0, power))
+
+
+def uniform(seed: int, draw: Column, stream: str, number: Column) -> Column:
+    """A number in (0, 1) that depends on its arguments alone: 60 bits of a digest."""
+    digest = F.md5(F.concat_ws(":", F.lit(str(seed)), draw.cast("string"), F.lit(stream), number.cast("string")))
+    return (F.conv(F.substring(digest, 1, 15), 16, 10).cast("double") + 0.5) / F.lit(float(1 << 60))
+
+
+def _normal(seed: int, draw: Column, stream: str) -> Column:
+    u = lambda k: uniform(seed, draw, stream, F.lit(k))
+    return F.sqrt(-2 * F.log(u(-1))) * F.cos(2 * math.pi * u(-2))
+
+
+def _half_gamma(seed: int, draw: Column, stream: str, k: int) -> Column:
+    """A draw of Gamma(k + 1/2): k exponentials and half a squared normal."""
+    z = _normal(seed, draw, stream)
+    waits = F.transform(F.sequence(F.lit(1), F.lit(max(k, 1))), lambda j: -F.log(uniform(seed, draw, stream, j)))
+    return z * z / 2 + (F.aggregate(waits, F.lit(0.0), lambda s, x: s + x) if k else 0.0)
+
+
+def corrected_draws(tables: DataFrame, ppv: tuple[int, int], miss: tuple[int, int], excluded=(0, 0), draws: int = 20_000, seed: int = 20261006) -> DataFrame:
+    """`tables`' columns with draw and ratio: odds ratios under uncertain labels, null where a cell is not positive.
+
+    Jeffreys draws of precision and miss rate (k of n, so Beta(k + 1/2, n - k + 1/2), as a
+    share of two gamma draws) and random error of the table. Every random number is a
+    digest of seed, draw and place, so any engine gives the same ones; a draw takes
+    as many as the audits have rows.
+    """
+    spark = tables.sparkSession
+    rows = tables.crossJoin(spark.range(draws).withColumnRenamed("id", "draw"))  # a few tables, by draws that are asked for
+    k = F.col("draw")
+
+    def beta(name, of):
+        hit, all_ = of
+        g, h = _half_gamma(seed, k, f"{name}+", hit), _half_gamma(seed, k, f"{name}-", all_ - hit)
+        return g / (g + h)
+
+    rows = rows.withColumns({"p": beta("ppv", ppv), "m": beta("miss", miss), "z": _normal(seed, k, "error")})
+    w = F.col("a") * F.col("p") + (F.col("b") - excluded[0]) * F.col("m")
+    y = F.col("c") * F.col("p") + (F.col("d") - excluded[1]) * F.col("m")
+    rows = rows.withColumns({"w": w, "y": y}).withColumns({"x": F.col("a") + F.col("b") - F.col("w"), "v": F.col("c") + F.col("d") - F.col("y")})
+    cells_ = [F.col(x) for x in "wxyv"]
+    log = F.log(F.col("w") * F.col("v") / (F.col("x") * F.col("y"))) + F.col("z") * F.sqrt(sum((1 / c for c in cells_[1:]), 1 / cells_[0]))
+    return rows.select(*tables.columns, "draw", F.when(F.least(*cells_) > 0, F.exp(log)).alias("ratio"))
+
+
+def drawn_interval(drawn: DataFrame, *by: str) -> DataFrame:
+    """by, draws, skipped_draws, median_or, lo, hi of `corrected_draws`."""
+    q = F.percentile("ratio", F.array(F.lit(0.025), F.lit(0.5), F.lit(0.975)))
+    out = drawn.groupBy(*by).agg(q.alias("q"), F.count(F.lit(1)).alias("draws"), F.count_if(F.col("ratio").isNull()).alias("skipped_draws"))
+    return out.select(*by, "draws", "skipped_draws", F.col("q")[1].alias("median_or"), F.col("q")[0].alias("lo"), F.col("q")[2].alias("hi"))
+
+
 def uncertain_correction(spark, table, ppv: tuple[int, int], miss: tuple[int, int], excluded=(0, 0), draws: int = 20_000, seed: int = 20261006) -> dict:
-    """Odds ratio under uncertain labels: Jeffreys draws of precision and miss rate, and random error of the table."""
-    (pk, pn), (mk, mn) = ppv, miss
-
-    def run(batches):
-        import numpy as np
-        import pandas as pd
-
-        for batch in batches:
-            rng = np.random.default_rng([seed, int(batch["id"].iloc[0])])
-            n = len(batch)
-            p, m = rng.beta(pk + 0.5, pn - pk + 0.5, n), rng.beta(mk + 0.5, mn - mk + 0.5, n)
-            cells_ = [(pos * p + (neg - out) * m, pos + neg) for (pos, neg), out in zip(table, excluded, strict=True)]
-            (a, na), (c, nc) = cells_
-            b, d = na - a, nc - c
-            ok = (np.minimum.reduce([a, b, c, d]) > 0)
-            a, b, c, d = (np.where(ok, x, 1.0) for x in (a, b, c, d))
-            log = np.log(a * d / (b * c)) + rng.standard_normal(n) * np.sqrt(1 / a + 1 / b + 1 / c + 1 / d)
-            yield pd.DataFrame({"ratio": np.where(ok, np.exp(log), np.nan)})
-
-    drawn = spark.range(0, draws, 1, max(1, draws // 5000)).mapInPandas(run, "ratio double")
-    r = drawn.agg(F.percentile(F.when(~F.isnan("ratio"), F.col("ratio")), F.array(F.lit(0.025), F.lit(0.5), F.lit(0.975))).alias("q"), F.count_if(F.isnan("ratio")).alias("skipped")).first()
-    return {"draws": draws, "seed": seed, "skipped_draws": r["skipped"], "median_or": r["q"][1], "interval_95": (r["q"][0], r["q"][2])}
+    """`corrected_draws` of one table of plain numbers, summed up."""
+    (a, b), (c, d) = table
+    one = spark.createDataFrame([(int(a), int(b), int(c), int(d))], "a long, b long, c long, d long")
+    r = drawn_interval(corrected_draws(one, ppv, miss, excluded, draws, seed)).first()
+    return {"draws": draws, "seed": seed, "skipped_draws": r["skipped_draws"], "median_or": r["median_or"], "interval_95": (r["lo"], r["hi"])}

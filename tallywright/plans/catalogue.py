@@ -467,19 +467,44 @@ def logit_and_vif(spark, sf_dir):
     return _one_row(spark, {**{f"odds_ratio:{k}": v["odds_ratio"] for k, v in fit["terms"].items()}, "pseudo_r2": fit["pseudo_r2"], **{f"vif:{k}": v for k, v in vif.items()}})
 
 
-@register("power_grid")
+_TABLE = f"{MARKED}, t AS (SELECT count(*) FILTER (WHERE flag AND outcome) AS a, count(*) FILTER (WHERE flag AND NOT outcome) AS b, count(*) FILTER (WHERE NOT flag AND outcome) AS c, count(*) FILTER (WHERE NOT flag AND NOT outcome) AS d FROM m)"
+
+
+@register("power_grid", f"""WITH {_TABLE}, r AS (SELECT unnest([0.5, 0.67, 1.5, 2.0, 3.0])::DOUBLE AS ratio), x AS (
+  SELECT ratio, sqrt((a + b + c + d) * (c / (c + d)) * (d / (c + d)) * ((a + b) / (a + b + c + d)) * ((c + d) / (a + b + c + d))) * abs(ln(ratio)) - 1.9599639845400545 AS x FROM t, r)
+SELECT 'power:' || ratio AS name, round(0.5 + sign(x) * exp(-x * x / 2) / sqrt(2 * pi()) * list_sum(list_transform(range(0, 200), lambda k: exp((2 * k + 1) * ln(abs(x)) - (k + 1) * ln(2) - lgamma(k + 1.5) + ln(pi()) / 2))), 9) AS value FROM x""")
 def power_grid(spark, sf_dir):
-    from tallywright.functions import decisions
+    t = tables.contingency(marked_documents(spark, sf_dir), F.col("flag"), F.col("outcome"))
+    return tables.power_grid(t).where("power is not null").select(F.concat(F.lit("power:"), F.col("ratio").cast("string")).alias("name"), F.round("power", 9).alias("value"))
+
+
+def _uniform_sql(stream: str, number: str) -> str:
+    return f"((('0x' || substr(md5('20261006:' || k || ':{stream}:' || {number}), 1, 15))::BIGINT + 0.5) / 1152921504606846976.0)"
+
 
-    t = tables.collected(tables.contingency(marked_documents(spark, sf_dir), F.col("flag"), F.col("outcome")))
-    grid = decisions.power_table(t[()])
-    return _one_row(spark, {f"power:{r}": v["power"] for r, v in grid["by_ratio"].items()})
+def _normal_sql(stream: str) -> str:
+    return f"(sqrt(-2 * ln({_uniform_sql(stream, '(-1)')})) * cos(2 * pi() * {_uniform_sql(stream, '(-2)')}))"
 
 
-@register("uncertain_correction")
+def _gamma_sql(stream: str, n: int) -> str:
+    return f"({_normal_sql(stream)} ** 2 / 2 + list_sum(list_transform(range(1, {n + 1}), lambda j: -ln({_uniform_sql(stream, 'j')}))))"
+
+
+@register("uncertain_correction", f"""WITH {_TABLE}, g AS (SELECT k, {_gamma_sql('ppv+', 55)} AS p1, {_gamma_sql('ppv-', 5)} AS p2, {_gamma_sql('miss+', 17)} AS m1, {_gamma_sql('miss-', 23)} AS m2, {_normal_sql('error')} AS z FROM range(20000) r(k)),
+w AS (SELECT z, a * p1 / (p1 + p2) + b * m1 / (m1 + m2) AS w, c * p1 / (p1 + p2) + d * m1 / (m1 + m2) AS y, a, b, c, d FROM g, t), x AS (SELECT z, w, y, a + b - w AS x, c + d - y AS v FROM w),
+o AS (SELECT exp(ln(w * v / (x * y)) + z * sqrt(1 / w + 1 / x + 1 / y + 1 / v)) AS o FROM x WHERE least(w, x, y, v) > 0)
+SELECT unnest(['median_or', 'lo', 'hi']) AS name, round(unnest([quantile_cont(o, 0.5), quantile_cont(o, 0.025), quantile_cont(o, 0.975)]), 9) AS value FROM o""")
 def uncertain_correction(spark, sf_dir):
-    a, b, c, d = tables.collected(tables.contingency(marked_documents(spark, sf_dir), F.col("flag"), F.col("outcome")))[()]
-    r = tables.uncertain_correction(spark, [(a, b), (c, d)], (55, 60), (17, 40), draws=20_000)
-    return _one_row(spark, {"median_or": r["median_or"], "lo": r["interval_95"][0], "hi": r["interval_95"][1]})
+    t = tables.contingency(marked_documents(spark, sf_dir), F.col("flag"), F.col("outcome"))
+    found = tables.drawn_interval(tables.corrected_draws(t, (55, 60), (17, 40)))
+    return found.select(F.explode(F.array(*[F.struct(F.lit(c).alias("name"), F.round(c, 9).alias("value")) for c in ("median_or", "lo", "hi")])).alias("x")).select("x.name", "x.value")
+
+
+@register("squatted_names", """WITH n AS (SELECT DISTINCT c_name AS name, c_mktsegment = 'BUILDING' AS known FROM customer),
+k AS (SELECT DISTINCT name, known, unnest(list_append(list_transform(range(1, length(name) + 1), lambda i: substr(name, 1, i - 1) || substr(name, i + 1)), name)) AS key FROM n)
+SELECT DISTINCT a.name, b.name AS near FROM k a JOIN k b USING (key) WHERE NOT a.known AND b.known AND damerau_levenshtein(a.name, b.name) = 1""")
+def squatted_names(spark, sf_dir):
+    c = table(spark, sf_dir, "customer")
+    return names.squats(c.where("c_mktsegment <> 'BUILDING'"), "c_name", c.where("c_mktsegment = 'BUILDING'"), "c_name")
 
 

@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 from tallywright.functions import advisories as A
 from tallywright.functions import fixed, inference, names
 from tallywright.operators import collapse, labelling, reports, sheets, tables
-from tallywright.plans.catalogue import _PACKAGES, MARKED, RECORDS, TABLES, TAXONOMY, advisories, marked_documents, register
+from tallywright.plans.catalogue import _PACKAGES, FLAG, MARKED, OUTCOME, RECORDS, TABLES, TAXONOMY, advisories, marked_documents, register
 from tallywright.session import table
+from tallywright.sources import sinks
 
 Z95, Z80 = inference.Z95, inference.NORMAL.inv_cdf(0.8)
 
@@ -19,9 +20,8 @@ Z95, Z80 = inference.Z95, inference.NORMAL.inv_cdf(0.8)
 @register("odds_ratio_intervals", f"""WITH {MARKED}, {TABLES} SELECT lang, a, b, c, d, round(a * d / (b * c), 9)::DOUBLE AS odds_ratio,
   round(exp(ln(a * d / (b * c)) - {Z95!r} * sqrt(1 / a + 1 / b + 1 / c + 1 / d)), 9) AS lo, round(exp(ln(a * d / (b * c)) + {Z95!r} * sqrt(1 / a + 1 / b + 1 / c + 1 / d)), 9) AS hi FROM t WHERE least(a, b, c, d) > 0""")
 def odds_ratio_intervals(spark, sf_dir):
-    found = tables.collected(tables.contingency(marked_documents(spark, sf_dir), F.col("flag"), F.col("outcome"), "lang"), "lang")
-    rows = [(k[0], *t, round(inference.fisher(*t)["odds_ratio"], 9), *(round(x, 9) for x in ci)) for k, t in found.items() if (ci := inference.woolf(*t))]
-    return spark.createDataFrame(rows, "lang string, a long, b long, c long, d long, odds_ratio double, lo double, hi double")
+    t = tables.with_woolf(tables.contingency(marked_documents(spark, sf_dir), F.col("flag"), F.col("outcome"), "lang")).where("odds_ratio is not null")
+    return t.select("lang", *"abcd", *[F.round(c, 9).alias(c) for c in ("odds_ratio", "lo", "hi")])
 
 
 @register("cmh_interval", f"""WITH {MARKED}, {TABLES}, s AS (SELECT *, (a + b + c + d)::DOUBLE AS n, (a + d) / (a + b + c + d) AS p, (b + c) / (a + b + c + d) AS q, a * d / (a + b + c + d) AS r, b * c / (a + b + c + d) AS s FROM t WHERE a + b + c + d >= 2),
@@ -29,22 +29,16 @@ x AS (SELECT sum(r) AS r1, sum(s) AS s1, sum(p * r) AS pr, sum(p * s + q * r) AS
 y AS (SELECT *, sqrt(pr / (2 * r1 * r1) + psqr / (2 * r1 * s1) + qs / (2 * s1 * s1)) AS se FROM x)
 SELECT n_total, round(r1 / s1, 9) AS common_odds_ratio, round(exp(ln(r1 / s1) - {Z95!r} * se), 9) AS lo, round(exp(ln(r1 / s1) + {Z95!r} * se), 9) AS hi, round(e * e / v, 9) AS chi2_statistic FROM y""")
 def cmh_interval(spark, sf_dir):
-    found = tables.collected(tables.contingency(marked_documents(spark, sf_dir), F.col("flag"), F.col("outcome"), "lang"), "lang")
-    r = inference.mantel_haenszel(list(found.values()))
-    lo, hi = r["common_odds_ratio_ci_95"]
-    return spark.createDataFrame([(r["n_total"], *(round(x, 9) for x in (r["common_odds_ratio"], lo, hi, r["chi2_statistic"])))], "n_total long, common_odds_ratio double, lo double, hi double, chi2_statistic double")
+    r = tables.mantel_haenszel(tables.contingency(marked_documents(spark, sf_dir), F.col("flag"), F.col("outcome"), "lang"))
+    return r.select("n_total", *[F.round(c, 9).alias(c) for c in ("common_odds_ratio", "lo", "hi", "chi2_statistic")])
 
 
-@register("power_and_events", f"""WITH g AS (SELECT n_nationkey AS k, 0.05::DOUBLE + 0.03::DOUBLE * n_nationkey AS p, 1.2::DOUBLE + 0.1::DOUBLE * n_nationkey AS ratio FROM nation WHERE n_nationkey < 25),
-s AS (SELECT k, p, ratio, p * (1 - p) * 0.3::DOUBLE * 0.7::DOUBLE * ln(ratio) * ln(ratio) AS spread, 0.3::DOUBLE * 0.7::DOUBLE * ln(ratio) * ln(ratio) AS hazard FROM g)
-SELECT k, ceil(({Z95!r} + {Z80!r}) * ({Z95!r} + {Z80!r}) / spread)::BIGINT AS n_required, greatest(10, ceil(ceil(({Z95!r} + {Z80!r}) * ({Z95!r} + {Z80!r}) / spread) * p))::BIGINT AS events, ceil(({Z95!r} + {Z80!r}) * ({Z95!r} + {Z80!r}) / hazard)::BIGINT AS survival_events FROM s""")
+@register("power_and_events", f"""WITH {MARKED}, {TABLES}, g AS (SELECT lang, a, b, c, d, c / (c + d) AS p, (a + b) / (a + b + c + d) AS e, ln(a * d / (b * c)) AS l FROM t WHERE least(a, b, c, d) > 0),
+s AS (SELECT lang, p, e * (1 - e) * l * l AS hazard FROM g WHERE l <> 0)
+SELECT lang, ceil(({Z95!r} + {Z80!r}) ** 2 / (hazard * p * (1 - p)))::BIGINT AS n_required, greatest(10, ceil(ceil(({Z95!r} + {Z80!r}) ** 2 / (hazard * p * (1 - p))) * p))::BIGINT AS events, ceil(({Z95!r} + {Z80!r}) ** 2 / hazard)::BIGINT AS survival_events FROM s""")
 def power_and_events(spark, sf_dir):
-    rows = []
-    for (k,) in table(spark, sf_dir, "nation").where("n_nationkey < 25").select("n_nationkey").collect():
-        p, ratio = 0.05 + 0.03 * k, 1.2 + 0.1 * k
-        size = inference.logistic_size(p, ratio, 0.3)
-        rows.append((k, int(size["n"]), int(size["events"]), int(inference.survival_events(ratio, 0.3))))
-    return spark.createDataFrame(rows, "k int, n_required long, events long, survival_events long")
+    t = tables.contingency(marked_documents(spark, sf_dir), F.col("flag"), F.col("outcome"), "lang").where(F.least(*"abcd") > 0)
+    return tables.needed(t).where("n_required is not null").select("lang", "n_required", "events", "survival_events")
 
 
 _W = lambda k, n, sign: f"greatest(0.0, least(1.0, ({k} / {n} + {Z95 * Z95!r} / (2 * {n}) {sign} {Z95!r} * sqrt(({k} / {n}) * (1 - {k} / {n}) / {n} + {Z95 * Z95!r} / (4 * {n} * {n}))) / (1 + {Z95 * Z95!r} / {n})))"
@@ -57,21 +51,18 @@ SELECT lang, round({_R('pk / pn', 'mk / mn')}, 9) AS recall, round({_R(_W('pk',
 def recall_by_stratum(spark, sf_dir):
     known, hit = F.col("toxic").isNotNull(), F.col("toxic") == 1
     yes, no = F.col("outcome"), ~F.col("outcome")
-    counts = [F.count_if(c).alias(n) for n, c in (("np", yes), ("nn", no), ("pk", yes & hit), ("pn", yes & known), ("mk", no & hit), ("mn", no & known))]
-    rows = []
-    for r in marked_documents(spark, sf_dir).groupBy("lang").agg(*counts).collect():
-        if r["pn"] and r["mn"] and r["pk"] + r["mk"]:
-            e = inference.recall_estimate(r["np"], (r["pk"], r["pn"]), r["nn"], (r["mk"], r["mn"]))
-            rows.append((r["lang"], round(e["recall"], 9), *(round(x, 9) for x in e["ci_95"])))
-    return spark.createDataFrame(rows, "lang string, recall double, lo double, hi double")
+    counts = [F.count_if(c).alias(n) for n, c in (("n_pos", yes), ("n_neg", no), ("p_hits", yes & hit), ("p_rows", yes & known), ("m_hits", no & hit), ("m_rows", no & known))]
+    found = tables.recall_estimates(marked_documents(spark, sf_dir).groupBy("lang").agg(*counts)).where("p_rows > 0 and m_rows > 0 and p_hits + m_hits > 0")
+    return found.select("lang", *[F.round(c, 9).alias(c) for c in ("recall", "lo", "hi")])
 
 
-@register("reporter_rates", f"""WITH {RECORDS}, {_PACKAGES}, q AS (SELECT ecosystem, package_name, bool_or(outcome) AS outcome, bool_or(grammar_flag) AS flag, bool_or(reporter = 'web') AS is_web, count(DISTINCT reporter) AS n_reporters FROM r GROUP BY ALL)
-SELECT ecosystem || '|' || CASE WHEN n_reporters >= 2 THEN '2+' ELSE n_reporters::VARCHAR END AS ecosystem_x_n_reporters, count(*) AS n, count(*) FILTER (WHERE is_web) AS n_web, count(*) FILTER (WHERE outcome) AS n_outcome, 0::BIGINT AS n_inspector, count(*) AS n_other FROM q GROUP BY ALL""")
+@register("reporter_rates", f"""WITH {RECORDS}, {_PACKAGES}, q AS (SELECT ecosystem, package_name, bool_or(outcome) AS outcome, bool_or(reporter = 'src1') AS is_one, bool_or(reporter = 'src0') AS inspected, bool_or(reporter <> 'src0') AS other, count(DISTINCT reporter) AS n_reporters FROM r GROUP BY ALL)
+SELECT ecosystem || '|' || CASE WHEN n_reporters >= 2 THEN '2+' ELSE n_reporters::VARCHAR END AS ecosystem_x_n_reporters, count(*) AS n, count(*) FILTER (WHERE is_one) AS n_one, count(*) FILTER (WHERE outcome) AS n_outcome, count(*) FILTER (WHERE inspected) AS n_inspector, count(*) FILTER (WHERE other) AS n_other FROM q GROUP BY ALL""")
 def reporter_rates(spark, sf_dir):
-    p = collapse.reporter_covariates(collapse.by_package(advisories(spark, sf_dir)))
+    named = F.transform("reporters", lambda r: F.when(r == "src0", fixed.NAMED_REPORTERS[1]).otherwise(r))
+    p = collapse.reporter_covariates(collapse.by_package(advisories(spark, sf_dir).withColumn("reporters", named)))
     return p.groupBy("ecosystem_x_n_reporters").agg(
-        F.count(F.lit(1)).alias("n"), F.count_if(F.array_contains("reporters", "web")).alias("n_web"), F.count_if("outcome").alias("n_outcome"), F.count_if("has_amazon_inspector").alias("n_inspector"), F.count_if("has_other").alias("n_other"))
+        F.count(F.lit(1)).alias("n"), F.count_if(F.array_contains("reporters", "src1")).alias("n_one"), F.count_if("outcome").alias("n_outcome"), F.count_if("has_amazon_inspector").alias("n_inspector"), F.count_if("has_other").alias("n_other"))
 
 
 @register("remaining_positives", f"""WITH {RECORDS}, {_PACKAGES}, x AS (SELECT DISTINCT ecosystem, package_name FROM r WHERE seq % 13 = 0),
@@ -131,35 +122,36 @@ def flag_rate_by_set(spark, sf_dir):
     return reports.unit_summary(reports.classified_units(units, **lexicon), "p_brand").withColumn("flag_rate", F.round("flag_rate", 9)).withColumnsRenamed({k: f"n_{k}" for k in ("none", "compound", "trend", "both")})
 
 
-@register("dots_separate_nothing", """WITH p AS (SELECT p_partkey, lower(replace(p_name, ' ', '.')) || '-pro' AS n FROM part) SELECT p_partkey, len(list_filter(string_split(n, '-'), lambda x: x <> ''))::INTEGER AS n_parts, true AS is_flagged FROM p""")
+@register("dots_separate_nothing", """WITH p AS (SELECT p_partkey, p_size, lower(replace(p_name, ' ', '.')) || CASE WHEN p_size > 25 THEN '-pro' ELSE '.pro' END AS n FROM part) SELECT p_partkey, len(list_filter(string_split(n, '-'), lambda x: x <> ''))::INTEGER AS n_parts, p_size > 25 AS is_flagged FROM p""")
 def dots_separate_nothing(spark, sf_dir):
-    n = F.concat(F.replace("p_name", F.lit(" "), F.lit(".")), F.lit("-pro"))
+    n = F.concat(F.replace("p_name", F.lit(" "), F.lit(".")), F.when(F.col("p_size") > 25, "-pro").otherwise(".pro"))
     return table(spark, sf_dir, "part").select("p_partkey", F.size(names.parts(n)).alias("n_parts"), names.grammar(n)["is_flagged"].alias("is_flagged"))
 
 
-@register("typed_names", """SELECT p_partkey, 'language-server' IN (lower(replace(p_name, ' ', '-'))) AS is_flagged FROM part""")
+@register("typed_names", """SELECT p_partkey, len(list_filter(string_split(lower(p_name), ' '), lambda x: x IN ('widget', 'bolt', 'language'))) > 0 AS is_flagged FROM part""")
 def typed_names(spark, sf_dir):
-    """A listed token that holds a hyphen is never a part, so it flags nothing."""
-    g = names.grammar(F.concat(F.replace("p_name", F.lit(" "), F.lit("-")), F.lit("-language-server")), suffixes=["language-server"], prefixes=[], trends=[])
+    """A listed token that holds a hyphen is never a part, so it flags nothing; the others do."""
+    g = names.grammar(F.concat(F.replace("p_name", F.lit(" "), F.lit("-")), F.lit("-language-server")), suffixes=["language-server", "widget", "bolt"], prefixes=[], trends=[])
     return table(spark, sf_dir, "part").select("p_partkey", g["is_flagged"].alias("is_flagged"))
 
 
-@register("combined_and_masked", r"""WITH d AS (SELECT doc_id, lang, substr(split_part(text, ' ', 2), 1, 40) AS name, text FROM documents WHERE text IS NOT NULL AND regexp_matches(split_part(text, ' ', 2), '^[a-z]+$'))
-SELECT doc_id, length(lang || chr(10) || text)::INTEGER AS n_combined, len(regexp_extract_all(lower(regexp_replace(text, '[^A-Za-z0-9_.@/-]', '  ', 'g')), '(?:^| )(' || name || ')(?: |$)'))::INTEGER AS n_masked FROM d""")
+@register("combined_and_masked", r"""WITH d AS (SELECT doc_id, lang, coalesce(regexp_extract(text, '[a-z]+'), '') AS name, text FROM documents WHERE text IS NOT NULL)
+SELECT doc_id, length(lang || chr(10) || text)::INTEGER AS n_combined, CASE WHEN name = '' THEN 0 ELSE len(regexp_extract_all(lower(regexp_replace(text, '[^A-Za-z0-9_.@/-]', '  ', 'g')), '(?:^| )(' || CASE WHEN name = '' THEN 'x' ELSE name END || ')(?: |$)')) END::INTEGER AS n_masked FROM d""")
 def combined_and_masked(spark, sf_dir):
-    name = F.substring(F.split_part("text", F.lit(" "), F.lit(2)), 1, 40)
-    d = table(spark, sf_dir, "documents").where("text is not null").select("doc_id", "lang", "text", name.alias("name")).where(F.col("name").rlike("^[a-z]+$"))
+    d = table(spark, sf_dir, "documents").where("text is not null").select("doc_id", "lang", "text", F.regexp_extract("text", "[a-z]+", 0).alias("name"))
     masked = A.mask_name(F.lower("text"), F.col("name"))
     marks = F.size(F.split(masked, "\\Q" + fixed.PACKAGE_MASK + "\\E", -1)) - 1
     return d.select("doc_id", F.length(A.combined_text(F.col("lang"), F.col("text"))).alias("n_combined"), marks.alias("n_masked"))
 
 
-@register("no_text_documents", """WITH d AS (SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN '---' || chr(10) || '_-= Per source details. Do not edit below this line.=-_' WHEN doc_id % 5 = 1 THEN '' WHEN doc_id % 5 = 2 THEN 'The package ' || lang || ' was found to contain malicious code.' ELSE text END AS t FROM documents)
-SELECT doc_id, doc_id % 5 = 0 AS no_text, doc_id % 5 = 2 AS one_liner FROM d""")
+@register("no_text_documents", f"""SELECT doc_id, NOT regexp_matches(coalesce(text, ''), '{OUTCOME}') AS no_text, NOT regexp_matches(coalesce(text, ''), '{FLAG}') AS one_liner FROM documents""")
 def no_text_documents(spark, sf_dir):
-    k = F.col("doc_id") % 5
-    t = F.when(k == 0, "---\n_-= Per source details. Do not edit below this line.=-_").when(k == 1, "").when(k == 2, F.concat(F.lit("The package "), "lang", F.lit(" was found to contain malicious code."))).otherwise(F.coalesce("text", F.lit("")))
-    return table(spark, sf_dir, "documents").select("doc_id", A.is_no_text(t).alias("no_text"), A.is_one_liner(t).alias("one_liner"))
+    """Records that hold the templates, and a document's text where it has what the study looks for."""
+    text = F.coalesce("text", F.lit(""))
+    own = lambda rule: F.when(text.rlike(rule), F.concat(F.lit("\n"), text)).otherwise("")
+    framed = F.concat(F.lit("---\n_-= Per source details. Do not edit below this line.=-_"), own(OUTCOME))
+    line = F.concat(F.lit("The package "), F.coalesce("source", F.lit("x")), F.lit(" was found to contain malicious code."), own(FLAG))
+    return table(spark, sf_dir, "documents").select("doc_id", A.is_no_text(framed).alias("no_text"), A.is_one_liner(line).alias("one_liner"))
 
 
 @register("snippets", rf"""WITH d AS (SELECT doc_id, text, position('worthless' IN lower(text)) - 1 AS s FROM documents WHERE regexp_matches(text, '(?i)worthless'))
@@ -170,13 +162,15 @@ def snippets(spark, sf_dir):
     return d.select("doc_id", A.snippet(F.col("text"), F.col("s"), F.col("s") + 9, 30).alias("snippet"), F.contains(F.substring("text", F.lit(1), F.col("s")), F.lit("e")).alias("has_e"))
 
 
-@register("tag_lists", f"""WITH d AS (SELECT doc_id, text, '{fixed.TAG_HEADER}' || chr(10) || CASE WHEN doc_id % 3 = 0 THEN '---' || chr(10) ELSE '' END || 'worthless ' || coalesce(lang, '') AS t FROM documents) SELECT doc_id, doc_id % 3 <> 0 AS in_list, CASE WHEN doc_id % 2 = 0 THEN 'contact,insult' ELSE 'insult' END AS named FROM d""")
+@register("tag_lists", """WITH d AS (SELECT doc_id, text, position('worthless' IN lower(text)) AS w, position('. ' IN text) AS p FROM documents WHERE contains(lower(text), 'worthless'))
+SELECT doc_id, p = 0 OR w < p AS in_list, concat_ws(',', CASE WHEN contains(text, 'contact') THEN 'contact' END, CASE WHEN contains(text, 'worthless') OR contains(text, 'insult') THEN 'insult' END, CASE WHEN contains(text, 'Copyright') OR contains(text, 'licence') THEN 'licence' END) AS named FROM d""")
 def tag_lists(spark, sf_dir):
-    k = F.col("doc_id")
-    t = F.concat(F.lit(fixed.TAG_HEADER + "\n"), F.when(k % 3 == 0, "---\n").otherwise(""), F.lit("worthless "), F.coalesce("lang", F.lit("")))
-    note = F.when(k % 2 == 0, "insult and contact").otherwise("insult")
+    """Documents as tag lists whose first sentence alone is the list; notes name what their words stand for."""
+    d = table(spark, sf_dir, "documents").where(F.contains(F.lower("text"), F.lit("worthless")))
+    t = F.concat(F.lit(fixed.TAG_HEADER + "\n"), F.replace("text", F.lit(". "), F.lit("\n---\n")))
+    note = F.replace(F.replace("text", F.lit("worthless"), F.lit("insult")), F.lit("Copyright"), F.lit("licence"))
     named = A.categories_named(sorted(TAXONOMY), note)
-    return table(spark, sf_dir, "documents").select("doc_id", A.in_tag_list(t, F.locate("worthless", t) - 1).alias("in_list"), F.array_join(named, ",").alias("named"))
+    return d.select("doc_id", A.in_tag_list(t, F.locate("worthless", F.lower(t)) - 1).alias("in_list"), F.array_join(named, ",").alias("named"))
 
 
 @register("record_matches", "SELECT doc_id, len(regexp_extract_all(text, '(?i)worthless')) AS n_matches FROM documents WHERE regexp_matches(text, '(?i)worthless')")
@@ -232,9 +226,10 @@ def instruction_flags(spark, sf_dir):
     return d.select("doc_id", *[v.alias(c) for c, v in labelling.flags(F.col("text"), _INSTRUCTIONS, labelling.ASCII).items()])
 
 
-@register("ledger_and_alignment", f"""WITH {MARKED} SELECT lang, count(*) AS n, count(*) FILTER (WHERE (toxic = 1) = outcome) AS n_alike FROM m WHERE toxic IS NOT NULL GROUP BY lang""")
+@register("ledger_and_alignment", f"""WITH {MARKED} SELECT lang, count(*) AS n, count(*) FILTER (WHERE (toxic = 1) = outcome) AS n_alike FROM m WHERE toxic IS NOT NULL AND doc_id NOT IN (SELECT doc_id FROM labels WHERE quality = 1 AND doc_id IS NOT NULL) GROUP BY lang""")
 def ledger_and_alignment(spark, sf_dir):
-    m = marked_documents(spark, sf_dir).where("toxic is not null")
+    """The labels of good quality are a ledger of what is done; the rest is aligned with what the text says."""
+    ledger = table(spark, sf_dir, "labels").select("doc_id", F.when(F.col("quality") == 1, "completed").otherwise("failed").alias("status"))
+    m = sinks.not_done(marked_documents(spark, sf_dir).where("toxic is not null"), ledger, "doc_id")
     a, b = m.select("doc_id", "lang", (F.col("toxic") == 1).alias("v")), m.select("doc_id", "lang", F.col("outcome").alias("v"))
     return tables.aligned(a, b, ["doc_id", "lang"], "v").groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("first") == F.col("second")).alias("n_alike"))
-
