@@ -63,17 +63,20 @@ def reporters_of(records: DataFrame) -> DataFrame:
     return lists.select("ecosystem", "package_name", F.transform("l", lambda x: x["reporter"]).alias("names"))
 
 
-def by_package(records: DataFrame, text_source: str = "any", group_on: str = "any") -> DataFrame:
+def by_package(records: DataFrame, text_source: str = "any", group_on: str = "any", keyed_by: dict | None = None) -> DataFrame:
     """Stage 1. One row a (ecosystem, package_name): whose text decides and whose text groups are set apart.
 
     Columns wanted: ecosystem, package_name, source, advisory_id, summary,
-    description, published_at, grammar_flag, outcome, reporters, _seq.
+    description, published_at, grammar_flag, outcome, reporters, _seq. With
+    `keyed_by`, switches of the signature, each record's signature is taken where it
+    is read and travels in place of its text (columns: signature, not text).
     """
     for name, value in (("text_source", text_source), ("group_on", group_on)):
         if value not in ("any", *SOURCES):
             raise ValueError(f"{name} must be any or one of {SOURCES}, got {value!r}")
     text = A.record_text(F.col("summary"), F.col("description"))
-    record = F.struct("advisory_id", text.alias("text"), "grammar_flag", "outcome")
+    shown = text.alias("text") if keyed_by is None else A.signature(text, F.col("package_name"), **keyed_by).alias("signature")
+    record = F.struct("advisory_id", shown, "grammar_flag", "outcome")
     known = F.col("source").isin(*SOURCES)
     pick = lambda prefer: F.min_by(F.when(known, record), F.when(known, _published(prefer)))
     decides = (F.bool_or("grammar_flag"), F.bool_or("outcome")) if text_source == "any" else (pick(text_source)["grammar_flag"], pick(text_source)["outcome"])
@@ -88,12 +91,13 @@ def by_package(records: DataFrame, text_source: str = "any", group_on: str = "an
     )
     both = one.join(reporters_of(records), ["ecosystem", "package_name"], "left")
     union = F.coalesce("names", F.array().cast("array<string>"))
-    return both.select("ecosystem", "package_name", "_seq", "n_records", "grammar_flag", "outcome", "no_text", union.alias("reporters"), F.col("g.text").alias("text"), F.col("g.advisory_id").alias("group_advisory_id"))
+    carried = "text" if keyed_by is None else "signature"
+    return both.select("ecosystem", "package_name", "_seq", "n_records", "grammar_flag", "outcome", "no_text", union.alias("reporters"), F.col(f"g.{carried}").alias(carried), F.col("g.advisory_id").alias("group_advisory_id"))
 
 
 def by_signature(packages: DataFrame, **signature) -> DataFrame:
     """Stage 2. One row a (ecosystem, signature): any positive counts, members in first-seen order."""
-    keyed = packages.withColumn("signature", A.signature(F.col("text"), F.col("package_name"), **signature))
+    keyed = packages if "signature" in packages.columns else packages.withColumn("signature", A.signature(F.col("text"), F.col("package_name"), **signature))
     members = F.sort_array(F.collect_list(F.struct("_seq", "package_name", "reporters")))
     one = keyed.groupBy("ecosystem", "signature").agg(
         F.min("_seq").alias("_seq"), F.count(F.lit(1)).alias("member_count"), F.bool_or("grammar_flag").alias("grammar_flag"), F.bool_or("outcome").alias("outcome"), F.bool_and("no_text").alias("no_text"), members.alias("m")
@@ -104,7 +108,7 @@ def by_signature(packages: DataFrame, **signature) -> DataFrame:
 
 
 def collapse(records: DataFrame, text_source: str = "any", group_on: str = "any", **signature) -> DataFrame:
-    return by_signature(by_package(records, text_source, group_on), **signature)
+    return by_signature(by_package(records, text_source, group_on, signature))
 
 
 def merge_places(found: list[tuple[str, str, str, int]], merges: list[dict]) -> list[tuple[str, str, int, int]]:

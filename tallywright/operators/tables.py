@@ -252,12 +252,12 @@ def with_woolf(tables: DataFrame, z: float = inference.Z95) -> DataFrame:
 
 
 def mantel_haenszel(tables: DataFrame, z: float = inference.Z95) -> DataFrame:
-    """One row: n_total, common_odds_ratio, its Robins-Breslow-Greenland interval lo, hi, and chi2_statistic, over tables with two rows or more; null if degenerate."""
+    """One row: n_total, and over tables with two rows or more common_odds_ratio, its Robins-Breslow-Greenland interval lo, hi, and chi2_statistic; null if degenerate."""
     a, b, c, d = (F.col(x).cast("double") for x in "abcd")
     n = a + b + c + d
     p, q, r, s = (a + d) / n, (b + c) / n, a * d / n, b * c / n
     parts = {"R": r, "S": s, "PR": p * r, "PSQR": p * s + q * r, "QS": q * s, "E": a - (a + b) * (a + c) / n, "V": (a + b) * (c + d) * (a + c) * (b + d) / (n * n * (n - 1))}
-    sums = tables.where(n >= 2).agg(F.coalesce(F.sum(n), F.lit(0)).cast("long").alias("n_total"), *[F.sum(v).alias(k) for k, v in parts.items()])
+    sums = tables.agg(F.coalesce(F.sum(n), F.lit(0)).cast("long").alias("n_total"), *[F.sum(F.when(n >= 2, v)).alias(k) for k, v in parts.items()])
     R, S, V = F.col("R"), F.col("S"), F.col("V")
     whole = (R > 0) & (S > 0) & (V > 0)
     se = F.sqrt(F.col("PR") / (2 * R * R) + F.col("PSQR") / (2 * R * S) + F.col("QS") / (2 * S * S))

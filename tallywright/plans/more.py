@@ -25,7 +25,7 @@ def odds_ratio_intervals(spark, sf_dir):
 
 
 @register("cmh_interval", f"""WITH {MARKED}, {TABLES}, s AS (SELECT *, (a + b + c + d)::DOUBLE AS n, (a + d) / (a + b + c + d) AS p, (b + c) / (a + b + c + d) AS q, a * d / (a + b + c + d) AS r, b * c / (a + b + c + d) AS s FROM t WHERE a + b + c + d >= 2),
-x AS (SELECT sum(r) AS r1, sum(s) AS s1, sum(p * r) AS pr, sum(p * s + q * r) AS psqr, sum(q * s) AS qs, sum(a - (a + b) * (a + c) / n) AS e, sum((a + b) * (c + d) * (a + c) * (b + d) / (n * n * (n - 1))) AS v, sum(n)::BIGINT AS n_total FROM s),
+x AS (SELECT sum(r) AS r1, sum(s) AS s1, sum(p * r) AS pr, sum(p * s + q * r) AS psqr, sum(q * s) AS qs, sum(a - (a + b) * (a + c) / n) AS e, sum((a + b) * (c + d) * (a + c) * (b + d) / (n * n * (n - 1))) AS v, (SELECT sum(a + b + c + d) FROM t)::BIGINT AS n_total FROM s),
 y AS (SELECT *, sqrt(pr / (2 * r1 * r1) + psqr / (2 * r1 * s1) + qs / (2 * s1 * s1)) AS se FROM x)
 SELECT n_total, round(r1 / s1, 9) AS common_odds_ratio, round(exp(ln(r1 / s1) - {Z95!r} * se), 9) AS lo, round(exp(ln(r1 / s1) + {Z95!r} * se), 9) AS hi, round(e * e / v, 9) AS chi2_statistic FROM y""")
 def cmh_interval(spark, sf_dir):

@@ -103,3 +103,62 @@ def test_500_chained_merges_in_one_pass(spark):
         rows = out.collect()
         assert sorted((r["ecosystem"], r["_seq"], r["members"]) for r in rows) == sequential(campaigns, some)
         assert all(r["member_count"] == len(r["members"]) and r["signature"] == f"s{r['_seq']}" for r in rows)
+
+
+def test_names_one_edit_from_real_ones(spark):
+    from tallywright.functions import names
+
+    rng = random.Random(6)
+    words = {"".join(rng.choice("abc-") for _ in range(rng.randrange(0, 6))) for _ in range(160)}
+    ordered = sorted(words)
+    own, real = ordered[::2] + [ordered[1]], ordered[1::2]
+
+    def near(a, b):
+        if len(a) == len(b):
+            d = [i for i in range(len(a)) if a[i] != b[i]]
+            return len(d) == 1 or (len(d) == 2 and d[1] == d[0] + 1 and a[d[0]] == b[d[1]] and a[d[1]] == b[d[0]])
+        a, b = sorted((a, b), key=len)
+        return len(b) - len(a) == 1 and any(b[:i] + b[i + 1 :] == a for i in range(len(b)))
+
+    frame = lambda xs: spark.createDataFrame([(x,) for x in xs], "n string")
+    got = {tuple(r) for r in names.squats(frame([*own, None]), "n", frame([*real, None]), "n").collect()}
+    assert got == {(a, b) for a in own for b in real if a not in real and near(a, b)} and len(got) > 50
+
+
+def test_separation_by_any_columns_is_told(spark):
+    rng = random.Random(3)
+    rows = [(float(i), float(i > 20), rng.gauss(0, 1), rng.gauss(0, 1)) for i in range(41)]
+    df = spark.createDataFrame([(x, y, u, v, float(u + v > 0), float(rng.random() < 0.5)) for x, y, u, v in rows], "x double, y double, u double, v double, joint double, fair double")
+    alone, together = tables.logit(df, "y", ["x"]), tables.logit(df, "joint", ["u", "v"])
+    assert not alone["converged"] and alone["separated_by"] == ["x"] and not together["converged"] and set(together["separated_by"]) == {"u", "v"}
+    assert tables.logit(df, "fair", ["x", "u", "v"])["converged"]
+
+
+def test_normal_law_and_draws(spark):
+    xs = [-9.0, -5.5, -1.959963984540054, -0.3, 0.0, 0.7, 4.0, 8.5]
+    got = [r["p"] for r in spark.createDataFrame([(x,) for x in xs], "x double").select("x", tables.normal_cdf(F.col("x")).alias("p")).orderBy("x").collect()]
+    assert got == pytest.approx([statistics.NormalDist().cdf(x) for x in xs], abs=1e-12)
+    one = spark.createDataFrame([(46, 39, 123, 109)], "a long, b long, c long, d long")
+    first = tables.corrected_draws(one, (5, 6), (0, 4), draws=500)
+    rows = {r["draw"]: r["ratio"] for r in first.collect()}
+    again = {r["draw"]: r["ratio"] for r in tables.corrected_draws(one, (5, 6), (0, 4), draws=500).repartition(7).collect()}
+    assert rows == again and len(set(rows.values())) == 500
+    assert tables.drawn_interval(tables.corrected_draws(one, (5, 6), (0, 4), draws=300, seed=1)).first()["median_or"] != tables.drawn_interval(first).first()["median_or"]
+
+
+def test_column_forms_are_those_of_plain_numbers(spark):
+    strata = [(1, 46, 39, 123, 109), (2, 5, 3, 8, 9), (3, 1, 0, 0, 0), (4, 0, 4, 2, 6)]
+    df = spark.createDataFrame(strata, "i int, a long, b long, c long, d long")
+    want = inference.mantel_haenszel([s[1:] for s in strata])
+    r = tables.mantel_haenszel(df).first()
+    assert (r["n_total"], r["common_odds_ratio"], (r["lo"], r["hi"]), r["chi2_statistic"]) == (want["n_total"], pytest.approx(want["common_odds_ratio"]), pytest.approx(want["common_odds_ratio_ci_95"]), pytest.approx(want["chi2_statistic"]))
+    assert tables.mantel_haenszel(df.where("i > 2")).first()["common_odds_ratio"] is None
+    for row in tables.with_woolf(df).collect():
+        assert (row["lo"], row["hi"]) == (pytest.approx(w) if (w := inference.woolf(*(row[c] for c in "abcd"))) else (None, None))
+    counts = spark.createDataFrame([(80, 40, 55, 60, 17, 40), (80, 40, 0, 0, 1, 2)], "n_pos long, n_neg long, p_hits long, p_rows long, m_hits long, m_rows long")
+    got = tables.recall_estimates(counts).collect()
+    e = inference.recall_estimate(80, (55, 60), 40, (17, 40))
+    assert (got[0]["recall"], (got[0]["lo"], got[0]["hi"])) == (pytest.approx(e["recall"]), pytest.approx(e["ci_95"])) and got[1]["recall"] is None
+    need = tables.needed(df).where("i = 1").first()
+    size = inference.logistic_size(123 / 232, 46 * 109 / (39 * 123), 85 / 317)
+    assert (need["n_required"], need["events"], need["survival_events"]) == (size["n"], size["events"], inference.survival_events(46 * 109 / (39 * 123), 85 / 317))
