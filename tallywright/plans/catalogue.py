@@ -459,12 +459,30 @@ def _one_row(spark: SparkSession, values: dict) -> DataFrame:
     return spark.createDataFrame(flat, "name string, value double")
 
 
-@register("logit_and_vif")
+#: A logit by recursion over covariate patterns: one coordinate's Newton step at a time, 400 times round.
+@register("logit_and_vif", f"""WITH RECURSIVE {MARKED},
+r AS (SELECT flag::INT AS x, quality, lang, toxic FROM m WHERE toxic IS NOT NULL AND quality IS NOT NULL),
+levels AS (SELECT list_sort(list(DISTINCT lang)) AS l FROM r),
+p AS (SELECT list_concat([1.0, x, quality]::DOUBLE[], list_transform(l[2:], lambda v: (v = lang)::DOUBLE)) AS v, count(*)::DOUBLE AS n, sum(toxic)::DOUBLE AS y FROM r, levels GROUP BY ALL),
+k AS (SELECT list({{'v': v, 'n': n, 'y': y}}) AS p, max(len(v)) AS k FROM p),
+fit AS (
+  SELECT 0 AS step, list_transform(range(0, k), lambda i: 0.0::DOUBLE) AS b FROM k
+  UNION ALL
+  SELECT step + 1, list_transform(range(1, k + 1), lambda i: b[i] + CASE WHEN i = step % k + 1 THEN
+      list_sum(list_transform(p, lambda q: q.v[i] * (q.y - q.n / (1 + exp(-list_dot_product(b, q.v)))))) /
+      list_sum(list_transform(p, lambda q: q.v[i] * q.v[i] * q.n / (1 + exp(-list_dot_product(b, q.v))) / (1 + exp(list_dot_product(b, q.v))))) ELSE 0 END)
+  FROM fit, k WHERE step < 400 * k),
+last AS (SELECT b FROM fit ORDER BY step DESC LIMIT 1),
+ll AS (SELECT list_sum(list_transform(p, lambda q: -q.y * ln(1 + exp(-list_dot_product(b, q.v))) - (q.n - q.y) * ln(1 + exp(list_dot_product(b, q.v))))) AS ll FROM last, k),
+base AS (SELECT sum(toxic) * ln(avg(toxic)) + (count(*) - sum(toxic)) * ln(1 - avg(toxic)) AS null_ll, 1 / (1 - corr(x, quality) ** 2) AS vif FROM r),
+named AS (SELECT list_concat(['odds_ratio:intercept', 'odds_ratio:x', 'odds_ratio:quality'], list_transform(l[2:], lambda v: 'odds_ratio:lang=' || v)) AS names FROM levels)
+SELECT unnest(list_concat(names, ['pseudo_r2', 'vif:x', 'vif:quality'])) AS name, round(unnest(list_concat(list_transform(b, lambda x: exp(x)), [1 - ll / null_ll, vif, vif])), 8) AS value FROM last, ll, base, named""")
 def logit_and_vif(spark, sf_dir):
     m = marked_documents(spark, sf_dir).where("toxic is not null").withColumn("x", F.col("flag").cast("int"))
     fit = tables.logit(m, "toxic", ["x", "quality"], "lang")
     vif = tables.variance_inflation(m, ["x", "quality"])
-    return _one_row(spark, {**{f"odds_ratio:{k}": v["odds_ratio"] for k, v in fit["terms"].items()}, "pseudo_r2": fit["pseudo_r2"], **{f"vif:{k}": v for k, v in vif.items()}})
+    found = {**{f"odds_ratio:{k}": v["odds_ratio"] for k, v in fit["terms"].items()}, "pseudo_r2": fit["pseudo_r2"], **{f"vif:{k}": v for k, v in vif.items()}}
+    return _one_row(spark, {k: round(v, 8) for k, v in found.items()})
 
 
 _TABLE = f"{MARKED}, t AS (SELECT count(*) FILTER (WHERE flag AND outcome) AS a, count(*) FILTER (WHERE flag AND NOT outcome) AS b, count(*) FILTER (WHERE NOT flag AND outcome) AS c, count(*) FILTER (WHERE NOT flag AND NOT outcome) AS d FROM m)"
