@@ -42,14 +42,19 @@ def sheet(title: str, about: list[str], rows: DataFrame) -> str:
 
 
 def audit_tables(records: DataFrame, largest: int = 25, equal: int = 120, length: int = 200, below: float = 0.5) -> dict:
-    """Counts and lists of an audit: the largest campaigns, pairs that may be one, campaigns that may be several."""
+    """Counts and lists of an audit: the largest campaigns, those that may be one, campaigns that may be several.
+
+    Of campaigns that share a beginning each is listed with the one before it in
+    order, so that a list is as long as there are campaigns; the pairs are counted.
+    """
     packages = collapse.by_package(records).withColumn("masked", A.signature_text(F.col("text"), F.col("package_name"))).persist()
     campaigns = collapse.by_signature(packages).persist()
     ids = collapse.campaign_table(campaigns).select("campaign_id", "ecosystem", "signature_type", "n_members", F.substring_index("members", ";", 1).alias("first_member"), "members")
     first = packages.select("ecosystem", F.col("_seq"), "masked").join(campaigns.select("ecosystem", "_seq"), ["ecosystem", "_seq"], "left_semi")
     named = campaigns.select("ecosystem", "_seq", F.get("members", F.lit(0)).alias("first_member")).join(ids, ["ecosystem", "first_member"]).drop("first_member").persist()
     heads = first.join(named.select("ecosystem", "_seq"), ["ecosystem", "_seq"])
-    near = collapse.prefix_pairs(heads, "masked", equal, length)
+    shared = alike.prefix_heads(heads, "masked", "ecosystem", equal, length).persist()
+    near = shared.where("before_seq is not null").select("ecosystem", F.least("before_seq", "seq").alias("first_seq"), F.greatest("before_seq", "seq").alias("second_seq"), F.col("before_at").alias("diverge_at"))
     side = lambda k: named.select("ecosystem", F.col("_seq").alias(f"{k}_seq"), F.struct("campaign_id", "signature_type", "n_members").alias(k))
     text = lambda k: first.select("ecosystem", F.col("_seq").alias(f"{k}_seq"), F.col("masked").alias(f"{k}_text"))
     under = near
@@ -70,9 +75,9 @@ def audit_tables(records: DataFrame, largest: int = 25, equal: int = 120, length
         "n_records": records.count(), "n_packages": packages.count(), "n_campaigns": campaigns.count(),
         "signature_types": {r["signature_type"]: r["count"] for r in campaigns.groupBy("signature_type").count().collect()},
         "per_stratum": rows(reports.units_per_stratum(records, campaigns).orderBy("ecosystem")),
-        "largest": rows(reports.top(ids.drop("first_member"), F.desc("n_members"), largest, "campaign_id")), "under": rows(under.drop("first_seq", "second_seq")), "over": rows(over),
+        "largest": rows(reports.top(ids.drop("first_member"), F.desc("n_members"), largest, "campaign_id")), "under": rows(under.drop("first_seq", "second_seq")), "n_pairs": (shared.agg(F.sum("n_pairs")).first()[0] or 0) // 2, "over": rows(over),
     }
-    for df in (packages, campaigns, named):
+    for df in (packages, campaigns, named, shared):
         df.unpersist()
     return out
 
@@ -86,7 +91,7 @@ def audit(found: dict, name: str) -> str:
     kinds = ", ".join(f"{k} {n}" for k, n in sorted(found["signature_types"].items()))
     strata = "; ".join(f"{r['ecosystem']}: {r['records']} records, {r['packages']} packages, {r['campaigns']} campaigns" for r in found["per_stratum"])
     lines = [f"# Audit of the campaign collapse: {name}", "", "Nothing here changes the grouping; decisions (merge, keep, split) go into the last column.", ""]
-    lines += [f"- {found['n_records']} records, {found['n_packages']} packages, {found['n_campaigns']} campaigns. {strata}.", f"- Signatures: {kinds}.", f"- {len(found['under'])} pairs may be one campaign; {len(found['over'])} campaigns may be several.", ""]
+    lines += [f"- {found['n_records']} records, {found['n_packages']} packages, {found['n_campaigns']} campaigns. {strata}.", f"- Signatures: {kinds}.", f"- {found['n_pairs']} pairs may be one campaign; {len(found['over'])} campaigns may be several.", ""]
     lines += ["## Largest campaigns", "", *_table(["#", "Campaign", "Ecosystem", "Signature", "Members", "Names"], [[i, r["campaign_id"], r["ecosystem"], r["signature_type"], r["n_members"], ", ".join(f"`{m}`" for m in r["members"].split(";"))] for i, r in enumerate(found["largest"], 1)])]
     lines += ["## Pairs that may be one", "", *_table(["#", "First", "Second", "Ecosystem", "Signatures", "Sizes", "Diverge at", "First excerpt", "Second excerpt", "Decision"], [[i, r["first"]["campaign_id"], r["second"]["campaign_id"], r["ecosystem"], f"{r['first']['signature_type']} / {r['second']['signature_type']}", f"{r['first']['n_members']} / {r['second']['n_members']}", r["diverge_at"], r["first_excerpt"], r["second_excerpt"], ""] for i, r in enumerate(found["under"], 1)])]
     lines += ["## Campaigns that may be several", "", *_table(["#", "Campaign", "Ecosystem", "Signature", "Members", "Least Jaccard", "Low pairs", "First", "Second", "Diverge at", "First excerpt", "Second excerpt", "Decision"], [[i, r["campaign_id"], r["ecosystem"], r["signature_type"], r["n_members"], f"{r['similarity']:.2f}", r["n_low"], f"`{r['first_name']}`", f"`{r['second_name']}`", r["diverge_at"], r["first_excerpt"], r["second_excerpt"], ""] for i, r in enumerate(found["over"], 1)])]
