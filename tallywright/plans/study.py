@@ -20,7 +20,7 @@ from tallywright.sources import sinks
 
 SCHEMA = "advisory_id string, source string, package_name string, ecosystem string, summary string, description string, published_at string, withdrawn_at string, severity string, reference_urls array<string>, fetched_at string"
 COVARIATES = {"main": ["n_reporters", "has_amazon_inspector"], "a": ["n_reporters"], "b": ["has_amazon_inspector"], "c": ["n_reporters", "has_boilerplate", "has_kam193"]}
-#: Settings of the signature that are compared: none of the three switches, each alone, two without the tag, all; then two of the others off.
+#: Settings of the signature that are compared: none of three switches, each alone, two without the tag, all.
 OFF = {"use_tag": False, "mask": False, "generic_apart": False}
 GRID = [
     OFF,
@@ -29,8 +29,6 @@ GRID = [
     {k: v for k, v in OFF.items() if k != "mask"},
     {"use_tag": False},
     {},
-    {"one_liner_apart": False},
-    {"one_liner_apart": False, "urls": False},
 ]
 
 
