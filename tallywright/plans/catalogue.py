@@ -490,10 +490,10 @@ _TABLE = f"{MARKED}, t AS (SELECT count(*) FILTER (WHERE flag AND outcome) AS a,
 
 @register("power_grid", f"""WITH {_TABLE}, r AS (SELECT unnest([0.5, 0.67, 1.5, 2.0, 3.0])::DOUBLE AS ratio), x AS (
   SELECT ratio, sqrt((a + b + c + d) * (c / (c + d)) * (d / (c + d)) * ((a + b) / (a + b + c + d)) * ((c + d) / (a + b + c + d))) * abs(ln(ratio)) - 1.9599639845400545 AS x FROM t, r)
-SELECT 'power:' || ratio AS name, round(0.5 + sign(x) * exp(-x * x / 2) / sqrt(2 * pi()) * list_sum(list_transform(range(0, 200), lambda k: exp((2 * k + 1) * ln(abs(x)) - (k + 1) * ln(2) - lgamma(k + 1.5) + ln(pi()) / 2))), 9) AS value FROM x""")
+SELECT 'power:' || ratio AS name, round(0.5 + sign(x) * exp(-x * x / 2) / sqrt(2 * pi()) * list_sum(list_transform(range(0, 200), lambda k: exp((2 * k + 1) * ln(abs(x)) - (k + 1) * ln(2) - lgamma(k + 1.5) + ln(pi()) / 2))), 12) AS value FROM x""")
 def power_grid(spark, sf_dir):
     t = tables.contingency(marked_documents(spark, sf_dir), F.col("flag"), F.col("outcome"))
-    return tables.power_grid(t).where("power is not null").select(F.concat(F.lit("power:"), F.col("ratio").cast("string")).alias("name"), F.round("power", 9).alias("value"))
+    return tables.power_grid(t).where("power is not null").select(F.concat(F.lit("power:"), F.col("ratio").cast("string")).alias("name"), F.round("power", 12).alias("value"))
 
 
 def _uniform_sql(stream: str, number: str) -> str:
