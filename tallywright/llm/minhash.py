@@ -228,24 +228,34 @@ def apart_in_lists(prefix: DataFrame, found: DataFrame, one_list: bool) -> DataF
     return met.select("value", "node", "component", outer.alias("outer"))
 
 
-def blocks(rows: DataFrame, name: str) -> DataFrame:
-    """Rows (value, node, component, items, held) of each list in blocks of about BLOCK, dealt by hash: value, part, parts and the block."""
-    sizes = rows.groupBy("value").agg(F.ceil(F.count(F.lit(1)) / F.lit(BLOCK)).cast("int").alias("parts")).withColumnRenamed("value", "of")
-    dealt = rows.join(sizes, F.col("value") == F.col("of")).withColumn("part", F.pmod(F.xxhash64("node", F.lit(name)), "parts"))
-    return dealt.groupBy("value", "part", "parts").agg(F.collect_list(F.struct("node", "component", "items", "held")).alias(name))
+def in_parts(rows: DataFrame) -> DataFrame:
+    """`rows` with the number of blocks, of about BLOCK, that each side of their list makes: every, outers, others.
+
+    Joined once, one row a posting; all that is dealt into blocks later reads it from there.
+    """
+    parts = lambda n: F.ceil(n / F.lit(BLOCK)).cast("int")
+    sizes = rows.groupBy(F.col("value").alias("of")).agg(parts(F.count(F.lit(1))).alias("every"), parts(F.count_if("outer")).alias("outers"), parts(F.count_if(~F.col("outer"))).alias("others"))
+    return rows.join(sizes, F.col("value") == F.col("of")).drop("of")
+
+
+def blocks(rows: DataFrame, side: str, name: str) -> DataFrame:
+    """Rows of one side (every, outers, others) of each list in blocks, dealt by hash: value, part, parts and the block."""
+    picked = {"every": rows, "outers": rows.where("outer"), "others": rows.where(~F.col("outer"))}[side]
+    dealt = picked.withColumn("part", F.pmod(F.xxhash64("node", F.lit(name)), side))
+    return dealt.groupBy("value", "part", F.col(side).alias("parts")).agg(F.collect_list(F.struct("node", "component", "items", "held")).alias(name))
 
 
-def block_pairs(left: DataFrame, right: DataFrame) -> DataFrame:
-    """value, part, left, right: every block of `left` with every block of `right` in one list.
+def block_pairs(rows: DataFrame, left: str, right: str) -> DataFrame:
+    """value, part, left, right: every block of side `left` with every block of side `right` in one list.
 
-    The left blocks of a long list are dealt to up to SALTS keys, and its right blocks go to each of them.
+    Rows: value, node, component, outer, items, held and the numbers of blocks. The left blocks of a long list are dealt to up to SALTS keys, and its right blocks go to each of them.
     A merge join gives all pairs of a left block one after another.
     """
-    bounded_batches(left.sparkSession)
+    bounded_batches(rows.sparkSession)
     salts = F.least(F.ceil(F.col("parts") / F.lit(BLOCKS_A_KEY)), F.lit(SALTS)).cast("int")
-    one = blocks(left, "left").withColumn("salt", (F.col("part") % salts).cast("int"))
+    one = blocks(rows, left, "left").withColumn("salt", (F.col("part") % salts).cast("int"))
     wide = one.groupBy(F.col("value").alias("wide_of")).agg(F.max(salts).alias("salts"))
-    two = blocks(right, "right").select(F.col("value").alias("right_of"), "right").join(wide, F.col("right_of") == F.col("wide_of"))
+    two = blocks(rows, right, "right").select(F.col("value").alias("right_of"), "right").join(wide, F.col("right_of") == F.col("wide_of"))
     two = two.select("right_of", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("right_salt"), "right")
     return one.join(two.hint("merge"), (F.col("value") == F.col("right_of")) & (F.col("salt") == F.col("right_salt"))).select("value", "part", "left", "right")
 
@@ -295,18 +305,13 @@ def compared(left, right, value: int | None = None):
     return ln, rn, at_left, at_right, met, *overlaps(li, ri)
 
 
-COLUMNS_MET = ["value", "node", "component", "items", "held"]
-
-
 def near_in_lists(rows: DataFrame, once: bool) -> DataFrame:
     """Postings (value, node) with a partner of another component in their list that the estimate lets through.
 
-    Rows: value, node, component, outer, items (sketches), held (values of all the node's postings). With `once`
+    Rows as in_parts() deals them, with items (sketches) and held (values of all the node's postings). With `once`
     a pair is met in the list of the least value that both hold alone. A block meets all blocks of its list one
     after another, and its near members are written once, after the last: as many rows as postings at most.
     """
-    outers, others = rows.where("outer").select(*COLUMNS_MET), rows.where(~F.col("outer")).select(*COLUMNS_MET)
-
     def run(batches):
         key, names, near = None, [], np.zeros(0, bool)
 
@@ -330,15 +335,14 @@ def near_in_lists(rows: DataFrame, once: bool) -> DataFrame:
         if near.any():
             yield out()
 
-    every = rows.select(*COLUMNS_MET)
-    found = [block_pairs(a, b).mapInArrow(run, "value long, node binary") for a, b in ((outers, every), (others, outers))]
+    found = [block_pairs(rows, a, b).mapInArrow(run, "value long, node binary") for a, b in (("outers", "every"), ("others", "outers"))]
     return found[0].unionByName(found[1]).distinct()
 
 
 def links_in_lists(rows: DataFrame) -> DataFrame:
     """Links (a, b) at the threshold between components, of each pair of blocks as many as connect its components.
 
-    Rows: value, node, component, outer, items (full sets), held (not read).
+    Rows as in_parts() deals them, with items (full sets) and held (not read).
     """
 
     def run(batches):
@@ -365,8 +369,7 @@ def links_in_lists(rows: DataFrame) -> DataFrame:
                             b.append(rn[j])
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["a", "b"])
 
-    pairs = block_pairs(rows.where("outer").select(*COLUMNS_MET), rows.select(*COLUMNS_MET))
-    return pairs.mapInArrow(run, "a binary, b binary")
+    return block_pairs(rows, "outers", "every").mapInArrow(run, "a binary, b binary")
 
 
 def linked(docs: DataFrame) -> DataFrame:
@@ -399,14 +402,17 @@ def linked(docs: DataFrame) -> DataFrame:
             dropped(apart)
             continue
         held = prefix.groupBy(F.col("node").alias("holder")).agg(F.collect_list("value").alias("held"))
-        sketched = apart.join(classes.select(F.col("node").alias("of"), F.col("sketch").alias("items")), F.col("node") == F.col("of")).join(held, F.col("node") == F.col("holder")).drop("of", "holder")
+        sketched = in_parts(apart).join(classes.select(F.col("node").alias("of"), F.col("sketch").alias("items")), F.col("node") == F.col("of")).join(held, F.col("node") == F.col("holder")).drop("of", "holder")
+        sketched = kept(sketched, "sketched")
         near = kept(near_in_lists(sketched, once=not one_list), "near")
+        dropped(sketched)
         wanted = near.select("node").distinct()
         if not wanted.isEmpty():
             sets = kept(full_sets(docs, classes.select("node", "doc_id").join(wanted, "node", "left_semi")), "sets")
-            rows_met = apart.join(near, ["value", "node"], "left_semi").join(sets, "node").withColumn("held", F.array().cast("array<long>"))
+            met = kept(in_parts(apart.join(near, ["value", "node"], "left_semi")), "met")
+            rows_met = met.join(sets, "node").withColumn("held", F.array().cast("array<long>"))
             old, (known, found) = (known, found), connected(known.unionByName(links_in_lists(rows_met)))
-            dropped(*old, sets)
+            dropped(*old, sets, met)
         dropped(apart, near)
 
     named_by = classes.select("node", "doc_id").join(found, "node", "left").select("node", F.coalesce("component", "node").alias("component"), "doc_id")

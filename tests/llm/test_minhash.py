@@ -126,6 +126,31 @@ def test_pairs_whose_every_shingle_is_common(spark, corpus):
             assert any(100 * len(sets[i] & sets[j]) >= 85 * len(sets[i] | sets[j]) for j in range(len(rows)) if j != i)
 
 
+def test_lists_are_sized_once(spark, corpus, monkeypatch):
+    """Whatever is dealt into blocks, each posting meets its list's size in one join a table, not one for every side."""
+    plans, write = [], minhash.kept
+
+    def noted(df, name="stage"):
+        plans.append((name, df._jdf.queryExecution().optimizedPlan().toString()))
+        return write(df, name)
+
+    monkeypatch.setattr(minhash, "kept", noted)
+    rows = corpus_rows(3)
+    assert {tuple(r) for r in minhash.query(spark, corpus(documents=rows)).collect()} == brute(rows)
+    assert "near" in [name for name, _ in plans]
+    sized = [(name, len(re.findall(r"Join \w+, \(value#\d+L? = of#\d+L?\)", plan))) for name, plan in plans]
+    assert 1 <= sum(n for _, n in sized) and all(n <= 1 for _, n in sized), sized
+
+
+def test_sides_of_lists_in_blocks(spark):
+    """Numbers of blocks by side, and every pair of rows of both sides in one pair of blocks."""
+    rows = spark.createDataFrame([(v, b"%d" % i, b"c", i % 3 == 0, [i], [v]) for v, n in ((1, 700), (2, 5)) for i in range(n)], "value long, node binary, component binary, outer boolean, items array<long>, held array<long>")
+    dealt = minhash.in_parts(rows)
+    assert {tuple(r) for r in dealt.select("value", "every", "outers", "others").distinct().collect()} == {(1, 6, 2, 4), (2, 1, 1, 1)}
+    met = [(r["value"], x["node"], y["node"]) for r in minhash.block_pairs(dealt, "others", "outers").collect() for x in r["left"] for y in r["right"]]
+    assert len(met) == len(set(met)) == 466 * 234 + 3 * 2
+
+
 def test_intersections_column_by_column(monkeypatch):
     monkeypatch.setattr(minhash, "COLUMNS", 7)
     rng = np.random.default_rng(2)
