@@ -310,14 +310,15 @@ def near_in_lists(rows: DataFrame, once: bool) -> DataFrame:
 
     Rows as in_parts() deals them, with items (sketches) and held (values of all the node's postings). With `once`
     a pair is met in the list of the least value that both hold alone. A block meets all blocks of its list one
-    after another, and its near members are written once, after the last: as many rows as postings at most.
+    after another, and its near members are one row, after the last. Where Spark splits a skewed partition a block
+    has a row a split; these meet by block, so each posting comes once.
     """
     def run(batches):
         key, names, near = None, [], np.zeros(0, bool)
 
         def out():
             found = [n for n, x in zip(names, near.tolist(), strict=True) if x]
-            return pa.RecordBatch.from_arrays([pa.array([key[0]] * len(found), pa.int64()), pa.array(found, pa.binary())], ["value", "node"])
+            return pa.RecordBatch.from_arrays([pa.array([key[0]], pa.int64()), pa.array([key[1]], pa.int64()), pa.array([found], pa.list_(pa.binary()))], ["value", "part", "nodes"])
 
         for batch in batches:
             for value, part, left, right in zip(*(batch.column(i) for i in range(4)), strict=True):
@@ -335,8 +336,11 @@ def near_in_lists(rows: DataFrame, once: bool) -> DataFrame:
         if near.any():
             yield out()
 
-    found = [block_pairs(rows, a, b).mapInArrow(run, "value long, node binary") for a, b in (("outers", "every"), ("others", "outers"))]
-    return found[0].unionByName(found[1]).distinct()
+    def met(left, right):
+        near = block_pairs(rows, left, right).mapInArrow(run, "value long, part long, nodes array<binary>")
+        return near.groupBy("value", "part").agg(F.array_distinct(F.flatten(F.collect_set("nodes"))).alias("nodes")).select("value", F.explode("nodes").alias("node"))
+
+    return met("outers", "every").unionByName(met("others", "outers"))
 
 
 def links_in_lists(rows: DataFrame) -> DataFrame:

@@ -151,6 +151,24 @@ def test_sides_of_lists_in_blocks(spark):
     assert len(met) == len(set(met)) == 466 * 234 + 3 * 2
 
 
+@pytest.mark.parametrize("once", [False, True])
+def test_near_postings_come_once_where_partitions_are_split(spark, once):
+    """With splits of a few bytes a block's pairs fall to many tasks, and each near posting is still one row."""
+    sets = [sorted({i // 2 * 100 + k for k in range(20)} | {10**6 + i}) for i in range(600)]  # neighbours i, i + 1 share twenty values of twenty-two
+    rows = spark.createDataFrame([(5, b"n%d" % i, b"c%d" % i, i % 3 > 0, s, [5]) for i, s in enumerate(sets) if i % 50 < 40], "value long, node binary, component binary, outer boolean, items array<long>, held array<long>")
+    small = {"spark.sql.adaptive.advisoryPartitionSizeInBytes": "2k", "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "2k", "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5"}
+    before = {k: spark.conf.get(k) for k in small}
+    try:
+        for k, v in small.items():
+            spark.conf.set(k, v)
+        got = [(r["value"], r["node"]) for r in minhash.near_in_lists(minhash.in_parts(rows), once).collect()]
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    outer = lambda i: i % 3 > 0
+    assert sorted(got) == sorted((5, b"n%d" % i) for i in range(600) if i % 50 < 40 and (outer(i) or outer(i ^ 1)))
+
+
 def test_intersections_column_by_column(monkeypatch):
     monkeypatch.setattr(minhash, "COLUMNS", 7)
     rng = np.random.default_rng(2)
