@@ -12,7 +12,9 @@ LINES, PLAIN = "(?dm)", "(?d)"
 
 
 def stripped(text: Column) -> Column:
-    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+    """Without white space at both ends; the pattern, slow on long texts, is only run where an end has some."""
+    open_end = F.substring(text, 1, 1).rlike(r"(?U)\s") | F.substring(text, -1, 1).rlike(r"(?U)\s")
+    return F.when(open_end, F.regexp_replace(text, r"(?U)^\s+|\s+$", "")).otherwise(text)
 
 
 def combined_text(summary: Column, description: Column) -> Column:
@@ -64,18 +66,24 @@ def without(text: Column, *patterns: str) -> Column:
 
 
 def is_no_text(text: Column) -> Column:
+    """Whether nothing is left without credit, separator and rule lines; a text with none of their literals has no such line."""
     text = F.coalesce(text, F.lit(""))
     rest = without(text, fixed.CREDIT_LINE, fixed.SEPARATOR_LINE, fixed.RULE_LINE)
-    return (stripped(text) != "") & (stripped(rest) == "")
+    some = F.contains(text, F.lit("Credit:")) | F.contains(text, F.lit("_-= Per source details.")) | F.contains(text, F.lit("---"))
+    return some & (stripped(text) != "") & (stripped(rest) == "")
 
 
 def is_one_liner(text: Column) -> Column:
-    rest = without(F.coalesce(text, F.lit("")), fixed.SOURCE_LINE, fixed.CREDIT_LINE, fixed.SEPARATOR_LINE, fixed.RULE_LINE)
-    return stripped(rest).rlike(rf"(?iuUd)^(?:{fixed.ONE_LINER})\z")
+    """Whether one sentence is all that is left without those lines; they go whole, so its words stand in the text as they are."""
+    text = F.coalesce(text, F.lit(""))
+    rest = without(text, fixed.SOURCE_LINE, fixed.CREDIT_LINE, fixed.SEPARATOR_LINE, fixed.RULE_LINE)
+    return text.rlike("(?iuUd)was found to contain malicious code") & stripped(rest).rlike(rf"(?iuUd)^(?:{fixed.ONE_LINER})\z")
 
 
 def campaign_tags(text: Column) -> Column:
-    return F.array_distinct(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit("(?U)" + LINES + fixed.CAMPAIGN_LINE), F.lit(1)))
+    text = F.coalesce(text, F.lit(""))
+    found = F.regexp_extract_all(text, F.lit("(?U)" + LINES + fixed.CAMPAIGN_LINE), F.lit(1))
+    return F.array_distinct(F.when(F.contains(text, F.lit("Campaign:")), found).otherwise(F.array().cast("array<string>")))
 
 
 def mask_name(text: Column, name: Column) -> Column:
@@ -89,7 +97,7 @@ def signature_text(text: Column, name: Column, mask: bool = True, urls: bool = T
     """`text` as record_text gives it, without source headers, name and links masked."""
     out = stripped(without(text, fixed.SOURCE_LINE_AND_END))
     out = mask_name(out, name) if mask else out
-    return F.regexp_replace(out, "(?U)" + fixed.URL, fixed.URL_MASK) if urls else out
+    return F.when(F.contains(text, F.lit("://")), F.regexp_replace(out, "(?U)" + fixed.URL, fixed.URL_MASK)).otherwise(out) if urls else out
 
 
 def signature(text: Column, name: Column, length: int = 200, use_tag: bool = True, mask: bool = True, generic_apart: bool = True, urls: bool = True, one_liner_apart: bool = True) -> Column:

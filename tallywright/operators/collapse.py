@@ -148,6 +148,7 @@ def apply_merges(campaigns: DataFrame, merges: list[dict]) -> DataFrame:
         if not all(entry.get(k) for k in ("id", "ecosystem", "packages", "reason")):
             raise ValueError(f"a merge needs id, ecosystem, packages and reason: {entry}")
     spark = campaigns.sparkSession
+    campaigns = campaigns.persist()  # read for the names, for what stays apart and for what meets
     names = sorted({(e["ecosystem"], p) for e in merges for p in e["packages"]})
     listed = spark.createDataFrame(names, "_e string, _p string")
     held = campaigns.select("ecosystem", "signature", "_seq", F.explode("members").alias("package")).join(F.broadcast(listed), (F.col("ecosystem") == F.col("_e")) & (F.col("package") == F.col("_p")))

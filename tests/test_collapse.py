@@ -156,3 +156,19 @@ def test_stream(spark, tmp_path):
     stream = ingest.records(spark, f"{tmp_path}/in", "id string, text string, at timestamp")
     ingest.append(ingest.labelled(stream, "text", "at", ["id"]), f"{tmp_path}/out", f"{tmp_path}/ck").awaitTermination(120)
     assert sorted((r["id"], r["flag"]) for r in spark.read.parquet(f"{tmp_path}/out").collect()) == [("a", True), ("b", False)]
+
+
+def test_merges_compute_campaigns_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def noted(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    rows = [("en", f"s{i}", "text_prefix", i, 1, [f"p{i}"], ["r"], False, i == 2, False) for i in range(6)]
+    schema = "ecosystem string, signature string, signature_type string, _seq long, member_count long, members array<string>, reporters array<string>, grammar_flag boolean, outcome boolean, no_text boolean"
+    entries = [{"id": "a", "ecosystem": "en", "packages": ["p1", "p2"], "reason": "x"}, {"id": "b", "ecosystem": "en", "packages": ["p2", "p4"], "reason": "x"}]
+    got = collapse.apply_merges(spark.createDataFrame(rows, schema).mapInArrow(noted, schema), entries)
+    assert {r["_seq"]: (r["members"], r["member_count"], r["outcome"]) for r in got.collect()} == {0: (["p0"], 1, False), 1: (["p1", "p2", "p4"], 3, True), 3: (["p3"], 1, False), 5: (["p5"], 1, False)}
+    assert seen.value == len(rows)

@@ -128,3 +128,26 @@ def test_small_text_functions(spark):
     assert column(spark, ["only b here"], lambda v: A.categories_named(["a_cat", "b"], v)) == [["b"]]
     assert column(spark, [" d "], lambda v: A.record_text(v, F.lit(""))) == ["d"] and column(spark, [None], lambda v: A.combined_text(v, F.lit("x"))) == ["\nx"]
     assert pytest
+
+
+def test_guarded_texts_as_by_their_patterns(spark):
+    """What is skipped where a literal is missing gives what the patterns give on every text."""
+    credit = "Credit: [OpenSSF](https://github.com/ossf/malicious-packages) ([source](https://x.y/z))"
+    one = "The package Foo was found to contain malicious code."
+    parts = ["", " ", "\n", "\u00a0", "\u0085", "\u2028", "-" * 4, " --- ", credit, "_-= Per source details. Do not edit below this line.=-_", one, one.upper().replace("S", "\u017f"), "## Source: a (0123456789abcdef0)", "Campaign: C1", " Campaign:\tC2", "see https://a.b/c?d and http://e", "plain Foo text"]
+    texts = [a + s + b + e for a in parts for b in parts for s in ("\n", "\r\n", " ") for e in ("", "\n", "\u2029")]
+    d = spark.createDataFrame([(i, t) for i, t in enumerate([*texts, None])], "i int, t string")
+    t, strip = F.coalesce("t", F.lit("")), lambda x: F.regexp_replace(x, r"(?U)^\s+|\s+$", "")
+    lines = lambda *p: A.without(t, *p)
+    fx = fixed
+    plain = [
+        strip(F.col("t")), (strip(t) != "") & (strip(lines(fx.CREDIT_LINE, fx.SEPARATOR_LINE, fx.RULE_LINE)) == ""),
+        strip(lines(fx.SOURCE_LINE, fx.CREDIT_LINE, fx.SEPARATOR_LINE, fx.RULE_LINE)).rlike(rf"(?iuUd)^(?:{fx.ONE_LINER})\z"),
+        F.array_distinct(F.regexp_extract_all(t, F.lit("(?U)" + A.LINES + fx.CAMPAIGN_LINE), F.lit(1))),
+        F.regexp_replace(A.mask_name(strip(A.without(F.col("t"), fx.SOURCE_LINE_AND_END)), F.lit("Foo")), "(?U)" + fx.URL, fx.URL_MASK),
+    ]
+    c = F.col("t")
+    now = [A.stripped(c), A.is_no_text(c), A.is_one_liner(c), A.campaign_tags(c), A.signature_text(c, F.lit("Foo"))]
+    out = d.select("i", *[x.alias(f"p{k}") for k, x in enumerate(plain)], *[x.alias(f"n{k}") for k, x in enumerate(now)]).collect()
+    assert all(r[f"p{k}"] == r[f"n{k}"] for r in out for k in range(5))
+    assert all(len({str(r[f"n{k}"]) for r in out}) > 1 for k in range(5))
