@@ -142,3 +142,9 @@ def test_fisher_of_large_tables(spark):
         log_p = lambda x: f(a + b) - f(x) - f(a + b - x) + f(c + d) - f(a + c - x) - f(c + d - a - c + x) - f(a + b + c + d) + f(a + c) + f(b + d)  # noqa: B023, E731
         each = [log_p(x) for x in range(max(0, a - d), min(a + b, a + c) + 1)]
         assert got[s] == pytest.approx(min(1.0, sum(math.exp(p) for p in each if p <= log_p(a) + 1e-7)), rel=1e-6)
+
+
+def test_power_of_very_large_tables_is_one(spark):
+    """Ten times the larger check table's counts: far beyond where a series of few terms holds."""
+    t = spark.createDataFrame([(44300, 422840, 15960, 539290)], "a long, b long, c long, d long")
+    assert {r["ratio"]: r["power"] for r in tables.power_grid(t).collect()} == pytest.approx({x: 1.0 for x in (0.5, 0.67, 1.5, 2.0, 3.0)}, abs=1e-12)
