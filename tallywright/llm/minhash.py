@@ -43,7 +43,8 @@ from tallywright.llm.components import components
 from tallywright.session import table
 
 SHINGLE, PERCENT, KEEP, SHORT_LIST, FLOOR = 5, 85, 24, 24, 0.4
-BLOCK = 128
+#: Rows in a block of full sets, and of sketches, which are short.
+BLOCK, SKETCH_BLOCK = 128, 512
 #: Columns of an incidence matrix at once; blocks of a list under one key of their join, and keys of one list at most.
 COLUMNS, BLOCKS_A_KEY, SALTS = 1 << 14, 4, 32
 #: Ids sent to every task to fetch texts; with more, the texts are joined by a shuffle.
@@ -228,41 +229,48 @@ def apart_in_lists(prefix: DataFrame, found: DataFrame, one_list: bool) -> DataF
     return met.select("value", "node", "component", outer.alias("outer"))
 
 
-def in_parts(rows: DataFrame) -> DataFrame:
-    """`rows` with the number of blocks, of about BLOCK, that each side of their list makes: every, outers, others.
+def in_parts(rows: DataFrame, block: int = BLOCK) -> DataFrame:
+    """`rows` with the number of blocks, of about `block`, that each side of their list makes: every, outers, others.
 
     Joined once, one row a posting; all that is dealt into blocks later reads it from there.
     """
-    parts = lambda n: F.ceil(n / F.lit(BLOCK)).cast("int")
+    parts = lambda n: F.ceil(n / F.lit(block)).cast("int")
     sizes = rows.groupBy(F.col("value").alias("of")).agg(parts(F.count(F.lit(1))).alias("every"), parts(F.count_if("outer")).alias("outers"), parts(F.count_if(~F.col("outer"))).alias("others"))
     return rows.join(sizes, F.col("value") == F.col("of")).drop("of")
 
 
-def blocks(rows: DataFrame, side: str, name: str) -> DataFrame:
-    """Rows of one side (every, outers, others) of each list in blocks, dealt by hash: value, part, parts and the block."""
-    picked = {"every": rows, "outers": rows.where("outer"), "others": rows.where(~F.col("outer"))}[side]
-    dealt = picked.withColumn("part", F.pmod(F.xxhash64("node", F.lit(name)), side))
-    return dealt.groupBy("value", "part", F.col(side).alias("parts")).agg(F.collect_list(F.struct("node", "component", "items", "held")).alias(name))
+def blocks(rows: DataFrame) -> DataFrame:
+    """Rows in blocks of outer members alone or of others alone, dealt by hash: value, outer, outers, others, the block's number in its list and the block."""
+    number = F.when(F.col("outer"), F.pmod(F.xxhash64("node"), "outers")).otherwise(F.col("outers") + F.pmod(F.xxhash64("node"), "others"))
+    tried = F.col("tried") if "tried" in rows.columns else F.array().cast("array<long>").alias("tried")
+    dealt = rows.withColumn("part", number.cast("int"))
+    return dealt.groupBy("value", "outer", "part", "outers", "others").agg(F.collect_list(F.struct("node", "component", "items", "held", tried)).alias("block"))
 
 
 def block_pairs(rows: DataFrame, left: str, right: str) -> DataFrame:
-    """value, part, left, right: every block of side `left` with every block of side `right` in one list.
+    """value, part, left, right: every block of side `left` (every, outers, others) with every block of side `right` in one list, two blocks of others excepted.
 
-    Rows: value, node, component, outer, items, held and the numbers of blocks. The left blocks of a long list are dealt to up to SALTS keys, and its right blocks go to each of them.
-    A merge join gives all pairs of a left block one after another.
+    Rows: value, node, component, outer, items, held and the numbers of blocks. The left blocks of one kind in a long list are dealt to up to SALTS keys, and
+    right blocks go to each of them; how many there are stands in every row. One merge join makes all pairs, those of a left block one after another.
     """
     bounded_batches(rows.sparkSession)
-    salts = F.least(F.ceil(F.col("parts") / F.lit(BLOCKS_A_KEY)), F.lit(SALTS)).cast("int")
-    one = blocks(rows, left, "left").withColumn("salt", (F.col("part") % salts).cast("int"))
-    wide = one.groupBy(F.col("value").alias("wide_of")).agg(F.max(salts).alias("salts"))
-    two = blocks(rows, right, "right").select(F.col("value").alias("right_of"), "right").join(wide, F.col("right_of") == F.col("wide_of"))
-    two = two.select("right_of", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("right_salt"), "right")
-    return one.join(two.hint("merge"), (F.col("value") == F.col("right_of")) & (F.col("salt") == F.col("right_salt"))).select("value", "part", "left", "right")
+    salts = lambda n: F.least(F.ceil(F.col(n) / F.lit(BLOCKS_A_KEY)), F.lit(SALTS)).cast("int")
+    of = lambda side, dealt: dealt if side == "every" else dealt.where("outer" if side == "outers" else "not outer")
+    one = of(left, blocks(rows)).select("value", "outer", "part", F.pmod("part", F.when(F.col("outer"), salts("outers")).otherwise(salts("others"))).alias("salt"), F.col("block").alias("left"))
+    keys = lambda n, outer: F.transform(F.filter(F.sequence(F.lit(0), salts(n)), lambda k: k < salts(n)), lambda k: F.struct(F.lit(outer).alias("outer"), k.alias("salt")))
+    to = {"outers": keys("outers", True), "others": keys("others", False)}
+    none = F.filter(to["others"], lambda k: F.lit(False))
+    met = {"outers": to["outers"], "others": F.when(F.col("outer"), to["others"]).otherwise(none)}
+    sent = F.concat(met["outers"], met["others"]) if left == "every" else met[left]
+    two = of(right, blocks(rows)).select(F.col("value").alias("right_of"), F.explode(sent).alias("to"), F.col("block").alias("right"))
+    two = two.select("right_of", F.col("to.outer").alias("right_to"), F.col("to.salt").alias("right_salt"), "right")
+    same = (F.col("value") == F.col("right_of")) & (F.col("outer") == F.col("right_to")) & (F.col("salt") == F.col("right_salt"))
+    return one.join(two.hint("merge"), same).select("value", "part", "left", "right")
 
 
 def split(cell):
     names, homes = (cell.values.field(x).to_pylist() for x in ("node", "component"))
-    return names, homes, *([x.values.to_numpy() for x in cell.values.field(c)] for c in ("items", "held"))
+    return names, homes, *([x.values.to_numpy() for x in cell.values.field(c)] for c in ("items", "held", "tried"))
 
 
 def overlaps(one: list[np.ndarray], two: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -294,22 +302,25 @@ def overlaps(one: list[np.ndarray], two: list[np.ndarray]) -> tuple[np.ndarray,
 def compared(left, right, value: int | None = None):
     """Names and component numbers of both blocks, which pairs are met here, and their sizes and overlaps.
 
-    Met are pairs in different components; given the list's `value`, those of them that hold no lesser value together.
+    Met are pairs in different components; given the list's `value`, those of them that hold no lesser value together
+    and of whom neither holds a list that the other has tried.
     """
-    (ln, lc, li, lh), (rn, rc, ri, rh) = split(left), split(right)
+    (ln, lc, li, lh, lt), (rn, rc, ri, rh, rt) = split(left), split(right)
     homes = np.unique(np.array([int.from_bytes(x, "big") for x in lc + rc], object), return_inverse=True)[1]
     at_left, at_right = homes[: len(ln)], homes[len(ln) :]
     met = at_left[:, None] != at_right[None, :]
     if value is not None:
         met &= overlaps([x[x < value] for x in lh], [x[x < value] for x in rh])[2] == 0
+        met &= (overlaps(lt, rh)[2] == 0) & (overlaps(lh, rt)[2] == 0)
     return ln, rn, at_left, at_right, met, *overlaps(li, ri)
 
 
 def near_in_lists(rows: DataFrame, once: bool) -> DataFrame:
     """Postings (value, node) with a partner of another component in their list that the estimate lets through.
 
-    Rows as in_parts() deals them, with items (sketches) and held (values of all the node's postings). With `once`
-    a pair is met in the list of the least value that both hold alone. A block meets all blocks of its list one
+    Rows as in_parts() deals them, with items (sketches), held (values of all the node's postings) and, if any, tried
+    (those of its lists where it has met every member, whoever was near on full sets). With `once` a pair is met in the
+    list of the least value that both hold alone, unless it has met in a list tried. A block meets all blocks of its list one
     after another, and its near members are one row, after the last. Where Spark splits a skewed partition a block
     has a row a split; these meet by block, so each posting comes once.
     """
@@ -336,15 +347,12 @@ def near_in_lists(rows: DataFrame, once: bool) -> DataFrame:
         if near.any():
             yield out()
 
-    def met(left, right):
-        near = block_pairs(rows, left, right).mapInArrow(run, "value long, part long, nodes array<binary>")
-        return near.groupBy("value", "part").agg(F.array_distinct(F.flatten(F.collect_set("nodes"))).alias("nodes")).select("value", F.explode("nodes").alias("node"))
-
-    return met("outers", "every").unionByName(met("others", "outers"))
+    near = block_pairs(rows, "every", "every").mapInArrow(run, "value long, part long, nodes array<binary>")
+    return near.groupBy("value", "part").agg(F.array_distinct(F.flatten(F.collect_set("nodes"))).alias("nodes")).select("value", F.explode("nodes").alias("node"))
 
 
 def links_in_lists(rows: DataFrame) -> DataFrame:
-    """Links (a, b) at the threshold between components, of each pair of blocks as many as connect its components.
+    """Components (a, b) that links at the threshold join, of each pair of blocks as many as connect its components.
 
     Rows as in_parts() deals them, with items (full sets) and held (not read).
     """
@@ -353,7 +361,8 @@ def links_in_lists(rows: DataFrame) -> DataFrame:
         for batch in batches:
             a, b = [], []
             for left, right in zip(batch.column(2), batch.column(3), strict=True):
-                ln, rn, lh, rh, other, one, two, both = compared(left, right)
+                _, _, lh, rh, other, one, two, both = compared(left, right)
+                lc, rc = (x.values.field("component") for x in (left, right))
                 good = other & (100 * both >= PERCENT * (one + two - both))
                 at = list(range(int(max(lh.max(), rh.max())) + 1))
 
@@ -369,8 +378,8 @@ def links_in_lists(rows: DataFrame) -> DataFrame:
                         x, y = root(int(lh[i])), root(kind)
                         if x != y:
                             at[x] = y
-                            a.append(ln[i])
-                            b.append(rn[j])
+                            a.append(lc[int(i)].as_py())
+                            b.append(rc[j].as_py())
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["a", "b"])
 
     return block_pairs(rows, "outers", "every").mapInArrow(run, "a binary, b binary")
@@ -389,24 +398,29 @@ def linked(docs: DataFrame) -> DataFrame:
     used = kept(classes.select("node", "doc_id").join(used, "node", "left_semi"), "used")
     sets = kept(full_sets(docs, used), "sets")
 
-    def connected(links: DataFrame) -> tuple[DataFrame, DataFrame]:
-        known = kept(links, "links")
-        return known, kept(components(known), "found")
+    def joined(found: DataFrame, links: DataFrame) -> DataFrame:
+        """The components that `links` make of those found: stars, not the links that led to them, and the new links."""
+        stars = found.where("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b"))
+        return kept(components(stars.unionByName(links)), "found")
 
     first = pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
-    known, found = connected(confirmed(first, sets))
+    found = kept(components(confirmed(first, sets)), "found")
     left, right = found.select(F.col("node").alias("l"), F.col("component").alias("lc")), found.select(F.col("node").alias("r"), F.col("component").alias("rc"))
     apart = pairs.join(left, F.col("a") == F.col("l"), "left").join(right, F.col("b") == F.col("r"), "left").where(F.coalesce("lc", "a") != F.coalesce("rc", "b")).select("a", "b")
-    old, (known, found) = (known, found), connected(known.unionByName(confirmed(apart, sets)))
-    dropped(*old, pairs, used, sets)
+    old, found = found, joined(found, confirmed(apart, sets))
+    dropped(old, pairs, used, sets)
 
-    for one_list in (True, False):  # most of a group connects in one list; the rest then has few outside
+    tried = None
+    for one_list in (True, False):  # most of a group connects in one list; the rest then has few outside, and what has met there need not meet again
         apart = kept(apart_in_lists(prefix, found, one_list), "apart")
         if apart.where("outer").isEmpty():
-            dropped(apart)
+            dropped(apart, *([] if tried is None else [tried]))
             continue
         held = prefix.groupBy(F.col("node").alias("holder")).agg(F.collect_list("value").alias("held"))
-        sketched = in_parts(apart).join(classes.select(F.col("node").alias("of"), F.col("sketch").alias("items")), F.col("node") == F.col("of")).join(held, F.col("node") == F.col("holder")).drop("of", "holder")
+        sketched = in_parts(apart, SKETCH_BLOCK).join(classes.select(F.col("node").alias("of"), F.col("sketch").alias("items")), F.col("node") == F.col("of")).join(held, F.col("node") == F.col("holder")).drop("of", "holder")
+        if tried is not None:
+            lists = tried.where("outer").select(F.col("node").alias("trier"), F.array("value").alias("tried"))
+            sketched = sketched.join(lists, F.col("node") == F.col("trier"), "left").withColumn("tried", F.coalesce("tried", F.array().cast("array<long>"))).drop("trier")
         sketched = kept(sketched, "sketched")
         near = kept(near_in_lists(sketched, once=not one_list), "near")
         dropped(sketched)
@@ -415,14 +429,15 @@ def linked(docs: DataFrame) -> DataFrame:
             sets = kept(full_sets(docs, classes.select("node", "doc_id").join(wanted, "node", "left_semi")), "sets")
             met = kept(in_parts(apart.join(near, ["value", "node"], "left_semi")), "met")
             rows_met = met.join(sets, "node").withColumn("held", F.array().cast("array<long>"))
-            old, (known, found) = (known, found), connected(known.unionByName(links_in_lists(rows_met)))
-            dropped(*old, sets, met)
-        dropped(apart, near)
+            old, found = found, joined(found, links_in_lists(rows_met))
+            dropped(old, sets, met)
+        dropped(near, *([] if tried is None else [tried]), *([] if one_list else [apart]))
+        tried = apart
 
     named_by = classes.select("node", "doc_id").join(found, "node", "left").select("node", F.coalesce("component", "node").alias("component"), "doc_id")
     least = named_by.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     by_node = kept(named_by.join(least, "component").select(F.col("node").alias("of"), "component_id"), "named")
-    dropped(known, found, classes, prefix)
+    dropped(found, classes, prefix)
     out = rows.select("doc_id", "n", "node").join(by_node, F.col("node") == F.col("of"), "left")
     return out.select("doc_id", "n", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 

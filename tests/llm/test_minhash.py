@@ -4,7 +4,7 @@ import re
 import numpy as np
 import pytest
 
-from tallywright.llm import minhash
+from tallywright.llm import components, minhash
 
 from .conftest import doc
 
@@ -169,6 +169,36 @@ def test_near_postings_come_once_where_partitions_are_split(spark, once):
     assert sorted(got) == sorted((5, b"n%d" % i) for i in range(600) if i % 50 < 40 and (outer(i) or outer(i ^ 1)))
 
 
+def test_pairs_met_in_a_list_tried_do_not_meet_again(spark):
+    """Pairs of one list where a member tried another list that both hold are left out; the rest of the list still meets."""
+    held = {i: [5, 7] if i < 6 else [5] for i in range(10)}  # list 7 holds six of the ten and was tried by the first three
+    rows = [(5, b"n%d" % i, b"c%d" % i, True, list(range(20)), held[i], [7] if i < 3 else []) for i in range(10)]
+    columns = "value long, node binary, component binary, outer boolean, items array<long>, held array<long>, tried array<long>"
+
+    def near(picked):
+        return sorted(r["node"] for r in minhash.near_in_lists(minhash.in_parts(spark.createDataFrame(picked, columns)), True).collect())
+
+    assert near([r for r in rows if r[1] in (b"n0", b"n1", b"n4")]) == []
+    assert near([r for r in rows if r[1] in (b"n0", b"n4", b"n5")]) == [b"n4", b"n5"]
+    assert near(rows) == [r[1] for r in rows]
+
+
+def test_links_name_components(spark):
+    """Links come as pairs of components, so earlier links need not be gone through again."""
+    rows = spark.createDataFrame([(5, b"n%d" % i, b"c%d" % (i // 2), i > 1, list(range(20 * (i // 4), 20 * (i // 4) + 20)), []) for i in range(8)], "value long, node binary, component binary, outer boolean, items array<long>, held array<long>")
+    found = {frozenset((r["a"], r["b"])) for r in minhash.links_in_lists(minhash.in_parts(rows)).collect()}
+    assert found == {frozenset((b"c0", b"c1")), frozenset((b"c2", b"c3"))}
+
+
+@pytest.mark.parametrize(("edges", "writes"), [([(0, k) for k in range(1, 9)] + [(10, 11)], 1), ([(k, k + 1) for k in range(40)], None)])
+def test_stars_need_no_round(spark, monkeypatch, edges, writes):
+    names, write = [], components.kept
+    monkeypatch.setattr(components, "kept", lambda df, name="stage": names.append(name) or write(df, name))
+    got = {r["node"]: r["component"] for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {x: 10 if 10 in e and 11 in e and writes else 0 for e in edges for x in e}
+    assert len(names) == writes if writes else len(names) > 2
+
+
 def test_intersections_column_by_column(monkeypatch):
     monkeypatch.setattr(minhash, "COLUMNS", 7)
     rng = np.random.default_rng(2)
