@@ -22,7 +22,7 @@ def members(campaigns: DataFrame) -> DataFrame:
 
 def without_members(campaigns: DataFrame, excluded: DataFrame, positive: bool = True) -> DataFrame:
     """Campaigns (positive ones by default) none of whose members is in `excluded` (ecosystem, package_name)."""
-    frame = campaigns.where("outcome") if positive else campaigns
+    frame = (campaigns.where("outcome") if positive else campaigns).persist()  # read for the members and for what stays
     gone = excluded.select(F.col("ecosystem").alias("e"), F.col("package_name").alias("p")).distinct()
     hit = members(frame).join(gone, (F.col("ecosystem") == F.col("e")) & (F.col("package_name") == F.col("p")), "left_semi").select(F.col("ecosystem").alias("he"), F.col("signature").alias("hs")).distinct()
     return frame.join(hit, (F.col("ecosystem") == F.col("he")) & (F.col("signature") == F.col("hs")), "left_anti")

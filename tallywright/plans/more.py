@@ -70,7 +70,8 @@ f AS (SELECT c.ecosystem, c.first_seq, unnest(string_split(c.members, ';')) AS p
 SELECT ecosystem, first_seq FROM f GROUP BY ecosystem, first_seq HAVING bool_and((ecosystem, package_name) NOT IN (SELECT (ecosystem, package_name) FROM x))""")
 def remaining_positives(spark, sf_dir):
     a = advisories(spark, sf_dir)
-    left = reports.without_members(collapse.collapse(a), a.where("_seq % 13 = 0").select("ecosystem", "package_name"))
+    c = collapse.collapse(a).select("ecosystem", "signature", "_seq", "grammar_flag", "outcome", "members")
+    left = reports.without_members(c, a.where("_seq % 13 = 0").select("ecosystem", "package_name"))
     return left.select("ecosystem", F.col("_seq").alias("first_seq"))
 
 

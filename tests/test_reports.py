@@ -63,3 +63,19 @@ def test_study(spark, tmp_path):
     out, table = study.run(S.jsonl(spark, str(tmp_path / "r.jsonl"), study.SCHEMA), merges=[{"id": "m", "ecosystem": "npm", "packages": ["p0", "p1-cli"], "reason": "r"}])
     assert out["n_records"] == out["n_campaigns"] == 60 and out["pooled"]["table"] == (20, 10, 20, 10) and out["sensitivity"]["with_merges"]["delta_campaigns"] == -1
     assert table.count() == 60 and out["sensitivity"]["exclude_no_text"]["delta_campaigns"] == 0 and len(out["signature_grid"]) == 6
+
+
+def test_campaigns_are_made_once_for_what_remains(spark):
+    """Members and what stays are read from campaigns that are computed once, not once for each."""
+    made = spark.sparkContext.accumulator(0)
+
+    def noted(x):
+        made.add(1)
+        return x
+
+    rows = [("en", f"s{i}", i, False, i % 2 == 0, [f"p{i}", f"q{i}"]) for i in range(10)]
+    frame = spark.createDataFrame(rows, "ecosystem string, signature string, _seq long, grammar_flag boolean, outcome boolean, members array<string>")
+    made_here = frame.withColumn("signature", F.udf(noted, "string").asNondeterministic()("signature"))
+    left = reports.without_members(made_here, spark.createDataFrame([("en", "q4"), ("de", "p6")], "ecosystem string, package_name string"))
+    assert sorted(r["_seq"] for r in left.collect()) == [0, 2, 6, 8]
+    assert made.value <= 10
